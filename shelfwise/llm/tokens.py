@@ -10,7 +10,6 @@ A block starts at a word, and ids that its last word has room for beyond the blo
 
 from __future__ import annotations
 
-import itertools
 import os
 import zlib
 from collections.abc import Iterator
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._store import new_path, partitions_for
-from ._words import slices, texts_of, words_of
+from ._words import raw_bytes, slices, texts_of, words_of
 
 BLOCK = 1024
 #: Fixed values of Simple-8b: ids in a word and bits of an id by selector (0 and 1 are not used).
@@ -31,6 +30,8 @@ COUNTS = np.array([0, 0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], dtype=
 WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], dtype=np.int64)
 LARGEST = (1 << 60) - 1
 
+_STOP, _LETTER, _SPACE = (np.isin(np.arange(256), list(x)) for x in (b".,", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", b"\t\n\x0b\x0c\r "))
+
 SCHEMA = "shard int, chunk long, before long, n_ids long, doc_ids array<long>, n_tokens array<long>, words binary, blocks binary, escape_at array<int>, escape_value array<long>"
 
 
@@ -126,6 +127,8 @@ class Encoder:
     """
 
     MARK = "<|startoftext|>"
+    #: Parts remembered from batch to batch, about.
+    REMEMBERED = 600_000
 
     def __init__(self, path: str | None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -137,28 +140,59 @@ class Encoder:
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = self.tokenizer.token_to_id(self.MARK)
+        self.known, self.flat, self.sizes = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    @staticmethod
+    def levelled(texts: pa.Array) -> pa.Array:
+        """Texts of the same ids with fewer distinct parts: a space before a full stop or comma that ends a part after an
+        ASCII letter, where a piece ends anyway, and ASCII letters in lower case, as the tokenizer has them."""
+        data, offsets = raw_bytes(texts)
+        if len(data):
+            stop = np.flatnonzero(_STOP[data[1:]] & _LETTER[data[:-1]]) + 1
+            after = np.append(_SPACE[data[1:]], True)
+            after[offsets[1:][offsets[1:] > 0] - 1] = True
+            stop = stop[after[stop] & ~np.isin(stop, offsets)]
+            data = np.insert(data, stop, 0x20)
+            offsets = offsets + np.searchsorted(stop, offsets, side="left")
+        lower = pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data))
+        low = pc.ascii_lower(lower)
+        special = pc.any(pc.match_substring(low, "<|")).as_py()  # special tokens are told apart by case
+        return lower if special else low
 
     def _each(self, parts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, dtype=np.uint32) for x in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
-
-    def parts(self, distinct: list[str], step: int = 2000) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all parts one after another, and their number for each part."""
-        if self.mark is None or any(self.MARK in x for x in distinct):
-            each = self._each(distinct)
-            return np.concatenate([*each, np.zeros(0, np.uint32)]), np.array([len(x) for x in each], dtype=np.int64)
-        joined = [self.MARK.join(distinct[i : i + step]) + self.MARK for i in range(0, len(distinct), step)]
-        flat = np.concatenate([*self._each(joined), np.zeros(0, np.uint32)])
+        return [np.array(x.ids, dtype=np.uint32) for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _apart(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        each = self._each(parts)
+        return np.concatenate([*each, np.zeros(0, np.uint32)]), np.array([len(x) for x in each], dtype=np.int64)
+
+    def _together(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_apart``, with a special token between the parts, so that the library has one long text."""
+        if self.mark is None or any(self.MARK in x for x in parts):
+            return self._apart(parts)
+        flat = self._each([self.MARK.join(parts) + self.MARK])[0]
         at = np.flatnonzero(flat == self.mark)
-        if len(at) != len(distinct):
-            each = self._each(distinct)
-            return np.concatenate([*each, np.zeros(0, np.uint32)]), np.array([len(x) for x in each], dtype=np.int64)
+        if len(at) != len(parts):
+            return self._apart(parts)
         return flat[flat != self.mark], np.diff(np.concatenate([[-1], at])) - 1
 
+    def parts(self, distinct: pa.Array, step: int = 2000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where each part's ids start and how many they are. Parts met early, the common ones, are remembered."""
+        place = pc.index_in(distinct, value_set=self.known)
+        new = distinct.filter(pc.is_null(place))
+        got = [self._together(new.slice(i, step).to_pylist()) for i in range(0, len(new), step)]
+        flat = np.concatenate([self.flat, *(x for x, _ in got)])
+        sizes = np.concatenate([self.sizes, *(n for _, n in got)])
+        at = pc.fill_null(place, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        at[at < 0] = len(self.sizes) + np.arange(len(new))
+        if len(self.known) < self.REMEMBERED:
+            self.known, self.flat, self.sizes = pa.concat_arrays([self.known, new]), flat, sizes
+        return flat, (np.cumsum(sizes) - sizes)[at], sizes[at]
+
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with ``end_id`` after it, and their number for each text."""
-        codes, distinct, counts = words_of(texts)
-        flat, sizes = self.parts(distinct.to_pylist())
-        starts = np.cumsum(sizes) - sizes
+        codes, distinct, counts = words_of(self.levelled(texts))
+        flat, starts, sizes = self.parts(distinct)
         word_sizes = sizes[codes]
         sums = np.concatenate([[0], np.cumsum(word_sizes)])
         ends = np.cumsum(counts)
@@ -187,7 +221,7 @@ def _writer(path: str | None, end_id: int, chunk_ids: int):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
         for batch in batches:
-            for piece in slices(batch, "text", 24 << 20):
+            for piece in slices(batch, "text", 8 << 20):
                 new, n = encoder.encode(texts_of(piece.column("text")), end_id)
                 # documents stay whole: a chunk ends with the first document that brings it to chunk_ids
                 taken = end = 0

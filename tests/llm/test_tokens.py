@@ -43,7 +43,7 @@ def result(spark, rows, tmp_path, **options):
 
 
 def test_edges(spark, tmp_path):
-    rows = [(3, "A b"), (1, None), (2, ""), (7, "it's  <|endoftext|> x<|startoftext|>y É́  z \x0b\x1cq"), (5, "word " * 30000), (None, "no id"), (9, "tie"), (9, "tie")]
+    rows = [(3, "A b"), (1, None), (2, ""), (7, "it's  <|endoftext|> x<|startoftext|>y É́  z \x0b\x1cq"), (5, "word " * 30000), (6, "A.B, c!!, d., e.\n,f a.b. \xc9., <|ENDOFTEXT|>, İx. Σας, it'S, x'."), (8, "."), (10, "a"), (11, ".a,"), (None, "no id"), (9, "tie"), (9, "tie")]
     assert result(spark, rows, tmp_path) == expected(rows)
     assert result(spark, rows, tmp_path / "2", chunk_ids=4, shards=2) == expected(rows)
 
