@@ -1,9 +1,18 @@
 """Queries of this subpackage by name, and DuckDB SQL where SQL can express one."""
 
+from .decontaminate import OP6_SQL, op6_decontamination
+from .knn import OP10_SQL, op10_topk
+from .mixing import op4_mixing
 from .tokens import op1_token_output
 
 QUERIES = {
     "op1_token_output": op1_token_output,
+    "op4_mixing": op4_mixing,
+    "op6_decontamination": op6_decontamination,
+    "op10_topk": op10_topk,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_decontamination": OP6_SQL,
+    "op10_topk": OP10_SQL,
+}
