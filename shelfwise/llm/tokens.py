@@ -53,43 +53,54 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     filled[:n] = ids
     table[:, :BLOCK] = filled.reshape(n_blocks, BLOCK)
     flat = table.ravel()
-    # the widest selector fits everywhere; each narrower one can only fit where the one before it does
+    # a selector can only fit where the one before it, of fewer and wider ids, does
     best = np.full(flat.size, 15, dtype=np.uint8)
-    at = (np.arange(n_blocks)[:, None] * rows + np.arange(BLOCK)[None, :]).ravel()[: n_blocks * BLOCK]
+    at, largest = None, int(ids.max())
     for s in range(14, 1, -1):
-        small = flat < np.uint64(1 << int(WIDTHS[s]))
-        fits = small[at]
-        for j in range(1, int(COUNTS[s])):
-            if not fits.any():
-                break
-            at = at[fits]
-            fits = small[at + j]
-        at = at[fits]
+        if at is None and largest < 1 << int(WIDTHS[s]):  # it fits everywhere
+            best[:] = s
+            continue
+        if at is None:
+            small = table < np.uint64(1 << int(WIDTHS[s]))
+            fits = small[:, :BLOCK].copy()
+            for j in range(1, int(COUNTS[s])):
+                fits &= small[:, j : BLOCK + j]
+            block, inside = np.nonzero(fits)
+            at = block * rows + inside
+        else:
+            small = flat[at] < np.uint64(1 << int(WIDTHS[s]))
+            at = at[small]
+            for j in range(1, int(COUNTS[s])):
+                at = at[flat[at + j] < np.uint64(1 << int(WIDTHS[s]))]
         if not len(at):
             break
         best[at] = s
     lengths = np.full(n_blocks, BLOCK)
     lengths[-1] = n - BLOCK * (n_blocks - 1)
     live, where = np.arange(n_blocks), np.zeros(n_blocks, dtype=np.int64)
-    picked: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    steps: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    per_block = np.zeros(n_blocks, dtype=np.int64)
     while len(live):
         place = live * rows + where
         s = best[place]
-        picked.append((live, place, s))
+        steps.append((live, place, s))
+        per_block[live] += 1
         where = where + COUNTS[s]
         on = where < lengths[live]
         live, where = live[on], where[on]
-    block = np.concatenate([x[0] for x in picked])
-    order = np.argsort(block, kind="stable")  # the steps of one block are in order already
-    place = np.concatenate([x[1] for x in picked])[order]
-    sel = np.concatenate([x[2] for x in picked])[order]
-    words = sel.astype(np.uint64) << np.uint64(60)
+    blocks = np.cumsum(per_block) - per_block
+    to = np.concatenate([blocks[x] + i for i, (x, _, _) in enumerate(steps)])
+    place = np.concatenate([x for _, x, _ in steps])
+    sel = np.concatenate([x for _, _, x in steps])
+    words = np.empty(len(sel), dtype=np.uint64)
     for s in np.unique(sel).tolist():
         mine = np.flatnonzero(sel == s)
+        from_ = place[mine]
+        word = np.full(len(mine), s << 60, dtype=np.uint64)
         for j in range(int(COUNTS[s])):
-            words[mine] |= flat[place[mine] + j] << np.uint64(j * int(WIDTHS[s]))
-    per_block = np.bincount(block, minlength=n_blocks)
-    return words, (np.cumsum(per_block) - per_block).astype(np.int32), escape_at, escape_value
+            word |= flat[from_ + j] << np.uint64(j * int(WIDTHS[s]))
+        words[to[mine]] = word
+    return words, blocks.astype(np.int32), escape_at, escape_value
 
 
 def unpack(words: np.ndarray, blocks: np.ndarray, n: int, escape_at=(), escape_value=()) -> np.ndarray:
@@ -206,9 +217,19 @@ class Encoder:
         return out, n.astype(np.int64)
 
 
+_ENCODERS: dict[str | None, Encoder] = {}
+
+
+def encoder_of(path: str | None) -> Encoder:
+    """One for each tokenizer in a Python worker, which many tasks use one after another."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def _writer(path: str | None, end_id: int, chunk_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, chunk, before = Encoder(path), TaskContext.get().partitionId(), 0, 0
+        encoder, shard, chunk, before = encoder_of(path), TaskContext.get().partitionId(), 0, 0
         ids: list[np.ndarray] = []
         docs: list = []
         sizes: list[int] = []
