@@ -3,16 +3,25 @@
 from .decontaminate import OP6_SQL, op6_decontamination
 from .knn import OP10_SQL, op10_topk
 from .mixing import op4_mixing
+from .neardup import OP2_SQL, op2_near_duplicates
+from .pii import op9_pii
+from .quality import op8_quality
+from .substrings import op7_substring_dedup
 from .tokens import op1_token_output
 
 QUERIES = {
     "op1_token_output": op1_token_output,
+    "op2_near_duplicates": op2_near_duplicates,
     "op4_mixing": op4_mixing,
     "op6_decontamination": op6_decontamination,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op8_quality": op8_quality,
+    "op9_pii": op9_pii,
     "op10_topk": op10_topk,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_near_duplicates": OP2_SQL,
     "op6_decontamination": OP6_SQL,
     "op10_topk": OP10_SQL,
 }
