@@ -46,6 +46,20 @@ def sizes_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text").mapInArrow(_sized, "doc_id long, source string, size long")
 
 
+def _with_sizes(columns: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(word_counts(texts_of(b.column(columns.index("text")))), pa.int64())], names=[*columns, "size_"])
+
+    return run
+
+
+def with_sizes(docs: DataFrame) -> DataFrame:
+    """All columns of the documents, and ``size_``."""
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "size_ long"])
+    return docs.mapInArrow(_with_sizes(docs.columns), schema)
+
+
 def targets_of(sizes: DataFrame, weights: Sequence[float], cap: float, share: float = 1.0) -> DataFrame:
     """``source, k, source_size, target`` for each source.
 

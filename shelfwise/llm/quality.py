@@ -108,7 +108,7 @@ class Trees:
         return 1 / (1 + np.exp(-total))
 
 
-def train(x: np.ndarray, y: np.ndarray, *, trees: int = 100, depth: int = 4, bins: int = 64, rate: float = 0.1, l2: float = 1.0, least: float = 4.0) -> Trees:
+def train(x: np.ndarray, y: np.ndarray, *, trees: int = 100, depth: int = 4, bins: int = 64, rate: float = 0.1, l2: float = 1.0, least: float = 1.0) -> Trees:
     """Logistic loss, second order; splits by histograms of at most ``bins`` bins a feature.
 
     Without rows the score is 0.5; with rows of one label it is that label's smoothed share.

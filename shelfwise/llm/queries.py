@@ -2,6 +2,8 @@
 
 from .decontaminate import OP6_SQL, op6_decontamination
 from .knn import OP10_SQL, op10_topk
+from .licenses import OP5_SQL, op5_license_scan
+from .lines import OP3_SQL, op3_line_dedup
 from .mixing import op4_mixing
 from .neardup import OP2_SQL, op2_near_duplicates
 from .pii import op9_pii
@@ -12,7 +14,9 @@ from .tokens import op1_token_output
 QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_near_duplicates": op2_near_duplicates,
+    "op3_line_dedup": op3_line_dedup,
     "op4_mixing": op4_mixing,
+    "op5_license_scan": op5_license_scan,
     "op6_decontamination": op6_decontamination,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_quality": op8_quality,
@@ -22,6 +26,8 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_near_duplicates": OP2_SQL,
+    "op3_line_dedup": OP3_SQL,
+    "op5_license_scan": OP5_SQL,
     "op6_decontamination": OP6_SQL,
     "op10_topk": OP10_SQL,
 }
