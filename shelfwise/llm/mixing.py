@@ -1,8 +1,8 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
-Every source gets a target of words. Whole copies of the source are taken while they fit; the budget that remains is
-filled from a count of its documents by exact length: a proportional part of each length, then a bounded knapsack over
-what is left, by dynamic programming on a bitset. Documents of a length are chosen in the order of a seeded hash.
+Every source gets a target of words, filled from a count of its documents by exact length: a proportional part of each
+length, then a bounded knapsack over what is left, by dynamic programming on a bitset. The copies of a length go to its
+documents evenly, and those left over to the first in the order of a seeded hash.
 """
 
 from __future__ import annotations
@@ -81,32 +81,14 @@ def targets_of(sizes: DataFrame, weights: Sequence[float], cap: float, share: fl
         FROM summed s CROSS JOIN levels l""")
 
 
-def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int, table: int = TABLE_WORDS) -> np.ndarray:
-    """How many documents of each length to take so that their words come as near to ``budget`` as can be, never above."""
-    lengths, counts = np.asarray(lengths, dtype=np.int64), np.asarray(counts, dtype=np.int64)
-    taken = np.zeros(len(lengths), dtype=np.int64)
-    total = int((lengths * counts).sum())
-    if budget <= 0 or not total:
-        return taken
-    if budget >= total:
-        return counts.copy()
-    taken = np.array([c * budget // total for c in counts.tolist()], dtype=np.int64)
-    rest = budget - int((taken * lengths).sum())
-    order = np.random.default_rng(seed).permutation(len(lengths))
-    while rest > table:  # one more of each length in a seeded order
-        before = rest
-        for i in order.tolist():
-            if rest > table and taken[i] < counts[i] and lengths[i] <= rest:
-                taken[i] += 1
-                rest -= int(lengths[i])
-        if rest == before:
-            break
-    if rest > table:
-        return taken
-    # bounded knapsack: bit w of reach is set if some choice has w words; parts of 1, 2, 4 ... documents of a length
+def _knapsack(lengths: np.ndarray, free: np.ndarray, rest: int, order: list[int]) -> tuple[np.ndarray, int]:
+    """How many of each length, at most ``free``, to take for as many words as can be up to ``rest``; the words missed.
+
+    Bit w of ``reach`` is set if some choice has w words; a length comes in parts of 1, 2, 4 ... documents.
+    """
     reach, mask, steps = 1, (1 << (rest + 1)) - 1, []
-    for i in order.tolist():
-        left, part = min(int(counts[i] - taken[i]), rest // int(lengths[i])), 1
+    for i in order:
+        left, part = min(int(free[i]), rest // int(lengths[i])), 1
         while left > 0 and not reach >> rest & 1:
             part = min(part, left)
             steps.append((reach, i, part))
@@ -114,24 +96,62 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int,
             left, part = left - part, part * 2
         if reach >> rest & 1:
             break
-    at = reach.bit_length() - 1
+    taken, at = np.zeros(len(lengths), dtype=np.int64), reach.bit_length() - 1
+    missed = rest - at
     for before, i, part in reversed(steps):
         if not before >> at & 1:
             taken[i] += part
             at -= part * int(lengths[i])
-    return taken
+    return taken, missed
 
 
-def _fitted(seed: int):
+def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int, cap: int = 1, table: int = TABLE_WORDS) -> np.ndarray:
+    """How many copies of documents of each length to take so that their words come near to ``budget``, never above.
+
+    There are ``counts`` documents of each length and ``cap`` copies of each at most. A proportional part of every length
+    is taken first and the rest is fitted; where that misses, some of the first part is given back and fitted with it.
+    """
+    lengths, counts = np.asarray(lengths, dtype=np.int64), np.asarray(counts, dtype=np.int64)
+    total = int((lengths * counts).sum())
+    if budget <= 0 or not total:
+        return np.zeros(len(lengths), dtype=np.int64)
+    if budget >= total * cap:
+        return counts * cap
+    taken = np.array([c * budget // total for c in counts.tolist()], dtype=np.int64)
+    rest = budget - int((taken * lengths).sum())
+    order = np.random.default_rng(seed).permutation(len(lengths)).tolist()
+    while rest > table:  # one more of each length in a seeded order
+        before = rest
+        for i in order:
+            if rest > table and taken[i] < counts[i] * cap and lengths[i] <= rest:
+                taken[i] += 1
+                rest -= int(lengths[i])
+        if rest == before:
+            return taken
+    more, missed = _knapsack(lengths, counts * cap - taken, rest, order)
+    if missed:
+        fewer, enough = taken.copy(), min(table, rest + 4 * int(lengths.max()))
+        room = rest
+        for i in reversed(order):
+            back = min(int(fewer[i]), max(0, enough - room) // int(lengths[i]))
+            fewer[i] -= back
+            room += back * int(lengths[i])
+        again, left = _knapsack(lengths, counts * cap - fewer, room, order)
+        if left < missed:
+            return fewer + again
+    return taken + more
+
+
+def _fitted(seed: int, cap: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("size")
-        extra = fit_budget(rows["size"].to_numpy(), rows["n"].to_numpy(), int(rows["budget"].iloc[0]), seed + int(key[0]))
-        return pd.DataFrame({"k": rows["k"], "size": rows["size"], "extra": extra})
+        copies = fit_budget(rows["size"].to_numpy(), rows["n"].to_numpy(), int(rows["budget"].iloc[0]), seed + int(key[0]), cap)
+        return pd.DataFrame({"k": rows["k"], "size": rows["size"], "whole": copies // rows["n"], "extra": copies % rows["n"]})
 
     return run
 
 
-def mix(docs: DataFrame, *, weights: Sequence[float] = (5.0, 2.0, 1.0), cap: float = 3.0, share: float = 1.0, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, *, weights: Sequence[float] = (5.0, 2.0, 1.0), cap: int = 3, share: float = 1.0, seed: int = 17) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies, taken`` for every document; ``taken = copies * size``.
 
     ``copies`` is 0 to ``cap``. Documents without words take nothing; a null source is a source. A length of one source,
@@ -139,16 +159,15 @@ def mix(docs: DataFrame, *, weights: Sequence[float] = (5.0, 2.0, 1.0), cap: flo
     slice first, so that no task ranks more than a slice. Ties of the hash are of one doc_id. An empty table gives no rows.
     """
     rows = keep(sizes_of(docs), "mix-sizes")
-    plan = keep(targets_of(rows, weights, cap, share), "mix-plan")
-    plan = plan.withColumn("whole", F.expr("CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS LONG) ELSE 0L END")).withColumn("budget", F.expr("CAST(floor(target - whole * source_size) AS LONG)"))
-    known = rows.join(F.broadcast(plan), rows["source"].eqNullSafe(plan["source"])).select("doc_id", rows["source"], "size", "k", "source_size", "target", "whole", "budget")
-    lengths = known.filter("size > 0 AND budget > 0").groupBy("k", "size").agg(F.count("*").alias("n"), F.first("budget").alias("budget"))
-    extra = keep(lengths.groupBy("k").applyInPandas(_fitted(seed), "k int, size long, extra long").filter("extra > 0"), "mix-extra")
+    plan = keep(targets_of(rows, weights, float(cap), share), "mix-plan").withColumn("budget", F.expr("CAST(floor(target) AS LONG)"))
+    known = rows.join(F.broadcast(plan), rows["source"].eqNullSafe(plan["source"])).select("doc_id", rows["source"], "size", "k", "source_size", "target", "budget")
+    lengths = known.filter("size > 0").groupBy("k", "size").agg(F.count("*").alias("n"), F.first("budget").alias("budget"))
+    fitted = keep(lengths.groupBy("k").applyInPandas(_fitted(seed, cap), "k int, size long, whole long, extra long"), "mix-fitted")
     dealt = known.withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("slice", F.shiftrightunsigned("h", 56))
     slices = dealt.groupBy("k", "size", "slice").agg(F.count("*").alias("n"))
-    before = slices.join(extra, ["k", "size"]).selectExpr("k", "size", "slice", "extra - coalesce(sum(n) OVER (PARTITION BY k, size ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS room")
+    before = slices.join(fitted, ["k", "size"]).selectExpr("k", "size", "slice", "whole", "extra - coalesce(sum(n) OVER (PARTITION BY k, size ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS room")
     placed = dealt.selectExpr("*", "row_number() OVER (PARTITION BY k, size, slice ORDER BY h, doc_id) AS place")
-    chosen = placed.join(before, ["k", "size", "slice"], "left").withColumn("copies", F.expr("CASE WHEN size > 0 THEN whole + CASE WHEN place <= coalesce(room, 0L) THEN 1L ELSE 0L END ELSE 0L END"))
+    chosen = placed.join(before, ["k", "size", "slice"], "left").withColumn("copies", F.expr("coalesce(whole + IF(place <= room, 1L, 0L), 0L)"))
     return chosen.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
