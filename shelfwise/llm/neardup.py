@@ -6,9 +6,12 @@ register of another bucket, tried in a fixed order for each bucket, which leaves
 similarity for small sets too. Bands of registers give candidates; the share of equal registers, corrected for registers
 that agree by accident, drops those far below the threshold; the others are decided on the full sets.
 
-Documents of one shingle set are one class, and only classes are compared. In a band's bucket the smallest class is the
-centre, and all others are compared with it; where the links found leave a bucket in several components, its other
-classes get centres in turn, and what is still apart after some rounds is compared in pairs of blocks.
+Documents of one shingle set are one class, and only classes are compared. A band's bucket has one centre, the class that
+meets most others in buckets, and all others are compared with it. Where the links found leave a bucket in several
+components, classes compared with one centre need not be compared with each other one by one: what two of them share is
+shared with the centre too, or lies outside it. If the first part cannot be enough, they must have a rare shingle outside
+the centre in common, which a join on those shingles finds. Classes that were no candidates of a centre are few in a
+bucket as a rule and are compared in blocks of registers; only plausible pairs leave a block.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -141,19 +145,19 @@ def _sieve(percent: int):
 
 
 def _block_pairs(percent: int):
-    """Plausible pairs of classes in different components within a bucket's two blocks."""
-
-    def run(key: tuple, rows) -> object:
-        import pandas as pd
+    """Plausible pairs of classes of different components, without a centre in common, of a bucket's two blocks."""
 
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         i, j = key[1], key[2]
         left, right = rows[rows["blk"] == i], rows[rows["blk"] == j]
         ra, rb = (np.frombuffer(b"".join(x["regs"]), dtype=np.uint16).reshape(len(x), M) for x in (left, right))
         out_a, out_b = [], []
         cb, nb, lb = right["cid"].to_numpy(), right["n"].to_numpy(), right["label"].to_numpy()
-        for r, cid, n, label in zip(ra, left["cid"], left["n"], left["label"], strict=True):
+        hubs = [frozenset(h) if h is not None else frozenset() for h in right["hubs"]]
+        for r, cid, n, label, own in zip(ra, left["cid"], left["n"], left["label"], left["hubs"], strict=True):
             at = np.flatnonzero((lb != label) & ((cb > cid) if i == j else True))
             at = at[plausible(np.broadcast_to(r, (len(at), M)), rb[at], np.full(len(at), n), nb[at], percent)] if len(at) else at
+            at = [k for k in at.tolist() if own is None or hubs[k].isdisjoint(own)]
             out_a += [cid] * len(at)
             out_b += cb[at].tolist()
         return pd.DataFrame({"a": np.array(out_a, dtype=np.int64), "b": np.array(out_b, dtype=np.int64)})
@@ -161,23 +165,59 @@ def _block_pairs(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Links among ``pairs`` of classes, decided on the full sets of one document of each class."""
+def _sieved(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     known = classes.select("cid", "n", "regs")
     wide = pairs.join(known.selectExpr("cid AS a", "n AS na", "regs AS ra"), "a").join(known.selectExpr("cid AS b", "n AS nb", "regs AS rb"), "b")
     wide = wide.filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    some = keep(wide.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_sieve(percent), "a long, b long"), "dup-pairs")
+    return keep(wide.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_sieve(percent), "a long, b long"), "dup-pairs")
+
+
+def _decided(some: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, large: DataFrame | None = None) -> DataFrame:
+    """``a, b, na, nb, common, linked`` of pairs of classes, on the full sets of one document of each class; with ``large``
+    (a column ``a``) also ``outside``: the shingles of b that are not in a, for those a."""
     wanted = some.selectExpr("a AS cid").unionByName(some.selectExpr("b AS cid")).distinct().join(classes.select("cid", "sid", "rep"), "cid")
     wanted = keep(wanted, "dup-wanted")
     by = docs["doc_id"].eqNullSafe(wanted["rep"])
     texts = docs.join(F.broadcast(wanted), by) if wanted.count() <= BROADCAST_ROWS else docs.join(wanted, by)
     sets = keep(texts.select("cid", "sid", "text").mapInArrow(_setter, "cid long, shingles array<long>").dropDuplicates(["cid"]), "dup-sets")
     both = some.join(sets.selectExpr("cid AS a", "shingles AS sa"), "a").join(sets.selectExpr("cid AS b", "shingles AS sb"), "b")
-    both = both.withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    return keep(both.filter(f"100 * common >= {percent} * (size(sa) + size(sb) - common)").select("a", "b"), "dup-links")
+    both = both.withColumn("common", F.size(F.array_intersect("sa", "sb"))).withColumn("na", F.size("sa")).withColumn("nb", F.size("sb"))
+    both = both.withColumn("linked", F.expr(f"100 * common >= {percent} * (na + nb - common)"))
+    columns = ["a", "b", "na", "nb", "common", "linked"]
+    if large is not None:
+        both = both.join(large.withColumn("large", F.lit(True)), "a", "left").withColumn("outside", F.when(F.col("large"), F.array_except("sb", "sa")))
+        columns.append("outside")
+    return keep(both.select(*columns), "dup-tested")
 
 
-def near_duplicates(docs: DataFrame, *, percent: int = 75, rounds: int = 2) -> DataFrame:
+def _beside(tested: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes that were compared with one centre and may be linked, though one of them is not linked to it.
+
+    Classes u, v with ``x`` shingles in the centre share at most ``least(xu, xv)`` of these. A link needs ``percent`` of u's
+    own shingles in common, so at least ``need`` outside the centre: of its outside shingles, rarest first, all but the
+    last ``need - 1`` can be the first that both have.
+    """
+    own = tested.selectExpr("a", "b", "nb AS n", "common AS x", "linked")
+    # centres with few classes: every pair; classes that lie almost whole in a larger centre need nothing outside
+    counts = keep(own.groupBy("a").agg(F.count("*").alias("size"), F.count_if(~F.col("linked")).alias("loose")).filter("size > 1 AND loose > 0"), "dup-centres")
+    own = keep(own.join(counts, "a"), "dup-own")
+    u = own.filter(f"NOT linked AND (size <= {BLOCK} OR 100 * x >= {percent} * n)").alias("u")
+    size_ok = f"100 * least(u.n, v.n) >= {percent} * greatest(u.n, v.n) AND (u.size <= {BLOCK} OR (100 + {percent}) * least(u.x, v.x) >= {percent} * (u.n + v.n))"
+    near = u.join(own.alias("v"), F.expr(f"u.a = v.a AND u.b <> v.b AND {size_ok}")).selectExpr("least(u.b, v.b) AS a", "greatest(u.b, v.b) AS b")
+    wide = tested.filter("outside IS NOT NULL").selectExpr("a", "b", "nb AS n", "common AS x", "linked", f"greatest(1, CAST(ceil({percent} * nb / 100) AS int) - common) AS need", "outside")
+    rows = wide.filter("size(outside) >= need").select("a", "b", "n", "x", "linked", (F.size("outside") - F.col("need") + 1).alias("first"), F.explode("outside").alias("s"))
+    often = keep(rows.groupBy("a", "s").agg(F.count("*").alias("times")).filter("times > 1"), "dup-often")
+    # shingles that only one class has sort first and meet nothing: they use up places
+    lone = wide.filter("size(outside) >= need").select("a", "b", F.size("outside").alias("m"))
+    met = rows.join(often, ["a", "s"])
+    full = met.groupBy("a", "b").agg(F.count("*").alias("k")).join(lone, ["a", "b"]).selectExpr("a", "b", "m - k AS alone")
+    placed = met.join(keep(full, "dup-alone"), ["a", "b"]).selectExpr("*", "alone + row_number() OVER (PARTITION BY a, b ORDER BY times, s) AS place")
+    prefix = keep(placed.filter("place <= first").select("a", "s", "b", "n", "x", "linked"), "dup-prefix")
+    far = prefix.filter("NOT linked").alias("u").join(prefix.alias("v"), F.expr(f"u.a = v.a AND u.s = v.s AND u.b <> v.b AND 100 * least(u.n, v.n) >= {percent} * greatest(u.n, v.n)")).selectExpr("least(u.b, v.b) AS a", "greatest(u.b, v.b) AS b")
+    return near.unionByName(far).distinct()
+
+
+def near_duplicates(docs: DataFrame, *, percent: int = 75) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every document.
 
     A document without words (null, empty or white text) has an empty set and is linked with nothing. A document without
@@ -191,34 +231,33 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, rounds: int = 2) -> D
     width = 2 * ROWS
     keys = F.array(*(F.xxhash64(F.lit(b), F.substring("regs", b * width + 1, width)) for b in range(BANDS)))
     bands = classes.select("cid", F.explode(keys).alias("band"))
-    centres = keep(bands.groupBy("band").agg(F.min("cid").alias("centre"), F.count("*").alias("size")).filter("size > 1").drop("size"), "dup-centres")
-    members = keep(bands.join(centres, "band").filter("cid <> centre"), "dup-members")
-    links = _verified(members.selectExpr("centre AS a", "cid AS b").distinct(), classes, docs, percent)
-    labels = None
-    for step in range(rounds + 1):
-        labels = keep(components(links), "dup-labels")
-        # classes that have been a centre are done; of the others, buckets in more than one component are left
-        told = members.select("band", "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-        told = keep(told, "dup-told")
-        split = told.groupBy("band").agg(F.min("cid").alias("centre"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"))
-        split = keep(split.filter("lo <> hi").select("band", "centre", "size"), "dup-split")
-        if split.isEmpty():
-            break
-        left = told.join(split, "band")
-        if step < rounds:
-            members = keep(left.filter("cid <> centre").select("band", "cid", "centre", "label"), "dup-members")
-            first = left.filter("cid = centre").selectExpr("band", "label AS own")
-            pairs = members.join(keep(first, "dup-first"), "band").filter("label <> own").selectExpr("least(centre, cid) AS a", "greatest(centre, cid) AS b").distinct()
-        else:
-            small = left.filter(f"size <= {BLOCK}").select("band", "cid", "label")
-            pairs = small.alias("x").join(small.alias("y"), F.expr("x.band = y.band AND x.cid < y.cid AND x.label <> y.label")).selectExpr("x.cid AS a", "y.cid AS b")
-            large = left.filter(f"size > {BLOCK}").join(classes.select("cid", "n", "regs"), "cid").withColumn("blocks", F.expr(f"CAST(ceil(size / {BLOCK}) AS int)"))
-            large = large.withColumn("blk", F.expr("CAST(pmod(xxhash64(cid), blocks) AS int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-            large = large.selectExpr("band", "least(blk, other) AS i", "greatest(blk, other) AS j", "blk", "cid", "n", "label", "regs")
-            pairs = pairs.unionByName(large.groupBy("band", "i", "j").applyInPandas(_block_pairs(percent), "a long, b long")).distinct()
-        links = keep(links.unionByName(_verified(pairs, classes, docs, percent)), "dup-links")
-    if step == rounds:
-        labels = keep(components(links), "dup-labels")
+    shared = keep(bands.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1"), "dup-bands")
+    members = keep(bands.join(shared, "band"), "dup-members")
+    known = keep(members.groupBy("cid").agg(F.sum("size").alias("met")), "dup-met")
+    centres = members.join(known, "cid").groupBy("band").agg(F.max_by("cid", F.struct("met", -F.col("cid"))).alias("centre"))
+    members = members.join(keep(centres, "dup-centres"), "band")
+    some = _sieved(members.filter("cid <> centre").selectExpr("centre AS a", "cid AS b").distinct(), classes, percent)
+    large = keep(some.groupBy("a").agg(F.count("*").alias("k")).filter(f"k > {BLOCK}").select("a"), "dup-large")
+    tested = _decided(some, classes, docs, percent, large)
+    beside = _decided(_sieved(_beside(tested, percent), classes, percent), classes, docs, percent)
+    links = keep(tested.filter("linked").select("a", "b").unionByName(beside.filter("linked").select("a", "b")), "dup-links")
+    labels = keep(components(links), "dup-labels")
+    # pairs of a bucket in different components that no centre has been compared with both of
+    hubs = some.selectExpr("b AS cid", "a AS hub").unionByName(some.selectExpr("a AS cid", "a AS hub").distinct()).groupBy("cid").agg(F.collect_set("hub").alias("hubs"))
+    told = members.select("band", "cid", "size").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    told = keep(told.join(keep(hubs, "dup-hubs"), "cid", "left"), "dup-told")
+    split = told.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi AND hi IS NOT NULL").select("band")
+    left = keep(told.join(keep(split, "dup-split"), "band"), "dup-left")
+    small = left.filter(f"size <= {BLOCK}")
+    apart = "x.band = y.band AND x.cid < y.cid AND x.label <> y.label AND NOT coalesce(arrays_overlap(x.hubs, y.hubs), false)"
+    pairs = small.alias("x").join(small.alias("y"), F.expr(apart)).selectExpr("x.cid AS a", "y.cid AS b")
+    blocks = left.filter(f"size > {BLOCK}").join(classes.select("cid", "n", "regs"), "cid").withColumn("blocks", F.expr(f"CAST(ceil(size / {BLOCK}) AS int)"))
+    blocks = blocks.withColumn("blk", F.expr("CAST(pmod(xxhash64(cid), blocks) AS int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    blocks = blocks.selectExpr("band", "least(blk, other) AS i", "greatest(blk, other) AS j", "blk", "cid", "n", "label", "regs", "hubs")
+    pairs = pairs.unionByName(blocks.groupBy("band", "i", "j").applyInPandas(_block_pairs(percent), "a long, b long")).distinct()
+    rest = _decided(_sieved(pairs, classes, percent), classes, docs, percent).filter("linked").select("a", "b")
+    stars = labels.selectExpr("node AS a", "label AS b")
+    labels = keep(components(stars.unionByName(rest)), "dup-labels")
     named = classes.select("cid", "sid", "rep").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     least = keep(named.groupBy("label").agg(F.min("rep").alias("component_id")), "dup-least")
     by_class = keep(keep(named, "dup-named").join(least, "label").select("sid", "component_id"), "dup-by-class")

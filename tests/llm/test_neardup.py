@@ -77,7 +77,7 @@ def test_last_comparison(spark, monkeypatch):
     monkeypatch.setattr(d, "BROADCAST_ROWS", 0)
     rows = made(3)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(map(tuple, d.near_duplicates(df, rounds=0).collect()), key=repr) == brute(rows)
+    assert sorted(map(tuple, d.near_duplicates(df).collect()), key=repr) == brute(rows)
 
 
 def test_edges(spark):
