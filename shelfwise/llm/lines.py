@@ -22,41 +22,43 @@ _CUT = "CAST({t} * M DIV {q} AS int)"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Lines that are not blank with their document, place, and two hashes of the line."""
+    """Lines that are not blank with their document, place, and two hashes of the line, ``a`` and ``b``."""
     split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return split.filter(r"line RLIKE '[^\\x20\\x09-\\x0D]'").withColumn("h", F.struct(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(7), "line").alias("b")))
+    return split.filter(r"line RLIKE '[^\\x20\\x09-\\x0D]'").withColumn("a", F.xxhash64("line")).withColumn("b", F.xxhash64(F.lit(7), "line"))
 
 
-def _coarse(rows: DataFrame, pieces: int, with_piece: bool) -> DataFrame:
+def _coarse(rows: DataFrame, pieces: int) -> DataFrame:
     """Keys of each line without one of ``pieces`` parts, as a line of its own length ``M`` and as one shorter than ``M``."""
     longer = rows.withColumn("M", F.explode(F.array(F.length("line"), F.length("line") + 1)))
     numbered = longer.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
     cut = numbered.withColumn("lo", F.expr(_CUT.format(t="t", q=pieces))).withColumn("hi", F.expr(_CUT.format(t="(t + 1)", q=pieces)))
-    key = F.expr("xxhash64(t, M, left(line, lo), right(line, M - hi))").alias("key")
-    return cut.select("h", key, *(["M", "t", "lo", "hi"] if with_piece else []))
+    return cut.withColumn("key", F.expr("xxhash64(t, M, left(line, lo), right(line, M - hi))"))
 
 
 def _shared(keys: DataFrame) -> DataFrame:
-    """Keys that two lines have."""
-    return keys.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y")).filter("x <> y").select("key")
+    """Keys that two different lines have: minima and maxima of numbers, summed in each task before the shuffle."""
+    sides = keys.groupBy("key").agg(F.min("a").alias("a0"), F.max("a").alias("a1"), F.min("b").alias("b0"), F.max("b").alias("b1"))
+    return sides.filter("a0 <> a1 OR b0 <> b1").select("key")
 
 
 def _close_pairs(texts: DataFrame) -> DataFrame:
-    """``h, witness`` of lines ``h, line, first``: earlier lines within one edit, the earliest for each variant."""
-    pieces = _coarse(texts, 8, True)
+    """``h, witness`` of lines ``a, b, line, first``: earlier lines within one edit, the earliest for each variant."""
+    pieces = keep(_coarse(texts, 8).select("a", "b", "key", "M", "t", "lo", "hi"), "line-keys")
     hits = keep(pieces.join(keep(_shared(pieces), "line-eighths"), "key").drop("key"), "line-pieces")
-    wide = hits.join(texts, "h").withColumn("st", F.struct("first", "h"))
-    whole = wide.filter("length(line) = M").withColumn("i", F.explode(F.expr("sequence(lo, hi - 1)")))
+    wide = hits.join(texts, ["a", "b"]).withColumn("st", F.struct("first", F.struct("a", "b").alias("h")))
+    places = F.explode(F.expr("sequence(lo, hi - 1)"))
+    whole = wide.filter("length(line) = M").withColumn("i", places)
     longer = keep(whole.selectExpr("xxhash64(left(line, i), right(line, M - i - 1)) AS v", "M", "i", "st"), "line-variants")
-    shorter = keep(wide.filter("length(line) = M - 1").selectExpr("lo", "hi", "xxhash64(line) AS whole", "line", "M", "st").withColumn("i", F.explode(F.expr("sequence(lo, hi - 1)"))).selectExpr("xxhash64(left(line, i), right(line, M - i - 1)) AS v", "M", "i", "st"), "line-whole")
+    lesser = wide.filter("length(line) = M - 1").withColumn("i", places)
+    shorter = keep(lesser.selectExpr("xxhash64(left(line, i), right(line, M - i - 1)) AS v", "M", "i", "st"), "line-whole")
     at = ["v", "M", "i"]
     first_longer = keep(longer.groupBy(*at).agg(F.min("st").alias("w")), "line-first")
     first_shorter = keep(shorter.groupBy(*at).agg(F.min("st").alias("w")), "line-first")
     told = longer.join(first_longer, at).select("st", "w").unionByName(longer.join(first_shorter, at).select("st", "w")).unionByName(shorter.join(first_longer, at).select("st", "w"))
     pairs = told.filter("w.first < st.first AND w.h <> st.h").selectExpr("st.h AS h", "w.h AS witness").distinct()
-    known = texts.select("h", "line")
+    known = texts.select(F.struct("a", "b").alias("h"), "line")
     both = pairs.join(known, "h").join(known.selectExpr("h AS witness", "line AS other"), "witness")
-    return both.filter("levenshtein(line, other, 1) BETWEEN 0 AND 1").select("h", "witness")
+    return both.filter("levenshtein(line, other, 1) BETWEEN 0 AND 1").select("h.a", "h.b")
 
 
 def dropped_lines(docs: DataFrame, *, min_chars: int = 12) -> DataFrame:
@@ -66,17 +68,17 @@ def dropped_lines(docs: DataFrame, *, min_chars: int = 12) -> DataFrame:
     edit, came before it first, whether or not that one goes too; lines of under ``min_chars`` characters need an equal
     one. Blank lines stay. Rows that repeat an id and its text count as one document.
     """
-    lines = _lines(docs)
-    first = lines.groupBy("h").agg(F.min(F.struct("doc_id", "version", "pos")).alias("first"), F.count("*").alias("n"))
+    lines = keep(_lines(docs).select("doc_id", "version", "pos", "a", "b"), "line-places")
+    first = lines.groupBy("a", "b").agg(F.min(F.struct("doc_id", "version", "pos")).alias("first"), F.count("*").alias("n"))
     first = keep(first, "line-firsts")
-    long_lines = lines.filter(F.length("line") >= min_chars).select("h", "line")
-    halves = _coarse(long_lines, 2, False)
-    some = keep(halves.join(keep(_shared(halves), "line-halves"), "key").select("h").distinct(), "line-some")
-    picked = long_lines.join(F.broadcast(some) if some.count() <= BROADCAST_ROWS else some, "h", "left_semi")
-    texts = keep(picked.groupBy("h").agg(F.min("line").alias("line")).join(first.select("h", "first"), "h"), "line-texts")
-    near = _close_pairs(texts).select("h").distinct().withColumn("near", F.lit(True))
-    told = first.join(keep(near, "line-near"), "h", "left").filter("near OR n > 1").select("h", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    found = lines.select("doc_id", "version", "pos", "h").join(keep(told, "line-told"), "h")
+    long_lines = _lines(docs).filter(F.length("line") >= min_chars).select("a", "b", "line")
+    halves = keep(_coarse(long_lines, 2).select("a", "b", "key"), "line-halves")
+    some = keep(halves.join(keep(_shared(halves), "line-shared"), "key").select("a", "b").distinct(), "line-some")
+    picked = long_lines.join(F.broadcast(some) if some.count() <= BROADCAST_ROWS else some, ["a", "b"], "left_semi")
+    texts = keep(picked.groupBy("a", "b").agg(F.min("line").alias("line")).join(first.select("a", "b", "first"), ["a", "b"]), "line-texts")
+    near = _close_pairs(texts).distinct().withColumn("near", F.lit(True))
+    told = first.join(keep(near, "line-near"), ["a", "b"], "left").filter("near OR n > 1").select("a", "b", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    found = lines.join(keep(told, "line-told"), ["a", "b"])
     return found.filter("near OR first < struct(doc_id, version, pos)").select("doc_id", "version", "pos").distinct()
 
 
