@@ -135,7 +135,9 @@ def resolve_prices(df: DataFrame, regular: str, prime: str, current: str, discou
     last = now
     for stage in stages(SPARK, *(names[c] for c in (regular, prime, current, discount))):
         last = last.drop(*(set(stage) & {"price_branch", "basis_price", "prime_price", "discount"})).selectExpr("*", *(f"{e} AS {n}" for n, e in stage.items()))
-    return last.select(*own, "price_branch", "basis_price", "prime_price", "discount")
+    # a generator of one row: filters on its columns cannot be pushed below, where they would repeat the whole algebra
+    results = F.array(F.struct("price_branch", "basis_price", "prime_price", "discount"))
+    return last.select(*own, F.inline(results))
 
 
 def resolve_prices_sql(d: Dialect, source: str, regular: str, prime: str, current: str, discount: str, keep: str) -> str:
