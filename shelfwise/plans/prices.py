@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfwise.functions import pricing, text
-from shelfwise.functions.dialect import DUCK
+from shelfwise.functions.dialect import DUCK, SPARK
 
 from .adapters import CATALOG, catalog, duck, table
 
@@ -53,10 +53,10 @@ def price_sort_nulls_last(spark, d):
     return top.selectExpr("p_partkey", "rank() OVER (ORDER BY v NULLS LAST, k, p_partkey) AS place")
 
 
-@query("list_sale_percent", "SELECT p_partkey, CASE WHEN l <= 0 OR s >= l THEN NULL ELSE concat(CAST(CAST(round_even(100 - s * 100.0 / l, 0) AS INTEGER) AS VARCHAR), '% off') END AS discount FROM (SELECT p_partkey, CAST(p_retailprice AS BIGINT) AS l, CAST(p_retailprice AS BIGINT) - p_partkey % 7 * 16 AS s FROM part)")
+@query("list_sale_percent", "SELECT p_partkey, CASE WHEN l <= 0 OR s >= l THEN NULL ELSE concat(CAST(CAST(round_even(100 - s * 100.0 / l, 0) AS INTEGER) AS VARCHAR), '% off') END AS discount FROM (SELECT p_partkey, CAST(floor(p_retailprice) AS BIGINT) AS l, CAST(floor(p_retailprice) AS BIGINT) - p_partkey % 7 * 16 AS s FROM part)")
 def list_sale_percent(spark, d):
     """List and sale price to per cent off; none where the sale is not below the list."""
-    both = table(spark, d, "part").selectExpr("p_partkey", "CAST(round(p_retailprice) AS BIGINT) AS l", "CAST(round(p_retailprice) AS BIGINT) - p_partkey % 7 * 16 AS s")
+    both = table(spark, d, "part").selectExpr("p_partkey", "CAST(floor(p_retailprice) AS BIGINT) AS l", "CAST(floor(p_retailprice) AS BIGINT) - p_partkey % 7 * 16 AS s")
     return both.selectExpr("p_partkey", "CASE WHEN l <= 0 OR s >= l THEN NULL ELSE concat(CAST(CAST(bround(100 - s * CAST(100 AS DOUBLE) / l, 0) AS INT) AS STRING), '% off') END AS discount")
 
 
@@ -81,10 +81,11 @@ def price_labels(spark, d):
     return r.select("p_partkey", F.coalesce("prime_price", "basis_price", F.lit("See price")).alias("label"), meta.alias("meta"))
 
 
-@query("unit_price_format", "SELECT p_partkey, concat('$', CAST(CAST(p_retailprice / p_size AS DECIMAL(12, 2)) AS VARCHAR), '/', CASE p_size % 3 WHEN 0 THEN 'oz' WHEN 1 THEN 'lb' ELSE 'ea' END) AS unit_price FROM part WHERE p_size > 0")
+@query("unit_price_format", "SELECT p_partkey, concat('$', CAST(c // 100 AS VARCHAR), '.', lpad(CAST(c % 100 AS VARCHAR), 2, '0'), '/', CASE p_size % 3 WHEN 0 THEN 'oz' WHEN 1 THEN 'lb' ELSE 'ea' END) AS unit_price FROM (SELECT *, CAST(floor(p_retailprice * 100 / p_size) AS BIGINT) AS c FROM part WHERE p_size > 0)")
 def unit_price_format(spark, d):
     unit = F.expr("CASE p_size % 3 WHEN 0 THEN 'oz' WHEN 1 THEN 'lb' ELSE 'ea' END")
-    return table(spark, d, "part").filter("p_size > 0").select("p_partkey", F.concat(F.lit("$"), (F.col("p_retailprice") / F.col("p_size")).cast("decimal(12,2)").cast("string"), F.lit("/"), unit).alias("unit_price"))
+    priced = table(spark, d, "part").filter("p_size > 0").withColumn("c", F.expr("CAST(floor(p_retailprice * 100 / p_size) AS BIGINT)"))
+    return priced.select("p_partkey", F.concat(F.expr(pricing.money(SPARK, "c")), F.lit("/"), unit).alias("unit_price"))
 
 
 @query("text_keys", f"SELECT doc_id, md5({DUCK.key('text')}) AS text_key, md5(regexp_replace(lower(text), '[^a-z0-9]+', '', 'g')) AS compact, length({DUCK.key('text')}) AS n FROM documents")
