@@ -31,5 +31,10 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def narrow(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A written table as one partition if it has few rows: what groups or joins it then needs no shuffle."""
+    return df.coalesce(1) if df.count() <= rows else df
+
+
 def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import keep
+from ._store import keep, narrow
 from ._words import hashes_of, mixed, sets_of, shingles_of, slices, texts_of, words_of
 from .components import components
 
@@ -169,14 +169,14 @@ def _sieved(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     known = classes.select("cid", "n", "regs")
     wide = pairs.join(known.selectExpr("cid AS a", "n AS na", "regs AS ra"), "a").join(known.selectExpr("cid AS b", "n AS nb", "regs AS rb"), "b")
     wide = wide.filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    return keep(wide.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_sieve(percent), "a long, b long"), "dup-pairs")
+    return narrow(keep(wide.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_sieve(percent), "a long, b long"), "dup-pairs"))
 
 
 def _decided(some: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, large: DataFrame | None = None) -> DataFrame:
     """``a, b, na, nb, common, linked`` of pairs of classes, on the full sets of one document of each class; with ``large``
     (a column ``a``) also ``outside``: the shingles of b that are not in a, for those a."""
     wanted = some.selectExpr("a AS cid").unionByName(some.selectExpr("b AS cid")).distinct().join(classes.select("cid", "sid", "rep"), "cid")
-    wanted = keep(wanted, "dup-wanted")
+    wanted = narrow(keep(wanted, "dup-wanted"))
     by = docs["doc_id"].eqNullSafe(wanted["rep"])
     texts = docs.join(F.broadcast(wanted), by) if wanted.count() <= BROADCAST_ROWS else docs.join(wanted, by)
     sets = keep(texts.select("cid", "sid", "text").mapInArrow(_setter, "cid long, shingles array<long>").dropDuplicates(["cid"]), "dup-sets")
@@ -197,13 +197,15 @@ def _beside(tested: DataFrame, percent: int) -> DataFrame:
     own shingles in common, so at least ``need`` outside the centre: of its outside shingles, rarest first, all but the
     last ``need - 1`` can be the first that both have.
     """
-    own = tested.selectExpr("a", "b", "nb AS n", "common AS x", "linked")
+    own = narrow(tested.selectExpr("a", "b", "nb AS n", "common AS x", "linked"))
     # centres with few classes: every pair; classes that lie almost whole in a larger centre need nothing outside
-    counts = keep(own.groupBy("a").agg(F.count("*").alias("size"), F.count_if(~F.col("linked")).alias("loose")).filter("size > 1 AND loose > 0"), "dup-centres")
-    own = keep(own.join(counts, "a"), "dup-own")
+    counts = own.groupBy("a").agg(F.count("*").alias("size"), F.count_if(~F.col("linked")).alias("loose")).filter("size > 1 AND loose > 0")
+    own = narrow(keep(own.join(counts, "a"), "dup-own"))
     u = own.filter(f"NOT linked AND (size <= {BLOCK} OR 100 * x >= {percent} * n)").alias("u")
     size_ok = f"100 * least(u.n, v.n) >= {percent} * greatest(u.n, v.n) AND (u.size <= {BLOCK} OR (100 + {percent}) * least(u.x, v.x) >= {percent} * (u.n + v.n))"
     near = u.join(own.alias("v"), F.expr(f"u.a = v.a AND u.b <> v.b AND {size_ok}")).selectExpr("least(u.b, v.b) AS a", "greatest(u.b, v.b) AS b")
+    if tested.filter("outside IS NOT NULL").isEmpty():
+        return near.distinct()
     wide = tested.filter("outside IS NOT NULL").selectExpr("a", "b", "nb AS n", "common AS x", "linked", f"greatest(1, CAST(ceil({percent} * nb / 100) AS int) - common) AS need", "outside")
     rows = wide.filter("size(outside) >= need").select("a", "b", "n", "x", "linked", (F.size("outside") - F.col("need") + 1).alias("first"), F.explode("outside").alias("s"))
     often = keep(rows.groupBy("a", "s").agg(F.count("*").alias("times")).filter("times > 1"), "dup-often")
@@ -233,19 +235,19 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75) -> DataFrame:
     bands = classes.select("cid", F.explode(keys).alias("band"))
     shared = keep(bands.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1"), "dup-bands")
     members = keep(bands.join(shared, "band"), "dup-members")
-    known = keep(members.groupBy("cid").agg(F.sum("size").alias("met")), "dup-met")
+    known = members.groupBy("cid").agg(F.sum("size").alias("met"))
     centres = members.join(known, "cid").groupBy("band").agg(F.max_by("cid", F.struct("met", -F.col("cid"))).alias("centre"))
     members = members.join(keep(centres, "dup-centres"), "band")
     some = _sieved(members.filter("cid <> centre").selectExpr("centre AS a", "cid AS b").distinct(), classes, percent)
-    large = keep(some.groupBy("a").agg(F.count("*").alias("k")).filter(f"k > {BLOCK}").select("a"), "dup-large")
+    large = some.groupBy("a").agg(F.count("*").alias("k")).filter(f"k > {BLOCK}").select("a")
     tested = _decided(some, classes, docs, percent, large)
     beside = _decided(_sieved(_beside(tested, percent), classes, percent), classes, docs, percent)
-    links = keep(tested.filter("linked").select("a", "b").unionByName(beside.filter("linked").select("a", "b")), "dup-links")
-    labels = keep(components(links), "dup-labels")
+    links = tested.filter("linked").select("a", "b").unionByName(beside.filter("linked").select("a", "b"))
+    labels = narrow(keep(components(links), "dup-labels"))
     # pairs of a bucket in different components that no centre has been compared with both of
     hubs = some.selectExpr("b AS cid", "a AS hub").unionByName(some.selectExpr("a AS cid", "a AS hub").distinct()).groupBy("cid").agg(F.collect_set("hub").alias("hubs"))
     told = members.select("band", "cid", "size").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    told = keep(told.join(keep(hubs, "dup-hubs"), "cid", "left"), "dup-told")
+    told = keep(told.join(hubs, "cid", "left"), "dup-told")
     split = told.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi AND hi IS NOT NULL").select("band")
     left = keep(told.join(keep(split, "dup-split"), "band"), "dup-left")
     small = left.filter(f"size <= {BLOCK}")
@@ -257,7 +259,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75) -> DataFrame:
     pairs = pairs.unionByName(blocks.groupBy("band", "i", "j").applyInPandas(_block_pairs(percent), "a long, b long")).distinct()
     rest = _decided(_sieved(pairs, classes, percent), classes, docs, percent).filter("linked").select("a", "b")
     stars = labels.selectExpr("node AS a", "label AS b")
-    labels = keep(components(stars.unionByName(rest)), "dup-labels")
+    labels = narrow(keep(components(stars.unionByName(rest)), "dup-labels"))
     named = classes.select("cid", "sid", "rep").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     least = keep(named.groupBy("label").agg(F.min("rep").alias("component_id")), "dup-least")
     by_class = keep(keep(named, "dup-named").join(least, "label").select("sid", "component_id"), "dup-by-class")

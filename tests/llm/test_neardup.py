@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from shelfwise.llm import components as steps
 from shelfwise.llm import neardup as d
 from shelfwise.llm.components import components
 from tests.oracle import compare
@@ -100,7 +101,9 @@ def test_estimate():
         assert abs(np.mean(got) - j) < 0.04
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(steps, "ONE_TASK", one_task)
     r = random.Random(4)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, k) for k in range(101, 180)] + [(r.randint(200, 260), r.randint(200, 260)) for _ in range(50)] + [(300, 300)]
     label = {x: x for e in edges for x in e}
