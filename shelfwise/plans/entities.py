@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfwise.functions import text
+from shelfwise.functions import names, text
 from shelfwise.functions.dialect import DUCK
 from shelfwise.operators import graph, merge
 
@@ -168,3 +168,29 @@ def prefix_join(spark, d):
     prefixes = rows.withColumn("i", F.explode(F.sequence(F.lit(1), F.size(words) - 1))).filter(F.size(words) > 1).select("brand", F.array_join(F.slice(words, F.lit(1), F.col("i")), " ").alias("k"))
     both = rows.alias("a").join(prefixes.alias("b"), "k")
     return both.groupBy(F.col("a.brand").alias("root")).agg(F.count("*").alias("n"), F.min("b.brand").alias("first"))
+
+
+VOCABULARY = names.Vocabulary(
+    generic=frozenset(["organic", "fresh", "milk", "tea", "snacks"]), descriptors=frozenset(["organic", "classic", "vanilla"]), stops=frozenset(["fresh", "sale", "organic"]),
+    families={"Annie's": ("annie's homegrown", "annies homegrown", "annie's", "annies")},
+)
+
+
+@query("brand_from_name", None)
+def brand_from_name(spark, d):
+    """Brand and rest of a name; SQL cannot walk words, so tests hold known names."""
+    rows = table(spark, d, "part").select("p_partkey", F.concat(F.when(F.col("p_size") % 3 == 0, F.upper("p_brand")).otherwise(F.col("p_brand")), F.lit(" "), "p_name").alias("name"))
+    return names.with_brand(rows, "name", VOCABULARY)
+
+
+@query("failed_bucket", "SELECT CASE WHEN quality IS NULL OR toxic IS NULL THEN 'failed' ELSE 'classified' END AS status, CASE WHEN quality IS NULL OR toxic IS NULL THEN 'Other' ELSE concat('C', CAST(quality AS STRING)) END AS category, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL")
+def failed_bucket(spark, d):
+    """Rows without a category or subcategory go to a bucket of their own."""
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    failed = F.col("quality").isNull() | F.col("toxic").isNull()
+    return rows.groupBy(F.when(failed, "failed").otherwise("classified").alias("status"), F.when(failed, "Other").otherwise(F.concat(F.lit("C"), F.col("quality").cast("string"))).alias("category")).agg(F.count("*").alias("n"))
+
+
+@query("display_names", "SELECT p_partkey, concat(array_to_string(list_transform(string_split(lower(p_name), ' '), lambda w: concat(upper(w[1]), w[2:])), ' '), ' of 12OZ') AS name FROM part")
+def display_names(spark, d):
+    return table(spark, d, "part").select("p_partkey", names.display_name(F.concat("p_name", F.lit(" Of 12oz (16 fl oz) | claim"))).alias("name"))
