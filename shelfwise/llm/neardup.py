@@ -8,9 +8,8 @@ that agree by accident, drops those far below the threshold; the others are deci
 
 Documents of one shingle set are one class, and only classes are compared. A band's bucket has one centre, the class that
 meets most others in buckets, and all others are compared with it. Where the links found leave a bucket in several
-components, classes compared with one centre need not be compared with each other one by one: what two of them share is
-shared with the centre too, or lies outside it. If the first part cannot be enough, they must have a rare shingle outside
-the centre in common, which a join on those shingles finds. Classes that were no candidates of a centre are few in a
+components, classes compared with one centre need not be compared with each other one by one: two that are linked differ
+from the centre in much the same shingles, so a join on the rarest of these finds them. Classes that were no candidates of a centre are few in a
 bucket as a rule and are compared in blocks of registers; only plausible pairs leave a block.
 """
 
@@ -174,7 +173,7 @@ def _sieved(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def _decided(some: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, large: DataFrame | None = None) -> DataFrame:
     """``a, b, na, nb, common, linked`` of pairs of classes, on the full sets of one document of each class; with ``large``
-    (a column ``a``) also ``outside``: the shingles of b that are not in a, for those a."""
+    (a column ``a``) also ``apart``, for those a: the shingles that only one of them has."""
     wanted = some.selectExpr("a AS cid").unionByName(some.selectExpr("b AS cid")).distinct().join(classes.select("cid", "sid", "rep"), "cid")
     wanted = narrow(keep(wanted, "dup-wanted"))
     by = docs["doc_id"].eqNullSafe(wanted["rep"])
@@ -185,38 +184,42 @@ def _decided(some: DataFrame, classes: DataFrame, docs: DataFrame, percent: int,
     both = both.withColumn("linked", F.expr(f"100 * common >= {percent} * (na + nb - common)"))
     columns = ["a", "b", "na", "nb", "common", "linked"]
     if large is not None:
-        both = both.join(large.withColumn("large", F.lit(True)), "a", "left").withColumn("outside", F.when(F.col("large"), F.array_except("sb", "sa")))
-        columns.append("outside")
+        both = both.join(large.withColumn("large", F.lit(True)), "a", "left").withColumn("apart", F.when(F.col("large"), F.concat(F.array_except("sb", "sa"), F.array_except("sa", "sb"))))
+        columns.append("apart")
     return keep(both.select(*columns), "dup-tested")
 
 
 def _beside(tested: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes that were compared with one centre and may be linked, though one of them is not linked to it.
 
-    Classes u, v with ``x`` shingles in the centre share at most ``least(xu, xv)`` of these. A link needs ``percent`` of u's
-    own shingles in common, so at least ``need`` outside the centre: of its outside shingles, rarest first, all but the
-    last ``need - 1`` can be the first that both have.
+    ``D``, of size ``m``, is where a class differs from the centre: shingles that one of them alone has. Classes u, v
+    differ from each other in ``mu + mv - 2 * |Du and Dv|`` shingles, and are linked if these are at most the share
+    ``(100 - percent) / (100 + percent)`` of ``nu + nv``. So either ``mu + mv`` is small enough, or they have so much of D
+    in common that, rarest first, a shingle that both have leaves enough places after it in either.
     """
-    own = narrow(tested.selectExpr("a", "b", "nb AS n", "common AS x", "linked"))
-    # centres with few classes: every pair; classes that lie almost whole in a larger centre need nothing outside
+    share = f"{100 - percent} * (u.n + v.n)"
+    size_ok = f"100 * least(u.n, v.n) >= {percent} * greatest(u.n, v.n)"
+    own = narrow(tested.selectExpr("a", "b", "nb AS n", "na + nb - 2 * common AS m", "linked"))
+    # centres with few classes: every pair
     counts = own.groupBy("a").agg(F.count("*").alias("size"), F.count_if(~F.col("linked")).alias("loose")).filter("size > 1 AND loose > 0")
     own = narrow(keep(own.join(counts, "a"), "dup-own"))
-    u = own.filter(f"NOT linked AND (size <= {BLOCK} OR 100 * x >= {percent} * n)").alias("u")
-    size_ok = f"100 * least(u.n, v.n) >= {percent} * greatest(u.n, v.n) AND (u.size <= {BLOCK} OR (100 + {percent}) * least(u.x, v.x) >= {percent} * (u.n + v.n))"
-    near = u.join(own.alias("v"), F.expr(f"u.a = v.a AND u.b <> v.b AND {size_ok}")).selectExpr("least(u.b, v.b) AS a", "greatest(u.b, v.b) AS b")
-    if tested.filter("outside IS NOT NULL").isEmpty():
+    u = own.filter(f"NOT linked AND (size <= {BLOCK} OR {percent} * m <= {100 - percent} * n)").alias("u")
+    near = u.join(own.alias("v"), F.expr(f"u.a = v.a AND u.b <> v.b AND {size_ok} AND (u.size <= {BLOCK} OR {100 + percent} * (u.m + v.m) <= {share})"))
+    near = near.selectExpr("least(u.b, v.b) AS a", "greatest(u.b, v.b) AS b")
+    if tested.filter("apart IS NOT NULL").isEmpty():
         return near.distinct()
-    wide = tested.filter("outside IS NOT NULL").selectExpr("a", "b", "nb AS n", "common AS x", "linked", f"greatest(1, CAST(ceil({percent} * nb / 100) AS int) - common) AS need", "outside")
-    rows = wide.filter("size(outside) >= need").select("a", "b", "n", "x", "linked", (F.size("outside") - F.col("need") + 1).alias("first"), F.explode("outside").alias("s"))
+    wide = tested.filter("apart IS NOT NULL").select("a", "b", F.col("nb").alias("n"), "linked", F.size("apart").alias("m"), "apart")
+    rows = wide.select("a", "b", "n", "linked", "m", F.explode("apart").alias("s"))
     often = keep(rows.groupBy("a", "s").agg(F.count("*").alias("times")).filter("times > 1"), "dup-often")
-    # shingles that only one class has sort first and meet nothing: they use up places
-    lone = wide.filter("size(outside) >= need").select("a", "b", F.size("outside").alias("m"))
-    met = rows.join(often, ["a", "s"])
-    full = met.groupBy("a", "b").agg(F.count("*").alias("k")).join(lone, ["a", "b"]).selectExpr("a", "b", "m - k AS alone")
-    placed = met.join(keep(full, "dup-alone"), ["a", "b"]).selectExpr("*", "alone + row_number() OVER (PARTITION BY a, b ORDER BY times, s) AS place")
-    prefix = keep(placed.filter("place <= first").select("a", "s", "b", "n", "x", "linked"), "dup-prefix")
-    far = prefix.filter("NOT linked").alias("u").join(prefix.alias("v"), F.expr(f"u.a = v.a AND u.s = v.s AND u.b <> v.b AND 100 * least(u.n, v.n) >= {percent} * greatest(u.n, v.n)")).selectExpr("least(u.b, v.b) AS a", "greatest(u.b, v.b) AS b")
-    return near.unionByName(far).distinct()
+    met = keep(rows.join(often, ["a", "s"]), "dup-met")
+    # shingles that only one class has come first and meet nothing: they use up places
+    alone = met.groupBy("a", "b").agg(F.count("*").alias("k"))
+    placed = met.join(alone, ["a", "b"]).selectExpr("a", "b", "n", "linked", "m", "s", "m - k + row_number() OVER (PARTITION BY a, b ORDER BY times, s) AS place")
+    placed = placed.filter(f"m - place + 1 >= ceil(m - {100 - percent} * n / {percent})")
+    placed = keep(placed, "dup-places")
+    room = f"{100 + percent} * (u.m + v.m - 2 * (1 + least(u.m - u.place, v.m - v.place))) <= {share}"
+    far = placed.filter("NOT linked").alias("u").join(placed.alias("v"), F.expr(f"u.a = v.a AND u.s = v.s AND u.b <> v.b AND {size_ok} AND {room}"))
+    return near.unionByName(far.selectExpr("least(u.b, v.b) AS a", "greatest(u.b, v.b) AS b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 75) -> DataFrame:
