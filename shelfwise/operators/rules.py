@@ -53,3 +53,32 @@ def first_rule(text: str, rules: Sequence[tuple[Sequence[str], str, str, float]]
         value = F.struct(F.lit(i).alias("rule"), F.lit(category).alias("category"), F.lit(subcategory).alias("subcategory"), F.lit(confidence).alias("confidence"))
         out = F.when(has_any(text, terms), value) if out is None else out.when(has_any(text, terms), value)
     return out
+
+
+def subcategory_score(haystack: Column | str, phrases: Sequence[str], penalty: tuple[Sequence[str], int] | None = None) -> Column:
+    """4 for each phrase of several words, 2 for each word, less a penalty once if any of its phrases is there."""
+    out = F.lit(0)
+    for p in phrases:
+        out = out + F.when(has_phrase(haystack, p), 4 if " " in p.strip() else 2).otherwise(0)
+    if penalty:
+        bad = F.lit(False)
+        for p in penalty[0]:
+            bad = bad | has_phrase(haystack, p)
+        out = out - F.when(bad, penalty[1]).otherwise(0)
+    return out
+
+
+def best_subcategory(haystack: Column | str, profile: Mapping[str, Sequence[str]], penalties: Mapping[str, tuple[Sequence[str], int]] | None = None) -> Column:
+    """The subcategory of the highest score above 0, of equal ones the first by name; null without one."""
+    order = ranked({s: subcategory_score(haystack, p, (penalties or {}).get(s)) for s, p in profile.items()})
+    return F.when(order[0]["s"] < 0, order[0]["name"])
+
+
+def guarded(category: Column, text: Column | str, blockers: Sequence[str], terms: Sequence[str], from_source: Column, replacement: str = "Pantry") -> Column:
+    """A fresh category stands only where the text names something fresh as a word and no blocker as a substring; a source that
+    says fresh gives the category unless a blocker is there."""
+    blocked = has_any(text, blockers)
+    named = F.lit(False)
+    for t in terms:
+        named = named | has_phrase(text, t)
+    return F.when(F.coalesce(from_source, F.lit(False)) & ~blocked, F.lit("Produce")).when((category == "Produce") & (blocked | ~named), F.lit(replacement)).otherwise(category)

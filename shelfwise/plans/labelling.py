@@ -172,6 +172,24 @@ def rule_cascade(spark, d):
     return docs.select("lang", rules.first_rule("t", RULES).alias("r")).groupBy(F.coalesce("r.rule", F.lit(-1)).alias("rule"), "lang").agg(F.count("*").alias("n"))
 
 
+SUBS = {"Fruits": ["the", "fresh fruit"], "Vegetables": ["of the", "and"], "Herbs": ["is", "de la"]}
+PENALTY = {"Fruits": (["by", "with"], 6)}
+_SUBS = ", ".join("row(-({}{}), '{}')".format(" + ".join(f"CASE WHEN {_phrase(p)} THEN {4 if ' ' in p else 2} ELSE 0 END" for p in ps), f" - CASE WHEN {' OR '.join(map(_phrase, PENALTY[n][0]))} THEN {PENALTY[n][1]} ELSE 0 END" if n in PENALTY else "", n) for n, ps in SUBS.items())
+
+
+@query("subcategory_score", f"SELECT sub, count(*) AS n FROM (SELECT CASE WHEN o[1][1] < 0 THEN o[1][2] END AS sub FROM (SELECT list_sort([{_SUBS}]) AS o FROM ({_HAY}))) GROUP BY sub")
+def subcategory(spark, d):
+    docs = table(spark, d, "documents").select(text.text_key("text").alias("h"))
+    return docs.groupBy(rules.best_subcategory("h", SUBS, PENALTY).alias("sub")).agg(F.count("*").alias("n"))
+
+
+@query("produce_guard", f"SELECT CASE WHEN src AND NOT b THEN 'Produce' WHEN c = 'Produce' AND (b OR NOT t) THEN 'Pantry' ELSE c END AS category, count(*) AS n FROM (SELECT doc_id % 7 = 0 AS src, CASE WHEN doc_id % 2 = 0 THEN 'Produce' ELSE 'Snacks' END AS c, contains(h, 'tea') OR contains(h, 'licens') AS b, {_phrase('the')} OR {_phrase('und')} AS t FROM ({_HAY})) GROUP BY 1")
+def produce_guard(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", text.text_key("text").alias("h"))
+    category = F.when(F.col("doc_id") % 2 == 0, "Produce").otherwise("Snacks")
+    return docs.groupBy(rules.guarded(category, "h", ["tea", "licens"], ["the", "und"], F.col("doc_id") % 7 == 0).alias("category")).agg(F.count("*").alias("n"))
+
+
 _CASCADE = """
 SELECT stage, count(*) AS n, round(sum(conf), 4) AS conf FROM (
   SELECT CASE WHEN toxic = 1 THEN 'gold' WHEN doc_id % 6 = 0 THEN 'cache' WHEN quality = 0 THEN 'silver' WHEN label IS NOT NULL AND clip >= 0.55 THEN 'clip' WHEN contains(lower(text), 'licensed under') THEN 'rules' WHEN n_chars % 10 >= 2 THEN 'model' WHEN clip >= 0.4 THEN 'clip rescue' ELSE 'default' END AS stage,
