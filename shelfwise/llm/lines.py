@@ -43,8 +43,8 @@ def _shared(keys: DataFrame) -> DataFrame:
 
 def _close_pairs(texts: DataFrame) -> DataFrame:
     """``h, witness`` of lines ``a, b, line, first``: earlier lines within one edit, the earliest for each variant."""
-    pieces = keep(_coarse(texts, 8).select("a", "b", "key", "M", "t", "lo", "hi"), "line-keys")
-    hits = keep(pieces.join(keep(_shared(pieces), "line-eighths"), "key").drop("key"), "line-pieces")
+    pieces = _coarse(texts, 8).select("a", "b", "key", "M", "t", "lo", "hi")
+    hits = keep(pieces.join(_shared(pieces), "key").drop("key"), "line-pieces")
     wide = hits.join(texts, ["a", "b"]).withColumn("st", F.struct("first", F.struct("a", "b").alias("h")))
     places = F.explode(F.expr("sequence(lo, hi - 1)"))
     whole = wide.filter("length(line) = M").withColumn("i", places)
@@ -52,8 +52,7 @@ def _close_pairs(texts: DataFrame) -> DataFrame:
     lesser = wide.filter("length(line) = M - 1").withColumn("i", places)
     shorter = keep(lesser.selectExpr("xxhash64(left(line, i), right(line, M - i - 1)) AS v", "M", "i", "st"), "line-whole")
     at = ["v", "M", "i"]
-    first_longer = keep(longer.groupBy(*at).agg(F.min("st").alias("w")), "line-first")
-    first_shorter = keep(shorter.groupBy(*at).agg(F.min("st").alias("w")), "line-first")
+    first_longer, first_shorter = (x.groupBy(*at).agg(F.min("st").alias("w")) for x in (longer, shorter))
     told = longer.join(first_longer, at).select("st", "w").unionByName(longer.join(first_shorter, at).select("st", "w")).unionByName(shorter.join(first_longer, at).select("st", "w"))
     pairs = told.filter("w.first < st.first AND w.h <> st.h").selectExpr("st.h AS h", "w.h AS witness").distinct()
     known = texts.select(F.struct("a", "b").alias("h"), "line")
@@ -77,7 +76,7 @@ def dropped_lines(docs: DataFrame, *, min_chars: int = 12) -> DataFrame:
     picked = long_lines.join(F.broadcast(some) if some.count() <= BROADCAST_ROWS else some, ["a", "b"], "left_semi")
     texts = keep(picked.groupBy("a", "b").agg(F.min("line").alias("line")).join(first.select("a", "b", "first"), ["a", "b"]), "line-texts")
     near = _close_pairs(texts).distinct().withColumn("near", F.lit(True))
-    told = first.join(keep(near, "line-near"), ["a", "b"], "left").filter("near OR n > 1").select("a", "b", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    told = first.join(near, ["a", "b"], "left").filter("near OR n > 1").select("a", "b", "first", F.coalesce("near", F.lit(False)).alias("near"))
     found = lines.join(keep(told, "line-told"), ["a", "b"])
     return found.filter("near OR first < struct(doc_id, version, pos)").select("doc_id", "version", "pos").distinct()
 
@@ -96,7 +95,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     gone = dropped_lines(docs).groupBy("doc_id", "version").agg(F.array_sort(F.collect_list("pos")).alias("gone"))
     own = docs.select("doc_id", F.xxhash64("text").alias("version"), F.expr("CAST(coalesce(size(split(text, '\\n', -1)), 0) AS LONG)").alias("n_lines"))
-    both = own.alias("d").join(keep(gone, "line-gone").alias("g"), F.expr("d.doc_id <=> g.doc_id AND d.version = g.version"), "left")
+    both = own.alias("d").join(gone.alias("g"), F.expr("d.doc_id <=> g.doc_id AND d.version = g.version"), "left")
     return both.selectExpr("d.doc_id", "n_lines", "CAST(coalesce(size(gone), 0) AS LONG) AS n_dropped", "coalesce(array_join(gone, ','), '') AS dropped")
 
 
