@@ -20,6 +20,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[0]
 
 
+def text_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of few rows, unless the session has set them: rows here are whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":  # Spark's own default
+        spark.conf.set(name, rows)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/shelfwise/{name}-{uuid.uuid4().hex}"
 
