@@ -10,13 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.llm import decontaminate, mixing, neardup, quality, tokens
-from shelfwise.llm._store import keep, new_path, text_batches
+from shelfwise.llm._store import drop_kept, keep, new_path, text_batches
 
 #: Rows whose ids are broadcast to drop documents, at most; more are joined.
 BROADCAST_ROWS = 1_000_000
 THRESHOLD = 0.3
 
 
+def _begin(spark: SparkSession) -> None:
+    """Working tables of the stage before are garbage: its result is written before the next one starts."""
+    drop_kept(spark)
+    text_batches(spark)
+
+
 def _columns(docs: DataFrame) -> list[str]:
     return [f"`{c}`" for c in docs.columns]
 
@@ -29,14 +35,14 @@ def _tells_apart(docs: DataFrame) -> bool:
 
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labelled ones among ``docs``, does not reject."""
-    text_batches(spark)
+    _begin(spark)
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.scored(docs, model, docs.columns).filter(F.col("score_") >= THRESHOLD).select(*_columns(docs))
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id in each group; where ids do not tell rows apart, the first row of each group."""
-    text_batches(spark)
+    _begin(spark)
     columns = _columns(docs)
     own = "doc_id"
     if not _tells_apart(docs):
@@ -50,14 +56,14 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by ``benchmark``."""
-    text_batches(spark)
+    _begin(spark)
     found = decontaminate.scan(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), docs.columns)
     return found.filter(~F.col("contaminated")).select(*_columns(docs))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: not at all, once, or up to three times."""
-    text_batches(spark)
+    _begin(spark)
     columns = _columns(docs)
     plan = mixing.mix(docs).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")).filter("copies > 0")
     sized = mixing.with_sizes(docs)
@@ -68,7 +74,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The files' own record of each document: ``doc_id, start, n_tokens, ids_crc32``."""
-    text_batches(spark)
+    _begin(spark)
     path = new_path(spark, "pipeline-tokens")
     tokens.write_tokens(docs, path)
     return tokens.read_tokens(spark, path)
@@ -91,5 +97,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = keep(docs, f"pipeline-{i + 1}")
+            path = new_path(spark, f"pipeline-{i + 1}")
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs

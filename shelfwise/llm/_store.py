@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+_KEPT: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,9 +36,17 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` once and returns a reader of the written table: later stages restart from it, not from the input."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.parquet(path)
+    _KEPT.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_kept(spark: SparkSession) -> None:
+    """Deletes the tables that ``keep`` has written: only when what was computed from them is written itself."""
+    while _KEPT:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_KEPT.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def narrow(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """A written table as one partition if it has few rows: what groups or joins it then needs no shuffle."""
     return df.coalesce(1) if df.count() <= rows else df
