@@ -154,10 +154,9 @@ def brand_components(spark, d):
 
 @query("brand_canonical", f"{_REACH} SELECT label, arg_max(brand, (-len(toks), n, -length(k))) AS canonical, count(*) AS members, CAST(sum(n) AS BIGINT) AS n FROM c JOIN b USING (brand) GROUP BY label HAVING count(DISTINCT (-len(toks), n, -length(k))) = count(*)")
 def brand_canonical(spark, d):
-    """The member that names its family: fewest words, most seen, shortest; families whose choice is a tie are left out."""
-    score = F.struct((-F.size("toks")).alias("a"), F.col("n").alias("b"), (-F.length("k")).alias("c"))
-    out = labelled(spark, d).withColumn("score", score).groupBy("label").agg(F.max_by("brand", "score").alias("canonical"), F.count("*").alias("members"), F.sum("n").alias("n"), F.count_distinct("score").alias("ways"))
-    return out.filter("ways = members").drop("ways")
+    """The member that names its family, every family: fewest words, most seen, shortest; of equals the smallest brand."""
+    score = F.struct(F.size("toks").alias("a"), (-F.col("n")).alias("b"), F.length("k").alias("c"), "brand")
+    return labelled(spark, d).groupBy("label").agg(F.min_by("brand", score).alias("canonical"), F.count("*").alias("members"), F.sum("n").alias("n"))
 
 
 @query("prefix_theta_join", f"SELECT a.brand AS root, count(*) AS n, min(b.brand) AS first FROM ({_KEYED}) a JOIN ({_KEYED}) b ON starts_with(b.k, concat(a.k, ' ')) GROUP BY a.brand")
