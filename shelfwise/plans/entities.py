@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions import names, text
 from shelfwise.functions.dialect import DUCK
-from shelfwise.operators import graph, merge
+from shelfwise.operators import brands, graph, merge
 
 from .adapters import OFFERS, duck, offers, sql, table
 
@@ -159,6 +159,16 @@ def brand_canonical(spark, d):
     return labelled(spark, d).groupBy("label").agg(F.min_by("brand", score).alias("canonical"), F.count("*").alias("members"), F.sum("n").alias("n"))
 
 
+BRANDS = brands.BrandVocabulary(aliases={"Brand#1": ("brand 1 promo", "brand 1 standard mix")}, connectors=frozenset(["foods"]), generic=frozenset(["mix"]), descriptors=frozenset(["promo", "small"]))
+
+
+@query("brand_families", None)
+def brand_families(spark, d):
+    """Families by the whole predicate and the whole choice score; SQL has no such sequence ratio, so tests hold known names."""
+    seen = table(spark, d, "part").selectExpr("concat(p_brand, CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN ' Foods' WHEN 2 THEN concat(' ', p_type) ELSE concat(' ', lower(p_type), ' mix') END) AS brand", "p_partkey")
+    return brands.families(seen.groupBy("brand").agg(F.count("*").alias("n"), F.min("p_partkey").alias("ord")), BRANDS)
+
+
 @query("prefix_theta_join", f"SELECT a.brand AS root, count(*) AS n, min(b.brand) AS first FROM ({_KEYED}) a JOIN ({_KEYED}) b ON starts_with(b.k, concat(a.k, ' ')) GROUP BY a.brand")
 def prefix_join(spark, d):
     """Brands that another one starts with: words of each prefix are made on one side, so the join is on equality."""
