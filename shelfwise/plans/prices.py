@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions import pricing, text
@@ -48,9 +49,14 @@ def discount_sort_value(spark, d):
 
 @query("price_sort_nulls_last", f"SELECT p_partkey, rank() OVER (ORDER BY try_cast(nullif(regexp_extract(coalesce(prime_price, basis_price), '\\$([0-9]+(?:\\.[0-9]+)?)', 1), '') AS DOUBLE) NULLS LAST, {DUCK.key('p_name')}, p_partkey) AS place FROM ({_RESOLVED}) ORDER BY place LIMIT 500")
 def price_sort_nulls_last(spark, d):
+    """The place of every part, those without a price last: ranges of the order are ranked each by itself, after the rows of the ranges before."""
+    order = (F.asc_nulls_last("v"), F.asc("k"), F.asc("p_partkey"))
     priced = resolved(spark, d).select("p_partkey", pricing.first_price(F.coalesce("prime_price", "basis_price")).alias("v"), text.text_key("p_name").alias("k"))
-    top = priced.orderBy(F.asc_nulls_last("v"), "k", "p_partkey").limit(500)
-    return top.selectExpr("p_partkey", "rank() OVER (ORDER BY v NULLS LAST, k, p_partkey) AS place")
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cut = (lambda df: df.checkpoint()) if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else (lambda df: df.cache())
+    dealt = cut(priced.repartitionByRange(ranges, *order).withColumn("part", F.spark_partition_id()))
+    before = dealt.groupBy("part").agg(F.count("*").alias("n")).selectExpr("part", "coalesce(sum(n) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS before")  # one row a range
+    return dealt.join(F.broadcast(before), "part").select("p_partkey", (F.rank().over(Window.partitionBy("part").orderBy(*order)) + F.col("before")).alias("place"))
 
 
 @query("list_sale_percent", "SELECT p_partkey, CASE WHEN l <= 0 OR s >= l THEN NULL ELSE concat(CAST(CAST(round_even(100 - s * 100.0 / l, 0) AS INTEGER) AS VARCHAR), '% off') END AS discount FROM (SELECT p_partkey, CAST(floor(p_retailprice) AS BIGINT) AS l, CAST(floor(p_retailprice) AS BIGINT) - p_partkey % 7 * 16 AS s FROM part)")
