@@ -1,11 +1,11 @@
 """Personal data: fixed patterns, and terms that reveal the entities that the patterns find.
 
 A protected entity is the value of a span that a pattern finds. A term is a run of digits, ASCII letters (in lower case)
-and characters beyond ASCII, of three characters at least, in an entity's context: on its line, within ``RADIUS``
-characters of it. Over the documents, a term discloses as much of an entity as their pointwise mutual information,
+and characters beyond ASCII, of three characters at least, anywhere in a document that holds the entity, outside the
+spans. Over the documents, a term discloses as much of an entity as their pointwise mutual information,
 ``log2(N * n_both / (n_entity * n_term))``, has of the entity's information, ``log2(N / n_entity)``: a term whose share
-reaches ``alpha``, seen with the entity in ``support`` documents at least, is a span too. ``sanitise`` removes terms that
-occur with the entity only, and puts a general word for the others.
+reaches ``alpha``, in ``support`` documents of the entity at least, is a span wherever it stands in a document of the
+entity. ``sanitise`` removes terms that occur with the entity only, and puts a general word for the others.
 """
 
 from __future__ import annotations
@@ -27,7 +27,6 @@ from ._words import hashes_of, mapped, slices, texts_of, words_of
 from .decontaminate import _TABLE as _LEVEL
 
 KINDS = ("email", "ip", "card", "phone")
-RADIUS = 64
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")  # where a run of digits fails, so does every later start in it
@@ -84,28 +83,22 @@ def entity_of(kind: str, value: str) -> int:
     return _signed(xxhash.xxh3_64_intdigest(f"{kind}:{level}"))
 
 
-def terms_near(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(entity, term, start, end) of every term in the context of an entity that no base span overlaps."""
+def free_terms(text: str, spans: list[tuple[str, int, int]]) -> dict[int, list[int]]:
+    """Starts and ends in turn of every term that no base span overlaps, by the term's hash."""
     taken = sorted((s, e) for _, s, e in spans)
     starts, reach = [s for s, _ in taken], np.maximum.accumulate([e for _, e in taken]).tolist() if taken else []
-    out = set()
-    for kind, s, e in spans:
-        entity = entity_of(kind, text[s:e])
-        lo, hi = max(0, s - RADIUS), min(len(text), e + RADIUS)
-        lo = max(lo, text.rfind("\n", lo, s) + 1)
-        nl = text.find("\n", e, hi)
-        hi = hi if nl < 0 else nl
-        for m in _TERM.finditer(text, lo, hi):
-            a, b = m.span()
-            whole = (a > lo or not a or not _TERM.match(text[a - 1])) and (b < hi or b == len(text) or not _TERM.match(text[b]))
+    places: dict[str, list[int]] = {}
+    for m in _TERM.finditer(text):
+        a, b = m.span()
+        if b - a >= 3:
             i = bisect.bisect_left(starts, b) - 1
-            if whole and b - a >= 3 and not (i >= 0 and reach[i] > a):
-                out.add((entity, _signed(xxhash.xxh3_64_intdigest(m[0].translate(_LOWER))), a, b))
-    return sorted(out, key=lambda x: (x[2], x[3], x[0]))
+            if not (i >= 0 and reach[i] > a):
+                places.setdefault(m[0].translate(_LOWER), []).extend((a, b))
+    return {_signed(xxhash.xxh3_64_intdigest(t)): at for t, at in places.items()}
 
 
-_FOUND = "row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base array<string>, entities array<long>, near array<struct<e:long,t:long,s:int,f:int,first:int>>"
-_NEAR = pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64()), ("s", pa.int32()), ("f", pa.int32()), ("first", pa.int32())]))
+_FOUND = "row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base array<string>, entities array<long>, free array<struct<t:long,at:array<int>>>"
+_FREE = pa.list_(pa.struct([("t", pa.int64()), ("at", pa.list_(pa.int32()))]))
 
 
 def _finder(with_text: bool):
@@ -119,7 +112,7 @@ def _finder(with_text: bool):
                 counts = {k: np.zeros(n, dtype=np.int64) for k in KINDS}
                 base: list[list[str]] = [[] for _ in range(n)]
                 entities: list[list[int]] = [[] for _ in range(n)]
-                near: list[list[dict]] = [[] for _ in range(n)]
+                free: list[list[dict]] = [[] for _ in range(n)]
                 for i in np.flatnonzero(hit).tolist():
                     text = texts[i].as_py()
                     spans = base_spans(text)
@@ -129,12 +122,9 @@ def _finder(with_text: bool):
                         counts[k][i] += 1
                     base[i] = [f"{k}:{s}:{e}" for k, s, e in spans]
                     entities[i] = sorted({entity_of(k, text[s:e]) for k, s, e in spans})
-                    seen: set[tuple[int, int]] = set()
-                    for e, t, s, f in terms_near(text, spans):
-                        near[i].append({"e": e, "t": t, "s": s, "f": f, "first": int((e, t) not in seen)})
-                        seen.add((e, t))
-                columns = [pa.array(np.arange(row, row + n)), piece.column("doc_id"), *(pa.array(counts[k]) for k in KINDS), pa.array(base, pa.list_(pa.string())), pa.array(entities, pa.list_(pa.int64())), pa.array(near, _NEAR)]
-                names = ["row", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "entities", "near"]
+                    free[i] = [{"t": t, "at": at} for t, at in free_terms(text, spans).items()]
+                columns = [pa.array(np.arange(row, row + n)), piece.column("doc_id"), *(pa.array(counts[k]) for k in KINDS), pa.array(base, pa.list_(pa.string())), pa.array(entities, pa.list_(pa.int64())), pa.array(free, _FREE)]
+                names = ["row", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "entities", "free"]
                 row += n
                 yield pa.RecordBatch.from_arrays(columns + [piece.column("text")] * with_text, names=names + ["text"] * with_text)
 
@@ -173,16 +163,24 @@ def find(docs: DataFrame, *, alpha: float = 0.8, support: int = 2, with_text: bo
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = keep(chosen.mapInArrow(_finder(with_text), _FOUND + ", text string" * with_text), "pii-found")
     terms = keep(chosen.select("text").mapInArrow(_term_counter, "t long, n long").groupBy("t").agg(F.sum("n").alias("n_t")), "pii-terms")
+    n = float(max(found.count(), 1))
     some = found.filter("size(base) > 0")
-    near = keep(some.select("row", F.explode("near").alias("x")).select("row", "x.*"), "pii-near")
-    owners = some.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
-    pairs = near.groupBy("e", "t").agg(F.sum("first").alias("n_et")).filter(F.col("n_et") >= support)
-    n = found.count()
-    told = pairs.join(owners, "e").join(terms, "t").withColumn("ic", F.log2(F.lit(float(max(n, 1))) / F.col("n_e"))).withColumn("pmi", F.log2(F.lit(float(max(n, 1))) * F.col("n_et") / F.col("n_e") / F.col("n_t")))
-    told = keep(told.filter((F.col("ic") > 0) & (F.col("pmi") >= alpha * F.col("ic"))).select("e", "t", (F.col("n_et") >= F.col("n_t")).alias("only")), "pii-told")
-    spans = near.join(told, ["e", "t"]).groupBy("row", "s", "f").agg(F.max("only").alias("only"))
-    spans = keep(spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("s", "f", "only"))).alias("terms")), "pii-spans")
-    return found.join(spans, "row", "left").withColumn("terms", F.coalesce("terms", F.expr("CAST(array() AS array<struct<s:int,f:int,only:boolean>>)")))
+    held = some.select("row", F.explode("entities").alias("e"))
+    owners = held.groupBy("e").agg(F.count("*").alias("n_e")).filter((F.col("n_e") >= support) & (F.col("n_e") < n))
+    # n_et is n_e at most, so a term in more than ``most`` documents tells too little; 1e-9 is of the doubles
+    owners = owners.withColumn("most", F.lit(n) * F.pow(F.col("n_e") / F.lit(n), F.lit(float(alpha))) * F.lit(1 + 1e-9))
+    held = keep(held.join(owners, "e"), "pii-held")
+    rows = held.groupBy("row").agg(F.max("most").alias("row_most"))
+    free = some.select("row", "free").join(rows, "row").select("row", "row_most", F.explode("free").alias("x")).select("row", "row_most", "x.*")
+    free = keep(free.join(terms.filter(F.col("n_t") >= support), "t").filter("n_t <= row_most").select("row", "t", "at", "n_t"), "pii-free")
+    both = held.join(free.select("row", "t", "n_t"), "row").filter("n_t <= most")
+    pairs = both.groupBy("e", "t").agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t")).filter(F.col("n_et") >= support)
+    told = pairs.withColumn("ic", F.log2(F.lit(n) / F.col("n_e"))).withColumn("pmi", F.log2(F.lit(n) * F.col("n_et") / F.col("n_e") / F.col("n_t")))
+    told = keep(told.filter((F.col("ic") > 0) & (F.col("pmi") >= F.lit(float(alpha)) * F.col("ic") - F.lit(1e-12))).select("e", "t", (F.col("n_et") >= F.col("n_t")).alias("only")), "pii-told")
+    marked = held.select("row", "e").join(told, "e").groupBy("row", "t").agg(F.max("only").alias("only"))
+    spans = free.join(marked, ["row", "t"]).selectExpr("row", "explode(transform(sequence(0, size(at) - 2, 2), i -> struct(at[i] AS s, at[i + 1] AS f, only))) AS x")
+    spans = keep(spans.groupBy("row").agg(F.array_sort(F.collect_list("x")).alias("terms")), "pii-spans")
+    return found.drop("free").join(spans, "row", "left").withColumn("terms", F.coalesce("terms", F.expr("CAST(array() AS array<struct<s:int,f:int,only:boolean>>)")))
 
 
 def _sanitiser(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
