@@ -20,7 +20,7 @@ from ._store import keep
 
 #: Vectors in a piece of a group and queries in a block: a task holds no more of either.
 PIECE, QUERIES = 8192, 2048
-OUT = "query_id long, vec_id long, score long"
+OUT = "own long, query_id long, vec_id long, score long"
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -69,7 +69,7 @@ def _assigner(pivots: np.ndarray, dim: int):
             d2 = np.maximum((m**2).sum(axis=1)[:, None] - 2 * (m @ pivots.T) + own[None, :], 0)
             near = d2.argmin(axis=1)
             far = np.sqrt(((m - pivots[near]) ** 2).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(near.astype(np.int32)), pa.array(far)], names=["id", "v", "cell", "far"])
+            yield pa.RecordBatch.from_arrays([b.column("own"), b.column("id"), b.column("v"), pa.array(near.astype(np.int32)), pa.array(far)], names=["own", "id", "v", "cell", "far"])
 
     return run
 
@@ -94,7 +94,7 @@ def _router(pivots: np.ndarray, cells: list[tuple[int, int, float]], dim: int, k
             at = np.where(held.any(axis=1), held.argmax(axis=1), len(cell) - 1)
             sure = np.where(held.any(axis=1), np.take_along_axis(low, order, axis=1)[np.arange(len(m)), at], -np.inf)
             rows, to = np.nonzero(high >= sure[:, None])
-            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(rows)), b.column("v").take(pa.array(rows)), pa.array(cell[to].astype(np.int32))], names=["id", "v", "cell"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(rows)) for c in ("own", "id", "v")), pa.array(cell[to].astype(np.int32))], names=["own", "id", "v", "cell"])
 
     return run
 
@@ -102,39 +102,35 @@ def _router(pivots: np.ndarray, cells: list[tuple[int, int, float]], dim: int, k
 def _solver(dim: int, k: int):
     def run(key: tuple, data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(data) or not len(asked):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+            return pd.DataFrame({"own": [], "query_id": [], "vec_id": [], "score": []}).astype("int64")
         v, q = np.stack(data["v"].to_numpy()), np.stack(asked["v"].to_numpy())
         ids, names = data["id"].to_numpy(), asked["id"].to_numpy()
+        keys, owns = data["own"].to_numpy(), asked["own"].to_numpy()
         parts = []
         for lo in range(0, len(q), 256):
             table = scores(q[lo : lo + 256], v)
             for i, s in enumerate(table):
                 at = best(ids, s, k + 1)
-                at = at[ids[at] != names[lo + i]][:k] if (ids == names[lo + i]).sum() <= 1 else best_of_others(ids, s, names[lo + i], k)
-                parts.append(pd.DataFrame({"query_id": names[lo + i], "vec_id": ids[at], "score": s[at]}))
+                at = at[keys[at] != owns[lo + i]][:k]
+                parts.append(pd.DataFrame({"own": owns[lo + i], "query_id": names[lo + i], "vec_id": ids[at], "score": s[at]}))
         return pd.concat(parts, ignore_index=True)
 
     return run
 
 
-def best_of_others(ids: np.ndarray, s: np.ndarray, own: int, k: int) -> np.ndarray:
-    others = np.flatnonzero(ids != own)
-    return others[best(ids[others], s[others], k)]
-
-
 def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, every: int = 100, scale: int = 1024, pivots: int = 64, sample: int = 4096) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row whose id is divisible by ``every``, its ``k`` best other rows.
 
     Components become ``floor(scale * x)``, x as double. Vectors that are null, or hold null or non-finite components,
-    and rows without an id take no part; shorter vectors are padded with zeros. Ties go to the smaller id. Rows that
-    repeat an id are candidates each; a query takes no row of its own id. Pivots are farthest-first choices from a sample
+    and rows without an id take no part; shorter vectors are padded with zeros. Ties go to the smaller id. Rows have
+    keys of their own: those that repeat an id are queries and candidates each, and a query leaves out its own row only. Pivots are farthest-first choices from a sample
     of at most ``sample`` vectors; every vector is in a group. Groups are cut into pieces of about ``PIECE`` vectors by a
-    hash of the id and queries into blocks of about ``QUERIES``, so no task holds a large group.
+    hash of the key and queries into blocks of about ``QUERIES``, so no task holds a large group.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.filter("id IS NOT NULL AND v IS NOT NULL AND NOT exists(v, x -> x IS NULL OR isnan(x) OR abs(x) = double('inf'))")
-    rows = keep(rows.withColumn("v", F.expr(f"transform(v, x -> floor({scale}D * x))").cast("array<double>")), "knn-rows")
+    rows = keep(rows.withColumn("v", F.expr(f"transform(v, x -> floor({scale}D * x))").cast("array<double>")).withColumn("own", F.monotonically_increasing_id()), "knn-rows")
     some = [r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").collect()]
     dim = rows.agg(F.max(F.size("v"))).first()[0] or 0
     if not some or not dim:
@@ -147,7 +143,7 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
         chosen.append(int(far.argmax()))
         far = np.minimum(far, ((points - points[chosen[-1]]) ** 2).sum(axis=1))
     centres = points[chosen]
-    kind = "id long, v array<double>, cell int"
+    kind = "own long, id long, v array<double>, cell int"
     grouped = keep(rows.mapInArrow(_assigner(centres, dim), kind + ", far double"), "knn-cells")
     cells = [(r["cell"], r["n"], r["far"]) for r in grouped.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()]  # one row a pivot
     n_queries = rows.filter(f"id % {every} = 0").count()
@@ -155,15 +151,15 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
     pieces = spark.createDataFrame([(c, max(1, -(-n // PIECE))) for c, n, _ in cells], "cell int, pieces int")
     asked = rows.filter(f"id % {every} = 0").mapInArrow(_router(centres, cells, dim, k), kind)
     asked = asked.join(F.broadcast(pieces), "cell").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")).drop("pieces")
-    data = grouped.join(F.broadcast(pieces), "cell").withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
-    data = data.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("id", "v", "cell", "piece", "block")
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("own", F.lit(1)), F.lit(blocks)).cast("int")).drop("pieces")
+    data = grouped.join(F.broadcast(pieces), "cell").withColumn("piece", F.pmod(F.xxhash64("own"), F.col("pieces")).cast("int"))
+    data = data.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("own", "id", "v", "cell", "piece", "block")
     if dim:
         pad = f"CASE WHEN size(v) = {dim} THEN v ELSE concat(v, array_repeat(0D, {dim} - size(v))) END"
         data, asked = data.withColumn("v", F.expr(pad)), asked.withColumn("v", F.expr(pad))
     key = ["cell", "piece", "block"]
     found = data.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(_solver(dim, k), OUT)
-    ranked = found.selectExpr("query_id", "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank", "vec_id", "score")
+    ranked = found.selectExpr("query_id", "row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id) AS rank", "vec_id", "score")
     return ranked.filter(F.col("rank") <= k)  # Spark keeps k rows of a query in each task before it shuffles
 
 
