@@ -30,7 +30,7 @@ _TABLE[[*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B,
 class Windows:
     """The distinct windows of a block of items, by their rarest word."""
 
-    def __init__(self, ids: list[str], texts: list[str | None], width: int) -> None:
+    def __init__(self, ids: list[str | None], texts: list[str | None], width: int) -> None:
         codes, distinct, counts = words_of(mapped(texts_of(pa.array(texts, pa.string())), _TABLE))
         self.words, self.ids, self.width = distinct, ids, width
         rows: dict[bytes, tuple[np.ndarray, set[int]]] = {}
@@ -118,7 +118,7 @@ def _scanner(index, carried: list[str], last: bool, share: int):
                 start, window = w.find(codes, (ends - counts)[row], ends[row])
                 per_row: list[set[str]] = [set(x or ()) for x in piece.column("items_").to_pylist()]
                 for r, x in {(r, x) for r, x in zip(row[start].tolist(), window.tolist(), strict=True)}:
-                    per_row[r].update(w.ids[i] for i in w.items[x])
+                    per_row[r].update(w.ids[i] for i in w.items[x] if w.ids[i] is not None)
                 edge = np.zeros(len(codes) + 1, dtype=np.int64)
                 np.add.at(edge, start, 1)
                 np.add.at(edge, start + w.lengths[window], -1)
@@ -152,10 +152,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, carried: list[str] | None = None
     """Columns ``carried`` of every document with ``n_words, n_hit, n_items, items_sha256, contaminated``.
 
     A document is contaminated if it has a hit word and hit words times ``share`` reach its words. Null and empty texts
-    have no words and are clean; items without an id or without words take no part; items with one id count once.
+    have no words and are clean; items without words take no part; items with one id count once, and those without one
+    give hits but are not among ``n_items`` and ``items_sha256``.
     """
     spark, carried = docs.sparkSession, ["doc_id"] if carried is None else carried
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text IS NOT NULL")
     n_bytes = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n_blocks = max(1, -(-n_bytes // block_bytes))
     items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)))
