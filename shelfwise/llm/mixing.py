@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ._store import keep
 from ._words import raw_bytes, texts_of
 
-#: Words that the dynamic programme fits at most; what is above is filled greedily first.
+#: Words above which a rest is filled greedily first; what is given back later can be more, by the longest documents.
 TABLE_WORDS = 1 << 16
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -84,24 +84,29 @@ def targets_of(sizes: DataFrame, weights: Sequence[float], cap: float, share: fl
 def _knapsack(lengths: np.ndarray, free: np.ndarray, rest: int, order: list[int]) -> tuple[np.ndarray, int]:
     """How many of each length, at most ``free``, to take for as many words as can be up to ``rest``; the words missed.
 
-    Bit w of ``reach`` is set if some choice has w words; a length comes in parts of 1, 2, 4 ... documents.
+    Bit w of ``reach`` is set if some choice has w words; a length comes in parts of 1, 2, 4 ... documents. The step that
+    first reached each number of words is held, not the bits before each step.
     """
     reach, mask, steps = 1, (1 << (rest + 1)) - 1, []
+    first = np.zeros(rest + 1, dtype=np.int32)
     for i in order:
         left, part = min(int(free[i]), rest // int(lengths[i])), 1
         while left > 0 and not reach >> rest & 1:
             part = min(part, left)
-            steps.append((reach, i, part))
-            reach |= (reach << (part * int(lengths[i]))) & mask
+            new = (reach << (part * int(lengths[i]))) & mask & ~reach
+            if new:
+                first[np.flatnonzero(np.unpackbits(np.frombuffer(new.to_bytes(rest // 8 + 1, "little"), np.uint8), bitorder="little"))] = len(steps)
+                steps.append((i, part))
+                reach |= new
             left, part = left - part, part * 2
         if reach >> rest & 1:
             break
     taken, at = np.zeros(len(lengths), dtype=np.int64), reach.bit_length() - 1
     missed = rest - at
-    for before, i, part in reversed(steps):
-        if not before >> at & 1:
-            taken[i] += part
-            at -= part * int(lengths[i])
+    while at:
+        i, part = steps[first[at]]
+        taken[i] += part
+        at -= part * int(lengths[i])
     return taken, missed
 
 
@@ -109,7 +114,8 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int,
     """How many copies of documents of each length to take so that their words come near to ``budget``, never above.
 
     There are ``counts`` documents of each length and ``cap`` copies of each at most. A proportional part of every length
-    is taken first and the rest is fitted; where that misses, some of the first part is given back and fitted with it.
+    is taken first and the rest is fitted; where that misses, some of the first part, about as
+    many words as four of the longest documents have, is given back and fitted with it.
     """
     lengths, counts = np.asarray(lengths, dtype=np.int64), np.asarray(counts, dtype=np.int64)
     total = int((lengths * counts).sum())
@@ -126,11 +132,11 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int,
             if rest > table and taken[i] < counts[i] * cap and lengths[i] <= rest:
                 taken[i] += 1
                 rest -= int(lengths[i])
-        if rest == before:
-            return taken
+        if rest == before:  # what is open is less than the shortest length with copies left
+            break
     more, missed = _knapsack(lengths, counts * cap - taken, rest, order)
     if missed:
-        fewer, enough = taken.copy(), min(table, rest + 4 * int(lengths.max()))
+        fewer, enough = taken.copy(), rest + 4 * int(lengths.max())
         room = rest
         for i in reversed(order):
             back = min(int(fewer[i]), max(0, enough - room) // int(lengths[i]))
