@@ -48,7 +48,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
     """``node, label`` for every node of ``edges`` (any integers): label is the component's smallest node.
 
     Minima are summed per node before the join, and both sides of each join are written tables, so a node with very many
-    edges is split by Spark where it must be. Nothing but two numbers a round comes to the driver.
+    edges is split by Spark where it must be. Nothing but two numbers a round comes to the driver. Raises where ``most`` rounds
+    do not reach a state that stays.
     """
     now = edges.selectExpr(f"greatest({a}, {b}) AS u", f"least({a}, {b}) AS v").filter("u <> v").distinct()
     now, before = keep(now, "cc"), None
@@ -67,5 +68,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
         least = keep(large.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
         small = large.join(least, "u").selectExpr("v AS u", "m AS v").unionByName(least.selectExpr("u", "m AS v"))
         now = keep(small.filter("u <> v").distinct(), "cc")
+    else:
+        raise RuntimeError(f"components still change after {most} rounds")
     stars = now.groupBy("u").agg(F.min("v").alias("label")).selectExpr("u AS node", "label")
     return stars.unionByName(stars.selectExpr("label AS node", "label").distinct())

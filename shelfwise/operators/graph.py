@@ -10,6 +10,7 @@ def connected_components(edges: DataFrame, most: int = 50) -> DataFrame:
     """``node, label``; label is the smallest node of its component. Labels spread along edges and jump to their own labels.
 
     Lineage is cut by ``checkpoint()`` where the session has a checkpoint folder, else by a cache.
+    Raises where ``most`` rounds do not reach labels that stay.
     """
     spark = edges.sparkSession
     cut = (lambda df: df.checkpoint()) if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else (lambda df: df.cache())
@@ -20,8 +21,8 @@ def connected_components(edges: DataFrame, most: int = 50) -> DataFrame:
         now = labels.join(near, "node").select("node", F.least("label", "m").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
         now = cut(now.join(jump, "label").select("node", F.least("label", "next").alias("label")))
-        changed = now.alias("n").join(labels.alias("o"), "node").filter("n.label <> o.label").isEmpty()
+        settled = now.alias("n").join(labels.alias("o"), "node").filter("n.label <> o.label").isEmpty()
         labels = now
-        if changed:
-            break
-    return labels
+        if settled:
+            return labels
+    raise RuntimeError(f"labels still change after {most} rounds")
