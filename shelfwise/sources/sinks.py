@@ -4,36 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfwise.operators.merge import upsert
+from shelfwise.working import delete
 
 
 def overwrite(df: DataFrame, path: str, kind: str = "parquet") -> None:
     df.write.mode("overwrite").format(kind).save(path)
 
 
-def upsert_table(df: DataFrame, path: str, keys: Sequence[str]) -> None:
-    """Rows of ``df`` in place of those of their keys under ``path``; written to a new folder first, then swapped in by name.
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Complete versions of a table, ascending: those whose write was committed. A folder that is not there has none; any other fault is raised."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    names = [(s.getPath().getName(), s.getPath()) for s in fs.listStatus(root)]
+    return sorted(int(n[1:]) for n, p in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
-    The table is read through ``path/current``; a failed run leaves the version before in place.
+
+def upsert_table(df: DataFrame, path: str, keys: Sequence[str], held: int = 2) -> None:
+    """Rows of ``df`` in place of those of their keys under ``path``.
+
+    Each call writes a new folder ``v<number>``, which counts once Spark's committer has marked it as complete: whatever
+    call is lost, at whatever point, the highest complete version is the table, and nothing of it has been touched. A
+    broken version is written over by the next call. The ``held`` last versions stay, so a reader of the one before is
+    not cut off. One writer at a time.
     """
-    spark = df.sparkSession
-    pointer = f"{path}/current"
-    try:
-        version = spark.read.text(pointer).first()[0]
-        old = spark.read.parquet(f"{path}/{version}")
-        number = int(version[1:]) + 1
-    except AnalysisException:
-        old, number = df.limit(0), 0
-    upsert(old, df, keys).write.mode("overwrite").parquet(f"{path}/v{number}")
-    spark.createDataFrame([(f"v{number}",)], "v string").coalesce(1).write.mode("overwrite").text(pointer)
-
-
-def read_table(spark, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{spark.read.text(f'{path}/current').first()[0]}")
+    spark, there = df.sparkSession, versions(df.sparkSession, path)
+    old = spark.read.parquet(f"{path}/v{there[-1]}") if there else df.limit(0)
+    number = there[-1] + 1 if there else 0
+    upsert(old, df, keys).write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{path}/v{number}")
+    for before in there[: max(0, len(there) + 1 - held)]:
+        delete(spark, f"{path}/v{before}")
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    there = versions(spark, path)
+    if not there:
+        raise FileNotFoundError(f"no complete version under {path}")
+    return spark.read.parquet(f"{path}/v{there[-1]}")
 
 
 def chunked(df: DataFrame, group: str, order: Sequence[str], size: int) -> DataFrame:

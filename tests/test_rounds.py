@@ -2,16 +2,13 @@
 
 import pytest
 
-from shelfwise.llm import components
 from shelfwise.operators import graph
 
 CHAIN = [(i, i + 1) for i in range(40)]
 
 
-def test_rounds(spark, monkeypatch):
-    monkeypatch.setattr(components, "ONE_TASK", 0)
+def test_rounds(spark):
     edges = spark.createDataFrame(CHAIN, "a long, b long")
-    for f in (components.components, graph.connected_components):
-        with pytest.raises(RuntimeError):
-            f(edges, most=1).collect()
-        assert {tuple(r) for r in f(edges).collect()} == {(i, 0) for i in range(41)}
+    with pytest.raises(RuntimeError):
+        graph.connected_components(edges, most=1).collect()
+    assert {tuple(r) for r in graph.connected_components(edges).collect()} == {(i, 0) for i in range(41)}

@@ -1,9 +1,11 @@
 import json
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from shelfwise import working
 from shelfwise.functions import text
 from shelfwise.operators import feed, graph, merge, models, rules
 from shelfwise.sources import landed, sinks
@@ -89,3 +91,27 @@ def test_first_rule(spark):
 def test_rows(spark, last, want):
     df = spark.createDataFrame([(1, 1, "x"), (1, 2, "z")], "k int, o int, v string")
     assert [tuple(r) for r in merge.first_rows(df, ["k"], ["o"], last=last).select("k", "v").collect()] == want
+
+
+def test_upserts_after_faults(spark, tmp_path):
+    path, put = tmp_path / "t", lambda rows: sinks.upsert_table(spark.createDataFrame(rows, "k int, v string"), str(tmp_path / "t"), ["k"])
+    put([(1, "a")])
+    put([(2, "b")])
+    (path / "v2").mkdir()
+    (path / "v2" / "part-0.parquet").write_text("half a file")  # a call that was lost on its way
+    assert sorted(map(tuple, sinks.read_table(spark, str(path)).collect())) == [(1, "a"), (2, "b")]
+    put([(3, "c")])
+    assert sorted(map(tuple, sinks.read_table(spark, str(path)).collect())) == [(1, "a"), (2, "b"), (3, "c")]
+    (path / "v2" / "_SUCCESS").unlink()  # the last version is not complete: the one before is the table
+    assert sorted(map(tuple, sinks.read_table(spark, str(path)).collect())) == [(1, "a"), (2, "b")]
+
+
+def test_working_tables(spark):
+    df = spark.range(3)
+    kept = working.keep(df, "test")
+    with working.working(spark):
+        inside = working.keep(df, "test")
+        path = inside.inputFiles()[0].split(":", 1)[1].replace("//", "/")
+        assert os.path.exists(path.replace("//", "/"))
+    assert not os.path.exists(path.replace("//", "/"))
+    assert kept.count() == 3
