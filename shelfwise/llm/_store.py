@@ -1,24 +1,12 @@
-"""Shared working tables: lineage is cut by writing Parquet where every executor can read it."""
+"""Working tables of this package's operators, and sizes that depend on the session."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN: list[str] = []
-_KEPT: list[str] = []
-
+from shelfwise.working import keep, new_path, shared_dir, working
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; one of our own only where it names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _OWN:
-        _OWN.append("file://" + tempfile.mkdtemp(prefix="shelfwise-"))
-    return _OWN[0]
+__all__ = ["keep", "narrow", "new_path", "partitions_for", "shared_dir", "text_batches", "working"]
 
 
 def text_batches(spark: SparkSession, rows: int = 2000) -> None:
@@ -28,25 +16,6 @@ def text_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(name, rows)
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/shelfwise/{name}-{uuid.uuid4().hex}"
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` once and returns a reader of the written table: later stages restart from it, not from the input."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    _KEPT.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_kept(spark: SparkSession) -> None:
-    """Deletes the tables that ``keep`` has written: only when what was computed from them is written itself."""
-    while _KEPT:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_KEPT.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def narrow(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """A written table as one partition if it has few rows: what groups or joins it then needs no shuffle."""
     return df.coalesce(1) if df.count() <= rows else df

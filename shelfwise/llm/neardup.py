@@ -6,11 +6,19 @@ register of another bucket, tried in a fixed order for each bucket, which leaves
 similarity for small sets too. Bands of registers give candidates; the share of equal registers, corrected for registers
 that agree by accident, drops those far below the threshold; the others are decided on the full sets.
 
-Documents of one shingle set are one class, and only classes are compared. A band's bucket has one centre, the class that
-meets most others in buckets, and all others are compared with it. Where the links found leave a bucket in several
-components, classes compared with one centre need not be compared with each other one by one: two that are linked differ
-from the centre in much the same shingles, so a join on the rarest of these finds them. Classes that were no candidates of a centre are few in a
-bucket as a rule and are compared in blocks of registers; only plausible pairs leave a block.
+Documents of one shingle set are one class, and only classes are compared. Each bucket of a band has a hub, and all its
+classes are compared with that, not with each other; a hub is the class that meets most others in buckets, and buckets
+whose own hubs are much like a larger one's share that one. What the links found so far leave in different components
+is told apart as follows, so that no pair that shares a bucket is lost and no group is squared:
+
+* A bucket of at most ``BLOCK`` classes compares the registers of those of different components in one go; only
+  plausible pairs leave it.
+* The classes of a larger bucket have all been compared with its hub C on full sets. A class x has lost ``l`` of C's shingles
+  and gained ``g`` others. Two classes u, v can be linked only if their common shingles, ``percent / (100 + percent)`` of
+  ``nu + nv`` at least, are more than the ``nC - max(lu, lv)`` that they can have in common within C, so they have some
+  number t of gained shingles in common; then, in one order, each has a common one among its first ``g - t + 1``. The order
+  is rarest first, by a counting sketch of fixed size. Pairs with t below 1 are few (both have lost much the same) and are
+  listed by their sizes.
 """
 
 from __future__ import annotations
@@ -24,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import keep, narrow
+from ._store import keep, narrow, partitions_for
 from ._words import hashes_of, mixed, sets_of, shingles_of, slices, texts_of, words_of
 from .components import components
 
@@ -33,9 +41,13 @@ ROWS = M // BANDS
 MANTISSA = 10
 EMPTY = np.uint16(0xFFFF)
 #: Classes whose texts are fetched by a broadcast of their ids, at most; more are joined.
-BROADCAST_ROWS = 100_000
-#: Classes of a bucket in one block of the last comparison.
+BROADCAST_ROWS = 500_000
+#: Classes of a bucket that are compared by their registers in one go.
 BLOCK = 128
+#: Estimated percent from which on a bucket's hub gives way to a larger one's.
+ALIKE = 85
+#: Counters of the sketch, as a power of two, and the parts in which they are summed.
+SKETCH_BITS, SKETCH_PARTS = 18, 16
 
 
 def _tries(n: int = 4096) -> np.ndarray:
@@ -114,8 +126,9 @@ def _signer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes = np.array([len(s) for s in sets], dtype=np.int64)
             regs = registers_of(np.concatenate([*sets, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(sets)), sizes), len(sets))
             ids = [_set_id(s) if len(s) else None for s in sets]
-            columns = [piece.column("doc_id"), pa.array(sizes), pa.array(ids, pa.binary()), pa.array([r.tobytes() if n else None for r, n in zip(regs, sizes.tolist(), strict=True)], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "sid", "regs"])
+            held = pa.array([r.tobytes() if n else None for r, n in zip(regs, sizes.tolist(), strict=True)], pa.binary())
+            columns = [piece.column("doc_id"), piece.column("h"), pa.array(sizes), pa.array(ids, pa.binary()), held]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "n", "sid", "regs"])
 
 
 def _setter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,32 +147,119 @@ def _table(column: pa.Array) -> np.ndarray:
 
 
 def _sieve(percent: int):
+    """Keeps pairs that are plausible, and those of large buckets, whose full sets are needed anyway."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 ok = plausible(_table(b.column("ra")), _table(b.column("rb")), b.column("na").to_numpy(), b.column("nb").to_numpy(), percent)
+                ok |= b.column("large").to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(ok)) for c in ("a", "b", "large")], names=["a", "b", "large"])
+
+    return run
+
+
+def _alike(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                ok = 100 * estimate(_table(b.column("ra")), _table(b.column("rb")), b.column("na").to_numpy(), b.column("nb").to_numpy()) >= percent
                 yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(ok)) for c in ("a", "b")], names=["a", "b"])
 
     return run
 
 
-def _block_pairs(percent: int):
-    """Plausible pairs of classes of different components, without a centre in common, of a bucket's two blocks."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        i, j = key[1], key[2]
-        left, right = rows[rows["blk"] == i], rows[rows["blk"] == j]
-        ra, rb = (np.frombuffer(b"".join(x["regs"]), dtype=np.uint16).reshape(len(x), M) for x in (left, right))
-        out_a, out_b = [], []
-        cb, nb, lb = right["cid"].to_numpy(), right["n"].to_numpy(), right["label"].to_numpy()
-        hubs = [frozenset(h) if h is not None else frozenset() for h in right["hubs"]]
-        for r, cid, n, label, own in zip(ra, left["cid"], left["n"], left["label"], left["hubs"], strict=True):
-            at = np.flatnonzero((lb != label) & ((cb > cid) if i == j else True))
-            at = at[plausible(np.broadcast_to(r, (len(at), M)), rb[at], np.full(len(at), n), nb[at], percent)] if len(at) else at
-            at = [k for k in at.tolist() if own is None or hubs[k].isdisjoint(own)]
-            out_a += [cid] * len(at)
-            out_b += cb[at].tolist()
-        return pd.DataFrame({"a": np.array(out_a, dtype=np.int64), "b": np.array(out_b, dtype=np.int64)})
+def _bucket_pairs(percent: int):
+    """Plausible pairs of classes of different components within each bucket, without those of its hub; rows come by bucket."""
+
+    def pairs(rows: pa.Table) -> pa.RecordBatch:
+        band, cid, label, n, hub = (rows.column(c).to_numpy() for c in ("band", "cid", "label", "n", "hub"))
+        regs = _table(rows.column("regs").combine_chunks())
+        starts = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(band)], strict=True):
+            x, y = np.triu_indices(hi - lo, 1)
+            x, y = x + lo, y + lo
+            open_ = (label[x] != label[y]) & (cid[x] != hub[x]) & (cid[y] != hub[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+            x, y = x[open_], y[open_]
+            if len(x):
+                ok = plausible(regs[x], regs[y], n[x], n[y], percent)
+                out.append((cid[x[ok]], cid[y[ok]]))
+        a, b = (np.concatenate([np.zeros(0, np.int64), *(o[i] for o in out)]) for i in (0, 1))
+        seen = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(seen[:, 0]), pa.array(seen[:, 1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= 4096:
+                rows = pa.Table.from_batches(held)
+                band = rows.column("band").to_numpy()
+                last = len(band) - int((band[::-1] != band[-1]).argmax()) if band[0] != band[-1] else 0  # the last bucket may go on
+                if last:
+                    yield pairs(rows.slice(0, last))
+                held = rows.slice(last).combine_chunks().to_batches()
+        if held:
+            yield pairs(pa.Table.from_batches(held))
+
+    return run
+
+
+def _counters(hub: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (mixed(shingles.view(np.uint64) ^ mixed(hub.view(np.uint64))) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.diff(column.offsets.to_numpy(zero_copy_only=False).astype(np.int64))
+    return column.flatten().to_numpy(zero_copy_only=False), sizes
+
+
+def _sketcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+    for b in batches:
+        gained, sizes = _flat(b.column("gained"))
+        seen += np.bincount(_counters(np.repeat(b.column("hub").to_numpy(), sizes), gained), minlength=len(seen))
+    if seen.any():
+        parts = np.split(seen, SKETCH_PARTS)
+        yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([p.astype("<i8").tobytes() for p in parts], pa.binary())], names=["part", "seen"])
+
+
+def _summed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(x, dtype="<i8") for x in rows["seen"])
+    return pd.DataFrame({"part": [key[0]], "seen": [total.tobytes()]})
+
+
+def sketch_of(rows: DataFrame) -> np.ndarray:
+    """How often each gained shingle of a hub occurs, by counters of a fixed number; several shingles can share one."""
+    parts = rows.select("hub", "gained").mapInArrow(_sketcher, "part int, seen binary").groupBy("part").applyInPandas(_summed, "part int, seen binary").collect()
+    seen = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), dtype=np.int64)
+    for r in parts:
+        seen[r["part"]] = np.frombuffer(r["seen"], dtype="<i8")
+    return seen.ravel()
+
+
+def _prefixes(sketch, percent: int):
+    """The gained shingles that a class has to show to meet any other of its hub: rarest first, then by value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            hub, n, least, nc, lost = (b.column(c).to_numpy() for c in ("hub", "n", "least", "nc", "lost"))
+            gained, sizes = _flat(b.column("gained"))
+            other = np.maximum(least, -(-percent * n // 100))
+            need = np.maximum(-(-percent * (n + other) // (100 + percent)) - nc + lost, 1)
+            shown = np.clip(sizes - need + 1, 0, None)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            by = np.lexsort((gained.view(np.uint64), sketch.value[_counters(hub[row], gained)], row))
+            place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+            use = place <= shown[row]
+            row, place, gained = row[use], place[use], gained[by][use]
+            columns = [b.column(c).take(pa.array(row)) for c in ("hub", "cid", "n", "nc", "lost", "label", "loose")]
+            names = ["hub", "cid", "n", "nc", "lost", "label", "loose", "g", "s", "place"]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes[row]), pa.array(gained), pa.array(place)], names=names)
 
     return run
 
@@ -167,59 +267,48 @@ def _block_pairs(percent: int):
 def _sieved(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     known = classes.select("cid", "n", "regs")
     wide = pairs.join(known.selectExpr("cid AS a", "n AS na", "regs AS ra"), "a").join(known.selectExpr("cid AS b", "n AS nb", "regs AS rb"), "b")
-    wide = wide.filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    return narrow(keep(wide.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_sieve(percent), "a long, b long"), "dup-pairs"))
+    wide = wide.filter(f"large OR 100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    return narrow(keep(wide.select("a", "b", "large", "na", "nb", "ra", "rb").mapInArrow(_sieve(percent), "a long, b long, large boolean"), "dup-pairs"))
+
 
+def _decided(some: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """``a, b, large, na, nb, common, linked, gained`` of pairs of classes, on the full sets of one document of each class.
 
-def _decided(some: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, large: DataFrame | None = None) -> DataFrame:
-    """``a, b, na, nb, common, linked`` of pairs of classes, on the full sets of one document of each class; with ``large``
-    (a column ``a``) also ``apart``, for those a: the shingles that only one of them has."""
-    wanted = some.selectExpr("a AS cid").unionByName(some.selectExpr("b AS cid")).distinct().join(classes.select("cid", "sid", "rep"), "cid")
-    wanted = narrow(keep(wanted, "dup-wanted"))
-    by = docs["doc_id"].eqNullSafe(wanted["rep"])
+    ``gained`` is what b has and a has not, for pairs of large buckets only. A class's document is found by id and a hash of
+    its text, so rows that repeat an id, or have none, meet their own class only.
+    """
+    wanted = some.selectExpr("a AS cid").unionByName(some.selectExpr("b AS cid")).distinct().join(classes.select("cid", "sid", "rep.doc_id", "rep.h"), "cid")
+    wanted = narrow(keep(wanted.withColumnsRenamed({"doc_id": "rep_id", "h": "rep_h"}), "dup-wanted"))
+    by = docs["doc_id"].eqNullSafe(wanted["rep_id"]) & (docs["h"] == wanted["rep_h"])
     texts = docs.join(F.broadcast(wanted), by) if wanted.count() <= BROADCAST_ROWS else docs.join(wanted, by)
     sets = keep(texts.select("cid", "sid", "text").mapInArrow(_setter, "cid long, shingles array<long>").dropDuplicates(["cid"]), "dup-sets")
     both = some.join(sets.selectExpr("cid AS a", "shingles AS sa"), "a").join(sets.selectExpr("cid AS b", "shingles AS sb"), "b")
-    both = both.withColumn("common", F.size(F.array_intersect("sa", "sb"))).withColumn("na", F.size("sa")).withColumn("nb", F.size("sb"))
-    both = both.withColumn("linked", F.expr(f"100 * common >= {percent} * (na + nb - common)"))
-    columns = ["a", "b", "na", "nb", "common", "linked"]
-    if large is not None:
-        both = both.join(large.withColumn("large", F.lit(True)), "a", "left").withColumn("apart", F.when(F.col("large"), F.concat(F.array_except("sb", "sa"), F.array_except("sa", "sb"))))
-        columns.append("apart")
-    return keep(both.select(*columns), "dup-tested")
-
-
-def _beside(tested: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes that were compared with one centre and may be linked, though one of them is not linked to it.
-
-    ``D``, of size ``m``, is where a class differs from the centre: shingles that one of them alone has. Classes u, v
-    differ from each other in ``mu + mv - 2 * |Du and Dv|`` shingles, and are linked if these are at most the share
-    ``(100 - percent) / (100 + percent)`` of ``nu + nv``. So either ``mu + mv`` is small enough, or they have so much of D
-    in common that, rarest first, a shingle that both have leaves enough places after it in either.
-    """
-    share = f"{100 - percent} * (u.n + v.n)"
-    size_ok = f"100 * least(u.n, v.n) >= {percent} * greatest(u.n, v.n)"
-    own = narrow(tested.selectExpr("a", "b", "nb AS n", "na + nb - 2 * common AS m", "linked"))
-    # centres with few classes: every pair
-    counts = own.groupBy("a").agg(F.count("*").alias("size"), F.count_if(~F.col("linked")).alias("loose")).filter("size > 1 AND loose > 0")
-    own = narrow(keep(own.join(counts, "a"), "dup-own"))
-    u = own.filter(f"NOT linked AND (size <= {BLOCK} OR {percent} * m <= {100 - percent} * n)").alias("u")
-    near = u.join(own.alias("v"), F.expr(f"u.a = v.a AND u.b <> v.b AND {size_ok} AND (u.size <= {BLOCK} OR {100 + percent} * (u.m + v.m) <= {share})"))
-    near = near.selectExpr("least(u.b, v.b) AS a", "greatest(u.b, v.b) AS b")
-    if tested.filter("apart IS NOT NULL").isEmpty():
-        return near.distinct()
-    wide = tested.filter("apart IS NOT NULL").select("a", "b", F.col("nb").alias("n"), "linked", F.size("apart").alias("m"), "apart")
-    rows = wide.select("a", "b", "n", "linked", "m", F.explode("apart").alias("s"))
-    often = keep(rows.groupBy("a", "s").agg(F.count("*").alias("times")).filter("times > 1"), "dup-often")
-    met = keep(rows.join(often, ["a", "s"]), "dup-met")
-    # shingles that only one class has come first and meet nothing: they use up places
-    alone = met.groupBy("a", "b").agg(F.count("*").alias("k"))
-    placed = met.join(alone, ["a", "b"]).selectExpr("a", "b", "n", "linked", "m", "s", "m - k + row_number() OVER (PARTITION BY a, b ORDER BY times, s) AS place")
-    placed = placed.filter(f"m - place + 1 >= ceil(m - {100 - percent} * n / {percent})")
-    placed = keep(placed, "dup-places")
-    room = f"{100 + percent} * (u.m + v.m - 2 * (1 + least(u.m - u.place, v.m - v.place))) <= {share}"
-    far = placed.filter("NOT linked").alias("u").join(placed.alias("v"), F.expr(f"u.a = v.a AND u.s = v.s AND u.b <> v.b AND {size_ok} AND {room}"))
-    return near.unionByName(far.selectExpr("least(u.b, v.b) AS a", "greatest(u.b, v.b) AS b")).distinct()
+    both = both.withColumn("common", F.size(F.array_intersect("sa", "sb")).cast("long")).withColumn("na", F.size("sa").cast("long")).withColumn("nb", F.size("sb").cast("long"))
+    both = both.withColumn("linked", F.expr(f"100 * common >= {percent} * (na + nb - common)")).withColumn("gained", F.expr("IF(large, array_except(sb, sa), NULL)"))
+    return keep(both.select("a", "b", "large", "na", "nb", "common", "linked", "gained"), "dup-tested")
+
+
+def _in_large(tested: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes of one large bucket's hub that can be linked and are in different components so far."""
+    of = lambda side: labels.selectExpr(f"node AS {side}", f"label AS label_{side}")
+    big = tested.filter("large").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    big = big.selectExpr("a AS hub", "b AS cid", "nb AS n", "na AS nc", "na - common AS lost", "gained", "coalesce(label_b, b) AS label", "coalesce(label_b, b) <> coalesce(label_a, a) AS loose")
+    hubs = big.groupBy("hub").agg(F.min("n").alias("least"), F.max("loose").alias("some")).filter("some").drop("some")
+    big = keep(big.join(hubs, "hub"), "dup-large")
+    sketch = big.sparkSession.sparkContext.broadcast(sketch_of(big))
+    kind = "hub long, cid long, n long, nc long, lost long, label long, loose boolean, g long, s long, place long"
+    shown = keep(big.mapInArrow(_prefixes(sketch, percent), kind), "dup-shown")
+    met = keep(shown.groupBy("hub", "s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("hub", "s"), "dup-met")
+    shown = keep(shown.join(met, ["hub", "s"]), "dup-shared")
+    apart = f"u.hub = v.hub AND u.cid <> v.cid AND u.label <> v.label AND 100 * least(u.n, v.n) >= {percent} * greatest(u.n, v.n)"
+    within = "u.nc - greatest(u.lost, v.lost)"  # what u and v can have in common of the hub's shingles
+    room = f"{percent} * (u.n + v.n) <= {100 + percent} * ({within} + 1 + least(u.g - u.place, v.g - v.place))"
+    far = shown.filter("loose").alias("u").join(shown.alias("v"), F.expr(f"u.s = v.s AND {apart} AND {room}"))
+    fewest = f"greatest(least, CAST(ceil({percent} * n / 100) AS long))"
+    slim = keep(big.drop("gained").filter(f"{percent} * (n + {fewest}) <= {100 + percent} * (nc - lost)"), "dup-slim")
+    near = slim.filter("loose").alias("u").join(slim.alias("v"), F.expr(f"{apart} AND {percent} * (u.n + v.n) <= {100 + percent} * ({within})"))
+    ordered = ("least(u.cid, v.cid) AS a", "greatest(u.cid, v.cid) AS b")
+    return far.selectExpr(*ordered).unionByName(near.selectExpr(*ordered)).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 75) -> DataFrame:
@@ -227,11 +316,12 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75) -> DataFrame:
 
     A document without words (null, empty or white text) has an empty set and is linked with nothing. A document without
     an id takes part; it is kept only if its component has no id at all. Rows that repeat an id are documents each, and
-    rows of the component's smallest id are all kept.
+    rows of the component's smallest id are all kept. An empty table gives no rows; further columns are not looked at.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = keep(docs.mapInArrow(_signer, "doc_id long, n long, sid binary, regs binary"), "dup-signed")
-    classes = signed.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("regs").alias("regs"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    signed = keep(docs.mapInArrow(_signer, "doc_id long, h long, n long, sid binary, regs binary"), "dup-signed")
+    classes = signed.filter("n > 0").groupBy("sid")
+    classes = classes.agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.min("doc_id").alias("least"), F.max("n").alias("n"), F.max("regs").alias("regs"))
     classes = keep(classes.withColumn("cid", F.monotonically_increasing_id()), "dup-classes")
     width = 2 * ROWS
     keys = F.array(*(F.xxhash64(F.lit(b), F.substring("regs", b * width + 1, width)) for b in range(BANDS)))
@@ -239,32 +329,29 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75) -> DataFrame:
     shared = keep(bands.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1"), "dup-bands")
     members = keep(bands.join(shared, "band"), "dup-members")
     known = members.groupBy("cid").agg(F.sum("size").alias("met"))
-    centres = members.join(known, "cid").groupBy("band").agg(F.max_by("cid", F.struct("met", -F.col("cid"))).alias("centre"))
-    members = members.join(keep(centres, "dup-centres"), "band")
-    some = _sieved(members.filter("cid <> centre").selectExpr("centre AS a", "cid AS b").distinct(), classes, percent)
-    large = some.groupBy("a").agg(F.count("*").alias("k")).filter(f"k > {BLOCK}").select("a")
-    tested = _decided(some, classes, docs, percent, large)
-    beside = _decided(_sieved(_beside(tested, percent), classes, percent), classes, docs, percent)
-    links = tested.filter("linked").select("a", "b").unionByName(beside.filter("linked").select("a", "b"))
-    labels = narrow(keep(components(links), "dup-labels"))
-    # pairs of a bucket in different components that no centre has been compared with both of
-    hubs = some.selectExpr("b AS cid", "a AS hub").unionByName(some.selectExpr("a AS cid", "a AS hub").distinct()).groupBy("cid").agg(F.collect_set("hub").alias("hubs"))
-    told = members.select("band", "cid", "size").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    told = keep(told.join(hubs, "cid", "left"), "dup-told")
-    split = told.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi AND hi IS NOT NULL").select("band")
-    left = keep(told.join(keep(split, "dup-split"), "band"), "dup-left")
-    small = left.filter(f"size <= {BLOCK}")
-    apart = "x.band = y.band AND x.cid < y.cid AND x.label <> y.label AND NOT coalesce(arrays_overlap(x.hubs, y.hubs), false)"
-    pairs = small.alias("x").join(small.alias("y"), F.expr(apart)).selectExpr("x.cid AS a", "y.cid AS b")
-    blocks = left.filter(f"size > {BLOCK}").join(classes.select("cid", "n", "regs"), "cid").withColumn("blocks", F.expr(f"CAST(ceil(size / {BLOCK}) AS int)"))
-    blocks = blocks.withColumn("blk", F.expr("CAST(pmod(xxhash64(cid), blocks) AS int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    blocks = blocks.selectExpr("band", "least(blk, other) AS i", "greatest(blk, other) AS j", "blk", "cid", "n", "label", "regs", "hubs")
-    pairs = pairs.unionByName(blocks.groupBy("band", "i", "j").applyInPandas(_block_pairs(percent), "a long, b long")).distinct()
+    top = F.max(F.struct("met", (-F.col("cid")).alias("minus")))
+    centres = keep(members.join(known, "cid").groupBy("band").agg(top.alias("top")).selectExpr("band", "-top.minus AS centre", "top.met AS met"), "dup-centres")
+    # a centre that is much like that of a larger bucket of its own gives way to it
+    own = members.select("band", "cid").join(centres.selectExpr("centre AS cid").distinct(), "cid")
+    best = own.join(centres, "band").groupBy("cid").agg(F.max(F.struct("met", (-F.col("centre")).alias("minus"))).alias("top")).selectExpr("cid AS a", "-top.minus AS b").filter("a <> b")
+    regs = classes.select("cid", "n", "regs")
+    wide = best.join(regs.selectExpr("cid AS a", "n AS na", "regs AS ra"), "a").join(regs.selectExpr("cid AS b", "n AS nb", "regs AS rb"), "b")
+    moved = keep(wide.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_alike(ALIKE), "a long, b long"), "dup-moved").selectExpr("a AS centre", "b AS hub")
+    hubs = keep(centres.join(moved, "centre", "left").selectExpr("band", "coalesce(hub, centre) AS hub", "hub IS NOT NULL AS moved"), "dup-hubs")
+    members = members.join(hubs, "band")
+    stars = members.filter("cid <> hub").groupBy(F.col("hub").alias("a"), F.col("cid").alias("b")).agg(F.max(F.col("size") > BLOCK).alias("large"))
+    tested = _decided(_sieved(stars, classes, percent), classes, docs, percent)
+    labels = narrow(keep(components(tested.filter("linked").select("a", "b")), "dup-labels"))
+    told = members.filter(f"size <= {BLOCK} AND (size > 2 OR moved)").select("band", "cid", "hub").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
+    told = keep(told.withColumn("label", F.coalesce("label", "cid")), "dup-told")
+    open_ = keep(told.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band"), "dup-open")
+    rows = told.join(open_, "band").join(regs, "cid").select("band", "cid", "label", "n", "hub", "regs")
+    dealt = rows.repartition(partitions_for(docs.sparkSession), "band").sortWithinPartitions("band")
+    pairs = dealt.mapInArrow(_bucket_pairs(percent), "a long, b long").unionByName(_in_large(tested, labels, percent)).distinct().withColumn("large", F.lit(False))
     rest = _decided(_sieved(pairs, classes, percent), classes, docs, percent).filter("linked").select("a", "b")
-    stars = labels.selectExpr("node AS a", "label AS b")
-    labels = narrow(keep(components(stars.unionByName(rest)), "dup-labels"))
-    named = classes.select("cid", "sid", "rep").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    least = keep(named.groupBy("label").agg(F.min("rep").alias("component_id")), "dup-least")
+    labels = narrow(keep(components(labels.selectExpr("node AS a", "label AS b").unionByName(rest)), "dup-labels"))
+    named = classes.select("cid", "sid", "least").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    least = keep(named.groupBy("label").agg(F.min("least").alias("component_id")), "dup-least")
     by_class = keep(keep(named, "dup-named").join(least, "label").select("sid", "component_id"), "dup-by-class")
     out = signed.select("doc_id", F.col("n").alias("n_shingles"), "sid").join(by_class, "sid", "left")
     out = out.withColumn("component_id", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
