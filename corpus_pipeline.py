@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.llm import decontaminate, mixing, neardup, quality, tokens
-from shelfwise.llm._store import drop_kept, keep, new_path, text_batches
+from shelfwise.llm._store import keep, new_path, text_batches, working
 
 #: Rows whose ids are broadcast to drop documents, at most; more are joined.
 BROADCAST_ROWS = 1_000_000
@@ -19,7 +19,6 @@ THRESHOLD = 0.3
 
 def _begin(spark: SparkSession) -> None:
     """Working tables of the stage before are garbage: its result is written before the next one starts."""
-    drop_kept(spark)
     text_batches(spark)
 
 
