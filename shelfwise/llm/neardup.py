@@ -170,17 +170,21 @@ def _alike(percent: int):
 
 
 def _bucket_pairs(percent: int):
-    """Plausible pairs of classes of different components within each bucket, without those of its hub; rows come by bucket."""
+    """Plausible pairs of classes of different components within each bucket; rows come by bucket.
+
+    Pairs with the bucket's hub have been decided, and those whose largest hub is the same are for ``_in_large``.
+    """
 
     def pairs(rows: pa.Table) -> pa.RecordBatch:
-        band, cid, label, n, hub = (rows.column(c).to_numpy() for c in ("band", "cid", "label", "n", "hub"))
+        band, cid, label, n, hub, home = (rows.column(c).to_numpy() for c in ("band", "cid", "label", "n", "hub", "home"))
         regs = _table(rows.column("regs").combine_chunks())
         starts = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
         out: list[tuple[np.ndarray, np.ndarray]] = []
         for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(band)], strict=True):
             x, y = np.triu_indices(hi - lo, 1)
             x, y = x + lo, y + lo
-            open_ = (label[x] != label[y]) & (cid[x] != hub[x]) & (cid[y] != hub[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+            open_ = (label[x] != label[y]) & (cid[x] != hub[x]) & (cid[y] != hub[y]) & ((home[x] != home[y]) | (home[x] < 0))
+            open_ &= 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
             x, y = x[open_], y[open_]
             if len(x):
                 ok = plausible(regs[x], regs[y], n[x], n[y], percent)
@@ -343,9 +347,13 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75) -> DataFrame:
     tested = _decided(_sieved(stars, classes, percent), classes, docs, percent)
     labels = narrow(keep(components(tested.filter("linked").select("a", "b")), "dup-labels"))
     told = members.filter(f"size <= {BLOCK} AND (size > 2 OR moved)").select("band", "cid", "hub").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
-    told = keep(told.withColumn("label", F.coalesce("label", "cid")), "dup-told")
+    with_large = tested.filter("large").select("a", "b")
+    sizes = with_large.groupBy("a").agg(F.count("*").alias("k"))
+    homes = with_large.join(sizes, "a").groupBy(F.col("b").alias("cid")).agg(F.max(F.struct("k", "a")).alias("x")).selectExpr("cid", "x.a AS home")
+    told = told.withColumn("label", F.coalesce("label", "cid")).join(keep(homes, "dup-homes"), "cid", "left").withColumn("home", F.coalesce("home", F.lit(-1)))
+    told = keep(told, "dup-told")
     open_ = keep(told.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band"), "dup-open")
-    rows = told.join(open_, "band").join(regs, "cid").select("band", "cid", "label", "n", "hub", "regs")
+    rows = told.join(open_, "band").join(regs, "cid").select("band", "cid", "label", "n", "hub", "home", "regs")
     dealt = rows.repartition(partitions_for(docs.sparkSession), "band").sortWithinPartitions("band")
     pairs = dealt.mapInArrow(_bucket_pairs(percent), "a long, b long").unionByName(_in_large(tested, labels, percent)).distinct().withColumn("large", F.lit(False))
     rest = _decided(_sieved(pairs, classes, percent), classes, docs, percent).filter("linked").select("a", "b")
