@@ -14,7 +14,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
+from ._store import OWN, opened, packed, packed_with, unpacked
 from ._words import raw_bytes, slices, texts_of, words_of
 
 FEATURES = (
@@ -164,32 +166,44 @@ def held_out(doc_id: str = "doc_id", folds: int = 5):
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, **options) -> Trees:
-    """Trees from at most ``max_rows`` labelled rows outside the held-out fold, the first by a hash of ``doc_id``."""
+    """Trees from at most ``max_rows`` labelled ids outside the held-out fold, the first by a hash of ``doc_id``.
+
+    Labels without an id or a quality are left out, and equal ones count once. An id that several documents have gives one
+    row for each quality, that of the least statistics, so reruns agree.
+    """
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id IS NOT NULL AND quality IS NOT NULL")
-    chosen = named.filter(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_rows)
+    chosen = named.filter(~held_out()).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
-    rows = texts.mapInArrow(_measured, "doc_id long, quality int, x array<double>").limit(max_rows).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["quality"], r["x"]))
+    rows = texts.mapInArrow(_measured, "doc_id long, quality int, x array<double>").groupBy("doc_id", "quality").agg(F.min("x").alias("x")).collect()  # max_rows at most
+    rows.sort(key=lambda r: (r["doc_id"], r["quality"]))
     x = np.array([r["x"] for r in rows], dtype=float).reshape(len(rows), len(FEATURES))
     return train(x, np.array([float(r["quality"] > 0) for r in rows]), **options)
 
 
-def _scorer(model, carried: list[str]):
+def _scorer(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for piece in slices(b, "text_", 8 << 20):
-                score = model.value.score(features_of(texts_of(piece.column("text_"))))
-                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in carried), pa.array(score)], names=[*carried, "score_"])
+        for b in opened(batches):
+            for piece in slices(b, "text", 8 << 20):
+                score = model.value.score(features_of(texts_of(piece.column("text"))))
+                yield pa.RecordBatch.from_arrays([piece.column(OWN), pa.array(score)], names=[OWN, "score"])
 
     return run
 
 
+def scored_packed(docs: DataFrame, model: Trees, carried: list[str]) -> DataFrame:
+    """``own``, a struct of the columns ``carried`` of every document, and ``score``, 0 to 1.
+
+    Null and empty texts have the score of an empty text; rows that repeat an id are documents each; an empty table gives
+    no rows.
+    """
+    rows = packed(docs, carried)
+    return rows.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model)), packed_with(rows, score=DoubleType()))
+
+
 def scored(docs: DataFrame, model: Trees, carried: list[str] | None = None) -> DataFrame:
-    """Columns ``carried`` of every document with ``score_``, 0 to 1. Null and empty texts have the score of an empty text."""
+    """The columns ``carried`` (``doc_id``) and ``score_``: for names that do not clash."""
     carried = ["doc_id"] if carried is None else carried
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carried), "score_ double"])
-    return docs.select(*(f"`{c}`" for c in carried), F.col("text").alias("text_")).mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model), carried), schema)
+    return scored_packed(docs, model, carried).select(*unpacked(carried), F.col("score").alias("score_"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str, threshold: float = 0.3) -> DataFrame:
