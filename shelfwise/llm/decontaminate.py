@@ -16,9 +16,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StringType
 
+from ._store import OWN, opened, packed, packed_with, unpacked
 from ._words import mapped, slices, texts_of, words_of
 
+FOUND = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 #: Bytes of benchmark text in a block, about.
 BLOCK_BYTES = 4 << 20
 #: Lower-cases A-Z; what ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` leaves out becomes a space.
@@ -107,33 +110,36 @@ def _counter(words):
     return run
 
 
-def _scanner(index, carried: list[str], last: bool, share: int):
+def _scanner(index, last: bool, share: int):
+    """Rows of ``own``, the text where it is not in there, and the runs and items that earlier blocks have hit."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w: Windows = index.value
         for batch in batches:
-            for piece in slices(batch, "text_", 8 << 20):
-                codes, counts = _coded(texts_of(piece.column("text_")), w.words)
+            kept = [c for c in batch.schema.names if c in (OWN, "text")]
+            batch = batch.append_column("read", next(opened([batch.select(kept)])).column("text"))
+            for piece in slices(batch, "read", 8 << 20):
+                codes, counts = _coded(texts_of(piece.column("read")), w.words)
                 ends = np.cumsum(counts)
                 row = np.repeat(np.arange(len(counts)), counts)
                 start, window = w.find(codes, (ends - counts)[row], ends[row])
-                per_row: list[set[str]] = [set(x or ()) for x in piece.column("items_").to_pylist()]
+                per_row: list[set[str]] = [set(x or ()) for x in piece.column("items").to_pylist()]
                 for r, x in {(r, x) for r, x in zip(row[start].tolist(), window.tolist(), strict=True)}:
                     per_row[r].update(w.ids[i] for i in w.items[x] if w.ids[i] is not None)
                 edge = np.zeros(len(codes) + 1, dtype=np.int64)
                 np.add.at(edge, start, 1)
                 np.add.at(edge, start + w.lengths[window], -1)
-                for i, old in enumerate(piece.column("runs_").to_pylist()):
+                for i, old in enumerate(piece.column("runs").to_pylist()):
                     for lo, hi in zip((old or ())[::2], (old or ())[1::2], strict=True):
                         edge[ends[i] - counts[i] + lo] += 1
                         edge[ends[i] - counts[i] + hi] -= 1
                 hit = np.cumsum(edge[:-1]) > 0
-                own = [piece.column(c) for c in carried]
                 if last:
                     sums = np.concatenate([[0], np.cumsum(hit)])
                     n_hit = sums[ends] - sums[ends - counts]
                     digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in per_row]
-                    own += [pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in per_row], pa.int64()), pa.array(digest, pa.string()), pa.array((n_hit > 0) & (share * n_hit >= counts))]
-                    yield pa.RecordBatch.from_arrays(own, names=[*carried, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+                    found = [pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in per_row], pa.int64()), pa.array(digest, pa.string()), pa.array((n_hit > 0) & (share * n_hit >= counts))]
+                    yield pa.RecordBatch.from_arrays([piece.column(OWN), *found], names=[OWN, *FOUND])
                     continue
                 runs: list[list[int]] = [[] for _ in per_row]
                 flips = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
@@ -142,31 +148,31 @@ def _scanner(index, carried: list[str], last: bool, share: int):
                     if hit[lo]:
                         r = int(row[lo])
                         runs[r] += [lo - int(ends[r] - counts[r]), hi - int(ends[r] - counts[r])]
-                own += [piece.column("text_"), pa.array(runs, pa.list_(pa.int32())), pa.array([sorted(x) for x in per_row], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(own, names=[*carried, "text_", "runs_", "items_"])
+                state = [pa.array(runs, pa.list_(pa.int32())), pa.array([sorted(x) for x in per_row], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in kept), *state], names=[*kept, "runs", "items"])
 
     return run
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, carried: list[str] | None = None, *, width: int = 13, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Columns ``carried`` of every document with ``n_words, n_hit, n_items, items_sha256, contaminated``.
+def scan_packed(docs: DataFrame, benchmark: DataFrame, carried: list[str], *, width: int = 13, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``own``, a struct of the columns ``carried`` of every document, with ``n_words, n_hit, n_items, items_sha256, contaminated``.
 
     A document is contaminated if it has a hit word and hit words times ``share`` reach its words. Null and empty texts
-    have no words and are clean; items without words take no part; items with one id count once, and those without one
-    give hits but are not among ``n_items`` and ``items_sha256``.
+    have no words and are clean; rows that repeat an id are documents each. Items without words take no part; equal items
+    are one, items with one id count once, and those without one give hits but are not among ``n_items`` and
+    ``items_sha256``. Without documents there are no rows, without items nothing is hit.
     """
-    spark, carried = docs.sparkSession, ["doc_id"] if carried is None else carried
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text IS NOT NULL")
+    spark = docs.sparkSession
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text IS NOT NULL").distinct()
     n_bytes = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n_blocks = max(1, -(-n_bytes // block_bytes))
     items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)))
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    names = [f"`{c}`" for c in carried]
-    state = docs.select(*names, F.col("text").alias("text_"), F.expr("CAST(NULL AS array<int>)").alias("runs_"), F.expr("CAST(NULL AS array<string>)").alias("items_"))
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in carried) + ", " * bool(carried)
+    rows = packed(docs, carried)
+    state = rows.withColumns({"runs": F.expr("CAST(NULL AS array<int>)"), "items": F.expr("CAST(NULL AS array<string>)")})
+    done = packed_with(rows, n_words=LongType(), n_hit=LongType(), n_items=LongType(), items_sha256=StringType(), contaminated=BooleanType())
     for block in range(n_blocks):
-        rows = items.filter(F.col("block") == block).select("item_id", "text").collect()  # of bounded size
-        index = Windows([r[0] for r in rows], [r[1] for r in rows], width)
+        some = items.filter(F.col("block") == block).select("item_id", "text").collect()  # of bounded size: items are distinct, and dealt evenly
+        index = Windows([r[0] for r in some], [r[1] for r in some], width)
         words = spark.sparkContext.broadcast(index.words)
         seen = docs.select("text").mapInArrow(_counter(words), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
         frequency = np.zeros(max(1, len(index.words)), dtype=np.int64)
@@ -174,11 +180,16 @@ def scan(docs: DataFrame, benchmark: DataFrame, carried: list[str] | None = None
             frequency[r["code"]] = r["n"]
         index.order(frequency)
         last = block == n_blocks - 1
-        more = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" if last else "text_ string, runs_ array<int>, items_ array<string>"
-        state = state.mapInArrow(_scanner(spark.sparkContext.broadcast(index), carried, last, share), schema + more)
+        state = state.mapInArrow(_scanner(spark.sparkContext.broadcast(index), last, share), done if last else state.schema)
     return state
 
 
+def scan(docs: DataFrame, benchmark: DataFrame, carried: list[str] | None = None, **options) -> DataFrame:
+    """As ``scan_packed``, with the columns ``carried`` (``doc_id``) beside the others: for names that do not clash."""
+    carried = ["doc_id"] if carried is None else carried
+    return scan_packed(docs, benchmark, carried, **options).select(*unpacked(carried), *FOUND)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return scan(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
