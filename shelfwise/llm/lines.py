@@ -3,10 +3,12 @@
 Two lines are within one edit (a character put in, taken out or changed) if and only if deleting one character of the
 longer, or of both if they are equally long, gives the same string. Emitting every such variant of every line would
 square the cost of long lines, so neighbourhoods go from coarse to fine: a variant that leaves out a half, then an
-eighth, is shared by all pairs whose edit lies in it, and only lines that share one emit the next finer ones; pieces are
-counted from both ends, for the line's own length and for one more, so that no pair within the bound is lost. The finest
-variants leave out one character. Lines that share a variant at one place are within one edit of each other, all of them,
-so the earliest of them is found by a minimum per variant and no pairs within a group are made.
+eighth, then an eighth of that, is shared by all pairs whose edit lies in it, and only lines that share one emit the next
+finer ones, until a piece has ``FINE`` characters at most; pieces are counted from both ends, for the line's own length and
+for one more, so that no pair within the bound is lost. The finest variants leave out one character. A line of L characters
+so emits about 16 log L variants and ``FINE`` finest ones for each piece that it shares. Lines that share a variant at one place are within one edit of each other, all of them,
+so the earliest of them is found by a minimum per variant and no pairs within a group are made. The pair that is left
+is compared character by character, but for the place that the variant leaves out.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from ._store import keep
 
 #: Lines that are broadcast to pick their texts, at most; more are joined.
 BROADCAST_ROWS = 500_000
+#: Characters of a piece in which single ones are left out, at most; longer pieces are cut again.
+FINE = 64
 _CUT = "CAST({t} * M DIV {q} AS int)"
 
 
@@ -35,6 +39,13 @@ def _coarse(rows: DataFrame, pieces: int) -> DataFrame:
     return cut.withColumn("key", F.expr("xxhash64(t, M, left(line, lo), right(line, M - hi))"))
 
 
+def _finer(hits: DataFrame, texts: DataFrame) -> DataFrame:
+    """Keys of lines without one of the eight parts of each piece that they share."""
+    cut = hits.join(texts.select("a", "b", "line"), ["a", "b"]).withColumnsRenamed({"lo": "from", "hi": "to"}).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    cut = cut.withColumn("lo", F.expr("`from` + CAST(t * (to - `from`) DIV 8 AS int)")).withColumn("hi", F.expr("`from` + CAST((t + 1) * (to - `from`) DIV 8 AS int)"))
+    return cut.selectExpr("a", "b", "xxhash64(lo, hi, M, left(line, lo), right(line, M - hi)) AS key", "M", "lo", "hi")
+
+
 def _shared(keys: DataFrame) -> DataFrame:
     """Keys that two different lines have: minima and maxima of numbers, summed in each task before the shuffle."""
     sides = keys.groupBy("key").agg(F.min("a").alias("a0"), F.max("a").alias("a1"), F.min("b").alias("b0"), F.max("b").alias("b1"))
@@ -44,7 +55,13 @@ def _shared(keys: DataFrame) -> DataFrame:
 def _close_pairs(texts: DataFrame) -> DataFrame:
     """``h, witness`` of lines ``a, b, line, first``: earlier lines within one edit, the earliest for each variant."""
     pieces = _coarse(texts, 8).select("a", "b", "key", "M", "t", "lo", "hi")
-    hits = keep(pieces.join(_shared(pieces), "key").drop("key"), "line-pieces")
+    hits = keep(pieces.join(_shared(pieces), "key").drop("key", "t"), "line-pieces")
+    fine, wide = hits.filter(f"hi - lo <= {FINE}"), hits.filter(f"hi - lo > {FINE}")
+    while not wide.isEmpty():  # a round cuts the longest piece by eight
+        finer = keep(_finer(wide, texts), "line-finer")
+        hits = keep(finer.join(_shared(finer), "key").drop("key"), "line-pieces")
+        fine, wide = fine.unionByName(hits.filter(f"hi - lo <= {FINE}")), hits.filter(f"hi - lo > {FINE}")
+    hits = fine
     wide = hits.join(texts, ["a", "b"]).withColumn("st", F.struct("first", F.struct("a", "b").alias("h")))
     places = F.explode(F.expr("sequence(lo, hi - 1)"))
     whole = wide.filter("length(line) = M").withColumn("i", places)
@@ -53,11 +70,14 @@ def _close_pairs(texts: DataFrame) -> DataFrame:
     shorter = keep(lesser.selectExpr("xxhash64(left(line, i), right(line, M - i - 1)) AS v", "M", "i", "st"), "line-whole")
     at = ["v", "M", "i"]
     first_longer, first_shorter = (x.groupBy(*at).agg(F.min("st").alias("w")) for x in (longer, shorter))
-    told = longer.join(first_longer, at).select("st", "w").unionByName(longer.join(first_shorter, at).select("st", "w")).unionByName(shorter.join(first_longer, at).select("st", "w"))
-    pairs = told.filter("w.first < st.first AND w.h <> st.h").selectExpr("st.h AS h", "w.h AS witness").distinct()
+    sides = [longer.join(first_longer, at), longer.join(first_shorter, at), shorter.join(first_longer, at)]
+    told = sides[0].unionByName(sides[1]).unionByName(sides[2]).filter("w.first < st.first AND w.h <> st.h")
+    pairs = told.groupBy(F.col("st.h").alias("h"), F.col("w.h").alias("witness")).agg(F.min(F.struct("M", "i")).alias("at"))
     known = texts.select(F.struct("a", "b").alias("h"), "line")
     both = pairs.join(known, "h").join(known.selectExpr("h AS witness", "line AS other"), "witness")
-    return both.filter("levenshtein(line, other, 1) BETWEEN 0 AND 1").select("h.a", "h.b")
+    # without the character at one place, where there is one, both are the same string: linear, whatever their length
+    same = "left(line, at.i) = left(other, at.i) AND right(line, at.M - at.i - 1) = right(other, at.M - at.i - 1)"
+    return both.filter(same).select("h.a", "h.b")
 
 
 def dropped_lines(docs: DataFrame, *, min_chars: int = 12) -> DataFrame:
@@ -65,7 +85,8 @@ def dropped_lines(docs: DataFrame, *, min_chars: int = 12) -> DataFrame:
 
     Lines are in the order of ``doc_id`` (no id first), version and place. A line goes if an equal one, or one within one
     edit, came before it first, whether or not that one goes too; lines of under ``min_chars`` characters need an equal
-    one. Blank lines stay. Rows that repeat an id and its text count as one document.
+    one. Blank lines stay. Rows that repeat an id and its text count as one document. A null text has no lines, an empty
+    one a blank line; an empty table gives no rows; further columns are not looked at.
     """
     lines = keep(_lines(docs).select("doc_id", "version", "pos", "a", "b"), "line-places")
     first = lines.groupBy("a", "b").agg(F.min(F.struct("doc_id", "version", "pos")).alias("first"), F.count("*").alias("n"))
@@ -94,9 +115,9 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, n_lines, n_dropped, dropped``: the numbers of the lines that go, comma-joined, for every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     gone = dropped_lines(docs).groupBy("doc_id", "version").agg(F.array_sort(F.collect_list("pos")).alias("gone"))
-    own = docs.select("doc_id", F.xxhash64("text").alias("version"), F.expr("CAST(coalesce(size(split(text, '\\n', -1)), 0) AS LONG)").alias("n_lines"))
+    own = docs.select("doc_id", F.xxhash64("text").alias("version"), F.expr("CAST(IF(text IS NULL, 0, size(split(text, '\\n', -1))) AS LONG)").alias("n_lines"))
     both = own.alias("d").join(gone.alias("g"), F.expr("d.doc_id <=> g.doc_id AND d.version = g.version"), "left")
-    return both.selectExpr("d.doc_id", "n_lines", "CAST(coalesce(size(gone), 0) AS LONG) AS n_dropped", "coalesce(array_join(gone, ','), '') AS dropped")
+    return both.selectExpr("d.doc_id", "n_lines", "CAST(IF(gone IS NULL, 0, size(gone)) AS LONG) AS n_dropped", "coalesce(array_join(gone, ','), '') AS dropped")
 
 
 OP3_SQL = r"""

@@ -3,6 +3,7 @@ import random
 import pytest
 
 from shelfwise.llm import lines
+from shelfwise.working import new_path
 from tests.oracle import compare
 
 BLANK = " \t\n\x0b\x0c\r"
@@ -62,3 +63,31 @@ def test_edges(spark, monkeypatch):
 
 def test_query(spark):
     assert compare(spark, lines.op3_line_dedup, lines.OP3_SQL, "/root/testdata/sf0.01") == 1000
+
+
+@pytest.mark.parametrize("fine", [1, 3])
+def test_long_lines(spark, monkeypatch, fine):
+    """Pieces are cut again and again; a line of a million characters takes no square of its length."""
+    monkeypatch.setattr(lines, "FINE", fine)
+    r = random.Random(8)
+    base = "".join(r.choice("abcdefgh ") for _ in range(700))
+    rows = [(0, base)] + [(i + 1, base[:p] + c + base[p + n :]) for i, (p, c, n) in enumerate([(0, "", 1), (699, "", 1), (350, "x", 1), (87, "y", 0), (700, "z", 0), (88, "", 2), (10, "qq", 0)])]
+    assert result(spark, rows) == brute(rows)
+
+
+def test_very_long_line(spark):
+    line = "0123456789 abcdef" * 120_000
+    rows = [(1, line), (2, line[:1_000_000] + "x" + line[1_000_001:]), (3, line + "y"), (4, line[:-2]), (5, "x" * 2_040_000)]
+    got = {i: t for i, t in result(spark, rows)}
+    assert [got[i] == "" for i in range(1, 6)] == [False, True, True, False, False]
+
+
+def test_nulls_without_ansi(spark):
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        df = spark.createDataFrame([(1, None), (2, "a\nb"), (3, "")], "doc_id long, text string")
+        df.write.mode("overwrite").parquet(path := new_path(spark, "test") + "/documents.parquet")
+        got = lines.op3_line_dedup(spark, path.removesuffix("/documents.parquet"))
+        assert sorted(map(tuple, got.select("doc_id", "n_lines", "n_dropped", "dropped").collect())) == [(1, 0, 0, ""), (2, 2, 0, ""), (3, 1, 0, "")]
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
