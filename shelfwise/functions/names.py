@@ -1,19 +1,21 @@
-"""Display names and brands taken from names.
+"""Display names, and brands taken from names, as column expressions over arrays of words.
 
-Title case and display names are column expressions. Finding a brand in a name walks its words with a vocabulary, which is a
-parameter, in Arrow batches.
+The vocabulary is a parameter. A name's leading run of words is counted as the place of the first word that does not fit,
+spellings of a brand are one pattern, made for each row, that takes them off with the words that join them, and shorter
+and shorter runs are an array of which the first that leaves enough is taken.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import text_key
+
 #: Words that stay small inside a title.
 SMALL_WORDS = ("a", "an", "and", "as", "at", "by", "for", "from", "in", "of", "on", "or", "the", "to", "with")
 #: Words that mark the part of a name after a comma or dash as a claim.
@@ -25,8 +27,15 @@ CLAIMS = (
 CONNECTORS = ("&", "and", "of", "by", "the", "foods", "food", "company", "co", "superfood")
 EMPTY_RESTS = ("beer", "wine", "coffee", "items", "item", "products", "product", "brands", "brand", "snacks")
 
+#: A word with its marks, a size in brackets at the end, and a rest of a name that is a size.
 _WORD = r"^([^A-Za-z0-9]*)([A-Za-z0-9’'&+/-]+)([^A-Za-z0-9]*)$"
-_TRIM = " ,.:;()[]{}"
+_SIZE_IN_BRACKETS = r"(?i)\s*\((?:\d+\s*servings?|pack of \d+|[0-9.]+\s*(?:oz|fl oz|lb|g|kg).*)\)\s*$"
+_SIZE_REST = r"^\d+(?: \d+)?\s*(?:oz|fl oz|lb|lbs|count|ct|pack)\b.*$"
+#: Words looked at in capitals and with a capital; the least that a rest of a name must say.
+MOST_CAPITALS, MOST_CAPITALISED = 6, 5
+LEAST_WORDS, LEAST_LENGTH, LEAST_KEY, LEAST_BRAND = 2, 14, 12, 3
+_MARKS = r"[ ,.:;()\[\]{}]"
+_BETWEEN = "[ ,:\u2013\u2014-]*"
 
 
 def _capital(x: Column) -> Column:
@@ -67,7 +76,7 @@ def display_name(x: Column) -> Column:
     c = strip(F.when(long_or_claim & F.contains(c, F.lit(" – ")), F.regexp_replace(c, " – .*$", "")).when(long_or_claim & F.contains(c, F.lit(" - ")), F.regexp_replace(c, " - .*$", "")).otherwise(c))
     rest = F.regexp_extract(c, "^[^,]*,(.*)$", 1)
     c = F.when((rest != "") & ((F.length(c) > 60) | claims(rest)), F.trim(F.regexp_extract(c, "^([^,]*),", 1))).otherwise(c)
-    c = F.regexp_replace(c, r"(?i)\s*\((?:\d+\s*servings?|pack of \d+|[0-9.]+\s*(?:oz|fl oz|lb|g|kg).*)\)\s*$", "")
+    c = F.regexp_replace(c, _SIZE_IN_BRACKETS, "")
     return title_case(F.regexp_replace(c, "^[ ,;–—-]+|[ ,;–—-]+$", ""))
 
 
@@ -77,93 +86,90 @@ def key_of(text: str | None) -> str:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Words that a catalog's brands are judged by. ``families``: a brand's name and its other spellings."""
+    """Words that a catalog's brands are judged by. ``families``: a brand's name and its other spellings, some dozens."""
 
     generic: frozenset[str] = frozenset()
     descriptors: frozenset[str] = frozenset()
     stops: frozenset[str] = frozenset()
     families: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
 
-    def family(self, text: str) -> str | None:
-        key = key_of(text)
-        for name, spellings in self.families.items():
-            if key and any(key == k or key.startswith(k + " ") for k in map(key_of, spellings)):
-                return name
-        return None
-
-    def is_generic(self, text: str) -> bool:
-        words = [k for k in map(key_of, text.split()) if k and k not in CONNECTORS]
-        hits = sum(w in self.generic for w in words)
-        return not words or hits == len(words) or (len(words) >= 3 and hits >= len(words) - 1)
-
-    def trimmed(self, words: list[str]) -> str:
-        """Words up to the first that describes or holds a digit; a family's name if they are of one."""
-        kept: list[str] = []
-        for w in words:
-            if kept and (key_of(w) in self.descriptors or any(c.isdigit() for c in w)):
-                break
-            kept.append(w)
-        text = " ".join(kept)
-        return self.family(text) or text
-
-
-def strip_brand(name: str, brand: str, vocabulary: Vocabulary) -> str:
-    """A name without the brand before it; the whole name where what is left says too little."""
-    spellings = sorted({brand, *vocabulary.families.get(vocabulary.family(brand) or brand, ())}, key=len, reverse=True)
-    rest, cut = name, True
-    while cut:
-        cut = False
-        for s in spellings:
-            if s and rest.lower().startswith(s.lower()) and not rest[len(s) : len(s) + 1].isalnum():
-                rest, cut = rest[len(s) :].lstrip(" ,:-–—"), True
-                break
-        while cut and (first := re.match(r"\S+", rest)) and first[0].strip(_TRIM).lower() in CONNECTORS:
-            rest = rest[first.end() :].lstrip(" ,:-–—")
-    key = key_of(rest)
-    little = len(key.split()) < 2 and len(rest) < 14
-    size = re.fullmatch(r"\d+(?: \d+)?\s*(?:oz|fl oz|lb|lbs|count|ct|pack)\b.*", key)
-    return name if rest == name or not rest or key in EMPTY_RESTS or size or little else rest
-
-
-def find_brand(name: str | None, vocabulary: Vocabulary) -> str | None:
-    """A run of capitals at the start, else a known family, else capitalised words that leave a name of two words or more."""
-    words = [w.strip(_TRIM) for w in (name or "").split()]
-    words = [w for w in words if w]
-    if not name or not words:
-        return None
-
-    def run(most: int, fits) -> list[str]:
-        out: list[str] = []
-        for w in words[:most]:
-            if not (fits(w) or w.lower() in CONNECTORS):
-                break
-            out.append(w)
-        return out
-
-    capitals = run(6, lambda w: bool(re.search("[A-Z]", w)) and not re.search("[a-z]", w))
-    if capitals and not vocabulary.is_generic(found := vocabulary.trimmed(capitals)):
-        return found
-    if known := vocabulary.family(name):
-        return known
-    named = run(5, lambda w: w.lower() not in vocabulary.stops and not any(c.isdigit() for c in w) and bool(re.search("[A-Z]", w)))
-    for n in range(len(named), 0, -1):
-        brand = vocabulary.trimmed(named[:n])
-        rest = strip_brand(name, brand, vocabulary)
-        if rest != name and (len(key_of(rest).split()) >= 2 or len(key_of(rest)) > 12):
-            good = key_of(brand) not in vocabulary.stops and not vocabulary.is_generic(brand) and len(brand) >= 3
-            return brand if good else None
-    return None
+    def spellings(self) -> Column:
+        """``struct<key, name, all>`` of every spelling, the longest first; ``all``: those of its family, by length."""
+        own = [(key_of(s), name, sorted({name, *every}, key=len, reverse=True)) for name, every in self.families.items() for s in {name, *every} if key_of(s)]
+        if not own:
+            return F.expr("CAST(array() AS array<struct<key:string,name:string,all:array<string>>>)")
+        rows = sorted(own, key=lambda x: (-len(x[0]), x[0]))
+        return F.array(*(F.struct(F.lit(k).alias("key"), F.lit(n).alias("name"), F.array(*(F.lit(s) for s in every)).alias("all")) for k, n, every in rows))
 
+    def family(self, text: Column) -> Column:
+        """The family (a spelling's struct) that a text is, or starts with, by the longest spelling."""
+        key = F.concat(text_key(text), F.lit(" "))
+        return F.get(F.filter(self.spellings(), lambda s: F.startswith(key, F.concat(s["key"], F.lit(" ")))), F.lit(0))
 
-def with_brand(df, name: str, vocabulary: Vocabulary, brand: str = "brand", rest: str = "name_without_brand"):
-    """Adds the brand found in a name, and the name without it."""
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for names in batches:
-            found = [find_brand(n, vocabulary) for n in names]
-            yield pd.DataFrame({"brand": found, "rest": [strip_brand(n, b, vocabulary) if n and b else n for n, b in zip(names, found, strict=True)]})
+def _among(x: Column, values: frozenset[str] | tuple[str, ...]) -> Column:
+    return x.isin(*sorted(values)) if values else F.lit(False)
+
+
+def _leading(words: Column, fits, most: int) -> Column:
+    """How many of the first ``most`` words fit, up to the first that does not."""
+    bad = F.array_position(F.transform(F.slice(words, 1, most), lambda w: ~fits(w)), F.lit(True))
+    return F.when(bad > 0, bad - 1).otherwise(F.least(F.size(words), F.lit(most))).cast("int")
+
+
+def _joins(word: Column) -> Column:
+    return F.lower(word).isin(*CONNECTORS)
+
 
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}  # not as text: Spark reads them
-    udf = F.pandas_udf(run, "brand string, rest string")
-    return df.withColumn("b_", udf(F.col(name))).withColumn(brand, F.col("b_.brand")).withColumn(rest, F.col("b_.rest")).drop("b_")
+def is_generic(text: Column, vocabulary: Vocabulary) -> Column:
+    """Whether the words that join nothing are all generic, or all but one of three and more."""
+    words = F.filter(F.transform(F.split(text, r"\s+"), lambda w: text_key(w)), lambda k: (k != "") & ~k.isin(*CONNECTORS))
+    other = F.size(F.filter(words, lambda k: ~_among(k, vocabulary.generic)))
+    return (other == 0) | ((F.size(words) >= 3) & (other <= 1))
 
+
+def trimmed(words: Column, vocabulary: Vocabulary) -> Column:
+    """Words up to the first, but the very first, that describes or holds a digit; the family's name if they are of one."""
+    ends = F.transform(words, lambda w, i: (i > 0) & (_among(text_key(w), vocabulary.descriptors) | w.rlike("[0-9]")))
+    cut = F.array_position(ends, F.lit(True))
+    text = F.array_join(F.when(cut > 0, F.slice(words, F.lit(1), (cut - 1).cast("int"))).otherwise(words), " ")
+    return F.coalesce(vocabulary.family(text)["name"], text)
+
+
+def strip_brand(name: Column, brand: Column, vocabulary: Vocabulary) -> Column:
+    """A name without the brand before it, in any of its spellings and however often, and without words that join them.
+
+    The whole name stays where what is left is a size, an empty word, or too little to say anything.
+    """
+    every = F.coalesce(vocabulary.family(brand)["all"], F.array().cast("array<string>"))
+    spelt = F.array_join(F.transform(F.array_sort(F.array_union(F.array(brand), every), lambda a, b: F.length(b) - F.length(a)), lambda s: F.concat(F.lit("\\Q"), s, F.lit("\\E"))), "|")
+    joining = "|".join(re.escape(c) for c in sorted(CONNECTORS, key=len, reverse=True))
+    joined = rf"(?:(?:{joining}){_MARKS}*(?=\s|$){_BETWEEN})*"
+    pattern = F.concat(F.lit("(?i)^(?:(?:"), spelt, F.lit(rf")(?![\p{{L}}\p{{N}}]){_BETWEEN}{joined})+"))
+    rest = F.regexp_replace(name, pattern, F.lit(""))
+    key = text_key(rest)
+    little = (F.size(F.split(key, " ")) < LEAST_WORDS) & (F.length(rest) < LEAST_LENGTH)
+    keep_name = (rest == "") | key.isin(*EMPTY_RESTS) | key.rlike(_SIZE_REST) | little
+    return F.when(keep_name | (brand == ""), name).otherwise(rest)
+
+
+def with_brand(df, name: str, vocabulary: Vocabulary, brand: str = "brand", rest: str = "name_without_brand"):
+    """Adds the brand found in a name, and the name without it; a null or blank name has none.
+
+    A run of capitals at the start is a brand unless it is generic, else a known family is, else the longest run of
+    capitalised words that leaves a name of two words or twelve characters, if that is not generic.
+    """
+    words = F.filter(F.transform(F.split(F.trim(F.coalesce(F.col(name), F.lit(""))), r"\s+"), lambda w: F.regexp_replace(w, f"^{_MARKS}+|{_MARKS}+$", "")), lambda w: w != "")
+    out = df.withColumn("w_", words)
+    capitals = _leading(F.col("w_"), lambda w: (w.rlike("[A-Z]") & ~w.rlike("[a-z]")) | _joins(w), MOST_CAPITALS)
+    named = _leading(F.col("w_"), lambda w: (~_among(F.lower(w), vocabulary.stops) & ~w.rlike("[0-9]") & w.rlike("[A-Z]")) | _joins(w), MOST_CAPITALISED)
+    out = out.withColumns({"c_": trimmed(F.slice("w_", F.lit(1), capitals), vocabulary), "n_": named, "f_": vocabulary.family(F.col(name))["name"]})
+    # runs from the longest to one word, with what each of them leaves
+    runs = F.when(F.col("n_") > 0, F.transform(F.sequence(F.col("n_"), F.lit(1)), lambda n: trimmed(F.slice("w_", F.lit(1), n), vocabulary)))
+    out = out.withColumn("r_", F.transform(runs, lambda b: F.struct(b.alias("brand"), strip_brand(F.col(name), b, vocabulary).alias("rest"))))
+    says = lambda r: (r["rest"] != F.col(name)) & ((F.size(F.split(text_key(r["rest"]), " ")) >= LEAST_WORDS) | (F.length(text_key(r["rest"])) > LEAST_KEY))
+    out = out.withColumn("r_", F.get(F.filter("r_", says), F.lit(0))["brand"])
+    good = ~_among(text_key("r_"), vocabulary.stops) & ~is_generic(F.col("r_"), vocabulary) & (F.length("r_") >= LEAST_BRAND)
+    found = F.when((F.col("c_") != "") & ~is_generic(F.col("c_"), vocabulary), F.col("c_")).when(F.col("f_").isNotNull(), F.col("f_")).when(good, F.col("r_"))
+    out = out.withColumn(brand, found)
+    return out.withColumn(rest, F.when(F.col(brand).isNull(), F.col(name)).otherwise(strip_brand(F.col(name), F.col(brand), vocabulary))).drop("w_", "c_", "n_", "f_", "r_")

@@ -26,4 +26,13 @@ def test_brands(spark):
     for i, (n, want) in enumerate(cases):
         assert got[i].brand == want, n
     assert got[1].name_without_brand == "shells and cheddar"
-    assert names.strip_brand("Acme, 12 oz", "Acme", V) == "Acme, 12 oz" and names.strip_brand("Acme & Co sea salt crackers", "Acme", V) == "sea salt crackers"
+    pairs = spark.createDataFrame([("Acme, 12 oz", "Acme"), ("Acme & Co sea salt crackers", "Acme"), ("Annies Annie's Homegrown mac and cheese", "Annie's"), ("Acmes sea salt", "Acme"), ("Acme beer", "Acme")], "n string, b string")
+    got = [r[0] for r in pairs.select(names.strip_brand(F.col("n"), F.col("b"), V)).collect()]
+    assert got == ["Acme, 12 oz", "sea salt crackers", "mac and cheese", "Acmes sea salt", "Acme beer"]
+
+
+def test_longest_spelling(spark):
+    v = names.Vocabulary(families={"Field": ("field",), "Field Day": ("field day", "fieldday")})
+    df = spark.createDataFrame([("Field Day pasta sauce jar",), ("field greens in a bag",), ("FIELDDAY Field Day olive oil spray",)], "n string")
+    got = [(r.brand, r.name_without_brand) for r in names.with_brand(df, "n", v).collect()]
+    assert got == [("Field Day", "pasta sauce jar"), ("Field", "greens in a bag"), ("Field Day", "olive oil spray")]
