@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -38,10 +40,11 @@ def duck(sql: str) -> str:
 
 
 def sql(spark: SparkSession, sf_dir: str, text: str, *names: str) -> DataFrame:
-    """Spark SQL over the named tables; a name is bound to the files when the text is analysed, at once."""
+    """Spark SQL over the named tables, which are bound for this text alone: no view of the session is made or replaced."""
+    text = text.replace("{", "{{").replace("}", "}}")
     for name in names:
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
-    return spark.sql(text)
+        text = re.sub(rf"\b(FROM|JOIN)\s+{name}\b", rf"\1 {{{name}}}", text)
+    return spark.sql(text, **{name: table(spark, sf_dir, name) for name in names})
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from shelfwise.functions.dialect import DUCK
 from shelfwise.operators import audit, merge
 from shelfwise.sources import landed, sinks
 
-from .adapters import OFFERS, duck, offers, table
+from .adapters import OFFERS, duck, offers, sql, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -33,8 +33,7 @@ def category_counts(spark, d):
 @query("multi_dim_counts", "SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n, CAST(grouping_id(l_returnflag, l_linestatus, l_linenumber) AS BIGINT) AS g FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), (l_linenumber), (l_returnflag, l_linestatus), ())")
 def multi_dim_counts(spark, d):
     """Several group-bys in one pass."""
-    table(spark, d, "lineitem").createOrReplaceTempView("lineitem")
-    return spark.sql("SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n, grouping_id(l_returnflag, l_linestatus, l_linenumber) AS g FROM lineitem GROUP BY l_returnflag, l_linestatus, l_linenumber GROUPING SETS ((l_returnflag), (l_linestatus), (l_linenumber), (l_returnflag, l_linestatus), ())")
+    return sql(spark, d, "SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n, grouping_id(l_returnflag, l_linestatus, l_linenumber) AS g FROM lineitem GROUP BY l_returnflag, l_linestatus, l_linenumber GROUPING SETS ((l_returnflag), (l_linestatus), (l_linenumber), (l_returnflag, l_linestatus), ())", "lineitem")
 
 
 @query("confidence_histogram", "SELECT CASE WHEN c >= 0.9 THEN '0.90-1.00' WHEN c >= 0.75 THEN '0.75-0.89' WHEN c >= 0.55 THEN '0.55-0.74' WHEN c >= 0.35 THEN '0.35-0.54' ELSE '0.00-0.34' END AS bucket, count(*) AS n FROM (SELECT CAST(p_partkey % 101 AS DOUBLE) / 100 AS c FROM part) GROUP BY 1")
@@ -94,8 +93,7 @@ _AUDIT = "SELECT p_partkey, CASE WHEN p_partkey % 7 > 0 THEN 'i' ELSE '' END AS
 
 
 def audited(spark, d):
-    table(spark, d, "part").createOrReplaceTempView("part")
-    return spark.sql(_AUDIT)
+    return sql(spark, d, _AUDIT, "part")
 
 
 @query("data_quality_reasons", f"SELECT p_partkey, concat_ws('; ', CASE WHEN image = '' THEN 'Missing image' END, CASE WHEN url IS NULL THEN 'Missing product URL' END, CASE WHEN price IS NULL THEN 'Missing sale/current price' END, CASE WHEN promo = '' THEN 'Missing discount text' END, CASE WHEN percent >= 80 THEN 'Very high discount percent' END, CASE WHEN percent IS NULL AND promo <> '' THEN 'Discount text did not parse into percent' END) AS reasons FROM ({_AUDIT})")
@@ -133,16 +131,22 @@ def change_report(spark, d):
 
 @query("brand_samples", "SELECT p_brand, count(*) AS n, array_to_string(list_sort(list(DISTINCT p_name))[1:3], '|') AS samples FROM part GROUP BY p_brand")
 def brand_samples(spark, d):
-    names = table(spark, d, "part").groupBy("p_brand", "p_name").agg(F.count("*").alias("k"))
-    w = Window.partitionBy("p_brand").orderBy("p_name")
-    first = names.withColumn("rn", F.row_number().over(w))
-    return first.groupBy("p_brand").agg(F.sum("k").alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("rn") <= 3, F.col("p_name")))), "|").alias("samples"))
+    parts = table(spark, d, "part")
+    first = parts.select("p_brand", "p_name").distinct().withColumn("rn", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_name"))).filter("rn <= 3")
+    samples = first.groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_list("p_name")), "|").alias("samples"))
+    counts = parts.groupBy("p_brand").agg(F.count("*").alias("n"))
+    return counts.join(samples, counts["p_brand"].eqNullSafe(samples["p_brand"]), "left").select(counts["p_brand"], "n", F.coalesce("samples", F.lit("")).alias("samples"))
 
 
-@query("label_digest", "SELECT quality, count(*) AS n, substr(sha256(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id)), 1, 16) AS digest FROM labels GROUP BY quality")
+@query("label_digest", """
+WITH s AS (SELECT quality, doc_id // 1024 AS slice, count(*) AS n, sha256(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id)) AS digest FROM labels GROUP BY ALL)
+SELECT quality, CAST(sum(n) AS BIGINT) AS n, substr(sha256(string_agg(digest, ',' ORDER BY slice)), 1, 16) AS digest FROM s GROUP BY quality""")
 def label_digest(spark, d):
-    """Order-sensitive digest of a label set: the labels of a set are its file, read in order."""
-    return table(spark, d, "labels").groupBy("quality").agg(F.count("*").alias("n"), F.substring(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ","), 256), 1, 16).alias("digest"))
+    """Order-sensitive digest of a label set, by slices of 1,024 ids and then over their digests: no task holds a whole set."""
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",")
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slice", "digest"))), lambda x: x["digest"]), ",")
+    slices = table(spark, d, "labels").groupBy("quality", F.expr("doc_id DIV 1024").alias("slice")).agg(F.count("*").alias("n"), F.sha2(ids, 256).alias("digest"))
+    return slices.groupBy("quality").agg(F.sum("n").alias("n"), F.substring(F.sha2(parts, 256), 1, 16).alias("digest"))
 
 
 @query("url_parts", "SELECT scheme, host, count(*) AS n FROM (SELECT nullif(regexp_extract(url, '^([a-z]+)://', 1), '') AS scheme, nullif(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1), '') AS host FROM pages) GROUP BY ALL")
@@ -212,17 +216,17 @@ def first_seen(spark, d):
 
 
 @query("batch_stop_cut", """
-WITH x AS (SELECT conv_id, turn, length(text) AS n, lag(length(text)) OVER w AS before FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
-s AS (SELECT *, CASE WHEN n <= before THEN 1 ELSE 0 END AS stale FROM x), g AS (SELECT *, sum(CASE WHEN stale = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS grp FROM s),
-c AS (SELECT *, sum(stale) OVER (PARTITION BY conv_id, grp ORDER BY turn ROWS UNBOUNDED PRECEDING) AS streak FROM g)
+WITH x AS (SELECT conv_id, turn, role, text, length(text) AS n, lag(length(text)) OVER w AS before FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+s AS (SELECT *, CASE WHEN n <= before THEN 1 ELSE 0 END AS stale FROM x), g AS (SELECT *, sum(CASE WHEN stale = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS grp FROM s),
+c AS (SELECT *, sum(stale) OVER (PARTITION BY conv_id, grp ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS streak FROM g)
 SELECT conv_id, min(turn) AS stop FROM c WHERE streak >= 2 GROUP BY conv_id""")
 def batch_stop_cut(spark, d):
     """The first batch at which two in a row brought nothing new: gaps and islands."""
     w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    run = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    s = table(spark, d, "conversations").select("conv_id", "turn", F.length("text").alias("n"), F.lag(F.length("text")).over(w).alias("before")).withColumn("stale", F.when(F.col("n") <= F.col("before"), 1).otherwise(0))
+    run = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    s = table(spark, d, "conversations").select("conv_id", "turn", "role", "text", F.length("text").alias("n"), F.lag(F.length("text")).over(w).alias("before")).withColumn("stale", F.when(F.col("n") <= F.col("before"), 1).otherwise(0))
     g = s.withColumn("grp", F.sum(1 - F.col("stale")).over(run))
-    c = g.withColumn("streak", F.sum("stale").over(Window.partitionBy("conv_id", "grp").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)))
+    c = g.withColumn("streak", F.sum("stale").over(Window.partitionBy("conv_id", "grp").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)))
     return c.filter("streak >= 2").groupBy("conv_id").agg(F.min("turn").alias("stop"))
 
 
@@ -248,7 +252,9 @@ def html_title_links(spark, d):
     return table(spark, d, "pages").select("page_id", F.nullif(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit("")).alias("title"), F.regexp_count("html", F.lit("<a href=")).cast("long").alias("links"))
 
 
-@query("html_tiles", None)
+@query("html_tiles", """
+WITH t AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS h, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS l FROM pages)
+SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, h[i] AS href, trim(regexp_replace(l[i], '\\s+', ' ', 'g')) AS label FROM t, unnest(range(1, len(h) + 1)) AS u(i)""")
 def html_tiles(spark, d):
     """Links and labels by a tolerant parser; tests hold it against known pages."""
     return landed.read_tiles(table(spark, d, "pages"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions import names, text
 from shelfwise.functions.dialect import DUCK
 from shelfwise.operators import brands, graph, merge
+from shelfwise.working import keep
 
 from .adapters import OFFERS, duck, offers, sql, table
 
@@ -119,22 +121,36 @@ def brand_rows(spark, d):
 
 
 def brand_pairs(spark, d):
-    """Self-join within blocks of one first word: no pair outside its block is made."""
-    rows = brand_rows(spark, d).withColumn("block", F.element_at("toks", 1))
-    a, b = rows.alias("x"), rows.alias("y")
-    both = a.join(b, F.expr("x.block = y.block AND x.brand < y.brand"))
+    """Linked pairs of brands of one first word, without all pairs of a block.
+
+    A pair is linked by its trigrams and words, or because one key goes on from the other. Two sets of trigrams with 0.72 in
+    common share one of the rarest ``n - ceil(0.72 n) + 1`` of either, so a join on these finds them; keys that go on from
+    another meet it as one of their own prefixes.
+    """
+    rows = keep(brand_rows(spark, d).withColumn("block", F.element_at("toks", 1)), "brand-rows")
+    grams = rows.select("brand", "block", F.size("grams").alias("n"), F.explode("grams").alias("g"))
+    often = grams.groupBy("block", "g").agg(F.count("*").alias("times"))
+    rarest = Window.partitionBy("brand").orderBy("times", "g")
+    shown = keep(grams.join(often, ["block", "g"]).withColumn("at", F.row_number().over(rarest)).filter("at <= n - ceil(0.72 * n) + 1"), "brand-grams")
+    met = shown.alias("x").join(shown.alias("y"), F.expr("x.block = y.block AND x.g = y.g AND x.brand < y.brand AND least(x.n, y.n) >= 0.72 * greatest(x.n, y.n)"))
+    words = F.split("k", " ")
+    longer = rows.filter(F.size(words) > 1).select("brand", "block", F.explode(F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.array_join(F.slice(words, F.lit(1), i), " "))).alias("k"))
+    on = rows.alias("x").join(longer.alias("y"), F.expr("x.block = y.block AND x.k = y.k AND x.brand <> y.brand"))
+    ordered = ["least(x.brand, y.brand) AS a", "greatest(x.brand, y.brand) AS b"]
+    some = met.selectExpr(*ordered).unionByName(on.selectExpr(*ordered)).distinct()
+    both = some.join(rows.alias("x"), F.expr("a = x.brand")).join(rows.alias("y"), F.expr("b = y.brand"))
     share = lambda c: F.size(F.array_intersect(f"x.{c}", f"y.{c}")) / F.size(F.array_union(f"x.{c}", f"y.{c}"))
-    out = both.select(F.col("x.brand").alias("a"), F.col("y.brand").alias("b"), F.col("x.k").alias("ka"), F.col("y.k").alias("kb"), share("toks").alias("jaccard"), share("grams").alias("trigram"))
+    out = both.select("a", "b", F.col("x.k").alias("ka"), F.col("y.k").alias("kb"), share("toks").alias("jaccard"), share("grams").alias("trigram"))
     prefix = F.startswith("kb", F.concat("ka", F.lit(" "))) | F.startswith("ka", F.concat("kb", F.lit(" ")))
-    return out.withColumn("linked", ((F.col("jaccard") >= 0.66) & (F.col("trigram") >= 0.72)) | prefix)
+    return out.filter(((F.col("jaccard") >= 0.66) & (F.col("trigram") >= 0.72)) | prefix)
 
 
 _LINKED = "(jaccard >= 0.66 AND trigram >= 0.72) OR starts_with(kb, concat(ka, ' ')) OR starts_with(ka, concat(kb, ' '))"
 
 
-@query("brand_blocks_pairs", f"{_PAIRS} SELECT a, b, round(jaccard, 4) AS jaccard, round(trigram, 4) AS trigram, {_LINKED} AS linked FROM p")
+@query("brand_blocks_pairs", f"{_PAIRS} SELECT a, b, round(jaccard, 4) AS jaccard, round(trigram, 4) AS trigram FROM p WHERE {_LINKED}")
 def brand_blocks_pairs(spark, d):
-    return brand_pairs(spark, d).select("a", "b", F.round("jaccard", 4).alias("jaccard"), F.round("trigram", 4).alias("trigram"), "linked")
+    return brand_pairs(spark, d).select("a", "b", F.round("jaccard", 4).alias("jaccard"), F.round("trigram", 4).alias("trigram"))
 
 
 _REACH = f"""{_PAIRS.replace('WITH b AS', 'WITH RECURSIVE b AS')}, e AS (SELECT a, b FROM p WHERE {_LINKED}), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
@@ -143,7 +159,7 @@ r AS (SELECT brand AS x, brand AS y FROM b UNION SELECT r.x, s.b FROM r JOIN s O
 
 def labelled(spark, d):
     rows = brand_rows(spark, d)
-    found = graph.connected_components(brand_pairs(spark, d).filter("linked").select("a", "b"))
+    found = graph.connected_components(brand_pairs(spark, d).select("a", "b"))
     return rows.join(found.withColumnRenamed("node", "brand"), "brand", "left").withColumn("label", F.coalesce("label", "brand"))
 
 
@@ -152,7 +168,7 @@ def brand_components(spark, d):
     return labelled(spark, d).select("brand", "label")
 
 
-@query("brand_canonical", f"{_REACH} SELECT label, arg_max(brand, (-len(toks), n, -length(k))) AS canonical, count(*) AS members, CAST(sum(n) AS BIGINT) AS n FROM c JOIN b USING (brand) GROUP BY label HAVING count(DISTINCT (-len(toks), n, -length(k))) = count(*)")
+@query("brand_canonical", f"{_REACH} SELECT label, arg_min(brand, (len(toks), -n, length(k), brand)) AS canonical, count(*) AS members, CAST(sum(n) AS BIGINT) AS n FROM c JOIN b USING (brand) GROUP BY label")
 def brand_canonical(spark, d):
     """The member that names its family, every family: fewest words, most seen, shortest; of equals the smallest brand."""
     score = F.struct(F.size("toks").alias("a"), (-F.col("n")).alias("b"), F.length("k").alias("c"), "brand")

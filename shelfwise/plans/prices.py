@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from shelfwise.functions import pricing, text
 from shelfwise.functions.dialect import DUCK, SPARK
 
+from shelfwise.working import keep
+
 from .adapters import CATALOG, catalog, duck, table
 
 QUERIES, ORACLES = {}, {}
@@ -47,14 +49,13 @@ def discount_sort_value(spark, d):
     return found.groupBy("l_returnflag", pricing.discount_percent("t").alias("percent")).agg(F.count("*").alias("n"))
 
 
-@query("price_sort_nulls_last", f"SELECT p_partkey, rank() OVER (ORDER BY try_cast(nullif(regexp_extract(coalesce(prime_price, basis_price), '\\$([0-9]+(?:\\.[0-9]+)?)', 1), '') AS DOUBLE) NULLS LAST, {DUCK.key('p_name')}, p_partkey) AS place FROM ({_RESOLVED}) ORDER BY place LIMIT 500")
+@query("price_sort_nulls_last", f"SELECT p_partkey, rank() OVER (ORDER BY try_cast(nullif(regexp_extract(coalesce(prime_price, basis_price), '\\$([0-9]+(?:\\.[0-9]+)?)', 1), '') AS DOUBLE) NULLS LAST, {DUCK.key('p_name')}, p_partkey) AS place FROM ({_RESOLVED})")
 def price_sort_nulls_last(spark, d):
     """The place of every part, those without a price last: ranges of the order are ranked each by itself, after the rows of the ranges before."""
     order = (F.asc_nulls_last("v"), F.asc("k"), F.asc("p_partkey"))
     priced = resolved(spark, d).select("p_partkey", pricing.first_price(F.coalesce("prime_price", "basis_price")).alias("v"), text.text_key("p_name").alias("k"))
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = (lambda df: df.checkpoint()) if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else (lambda df: df.cache())
-    dealt = cut(priced.repartitionByRange(ranges, *order).withColumn("part", F.spark_partition_id()))
+    dealt = keep(priced.repartitionByRange(ranges, *order).withColumn("part", F.spark_partition_id()), "price-ranges")
     before = dealt.groupBy("part").agg(F.count("*").alias("n")).selectExpr("part", "coalesce(sum(n) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS before")  # one row a range
     return dealt.join(F.broadcast(before), "part").select("p_partkey", (F.rank().over(Window.partitionBy("part").orderBy(*order)) + F.col("before")).alias("place"))
 

@@ -9,6 +9,8 @@ from shelfwise.functions import pricing, text
 from shelfwise.functions.dialect import DUCK
 from shelfwise.operators import feed as fd
 
+from shelfwise.working import keep
+
 from .adapters import CATALOG, OFFERS, catalog, duck, offers, sql, table
 
 QUERIES, ORACLES = {}, {}
@@ -74,7 +76,9 @@ def feed_limit_count(spark, d):
 
 @query("point_lookup", f"SELECT asin, name FROM {_FEED} WHERE asin = 'P7'")
 def point_lookup(spark, d):
-    return products(spark, d).filter("asin = 'P7'").select("asin", "name").limit(1)
+    """One product: the id gives the stored key, so the filter reaches the scan."""
+    key = int("P7".removeprefix("P"))
+    return products(spark, d).filter(F.col("p_partkey") == key).select("asin", "name").limit(1)
 
 
 @query("client_filter", "SELECT p_partkey FROM part WHERE contains(lower(concat(p_name, ' ', p_brand)), 'a') AND p_type = (SELECT min(p_type) FROM part)")
@@ -114,7 +118,7 @@ _PERSONAL = f"""{_BASE}, s AS (SELECT *, discount_percent * 4 + CASE WHEN prime_
 def shelf_rank(spark, d):
     """Ten best of each shelf by a score from deal, query and profile."""
     liked, disliked = profile(spark, d)
-    rows = fd.personal_score(products(spark, d), liked, disliked, "asin", "s")
+    rows = fd.personal_score(keep(products(spark, d), "products"), liked, disliked, "asin", "s")
     w = Window.partitionBy("category").orderBy(F.desc("score"), F.desc("discount_percent"), "name", "asin")
     return rows.withColumn("place", F.row_number().over(w)).filter("place <= 10").select("category", "asin", F.col("score").cast("long").alias("score"), F.col("place").cast("long").alias("place"))
 
@@ -131,7 +135,7 @@ def shelf_counts(spark, d):
 def round_robin(spark, d):
     """A sample that takes one of each stratum in turn."""
     w = Window.partitionBy("c_mktsegment").orderBy("c_name", "c_custkey")
-    return table(spark, d, "customer").withColumn("rn", F.row_number().over(w)).orderBy("rn", "c_mktsegment").limit(100).select("c_custkey", "c_mktsegment")
+    return table(spark, d, "customer").withColumn("rn", F.row_number().over(w)).filter("rn <= 100").orderBy("rn", "c_mktsegment").limit(100).select("c_custkey", "c_mktsegment")
 
 
 @query("preference_toggle", "SELECT user_id, CAST(count(*) FILTER (n % 2 = 1) AS BIGINT) AS liked FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id")
