@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-PARTS = ("prices", "entities", "labelling", "serving", "auditing")
+PARTS = ("prices", "entities", "labelling", "serving", "auditing", "records", "taxonomies")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

@@ -135,3 +135,15 @@ def retailer(value: Column, url: Column, sources: Column) -> Column:
 def source_label(x: Column | str) -> Column:
     name = F.trim(_col(x))
     return F.when(name == "Search Deals", "Search").when(name == "Target Deals", "Target").when(name == "H Mart Deals", "H Mart").otherwise(name)
+
+
+#: What the text that rules look at has other words for, in this order.
+REWRITES = (("fl oz", " fluid ounce"), ("oz cans", " cans"), ("sparkling water beverage", "sparkling water"), ("fruit spread preserves", "fruit spread"))
+
+
+def haystack(name: Column | str, variation: Column | str, url: Column | str) -> Column:
+    """The text that rules look at: name, variation and link, without the brand; empty parts leave no blank."""
+    out = text_key(F.concat_ws(" ", *(blank_to_null(c) for c in (name, variation, url))))
+    for old, new in REWRITES:
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return out

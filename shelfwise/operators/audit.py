@@ -12,6 +12,38 @@ BUCKETS = ((0.9, "0.90-1.00"), (0.75, "0.75-0.89"), (0.55, "0.55-0.74"), (0.35,
 #: Brands that name nothing.
 GENERIC_BRANDS = ("fresh produce", "produce", "unknown", "none", "select")
 
+#: Rules by category on the words of a name, the first that fits; the bucket of failed rows comes before them.
+FAILED = ("Other", "Failed fallback bucket.")
+SUSPICIOUS = (
+    ("Produce", "gummy|gummies|soda|coffee|tea|shampoo|serum|capsule|tablet|supplement|extract|shot|water|juice|spray", "Produce label with packaged/drink/supplement/personal-care words."),
+    ("Pantry", "shampoo|conditioner|serum|cream|spray|capsule|tablet|collagen|magnesium|probiotic|vitamin|extract|oil", "Pantry label with likely wellness or personal-care words."),
+    ("Beverages", "shampoo|conditioner|serum|cream|spray|capsule|tablet|essential oil", "Beverage label with non-drink words."),
+    ("Dairy & Eggs", "pizza|pasta|snack|bar|vegan cheese|dairy free", "Dairy label with possible prepared/frozen/snack/dairy-alternative ambiguity."),
+    ("Alcohol", "hummus|snack|salami|seltzer water|water", "Alcohol label with likely non-alcohol product words."),
+)
+#: What marks a promotion of several products, and an item of a fresh counter.
+GROUPED = (" and ", ", ", " or ", "mix and match", "select ")
+FRESH_COUNTER = (
+    "apples", "asparagus", "avocados", "strawberries", "lemons", "oranges", "mangoes", "kiwis", "dates", "salmon", "shrimp", "ham", "lamb", "biscuits", "croissants", "cookies", "cake",
+    "quiche", "sliced-in-house", "fresh ", "fillets", "/lb",
+)
+
+
+def suspicious_reason(category: Column, text: Column, failed: tuple[str, str] = FAILED, rules=SUSPICIOUS) -> Column:
+    """Why a label is doubtful; ``text`` is a key of single words. Null if it is not."""
+    out = F.when(category == failed[0], failed[1])
+    for name, words, why in rules:
+        out = out.when((category == name) & text.rlike(rf"\b({words})\b"), why)
+    return out
+
+
+def holds_any(name: Column, parts: tuple[str, ...]) -> Column:
+    """Whether any of the parts is in a name, in lower case; a null name holds none."""
+    low, out = F.lower(F.coalesce(name, F.lit(""))), F.lit(False)
+    for p in parts:
+        out = out | F.contains(low, F.lit(p))
+    return out
+
 
 def confidence_bucket(c: Column) -> Column:
     out = None

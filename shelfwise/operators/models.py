@@ -36,11 +36,14 @@ def prototypes(vectors: DataFrame, label: str, vector: str) -> DataFrame:
     return parts.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("proto"))
 
 
-def label_scores(vectors: DataFrame, id_col: str, vector: str, protos: DataFrame, label: str, temperature: float = 100.0) -> DataFrame:
+def label_scores(vectors: DataFrame, id_col: str, vector: str, protos: DataFrame, label: str, temperature: float = 100.0, most: int = 10_000) -> DataFrame:
     """``id, label, cosine, p, rank``: softmax of cosine times temperature over all labels, shifted by the largest.
 
-    ``protos`` has one row a label (a taxonomy), so it is broadcast.
+    ``protos`` has one row a label, a taxonomy of some hundreds: every vector meets every label, that is what is asked.
+    Raises above ``most`` labels, which are no taxonomy.
     """
+    if protos.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} labels")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     v = F.col(vector).cast("array<double>")
     both = vectors.select(id_col, v.alias("v")).crossJoin(F.broadcast(protos.select(label, "proto")))
@@ -50,15 +53,28 @@ def label_scores(vectors: DataFrame, id_col: str, vector: str, protos: DataFrame
     return shifted.select(id_col, label, "cosine", (F.col("e") / F.sum("e").over(w)).alias("p"), F.row_number().over(w.orderBy(F.desc("cosine"), label)).alias("rank"))
 
 
-def tfidf_classifier(train: DataFrame, text: str, label: str, weight: str | None = None):
-    """Words and pairs of words, TF-IDF, logistic regression: a fitted ``pyspark.ml`` pipeline."""
+def tfidf_classifier(train: DataFrame, text: str, label: str, weight: str | None = None, least_rows: int = 8):
+    """Words, pairs of words, and runs of three to five characters within words (with a blank at either end), TF-IDF, logistic
+    regression: a fitted ``pyspark.ml`` pipeline. None where there are fewer than two labels or ``least_rows`` rows.
+
+    Without ``weight`` labels count alike: each row weighs ``rows / (labels * rows of its label)``.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import IDF, HashingTF, NGram, RegexTokenizer, SQLTransformer
 
+    counts = train.groupBy(label).agg(F.count("*").alias("of_label_"))
+    labels, rows = counts.agg(F.count("*"), F.coalesce(F.sum("of_label_"), F.lit(0))).first()
+    if labels < 2 or rows < least_rows:
+        return None
+    if weight is None:
+        weight = "weight_"
+        train = train.join(counts, label).withColumn(weight, F.lit(float(rows)) / (F.lit(float(labels)) * F.col("of_label_")))
+    runs = "transform(sequence(1, greatest(length(w) + 3 - n, 1)), i -> substr(concat(' ', w, ' '), i, n))"
+    grams = f"flatten(transform(w1_, w -> flatten(transform(sequence(3, 5), n -> {runs}))))"
     stages = [
         RegexTokenizer(inputCol=text, outputCol="w1_", pattern="[^a-z0-9]+"), NGram(n=2, inputCol="w1_", outputCol="w2_"),
-        SQLTransformer(statement="SELECT *, concat(w1_, w2_) AS w_ FROM __THIS__"), HashingTF(inputCol="w_", outputCol="tf_", numFeatures=1 << 14), IDF(inputCol="tf_", outputCol="x_"),
-        LogisticRegression(featuresCol="x_", labelCol=label, maxIter=20, **({"weightCol": weight} if weight else {})),
+        SQLTransformer(statement=f"SELECT *, concat(w1_, w2_, {grams}) AS w_ FROM __THIS__"), HashingTF(inputCol="w_", outputCol="tf_", numFeatures=1 << 16), IDF(inputCol="tf_", outputCol="x_"),
+        LogisticRegression(featuresCol="x_", labelCol=label, weightCol=weight, maxIter=20),
     ]
     return Pipeline(stages=stages).fit(train)

@@ -19,20 +19,28 @@ PRODUCT = T.StructType([*(T.StructField(n, T.StringType()) for n in _TEXTS), *(T
 
 
 def read_feed(spark: SparkSession, path: str, source: str, retailer: str = "Whole Foods") -> DataFrame:
-    """A JSON array of product records with one schema; a missing file gives no rows, '' becomes null, order is kept in ``ord``."""
+    """A JSON array of product records with one schema; a missing file gives no rows, '' becomes null.
+
+    ``categories``, where a feed has them, are its source categories. ``ord`` is the order of the rows: by file, and
+    within a file as they stand in it (a file is read by one task).
+    """
+    landed = T.StructType([*PRODUCT.fields, T.StructField("categories", T.ArrayType(T.StringType()))])
     try:
-        rows = spark.read.schema(PRODUCT).json(path, multiLine=True)
-    except AnalysisException:
-        rows = spark.createDataFrame([], PRODUCT)
+        rows = spark.read.schema(landed).json(path, multiLine=True).withColumn("file_", F.col("_metadata.file_name"))
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        rows = spark.createDataFrame([], landed).withColumn("file_", F.lit(""))
+    rows = rows.withColumn("ord", F.concat_ws("|", "file_", F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0")))
+    rows = rows.withColumn("source_categories", F.coalesce("source_categories", "categories"))
     texts = [F.nullif(F.col(n), F.lit("")).alias(n) for n in _TEXTS if n != "retailer"]
-    out = rows.select(*texts, F.coalesce(F.nullif(F.col("retailer"), F.lit("")), F.lit(retailer)).alias("retailer"), *_LISTS[1:2], *(c for c in _LISTS if c != "sources"), "discount_percent", "source_count", "category_confidence", "rank", "store_offers")
-    return out.withColumn("sources", F.array(F.lit(source))).withColumn("ord", F.monotonically_increasing_id())
+    out = rows.select(*texts, F.coalesce(F.nullif(F.col("retailer"), F.lit("")), F.lit(retailer)).alias("retailer"), *_LISTS[1:2], *(c for c in _LISTS if c != "sources"), "discount_percent", "source_count", "category_confidence", "rank", "store_offers", "ord")
+    return out.withColumn("sources", F.array(F.lit(source)))
 
 
 def search_feed(rows: DataFrame) -> DataFrame:
     """Rows whose brand is a department name lose it to their source categories."""
     named = F.lower(F.trim("brand")) == "fresh produce"
-    kept = F.when(~F.coalesce(named, F.lit(False)), F.col("brand")).alias("brand")
     categories = F.when(named, F.array_union(F.coalesce("source_categories", F.expr("CAST(array() AS array<string>)")), F.array(F.col("brand")))).otherwise(F.col("source_categories"))
     return rows.withColumn("source_categories", categories).withColumn("brand", F.when(~F.coalesce(named, F.lit(False)), F.col("brand")))
 
