@@ -10,6 +10,7 @@ A block starts at a word, and ids that its last word has room for beyond the blo
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -130,11 +131,17 @@ def unpack(words: np.ndarray, blocks: np.ndarray, n: int, escape_at=(), escape_v
     return out
 
 
+#: The normaliser and the pieces of tokenizers whose ids are those of the parts between white space.
+_LEVELS = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
-    White space is dropped by this tokenizer and parts no piece, so a text's ids are those of its parts between white space
-    one after another; each distinct part of a batch is given to the library once.
+    Where a tokenizer drops white space, which parts its pieces, and letters' case, a text's ids are those of its parts
+    between white space one after another; each distinct part of a batch is given to the library once. Any other
+    tokenizer gets whole texts.
     """
 
     MARK = "<|startoftext|>"
@@ -150,6 +157,9 @@ class Encoder:
 
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer = Tokenizer.from_file(path)
+        known = json.loads(self.tokenizer.to_str())
+        first = ((known.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        self.by_parts = known.get("normalizer") == _LEVELS and first.get("pattern") == {"Regex": _PIECES} and first.get("behavior") == "Removed" and bool(first.get("invert"))
         self.mark = self.tokenizer.token_to_id(self.MARK)
         self.known, self.flat, self.sizes = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
@@ -202,6 +212,10 @@ class Encoder:
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with ``end_id`` after it, and their number for each text."""
+        if not self.by_parts:
+            each = self._each(texts.to_pylist())
+            ends = [np.append(x, np.uint32(end_id)) for x in each]
+            return np.concatenate([*ends, np.zeros(0, np.uint32)]), np.array([len(x) for x in ends], dtype=np.int64)
         codes, distinct, counts = words_of(self.levelled(texts))
         flat, starts, sizes = self.parts(distinct)
         word_sizes = sizes[codes]

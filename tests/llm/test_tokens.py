@@ -64,3 +64,18 @@ def test_query(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text").collect()]
     got = sorted(map(tuple, tokens.op1_token_output(spark, f"/root/testdata/{sf}").collect()), key=lambda r: r[1])
     assert got == expected(rows)
+
+
+def test_other_tokenizers(spark, tmp_path):
+    """A tokenizer that keeps case and white space gets whole texts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    texts = ["Hello  World.\n\tAB cd, Ef. ", "", None, "naïve ÉCOLE x.y z,", "a" * 500 + " " * 40 + "b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tokens.write_tokens(df, out := str(tmp_path / "t"), tokenizer_path=path)
+    got = {r.doc_id: list(r.ids) for r in tokens.read_tokens(spark, out, with_ids=True).collect()}
+    assert got == {i: t.encode(x or "", add_special_tokens=False).ids + [2] for i, x in enumerate(texts)}
+    assert tokens.Encoder(None).by_parts and not tokens.Encoder(path).by_parts
