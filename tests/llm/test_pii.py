@@ -66,7 +66,7 @@ def brute_terms(rows, alpha=0.8, support=2):
             seen_e.add((k, v))
             for m in term.finditer(text):
                 a, b = m.span()
-                if len(m[0]) >= 3 and a >= s - 64 and b <= e + 64 and "\n" not in text[min(a, s) : max(b, e)] and not any(x < b and y > a for _, x, y in spans):
+                if len(m[0]) >= 3 and not any(x < b and y > a for _, x, y in spans):
                     t = m[0].translate(pii._LOWER)
                     near.setdefault(i, set()).add(((k, v), t, a, b))
                     seen_p.add(((k, v), t))
