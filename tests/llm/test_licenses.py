@@ -59,3 +59,21 @@ def test_empty(spark):
 
 def test_query(spark):
     assert compare(spark, d.op5_license_scan, d.OP5_SQL, "/root/testdata/sf0.01") > 5
+
+
+def test_whole_texts(spark):
+    """Whole license texts between other words, in other case and lines, with some words changed."""
+    import re
+
+    wanted, rows = {}, []
+    for i, (_, text) in enumerate(d.TEMPLATES):
+        words = text.split()
+        if len(words) >= 60:
+            for k in range(0, len(words), 40):
+                words[k] = "changed"
+            rows.append((i, "some file header\n" + "\n ".join(w.upper() for w in words) + "\nand code after it " * 3))
+            wanted[i] = i
+    got = {(r.doc_id, r.template) for r in d.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(rows) == 5 and all((i, i) in got for i in wanted)
+    exact = [(i, re.sub(r"\s+", " ", t)) for i, (_, t) in enumerate(d.TEMPLATES)]
+    assert {(i, i) for i, _ in exact} <= {(r.doc_id, r.template) for r in d.scan(spark.createDataFrame(exact, "doc_id long, text string")).collect()}
