@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions import text
+from shelfwise.working import keep
 
 from . import graph
 
@@ -81,3 +82,21 @@ def families(brands: DataFrame, vocabulary: BrandVocabulary) -> DataFrame:
     )
     found = graph.connected_components(linked_pairs(rows, vocabulary))
     return rows.join(found, rows["brand"] == found["node"]).groupBy("label").agg(F.max_by("brand", score).alias("canonical"), F.sort_array(F.collect_list("brand")).alias("members"), F.sum("n").alias("n")).drop("label")
+
+
+def to_fixpoint(rows: DataFrame, column: str, step, most: int = 4) -> tuple[DataFrame, int]:
+    """``step`` again and again, until the set of values of ``column`` stays, or ``most`` times; the rows, and the rounds made.
+
+    The set is told by the number and a sum of hashes of its values: two numbers a round come to the driver. Every round is
+    a written table.
+    """
+    seen = lambda df: tuple(df.select(F.coalesce(column, F.lit("")).alias("b")).distinct().agg(F.count("*"), F.sum(F.xxhash64("b").cast("decimal(38,0)"))).first())
+    rows = keep(rows, "fixpoint")
+    before, rounds = seen(rows), 0
+    while rounds < most:
+        rows, rounds = keep(step(rows), "fixpoint"), rounds + 1
+        now = seen(rows)
+        if now == before:
+            break
+        before = now
+    return rows, rounds

@@ -94,3 +94,40 @@ def chosen_option(asked: DataFrame, options: DataFrame) -> DataFrame:
     part = F.filter("menu", lambda m: (key != "") & F.contains(m["k"], key))
     pick = F.when(F.size(number) > 0, F.get(number, F.lit(0))["option"]).when(F.size(exact) > 0, F.element_at(exact, -1)["option"]).when(F.size(part) == 1, F.get(part, F.lit(0))["option"])
     return both.withColumn("option", pick).drop("menu")
+
+
+#: Where a batch of answers may hold its list.
+ANSWER_FIELDS = ("classifications", "products", "items", "results")
+_ANSWER = "array<struct<id:string,index:string,confidence:string,reason:string,reasoning:string>>"
+
+
+def json_block(text: Column) -> Column:
+    """What stands from the first brace or bracket of a text on; null without one."""
+    return F.nullif(F.regexp_extract(text, r"(?s)[{\[].*", 0), F.lit(""))
+
+
+def batch_answers(chunks: DataFrame, chunk: str, body: str, expected: str, choices: int) -> DataFrame:
+    """``chunk, local_id, index, confidence, reason`` of landed batches of answers, one JSON text a chunk.
+
+    An answer's index must be 1 to ``choices``. Where the valid answers' ids are 1 to ``expected``, all of them, they are taken
+    by id, the last of an id; where they have none such, but there are ``expected`` answers and all are valid, by place.
+    Other chunks have not been answered and give no rows; ``unanswered`` finds them.
+    """
+    block = json_block(F.col(body))
+    lists = [F.from_json(F.get_json_object(block, f"$.{f}"), _ANSWER) for f in ANSWER_FIELDS]
+    found = F.coalesce(F.when(F.startswith(block, F.lit("[")), F.from_json(block, _ANSWER)), *lists)
+    rows = chunks.select(chunk, F.col(expected).alias("expected_"), F.posexplode(found).alias("pos", "x"))
+    number = lambda c: F.col(f"x.{c}").try_cast("int")
+    rows = rows.withColumns({"index": number("index"), "id_": F.trim("x.id").try_cast("int"), "confidence": confidence(F.col("x.confidence"), 0.0), "reason": reason(F.coalesce("x.reason", "x.reasoning"), 160)})
+    rows = rows.withColumn("ok_", F.coalesce(F.col("index").between(1, choices), F.lit(False)))
+    good = rows.filter("ok_ AND id_ BETWEEN 1 AND expected_").groupBy(chunk, "expected_", F.col("id_").alias("local_id"))
+    by_id = good.agg(*(F.max_by(c, "pos").alias(c) for c in ("index", "confidence", "reason")))
+    sizes = rows.groupBy(chunk).agg(F.count("*").alias("n_"), F.count_if("ok_").alias("valid_"), F.count_distinct(F.when(F.col("ok_") & F.expr("id_ BETWEEN 1 AND expected_"), F.col("id_"))).alias("ids_"))
+    columns = [chunk, "local_id", "index", "confidence", "reason"]
+    whole = by_id.join(sizes, chunk).filter("ids_ = expected_").select(*columns)
+    placed = rows.join(sizes, chunk).filter("ids_ <> expected_ AND n_ = expected_ AND valid_ = expected_").withColumn("local_id", F.col("pos") + 1)
+    return whole.unionByName(placed.select(*columns))
+
+
+def unanswered(chunks: DataFrame, answers: DataFrame, chunk: str) -> DataFrame:
+    return chunks.join(answers.select(chunk).distinct(), chunk, "left_anti")

@@ -278,3 +278,57 @@ def default_payloads(spark, d):
     return out
 
 
+
+
+_BATCHES = """(SELECT c_custkey AS chunk, 3 AS expected, CASE c_custkey % 6
+  WHEN 0 THEN 'Here: {"items": [{"id": 2, "index": 4, "confidence": 0.5, "reason": "b"}, {"id": "1", "index": "3", "confidence": 7}, {"id": 3, "index": 1}]} thanks'
+  WHEN 1 THEN '[{"index": 1, "confidence": 0.25}, {"index": 2, "reasoning": "r"}, {"index": 3}]' WHEN 2 THEN '{"results": [{"id": 1, "index": 9}, {"id": 2, "index": 2}, {"id": 3, "index": 1}]}'
+  WHEN 3 THEN '[{"index": 1}]' WHEN 4 THEN 'no answer' END AS body FROM customer)"""
+
+
+@query("batch_answers", """
+SELECT c_custkey AS chunk, a.local_id, a.index, a.confidence::DOUBLE AS confidence, a.reason FROM customer JOIN (VALUES (0, 1, 3, 1.0, ''), (0, 2, 4, 0.5, 'b'), (0, 3, 1, 0.0, ''), (1, 1, 1, 0.25, ''), (1, 2, 2, 0.0, 'r'), (1, 3, 3, 0.0, ''))
+  AS a(kind, local_id, index, confidence, reason) ON c_custkey % 6 = a.kind""")
+def batch_answers(spark, d):
+    """Answers of landed batches, by id or else by place; batches that miss one give none."""
+    return taxonomy.batch_answers(sql(spark, d, f"SELECT * FROM {_BATCHES} AS x", "customer"), "chunk", "body", "expected", 5)
+
+
+@query("unanswered_batches", "SELECT c_custkey % 6 AS kind, count(*) AS n FROM customer WHERE c_custkey % 6 > 1 GROUP BY 1")
+def unanswered_batches(spark, d):
+    chunks = sql(spark, d, f"SELECT * FROM {_BATCHES} AS x", "customer")
+    left = taxonomy.unanswered(chunks, taxonomy.batch_answers(chunks, "chunk", "body", "expected", 5), "chunk")
+    return left.groupBy((F.col("chunk") % 6).alias("kind")).agg(F.count("*").alias("n"))
+
+
+_LADDER = "(SELECT p_partkey, concat(p_brand, CASE p_size % 5 WHEN 1 THEN ' Foods' WHEN 2 THEN ' Foods Bio' WHEN 3 THEN ' Tea' ELSE '' END) AS brand FROM part WHERE p_size % 5 <> 4 AND NOT (p_brand = 'Brand#13' AND p_size % 5 = 0))"
+
+
+@query("brand_fixpoint", f"""
+WITH r AS (SELECT * FROM {_LADDER} AS x), b AS (SELECT DISTINCT brand FROM r)
+SELECT r.p_partkey, (SELECT arg_min(b.brand, length(b.brand)) FROM b WHERE b.brand = r.brand OR starts_with(r.brand, concat(b.brand, ' '))) AS brand FROM r""")
+def brand_fixpoint(spark, d):
+    """Each brand gives way to the longest one that it goes on from, until the set of brands stays."""
+    from shelfwise.operators import brands
+
+    def step(rows):
+        words = F.split("brand", " ")
+        known = rows.select("brand").distinct()
+        shorter = known.filter(F.size(words) > 1).select("brand", F.explode(F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.array_join(F.slice(words, F.lit(1), i), " "))).alias("root"))
+        best = shorter.join(known.withColumnRenamed("brand", "root"), "root").groupBy("brand").agg(F.max_by("root", F.length("root")).alias("root"))
+        return rows.join(best, "brand", "left").select("p_partkey", F.coalesce("root", "brand").alias("brand"))
+
+    rows, _ = brands.to_fixpoint(sql(spark, d, f"SELECT * FROM {_LADDER} AS x", "part"), "brand", step)
+    return rows
+
+
+@query("cluster_report", f"""
+WITH RECURSIVE r AS (SELECT * FROM {_LADDER} AS x), b AS (SELECT brand, count(*) AS n FROM r GROUP BY 1), c AS (SELECT brand, n, (SELECT arg_min(y.brand, length(y.brand)) FROM b y WHERE y.brand = b.brand OR starts_with(b.brand, concat(y.brand, ' '))) AS root FROM b)
+SELECT root AS canonical, string_agg(brand, '|' ORDER BY brand) AS members, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY root HAVING count(*) >= 2""")
+def cluster_report(spark, d):
+    """Families of two brands and more with their members and how often they are seen, most first."""
+    before = sql(spark, d, f"SELECT * FROM {_LADDER} AS x", "part")
+    after = brand_fixpoint(spark, d).withColumnRenamed("brand", "canonical")
+    members = before.join(after, "p_partkey").groupBy("canonical", "brand").agg(F.count("*").alias("n"))
+    out = members.groupBy("canonical").agg(F.array_join(F.array_sort(F.collect_list("brand")), "|").alias("members"), F.sum("n").alias("n"), F.count("*").alias("k"))
+    return out.filter("k >= 2").drop("k").orderBy(F.desc("n"), F.lower("canonical"))

@@ -53,3 +53,20 @@ def chunked(df: DataFrame, group: str, order: Sequence[str], size: int) -> DataF
     """Adds ``chunk`` (from 0) and ``local_id`` (from 1) within each group."""
     n = F.row_number().over(Window.partitionBy(group).orderBy(*order))
     return df.withColumn("n_", n).withColumn("chunk", F.floor((F.col("n_") - 1) / size)).withColumn("local_id", ((F.col("n_") - 1) % size + 1).cast("int")).drop("n_")
+
+
+def checkpoint(df: DataFrame, path: str, run: int) -> None:
+    """The rows that a run has added, in a folder of their own: a run that is repeated writes over its own rows only."""
+    df.write.mode("overwrite").parquet(f"{path}/run={run}")
+
+
+def resumed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of all runs that were written whole, with their ``run``; none where nothing has been written."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in fs.listStatus(root)] if fs.exists(root) else []
+    whole = [str(p.toString()) for p in found if p.getName().startswith("run=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    if not whole:
+        return spark.createDataFrame([], f"{schema}, run int")
+    return spark.read.schema(f"{schema}, run int").option("basePath", path).parquet(*whole)

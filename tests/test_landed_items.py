@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfwise.functions import fields
-from shelfwise.operators import lookups, models, taxonomy
-from shelfwise.sources import items, landed, tiles
+from shelfwise.operators import brands, lookups, models, taxonomy
+from shelfwise.sources import items, landed, sinks, tiles
 
 
 def test_product_tiles(spark):
@@ -90,3 +90,29 @@ def test_too_many_labels(spark):
     protos = spark.range(5).selectExpr("id AS label", "array(1D) AS proto")
     with pytest.raises(ValueError):
         models.label_scores(protos.selectExpr("label AS id", "proto AS v"), "id", "v", protos, "label", most=4)
+
+
+def test_checkpoints(spark, tmp_path):
+    path, schema = str(tmp_path / "runs"), "id string, n int"
+    assert sinks.resumed(spark, path, schema).collect() == []
+    for run, rows in ((1, [("a", 1)]), (2, [("b", 2), ("c", 3)]), (2, [("b", 4)])):
+        sinks.checkpoint(spark.createDataFrame(rows, schema), path, run)
+    (tmp_path / "runs" / "run=3").mkdir()
+    (tmp_path / "runs" / "run=3" / "part-0.parquet").write_text("half")
+    assert sorted(map(tuple, sinks.resumed(spark, path, schema).collect())) == [("a", 1, 1), ("b", 4, 2)]
+
+
+def test_overwrite(spark, tmp_path):
+    path = str(tmp_path / "o")
+    for kind in ("json", "parquet"):
+        for n in (2, 1):
+            sinks.overwrite(spark.range(n), f"{path}-{kind}", kind)
+        assert spark.read.format(kind).load(f"{path}-{kind}").count() == 1
+
+
+def test_fixpoint_ends(spark):
+    rows = spark.createDataFrame([("aaaaaaaa",)], "b string")
+    shorter = lambda df: df.selectExpr("IF(length(b) > 2, substr(b, 2), b) AS b")
+    assert brands.to_fixpoint(rows, "b", shorter)[1] == 4
+    done, rounds = brands.to_fixpoint(rows, "b", shorter, most=20)
+    assert rounds == 7 and done.first().b == "aa"
