@@ -17,8 +17,11 @@ is told apart as follows, so that no pair that shares a bucket is lost and no gr
   and gained ``g`` others. Two classes u, v can be linked only if their common shingles, ``percent / (100 + percent)`` of
   ``nu + nv`` at least, are more than the ``nC - max(lu, lv)`` that they can have in common within C, so they have some
   number t of gained shingles in common; then, in one order, each has a common one among its first ``g - t + 1``. The order
-  is rarest first, by a counting sketch of fixed size. Pairs with t below 1 are few (both have lost much the same) and are
-  listed by their sizes.
+  is rarest first, by a counting sketch of fixed size. Pairs with t below 1 show all that they gained; those that have
+  none of it in common are within C, and as u is not linked to C, ``nC - lu`` is too small for a link unless v is smaller
+  than C itself (and u too, where v is not linked to C). Such pairs are listed by their sizes. Before a pair is compared,
+  marks of what either has lost (256 bits, so that differences are never overrated) raise the larger of lu and lv by what
+  the other has lost besides.
 """
 
 from __future__ import annotations
@@ -48,6 +51,8 @@ BLOCK = 128
 ALIKE = 85
 #: Counters of the sketch, as a power of two, and the parts in which they are summed.
 SKETCH_BITS, SKETCH_PARTS = 18, 16
+#: Marks of what a class has lost of its hub's shingles: 64 bits each.
+MARKS = ("m0", "m1", "m2", "m3")
 
 
 def _tries(n: int = 4096) -> np.ndarray:
@@ -261,8 +266,9 @@ def _prefixes(sketch, percent: int):
             place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
             use = place <= shown[row]
             row, place, gained = row[use], place[use], gained[by][use]
-            columns = [b.column(c).take(pa.array(row)) for c in ("hub", "cid", "n", "nc", "lost", "label", "loose")]
-            names = ["hub", "cid", "n", "nc", "lost", "label", "loose", "g", "s", "place"]
+            names = ["hub", "cid", "n", "nc", "lost", *MARKS, "label", "loose"]
+            columns = [b.column(c).take(pa.array(row)) for c in names]
+            names += ["g", "s", "place"]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes[row]), pa.array(gained), pa.array(place)], names=names)
 
     return run
@@ -278,7 +284,8 @@ def _sieved(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 def _decided(some: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """``a, b, large, na, nb, common, linked, gained`` of pairs of classes, on the full sets of one document of each class.
 
-    ``gained`` is what b has and a has not, for pairs of large buckets only. A class's document is found by id and a hash of
+    ``gained`` is what b has and a has not, for pairs of large buckets only, and ``m0`` to ``m3`` are marks of what a has and b
+    has not: bits that are set for its hashes. A class's document is found by id and a hash of
     its text, so rows that repeat an id, or have none, meet their own class only.
     """
     wanted = some.selectExpr("a AS cid").unionByName(some.selectExpr("b AS cid")).distinct().join(classes.select("cid", "sid", "rep.doc_id", "rep.h"), "cid")
@@ -289,28 +296,32 @@ def _decided(some: DataFrame, classes: DataFrame, docs: DataFrame, percent: int)
     both = some.join(sets.selectExpr("cid AS a", "shingles AS sa"), "a").join(sets.selectExpr("cid AS b", "shingles AS sb"), "b")
     both = both.withColumn("common", F.size(F.array_intersect("sa", "sb")).cast("long")).withColumn("na", F.size("sa").cast("long")).withColumn("nb", F.size("sb").cast("long"))
     both = both.withColumn("linked", F.expr(f"100 * common >= {percent} * (na + nb - common)")).withColumn("gained", F.expr("IF(large, array_except(sb, sa), NULL)"))
-    return keep(both.select("a", "b", "large", "na", "nb", "common", "linked", "gained"), "dup-tested")
+    both = both.withColumn("lost", F.expr("IF(large, array_except(sa, sb), NULL)"))
+    mark = "aggregate(lost, 0L, (m, x) -> m | IF(shiftrightunsigned(x, 6) % 4 = {i}, shiftleft(1L, CAST(x & 63 AS int)), 0L)) AS m{i}"
+    return keep(both.selectExpr("a", "b", "large", "na", "nb", "common", "linked", "gained", *(mark.format(i=i) for i in range(4))), "dup-tested")
 
 
 def _in_large(tested: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes of one large bucket's hub that can be linked and are in different components so far."""
     of = lambda side: labels.selectExpr(f"node AS {side}", f"label AS label_{side}")
     big = tested.filter("large").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    big = big.selectExpr("a AS hub", "b AS cid", "nb AS n", "na AS nc", "na - common AS lost", "gained", "coalesce(label_b, b) AS label", "coalesce(label_b, b) <> coalesce(label_a, a) AS loose")
+    big = big.selectExpr("a AS hub", "b AS cid", "nb AS n", "na AS nc", "na - common AS lost", "gained", *MARKS, "coalesce(label_b, b) AS label", "coalesce(label_b, b) <> coalesce(label_a, a) AS loose")
     hubs = big.groupBy("hub").agg(F.min("n").alias("least"), F.max("loose").alias("some")).filter("some").drop("some")
     big = keep(big.join(hubs, "hub"), "dup-large")
     sketch = big.sparkSession.sparkContext.broadcast(sketch_of(big))
-    kind = "hub long, cid long, n long, nc long, lost long, label long, loose boolean, g long, s long, place long"
+    kind = "hub long, cid long, n long, nc long, lost long, m0 long, m1 long, m2 long, m3 long, label long, loose boolean, g long, s long, place long"
     shown = keep(big.mapInArrow(_prefixes(sketch, percent), kind), "dup-shown")
     met = keep(shown.groupBy("hub", "s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("hub", "s"), "dup-met")
     shown = keep(shown.join(met, ["hub", "s"]), "dup-shared")
     apart = f"u.hub = v.hub AND u.cid <> v.cid AND u.label <> v.label AND 100 * least(u.n, v.n) >= {percent} * greatest(u.n, v.n)"
-    within = "u.nc - greatest(u.lost, v.lost)"  # what u and v can have in common of the hub's shingles
+    only = lambda x, y: " + ".join(f"bit_count({x}.{m} & ~{y}.{m})" for m in MARKS)  # noqa: E731  lost by x and not by y, at least so many
+    within = f"u.nc - greatest(u.lost + {only('v', 'u')}, v.lost + {only('u', 'v')})"  # what u and v can have in common of the hub's shingles
     room = f"{percent} * (u.n + v.n) <= {100 + percent} * ({within} + 1 + least(u.g - u.place, v.g - v.place))"
     far = shown.filter("loose").alias("u").join(shown.alias("v"), F.expr(f"u.s = v.s AND {apart} AND {room}"))
     fewest = f"greatest(least, CAST(ceil({percent} * n / 100) AS long))"
     slim = keep(big.drop("gained").filter(f"{percent} * (n + {fewest}) <= {100 + percent} * (nc - lost)"), "dup-slim")
-    near = slim.filter("loose").alias("u").join(slim.alias("v"), F.expr(f"{apart} AND {percent} * (u.n + v.n) <= {100 + percent} * ({within})"))
+    smaller = "v.n < v.nc AND (NOT v.loose OR u.n < u.nc)"
+    near = slim.filter("loose").alias("u").join(slim.filter("n < nc").alias("v"), F.expr(f"{apart} AND {smaller} AND {percent} * (u.n + v.n) <= {100 + percent} * ({within})"))
     ordered = ("least(u.cid, v.cid) AS a", "greatest(u.cid, v.cid) AS b")
     return far.selectExpr(*ordered).unionByName(near.selectExpr(*ordered)).distinct()
 
