@@ -7,7 +7,8 @@ sorted; this is the suffix array of the windows that start there. A Burrows-Whee
 front: within an interval of strings that agree so far, a stable partition by that byte gives the intervals of strings
 longer by one and their order, and the least common prefix between new neighbours is that of the range between their old
 places. So all intervals are extended together, one byte a level, breadth first; those with one string are dropped, and a
-level's windows are repeated where the prefix that neighbours share reaches ``length``, where extension stops.
+level's windows are repeated where the prefix that neighbours share reaches ``length``, where extension stops. Anchors with
+more occurrences than a task can sort have their windows counted by hash instead, and equal hashes are held against the bytes.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from ._words import raw_bytes, slices, texts_of
 
 #: Occurrences of one anchor that are sorted together; the windows of more are counted by hash, which needs no group.
 GROUP = 4096
+#: Bits of the hash by which the windows of larger groups are counted before their bytes are compared.
+HASH_BITS = 64
 #: Occurrences in one batch of sorting, about.
 BATCH = 16384
 #: Ids that are broadcast to pick documents, at most; more are joined.
@@ -155,7 +158,7 @@ def _expander(length: int):
     return run
 
 
-def _window_hashes(length: int):
+def _window_hashes(length: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = b.select(["gram", "key", "lo", "at", "n", "bytes"]).to_pylist()
@@ -163,9 +166,11 @@ def _window_hashes(length: int):
                 data = np.frombuffer(r["bytes"], dtype=np.uint8)
                 s = np.arange(len(data) - length + 1)
                 _, h128 = gram_hashes(data)
-                h = _joined(h128[s], h128[s + length - 128]).view(np.int64)
+                h = (_joined(h128[s], h128[s + length - 128]) >> np.uint64(64 - bits)).view(np.int64)
                 full = lambda v, k: pa.array(np.full(len(s), v, dtype=k))
-                yield pa.RecordBatch.from_arrays([full(r["gram"], np.int64), pa.array((r["at"] - s).astype(np.int32)), pa.array(h), full(r["key"], np.int64), pa.array(r["lo"] + s), full(r["n"], np.int64)], names=["gram", "depth", "h", "key", "lo", "n"])
+                own = pa.array([r["bytes"][i : i + length] for i in s.tolist()], pa.binary())
+                columns = [full(r["gram"], np.int64), pa.array((r["at"] - s).astype(np.int32)), pa.array(h), full(r["key"], np.int64), pa.array(r["lo"] + s), full(r["n"], np.int64), own]
+                yield pa.RecordBatch.from_arrays(columns, names=["gram", "depth", "h", "key", "lo", "n", "window"])
 
     return run
 
@@ -214,10 +219,16 @@ def repeated_ranges(base: DataFrame, length: int) -> DataFrame:
     contexts = keep(contexts, "sub-contexts")
     dealt = contexts.filter(F.col("contexts") <= GROUP).repartition(partitions_for(base.sparkSession), "gram").sortWithinPartitions("gram")
     ranges = dealt.mapInArrow(_expander(length), "key long, lo long, hi long")
-    large = contexts.filter(F.col("contexts") > GROUP).mapInArrow(_window_hashes(length), "gram long, depth int, h long, key long, lo long, n long")
+    large = contexts.filter(F.col("contexts") > GROUP).mapInArrow(_window_hashes(length, HASH_BITS), "gram long, depth int, h long, key long, lo long, n long, window binary")
     large = keep(large, "sub-windows")
-    twice = keep(large.groupBy("gram", "depth", "h").agg(F.count("*").alias("times")).filter("times > 1"), "sub-twice")
-    ranges = ranges.unionByName(large.filter("n < 2").join(twice, ["gram", "depth", "h"]).selectExpr("key", "lo", "lo AS hi"))
+    # windows of one hash are one string if the least of them is the largest; those of a hash that two strings share are counted by their bytes
+    at = ["gram", "depth", "h"]
+    sums = large.groupBy(*at).agg(F.count("*").alias("times"), F.min("window").alias("least"), F.max("window").alias("most")).filter("times > 1")
+    twice = keep(sums.selectExpr(*at, "least = most AS one"), "sub-twice")
+    open_ = large.filter("n < 2")
+    ranges = ranges.unionByName(open_.join(twice.filter("one"), at).selectExpr("key", "lo", "lo AS hi"))
+    mixed = large.join(twice.filter("NOT one").select(*at), at).groupBy(*at, "window").agg(F.count("*").alias("times")).filter("times > 1").drop("times")
+    ranges = ranges.unionByName(open_.join(mixed, [*at, "window"]).selectExpr("key", "lo", "lo AS hi"))
     whole = hits.filter("n > 1").selectExpr("key", "place >> 16 AS lo", "(place >> 16) + (place >> 8 & 255) AS hi").distinct()
     spans = ranges.unionByName(whole).selectExpr("key", "lo", f"hi + {length} AS hi")
     return keep(spans.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "sub-ranges")

@@ -54,6 +54,14 @@ def test_large_groups(spark, monkeypatch):
     assert result(spark, rows) == brute(rows)
 
 
+def test_equal_hashes_of_unlike_windows(spark, monkeypatch):
+    """Hashes of three bits: nearly every hash is that of several strings, and their bytes decide."""
+    monkeypatch.setattr(s, "GROUP", 2)
+    monkeypatch.setattr(s, "HASH_BITS", 3)
+    rows = made(6, 40)
+    assert result(spark, rows) == brute(rows)
+
+
 def test_repeated_ids(spark):
     rows = made(4, 20)
     rows += [(3, rows[5][1]), (None, rows[6][1]), (None, "q" * 250), (7, rows[7][1])]
