@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.text import has_any, has_phrase
@@ -29,9 +29,22 @@ def ranked(scores: Mapping[str, Column]) -> Column:
     return F.array_sort(F.array(*(F.struct((-s).alias("s"), F.lit(name).alias("name")) for name, s in scores.items())))
 
 
-def category_details(haystack: str, profiles: Mapping[str, Mapping[str, Sequence[str]]], hints: Sequence[tuple[str, Sequence[str], Sequence[str]]], fallback: str = "Pantry") -> Column:
-    """``struct<category, confidence>``: a direct hint (.93), else the best score with a confidence from score and margin."""
-    order = ranked({c: profile_score(haystack, p) for c, p in profiles.items()})
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column behind a generator of one row: what refers to it several times does not repeat its expression."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
+def with_category_details(df: DataFrame, haystack: str, profiles: Mapping[str, Mapping[str, Sequence[str]]], hints: Sequence[tuple[str, Sequence[str], Sequence[str]]]) -> DataFrame:
+    """Adds ``category`` and ``confidence``; every profile is scored once a row."""
+    scored = once(df, "order_", ranked({c: profile_score(haystack, p) for c, p in profiles.items()}))
+    return once(scored, "details_", category_details(haystack, F.col("order_"), hints)).select("*", "details_.category", "details_.confidence").drop("order_", "details_")
+
+
+def category_details(haystack: str, order: Column, hints: Sequence[tuple[str, Sequence[str], Sequence[str]]], fallback: str = "Pantry") -> Column:
+    """``struct<category, confidence>``: a direct hint (.93), else the best score with a confidence from score and margin.
+
+    ``order``: categories by score, as ``ranked`` gives them.
+    """
     best, second = -order[0]["s"], -order[1]["s"]
     confidence = F.round(F.least(F.lit(0.99), F.greatest(F.lit(0.3), 0.35 + best / 40.0 + F.greatest(F.lit(0), best - second) / 30.0)), 2)
     made = lambda c, v: F.struct(c.alias("category"), v.alias("confidence"))

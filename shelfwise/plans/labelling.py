@@ -182,7 +182,7 @@ _HINT_SQL = " ".join("WHEN ({}) {} THEN '{}'".format(" OR ".join(map(_phrase, i)
 FROM (SELECT doc_id, h, CASE {_HINT_SQL} END AS hint, list_sort([{', '.join(f'row(-s{i}, {chr(39)}{c}{chr(39)})' for i, c in enumerate(PROFILES))}]) AS o FROM (SELECT doc_id, h, {_SCORES} FROM ({_HAY})))""")
 def category_details(spark, d):
     docs = table(spark, d, "documents").select("doc_id", text.text_key("text").alias("h"))
-    return docs.select("doc_id", rules.category_details("h", PROFILES, HINTS).alias("x")).select("doc_id", "x.category", "x.confidence")
+    return rules.with_category_details(docs, "h", PROFILES, HINTS).select("doc_id", "category", "confidence")
 
 
 RULES = [
