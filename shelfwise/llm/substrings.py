@@ -29,6 +29,8 @@ from ._words import raw_bytes, slices, texts_of
 GROUP = 4096
 #: Bits of the hash by which the windows of larger groups are counted before their bytes are compared.
 HASH_BITS = 64
+#: Bytes of text that a worker hashes at once, about; it holds some eighty times as much for a moment.
+PIECE_BYTES = 3 << 19
 #: Occurrences in one batch of sorting, about.
 BATCH = 16384
 #: Ids that are broadcast to pick documents, at most; more are joined.
@@ -38,7 +40,7 @@ BROADCAST_ROWS = 1_000_000
 def _anchor_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for piece in slices(b, "text", 4 << 20):
+            for piece in slices(b, "text", PIECE_BYTES):
                 data, offsets = raw_bytes(texts_of(piece.column("text")))
                 r = anchors(data, offsets, length)
                 place = r["lo"] << 16 | (r["hi"] - r["lo"]) << 8 | (r["at"] - r["lo"])
@@ -53,7 +55,7 @@ def _contexts(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for piece in slices(b, "text", 4 << 20):
+            for piece in slices(b, "text", PIECE_BYTES):
                 out: list[tuple] = []
                 for key, text, wanted in zip(piece.column("key").to_pylist(), piece.column("text"), piece.column("wanted").to_pylist(), strict=True):
                     data = text.as_buffer()
