@@ -8,10 +8,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def keyed(df: DataFrame, fields: Sequence[str], typed: bool = True) -> DataFrame:
-    """One row for each key that is not empty, with its priority: the place of its field in ``fields``."""
-    parts = [F.struct(F.lit(i).alias("priority"), (F.concat(F.lit(f"{f}:"), F.col(f).cast("string")) if typed else F.col(f).cast("string")).alias("key"), F.col(f).cast("string").alias("v")) for i, f in enumerate(fields)]
-    return df.withColumn("x_", F.explode(F.array(*parts))).filter("x_.v IS NOT NULL AND x_.v <> ''").withColumn("priority", F.col("x_.priority")).withColumn("key", F.col("x_.key")).drop("x_")
+def keyed(df: DataFrame, fields: Sequence[str], typed: bool = True, ids: str | None = None) -> DataFrame:
+    """One row for each key that is not empty, with its priority: the place of its field in ``fields``.
+
+    Typed keys carry their field's name; others are values, whatever field they stand in. ``ids``: an array of further
+    values, which come last (of untyped keys only).
+    """
+    name = lambda f: F.concat(F.lit(f"{f}:"), F.col(f).cast("string")) if typed else F.col(f).cast("string")
+    parts = F.array(*(F.struct(F.lit(i).alias("priority"), name(f).alias("key"), F.col(f).cast("string").alias("v")) for i, f in enumerate(fields)))
+    if ids is not None:
+        more = F.transform(F.coalesce(F.col(ids), F.array().cast("array<string>")), lambda x: F.struct(F.lit(len(fields)).alias("priority"), x.alias("key"), x.alias("v")))
+        parts = F.concat(parts, more)
+    found = df.withColumn("x_", F.explode(parts)).filter("x_.v IS NOT NULL AND x_.v <> ''")
+    return found.withColumn("priority", F.col("x_.priority")).withColumn("key", F.col("x_.key")).drop("x_")
+
+
+def identity_match(rows: DataFrame, row_id: str, others: DataFrame, other_id: str, fields: Sequence[str], ids: str) -> DataFrame:
+    """``row_id, other_id`` of the row that any value of ``fields`` or ``ids`` is shared with, the first value first; of rows that
+    share one value the last by ``other_id``. Rows without a match are left out."""
+    build = keyed(others, fields, typed=False, ids=ids).groupBy("key").agg(F.max(other_id).alias(other_id))
+    probe = keyed(rows, fields, typed=False, ids=ids).groupBy(row_id, "key").agg(F.min("priority").alias("priority"))
+    return probe.join(build, "key").groupBy(row_id).agg(F.min_by(other_id, F.struct("priority", "key")).alias(other_id))
 
 
 def lookup(rows: DataFrame, row_id: str, row_fields: Sequence[str], labels: DataFrame, label_fields: Sequence[str], label_order: str, values: Sequence[str], typed: bool = True) -> DataFrame:

@@ -52,6 +52,28 @@ def label_missing(spark, d):
     return lab.covered(sql(spark, d, _ROWS, "documents"), "doc_id", _FIELDS, sql(spark, d, _LABELS, "labels"), _FIELDS, "left_anti").select("doc_id")
 
 
+_IDENTITY = """
+{n}k AS (SELECT id, min(p) AS p, k FROM (SELECT id, unnest([0, 1, 2, 3]) AS p, unnest([asin, url, name, extra]) AS k FROM {n}) WHERE k <> '' GROUP BY id, k)"""
+_PRODUCTS = f"SELECT doc_id AS id, asin, url, name, concat('X', CAST(doc_id % 40 AS STRING)) AS extra FROM ({_ROWS}) AS r"
+_GOLD = f"SELECT label_no AS id, asin, url, name, concat('X', CAST(label_no % 60 AS STRING)) AS extra FROM ({_LABELS}) AS l WHERE label_no % 2 = 0"
+_CLIP = "SELECT vec_id AS id, CASE WHEN vec_id % 4 = 0 THEN concat('A', CAST(vec_id AS STRING)) END AS asin, '' AS url, concat('u', CAST(label AS STRING)) AS name, CASE WHEN vec_id % 3 = 0 THEN concat('X', CAST(vec_id AS STRING)) ELSE '' END AS extra FROM embeddings"
+
+
+@query("identity_three_way", f"""
+WITH p AS ({_PRODUCTS}), g AS ({_GOLD}), c AS ({_CLIP}), {_IDENTITY.format(n='p')}, {_IDENTITY.format(n='g')}, {_IDENTITY.format(n='c')},
+pg AS (SELECT a.id, arg_min(b.last, (a.p, a.k)) AS gold FROM pk a JOIN (SELECT k, max(id) AS last FROM gk GROUP BY k) b USING (k) GROUP BY a.id),
+pc AS (SELECT a.id, arg_min(b.last, (a.p, a.k)) AS clip FROM pk a JOIN (SELECT k, max(id) AS last FROM ck GROUP BY k) b USING (k) GROUP BY a.id)
+SELECT p.id, gold, clip FROM p LEFT JOIN pg USING (id) LEFT JOIN pc USING (id)""")
+def identity_three_way(spark, d):
+    """Products with the gold label and the model's row that share any of their values, whatever field these stand in."""
+    fields = ["asin", "url", "name"]
+    of = lambda text, name: sql(spark, d, text, name).withColumn("extra", F.array("extra"))
+    products = of(_PRODUCTS, "documents")
+    gold = lab.identity_match(products, "id", of(_GOLD, "labels").withColumnRenamed("id", "gold"), "gold", fields, "extra")
+    clip = lab.identity_match(products, "id", of(_CLIP, "embeddings").withColumnRenamed("id", "clip"), "clip", fields, "extra")
+    return products.select("id").join(gold, "id", "left").join(clip, "id", "left")
+
+
 @query("prior_review_carryover", "SELECT d.doc_id, coalesce(CASE WHEN l.toxic = 0 THEN l.quality END, -1) AS reviewed FROM documents d LEFT JOIN labels l USING (doc_id)")
 def prior_review(spark, d):
     """Reviews of before are carried over where they are complete."""

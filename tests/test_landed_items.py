@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfwise.functions import fields
-from shelfwise.operators import brands, lookups, models, taxonomy
-from shelfwise.sources import items, landed, sinks, tiles
+from shelfwise.operators import brands, lookups, models, rules, taxonomy
+from shelfwise.sources import items, landed, rule_tables, sinks, tiles
 
 
 def test_product_tiles(spark):
@@ -116,3 +116,18 @@ def test_fixpoint_ends(spark):
     assert brands.to_fixpoint(rows, "b", shorter)[1] == 4
     done, rounds = brands.to_fixpoint(rows, "b", shorter, most=20)
     assert rounds == 7 and done.first().b == "aa"
+
+
+def test_rule_tables(spark, tmp_path):
+    (tmp_path / "rules.csv").write_text("ord,terms,category,subcategory,confidence\n2,Tea|coffee,Beverages,Hot,0.9\n1,iced tea,Beverages,Cold,0.95\n3,,Pantry,None,0.5\n")
+    found = rule_tables.first_match_rules(spark.read.option("header", True).csv(str(tmp_path / "rules.csv")))
+    assert found == [(("iced tea",), "Beverages", "Cold", 0.95), (("tea", "coffee"), "Beverages", "Hot", 0.9)]
+    df = spark.createDataFrame([("iced tea",), ("green tea",), ("steak",), ("rice",)], "t string")
+    assert [r[0] for r in df.select(rules.first_rule("t", found)["subcategory"]).collect()] == ["Cold", "Hot", "Hot", None]
+    table = spark.createDataFrame([("Produce", "Strong", "fresh fruit"), ("Produce", "exclude", "juice"), ("Pantry", "weak", "rice"), ("Pantry", "weak", " ")], "category string, kind string, phrase string")
+    known = rule_tables.profiles(table)
+    assert known == {"Produce": {"strong": ["fresh fruit"], "exclude": ["juice"]}, "Pantry": {"weak": ["rice"]}}
+    got = rules.with_category_details(spark.createDataFrame([("fresh fruit",), ("rice",), ("",)], "h string"), "h", known, []).collect()
+    assert [r.category for r in got] == ["Produce", "Pantry", "Pantry"]
+    with pytest.raises(ValueError):
+        rule_tables.profiles(table.withColumn("kind", F.lit("odd")))
