@@ -30,6 +30,16 @@ def predict_votes(rows: DataFrame, doc: str, votes: tuple[DataFrame, DataFrame,
     return out.select(doc, F.explode(F.array(*(F.struct(F.lit(v).alias(label), F.col(f"s_{i}").alias("score")) for i, v in enumerate(labels)))).alias("x")).select(doc, "x.*")
 
 
+def best_allowed(scores: DataFrame, doc: str, label: str, groups: DataFrame, group: str, allowed: DataFrame) -> DataFrame:
+    """``doc, label, score`` of the best label that a row's group allows; of equal scores the smaller label.
+
+    ``groups``: ``doc, group``. ``allowed``: ``group, label``, a table of some hundred rows. A group without any allows none.
+    """
+    some = scores.join(groups.select(doc, group), doc).join(allowed.select(group, label).distinct(), [group, label])
+    best = F.min_by(F.struct(label, "score"), F.struct(-F.col("score"), label))
+    return some.groupBy(doc).agg(best.alias("x")).select(doc, f"x.{label}", "x.score")
+
+
 def prototypes(vectors: DataFrame, label: str, vector: str) -> DataFrame:
     """The mean vector of each label."""
     parts = vectors.select(label, F.posexplode(F.col(vector).cast("array<double>")).alias("i", "x")).groupBy(label, "i").agg(F.avg("x").alias("x"))

@@ -288,6 +288,19 @@ def naive_bayes(spark, d):
     return p.groupBy("doc_id").agg(F.max_by("quality", "score").alias("quality"), F.round(F.max("score"), 3).alias("score"))
 
 
+@query("naive_bayes_allowed", f"""{_TRAIN}, p AS (SELECT w.doc_id, dl.quality, sum(ln((coalesce(wl.n, 0) + 1) * 1.0 / (dl.nt + v.v))) + min(ln(dl.nd * 1.0 / (SELECT sum(nd) FROM dl))) AS score
+  FROM w CROSS JOIN dl CROSS JOIN v LEFT JOIN wl ON wl.quality = dl.quality AND wl.token = w.token GROUP BY w.doc_id, dl.quality)
+SELECT doc_id, arg_max(quality, score) AS quality, round(max(score), 3) AS score FROM p JOIN documents USING (doc_id) WHERE lang = 'en' OR (lang <> 'de' AND quality = 1) GROUP BY doc_id""")
+def naive_bayes_allowed(spark, d):
+    """The best label of those that a language allows; one of them allows none."""
+    rows = tokens(spark, d)
+    votes = models.token_votes(rows.join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id"), "quality", "doc_id")
+    scores = models.predict_votes(rows, "doc_id", votes, "quality", [0, 1])
+    docs = table(spark, d, "documents").select("doc_id", "lang")
+    allowed = docs.select("lang").distinct().filter("lang <> 'de'").select("lang", F.explode(F.when(F.col("lang") == "en", F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))).alias("quality"))
+    return models.best_allowed(scores, "doc_id", "quality", docs, "lang", allowed).select("doc_id", "quality", F.round("score", 3).alias("score"))
+
+
 @query("training_weights", "SELECT lang, quality, CAST(sum(CASE WHEN toxic = 1 THEN 8 WHEN quality = 1 THEN 3 ELSE 1 END) AS BIGINT) AS weight, count(*) AS n FROM (SELECT DISTINCT text, lang, quality, toxic FROM documents JOIN labels USING (doc_id)) GROUP BY ALL")
 def training_weights(spark, d):
     """Distinct examples with a weight by the source of their label, in place of copies."""
