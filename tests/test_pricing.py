@@ -20,6 +20,23 @@ GOLDEN = [
     ("$2.00 to $4.00", "buy 2 get 1 free", None, None, "$2.00 to $4.00 ea", "$1.34 to $2.67 ea", "33% off", 7),
     ("$8.00", "$7.00", None, None, "$8.00 ea", "$7.00 ea", "12% off", 1),
     ("  ", "", "$2/lb", None, None, "$2/lb", None, None),
+    # by hand from the rules in words: one row or more for each that can be reached
+    ("Organic", None, None, "20% off", "Organic ea", "20% off", "20% off", 11),
+    ("see store", "$3.00", None, None, "see store ea", "$3.00 ea", None, 12),
+    ("$6.00/lb", None, None, "Buy 1, Get 1 Free", "$6.00/lb", "$3.00/lb", "50% off", 6),
+    ("$3.00", "2 for $7", None, None, "$3.00 ea", "$3.50 ea", "-17% off", 4),
+    ("$9.99", None, "$7.49", None, "$9.99 ea", "$7.49 ea", "25% off", 1),
+    ("$1.00 to $3.00", "Buy 3, Get 1 Free", None, None, "$1.00 to $3.00 ea", "$0.75 to $2.25 ea", "25% off", 7),
+    ("$10.00", "15% off", "30% off", "20% off", "$10.00 ea", None, "30% off", None),
+    ("$12.00/lb", None, None, "25 % OFF", "$12.00/lb", "$9.00/lb", "25% off", 8),
+    ("$2.00 to $3.00/lb", "$1.50", None, None, "$2.00 to $3.00/lb", "$1.50/lb", "25% to 50% off", 2),
+    ("$1.00", "3 for $2", None, None, "$1.00 ea", "$0.67 ea", "33% off", 4),
+    ("$5.00 ea", "$5.00", None, None, None, "$5.00 ea", None, 1),
+    ("Regular  $4.00", "$2.00", None, None, "$4.00 ea", "$2.00 ea", "50% off", 1),
+    (None, None, "$4.00", "10% off", None, "$4.00 ea", "10% off", None),
+    (None, "40% off", None, "10% off", None, None, "40% off", None),
+    ("$7.00", None, None, None, "$7.00 ea", None, None, None),
+    ("$7.00", None, None, "0% off", None, "$7.00 ea", None, 8),
 ]
 
 
