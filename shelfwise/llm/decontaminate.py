@@ -3,7 +3,9 @@
 A window must lie in a document whole, so its necessary prefix is one shingle: its rarest word. Document positions of
 that word are joined with the windows that have it there; the word's place in the window fixes where the window would
 start, which must leave room for all its words in the document (length and position); then every word is compared.
-The benchmark is taken in blocks of bounded size, each of which is broadcast; a larger benchmark means more blocks.
+The benchmark is taken in blocks of bounded size, each of which is broadcast; a larger benchmark means more blocks. However
+many there are, the documents are read twice, once to count words and once to find windows: a worker takes one block after
+another for a piece of the documents, and holds one at a time.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType
 
-from ._store import OWN, opened, packed, packed_with, unpacked
+from ._store import OWN, keep, opened, packed, packed_with, unpacked
 from ._words import mapped, slices, texts_of, words_of
 
 FOUND = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -91,65 +93,74 @@ class Windows:
         return np.concatenate(starts), np.concatenate(found)
 
 
-def _coded(texts: pa.Array, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    codes, distinct, counts = words_of(mapped(texts, _TABLE))
-    known = pc.fill_null(pc.index_in(distinct, value_set=words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-    return known[codes], counts
+def _known(distinct: pa.Array, words: pa.Array) -> np.ndarray:
+    """The code of each distinct word in a block's words, -1 for others."""
+    return pc.fill_null(pc.index_in(distinct, value_set=words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _counter(words):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(len(words.value), dtype=np.int64)
+def _gathered(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.RecordBatch]:
+    """Pieces of about 8 MB of text; of several batches and four times as much where there are several blocks to take for each."""
+    if blocks == 1:
         for batch in batches:
-            for piece in slices(batch, "text", 8 << 20):
-                codes, _ = _coded(texts_of(piece.column("text")), words.value)
-                seen += np.bincount(codes[codes >= 0], minlength=len(seen))
-        full = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(seen[full], pa.int64())], names=["code", "n"])
+            yield from slices(batch, "text", 8 << 20)
+        return
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        for piece in slices(batch, "text", 32 << 20):
+            held.append(piece)
+            if sum(x.nbytes for x in held) >= 32 << 20:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+    if held:
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()
+        if rows:
+            yield rows[0]
+
+
+def _taken(blocks: list):
+    """The value of each broadcast in turn; where there are several, a worker forgets one before it reads the next."""
+    for i, b in enumerate(blocks):
+        yield i, b.value
+        if len(blocks) > 1:
+            b.__dict__.pop("_value", None)
+
+
+def _counter(words: list):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, np.ndarray] = {}
+        for piece in _gathered(batches, len(words)):
+            codes, distinct, _ = words_of(mapped(texts_of(piece.column("text")), _TABLE))
+            times = np.bincount(codes, minlength=len(distinct))
+            for i, own in _taken(words):
+                known = _known(distinct, own)
+                seen.setdefault(i, np.zeros(len(own), dtype=np.int64))
+                np.add.at(seen[i], known[known >= 0], times[known >= 0])
+        for i, n in seen.items():
+            full = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(full), i, np.int32)), pa.array(full, pa.int64()), pa.array(n[full], pa.int64())], names=["block", "code", "n"])
 
     return run
 
 
-def _scanner(index, last: bool, share: int):
-    """Rows of ``own``, the text where it is not in there, and the runs and items that earlier blocks have hit."""
-
+def _scanner(indexes: list, share: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w: Windows = index.value
-        for batch in batches:
-            kept = [c for c in batch.schema.names if c in (OWN, "text")]
-            batch = batch.append_column("read", next(opened([batch.select(kept)])).column("text"))
-            for piece in slices(batch, "read", 8 << 20):
-                codes, counts = _coded(texts_of(piece.column("read")), w.words)
-                ends = np.cumsum(counts)
-                row = np.repeat(np.arange(len(counts)), counts)
-                start, window = w.find(codes, (ends - counts)[row], ends[row])
-                per_row: list[set[str]] = [set(x or ()) for x in piece.column("items").to_pylist()]
+        for piece in _gathered(opened(batches), len(indexes)):
+            codes, distinct, counts = words_of(mapped(texts_of(piece.column("text")), _TABLE))
+            ends = np.cumsum(counts)
+            row = np.repeat(np.arange(len(counts)), counts)
+            per_row: list[set[str]] = [set() for _ in range(len(counts))]
+            edge = np.zeros(len(codes) + 1, dtype=np.int64)
+            for _, w in _taken(indexes):
+                start, window = w.find(_known(distinct, w.words)[codes] if len(codes) else codes, (ends - counts)[row], ends[row])
                 for r, x in {(r, x) for r, x in zip(row[start].tolist(), window.tolist(), strict=True)}:
                     per_row[r].update(w.ids[i] for i in w.items[x] if w.ids[i] is not None)
-                edge = np.zeros(len(codes) + 1, dtype=np.int64)
                 np.add.at(edge, start, 1)
                 np.add.at(edge, start + w.lengths[window], -1)
-                for i, old in enumerate(piece.column("runs").to_pylist()):
-                    for lo, hi in zip((old or ())[::2], (old or ())[1::2], strict=True):
-                        edge[ends[i] - counts[i] + lo] += 1
-                        edge[ends[i] - counts[i] + hi] -= 1
-                hit = np.cumsum(edge[:-1]) > 0
-                if last:
-                    sums = np.concatenate([[0], np.cumsum(hit)])
-                    n_hit = sums[ends] - sums[ends - counts]
-                    digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in per_row]
-                    found = [pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in per_row], pa.int64()), pa.array(digest, pa.string()), pa.array((n_hit > 0) & (share * n_hit >= counts))]
-                    yield pa.RecordBatch.from_arrays([piece.column(OWN), *found], names=[OWN, *FOUND])
-                    continue
-                runs: list[list[int]] = [[] for _ in per_row]
-                flips = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
-                cut = np.unique(np.concatenate([flips, ends[:-1][(ends[:-1] > 0) & (ends[:-1] < len(hit))]])) if len(flips) else flips
-                for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                    if hit[lo]:
-                        r = int(row[lo])
-                        runs[r] += [lo - int(ends[r] - counts[r]), hi - int(ends[r] - counts[r])]
-                state = [pa.array(runs, pa.list_(pa.int32())), pa.array([sorted(x) for x in per_row], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in kept), *state], names=[*kept, "runs", "items"])
+            sums = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
+            n_hit = sums[ends] - sums[ends - counts]
+            digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in per_row]
+            found = [pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in per_row], pa.int64()), pa.array(digest, pa.string()), pa.array((n_hit > 0) & (share * n_hit >= counts))]
+            yield pa.RecordBatch.from_arrays([piece.column(OWN), *found], names=[OWN, *FOUND])
 
     return run
 
@@ -167,21 +178,27 @@ def scan_packed(docs: DataFrame, benchmark: DataFrame, carried: list[str], *, wi
     n_bytes = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n_blocks = max(1, -(-n_bytes // block_bytes))
     items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)))
-    rows = packed(docs, carried)
-    state = rows.withColumns({"runs": F.expr("CAST(NULL AS array<int>)"), "items": F.expr("CAST(NULL AS array<string>)")})
-    done = packed_with(rows, n_words=LongType(), n_hit=LongType(), n_items=LongType(), items_sha256=StringType(), contaminated=BooleanType())
-    for block in range(n_blocks):
-        some = items.filter(F.col("block") == block).select("item_id", "text").collect()  # of bounded size: items are distinct, and dealt evenly
-        index = Windows([r[0] for r in some], [r[1] for r in some], width)
-        words = spark.sparkContext.broadcast(index.words)
-        seen = docs.select("text").mapInArrow(_counter(words), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
+    items = items if n_blocks == 1 else keep(items, "bench-items")
+
+    def block_of(i: int) -> Windows:
+        some = items.filter(F.col("block") == i).select("item_id", "text").orderBy("item_id", "text").collect()  # of bounded size: items are distinct, and dealt evenly
+        return Windows([r[0] for r in some], [r[1] for r in some], width)
+
+    indexes = [block_of(0)] if n_blocks == 1 else None  # one is held; of several, one at a time is made again
+    words = [spark.sparkContext.broadcast((indexes[0] if indexes else block_of(i)).words) for i in range(n_blocks)]
+    seen = docs.select("text").mapInArrow(_counter(words), "block int, code long, n long").groupBy("block", "code").agg(F.sum("n").alias("n"))
+    seen = seen if n_blocks == 1 else keep(seen, "bench-words")
+    ordered = []
+    for i in range(n_blocks):
+        index = indexes[0] if indexes else block_of(i)
         frequency = np.zeros(max(1, len(index.words)), dtype=np.int64)
-        for r in seen:
+        for r in seen.filter(F.col("block") == i).select("code", "n").collect():  # one row a word of the block
             frequency[r["code"]] = r["n"]
         index.order(frequency)
-        last = block == n_blocks - 1
-        state = state.mapInArrow(_scanner(spark.sparkContext.broadcast(index), last, share), done if last else state.schema)
-    return state
+        ordered.append(spark.sparkContext.broadcast(index))
+    rows = packed(docs, carried)
+    done = packed_with(rows, n_words=LongType(), n_hit=LongType(), n_items=LongType(), items_sha256=StringType(), contaminated=BooleanType())
+    return rows.mapInArrow(_scanner(ordered, share), done)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, carried: list[str] | None = None, **options) -> DataFrame:
