@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Collection, Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions import text
+from shelfwise.functions.similarity import can_reach, sequence_ratio
 from shelfwise.working import keep
 
 from . import graph
@@ -56,18 +57,54 @@ def _prefixed(vocabulary: BrandVocabulary) -> Column:
     return F.startswith(long, F.concat(short, F.lit(" "))) & (plain | F.forall(rest, known))
 
 
-def linked_pairs(rows: DataFrame, vocabulary: BrandVocabulary) -> DataFrame:
-    """``a, b`` of brands to merge: same seed; prefix; like words and trigrams; or two first words in common and a like sequence."""
-    from shelfwise.plans.labelling import sequence_ratio
+def prefixes_of(words: Column) -> Column:
+    """Every start of a key but itself, by words."""
+    return F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.array_join(F.slice(words, F.lit(1), i), " "))
+
+
+def by_grams(rows: DataFrame, share: float) -> DataFrame:
+    """``a, b`` of brands of one block whose trigrams can have ``share`` in common.
+
+    Two such sets share one of the rarest ``n - ceil(share n) + 1`` of either, so a join on these finds them, and no block is
+    squared.
+    """
+    grams = rows.select("brand", "block", F.size("grams").alias("n"), F.explode("grams").alias("g"))
+    often = grams.groupBy("block", "g").agg(F.count("*").alias("times"))
+    rarest = Window.partitionBy("brand").orderBy("times", "g")
+    shown = keep(grams.join(often, ["block", "g"]).withColumn("at", F.row_number().over(rarest)).filter(f"at <= n - ceil({share} * n) + 1"), "brand-grams")
+    met = shown.alias("x").join(shown.alias("y"), F.expr(f"x.block = y.block AND x.g = y.g AND x.brand < y.brand AND least(x.n, y.n) >= {share} * greatest(x.n, y.n)"))
+    return met.selectExpr("x.brand AS a", "y.brand AS b").distinct()
 
+
+def by_prefix(rows: DataFrame) -> DataFrame:
+    """``a, b`` of brands of one block of which one's key goes on from the other's."""
+    words = F.split("k", " ")
+    longer = rows.filter(F.size(words) > 1).select("brand", "block", F.explode(prefixes_of(words)).alias("k"))
+    on = rows.alias("x").join(longer.alias("y"), F.expr("x.block = y.block AND x.k = y.k AND x.brand <> y.brand"))
+    return on.selectExpr("least(x.brand, y.brand) AS a", "greatest(x.brand, y.brand) AS b").distinct()
+
+
+def linked_pairs(rows: DataFrame, vocabulary: BrandVocabulary) -> DataFrame:
+    """``a, b`` of brands to merge, the one seen first before: same seed; prefix; like words and trigrams; or two first words in
+    common and a like sequence. Candidates come from joins on what each rule needs to be equal, not from all pairs of a block.
+    """
+    rows = keep(rows.filter("k <> ''"), "brand-rows")
+    seeded = rows.filter("seed IS NOT NULL").select("brand", "block", "seed")
+    same_seed = seeded.alias("x").join(seeded.alias("y"), F.expr("x.block = y.block AND x.seed = y.seed AND x.brand < y.brand")).selectExpr("x.brand AS a", "y.brand AS b")
+    pairs_of = rows.filter("size(toks) >= 2").selectExpr("brand", "block", "slice(toks, 1, 2) AS t", "length(k) AS n")
+    two = pairs_of.alias("x").join(pairs_of.alias("y"), F.expr("x.block = y.block AND x.t = y.t AND x.brand < y.brand AND 2 * least(x.n, y.n) >= 0.8 * (x.n + y.n)")).selectExpr("x.brand AS a", "y.brand AS b")
+    some = same_seed.unionByName(two).unionByName(by_grams(rows, 0.72)).unionByName(by_prefix(rows)).distinct()
     share = lambda c: F.coalesce(F.size(F.array_intersect(f"x.{c}", f"y.{c}")) / F.nullif(F.size(F.array_union(f"x.{c}", f"y.{c}")), F.lit(0)), F.lit(0.0))
     same = (F.col("x.first") != "") & F.expr("x.first = y.first")
     seed, prefix = F.coalesce(F.expr("x.seed = y.seed"), F.lit(False)), _prefixed(vocabulary)
     like = same & (share("toks") >= 0.66) & (share("grams") >= 0.72)
-    two = F.expr("size(x.toks) >= 2 AND size(y.toks) >= 2 AND slice(x.toks, 1, 2) = slice(y.toks, 1, 2)")
-    both = rows.alias("x").join(rows.alias("y"), F.expr("x.block = y.block AND x.ord < y.ord AND x.k <> '' AND y.k <> ''"))
-    both = both.select(F.col("x.brand").alias("a"), F.col("y.brand").alias("b"), F.col("x.k").alias("ka"), F.col("y.k").alias("kb"), (seed | prefix | like).alias("sure"), two.alias("two")).filter("sure OR two")
-    ratio = both.filter("NOT sure").withColumn("ratio", sequence_ratio("ka", "kb")).filter("ratio >= 0.8")
+    both = some.join(rows.alias("x"), F.expr("a = x.brand")).join(rows.alias("y"), F.expr("b = y.brand"))
+    first = F.expr("x.ord < y.ord")
+    ordered = (F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b"))
+    heads = F.expr("size(x.toks) >= 2 AND size(y.toks) >= 2 AND slice(x.toks, 1, 2) = slice(y.toks, 1, 2)")
+    both = keep(both.select(*ordered, F.col("x.k").alias("ka"), F.col("y.k").alias("kb"), first.alias("in_order"), (seed | prefix | like).alias("sure"), heads.alias("two")).filter("sure OR two"), "brand-pairs")
+    left = both.filter("NOT sure").selectExpr("a", "b", "IF(in_order, ka, kb) AS ka", "IF(in_order, kb, ka) AS kb")
+    ratio = left.filter(can_reach("ka", "kb", 0.8)).withColumn("ratio", sequence_ratio("ka", "kb")).filter("ratio >= 0.8")
     return both.filter("sure").select("a", "b").unionByName(ratio.select("a", "b"))
 
 

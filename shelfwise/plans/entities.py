@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions import names, text
@@ -121,23 +120,9 @@ def brand_rows(spark, d):
 
 
 def brand_pairs(spark, d):
-    """Linked pairs of brands of one first word, without all pairs of a block.
-
-    A pair is linked by its trigrams and words, or because one key goes on from the other. Two sets of trigrams with 0.72 in
-    common share one of the rarest ``n - ceil(0.72 n) + 1`` of either, so a join on these finds them; keys that go on from
-    another meet it as one of their own prefixes.
-    """
+    """Linked pairs of brands of one first word, by their trigrams and words, or because one key goes on from the other."""
     rows = keep(brand_rows(spark, d).withColumn("block", F.element_at("toks", 1)), "brand-rows")
-    grams = rows.select("brand", "block", F.size("grams").alias("n"), F.explode("grams").alias("g"))
-    often = grams.groupBy("block", "g").agg(F.count("*").alias("times"))
-    rarest = Window.partitionBy("brand").orderBy("times", "g")
-    shown = keep(grams.join(often, ["block", "g"]).withColumn("at", F.row_number().over(rarest)).filter("at <= n - ceil(0.72 * n) + 1"), "brand-grams")
-    met = shown.alias("x").join(shown.alias("y"), F.expr("x.block = y.block AND x.g = y.g AND x.brand < y.brand AND least(x.n, y.n) >= 0.72 * greatest(x.n, y.n)"))
-    words = F.split("k", " ")
-    longer = rows.filter(F.size(words) > 1).select("brand", "block", F.explode(F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.array_join(F.slice(words, F.lit(1), i), " "))).alias("k"))
-    on = rows.alias("x").join(longer.alias("y"), F.expr("x.block = y.block AND x.k = y.k AND x.brand <> y.brand"))
-    ordered = ["least(x.brand, y.brand) AS a", "greatest(x.brand, y.brand) AS b"]
-    some = met.selectExpr(*ordered).unionByName(on.selectExpr(*ordered)).distinct()
+    some = brands.by_grams(rows, 0.72).unionByName(brands.by_prefix(rows)).distinct()
     both = some.join(rows.alias("x"), F.expr("a = x.brand")).join(rows.alias("y"), F.expr("b = y.brand"))
     share = lambda c: F.size(F.array_intersect(f"x.{c}", f"y.{c}")) / F.size(F.array_union(f"x.{c}", f"y.{c}"))
     out = both.select("a", "b", F.col("x.k").alias("ka"), F.col("y.k").alias("kb"), share("toks").alias("jaccard"), share("grams").alias("trigram"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions import text
 from shelfwise.functions.dialect import DUCK
+from shelfwise.functions.similarity import can_reach, sequence_ratio
 from shelfwise.operators import labels as lab
 from shelfwise.operators import models, rules
 from shelfwise.working import keep
@@ -142,17 +142,6 @@ def fuzzy_best(spark, d):
     return out.select("item_id", "doc_id", F.round(F.col("c") / F.col("n"), 3).alias("score"), F.col("doc_id").isNotNull().alias("matched"))
 
 
-def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
-    from difflib import SequenceMatcher
-
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
-
-
-def sequence_ratio(a: str, b: str):
-    """The longest-matching-blocks ratio of two texts, in Arrow batches: neither edit distance nor set overlap gives it."""
-    return F.pandas_udf(_ratios, "double")(a, b)
-
-
 @query("fuzzy_best_match_ratio", None)
 def fuzzy_ratio(spark, d, least: float = 0.8):
     """The best match of each brand of one first word by the longest-matching-blocks ratio, ``least`` at least.
@@ -164,11 +153,8 @@ def fuzzy_ratio(spark, d, least: float = 0.8):
 
     rows = brand_rows(spark, d).select("brand", "k", F.element_at("toks", 1).alias("block"), F.length("k").alias("n"))
     within = f"2 * least(x.n, y.n) >= {least} * (x.n + y.n)"
-    both = rows.alias("x").join(rows.alias("y"), F.expr(f"x.block = y.block AND x.brand < y.brand AND {within}")).selectExpr("x.brand", "y.brand AS other", "x.k AS a", "y.k AS b", "x.n + y.n AS n")
-    letters = [*"abcdefghijklmnopqrstuvwxyz0123456789 "]
-    of = lambda side, c: F.length(side) - F.length(F.replace(F.col(side), F.lit(c), F.lit("")))
-    shared = sum((F.least(of("a", c), of("b", c)) for c in letters), F.lit(0))
-    some = both.filter(2 * shared >= least * F.col("n")).withColumn("ratio", sequence_ratio("a", "b")).filter(F.col("ratio") >= least)
+    both = rows.alias("x").join(rows.alias("y"), F.expr(f"x.block = y.block AND x.brand < y.brand AND {within}")).selectExpr("x.brand", "y.brand AS other", "x.k AS a", "y.k AS b")
+    some = both.filter(can_reach("a", "b", least)).withColumn("ratio", sequence_ratio("a", "b")).filter(F.col("ratio") >= least)
     sides = some.select("brand", "other", "ratio").unionByName(some.select(F.col("other").alias("brand"), F.col("brand").alias("other"), "ratio"))
     return sides.groupBy("brand").agg(F.min_by("other", F.struct(-F.col("ratio"), "other")).alias("other"), F.max("ratio").alias("ratio"))
 
