@@ -1,6 +1,7 @@
 """Queries of this subpackage by name, and DuckDB SQL where SQL can express one."""
 
 from .decontaminate import OP6_SQL, op6_decontamination
+from .fim import OP12_SQL, op12_fill_in_middle
 from .knn import OP10_SQL, op10_topk
 from .licenses import OP5_SQL, op5_license_scan
 from .lines import OP3_SQL, op3_line_dedup
@@ -10,6 +11,8 @@ from .pii import op9_pii
 from .quality import op8_quality
 from .substrings import op7_substring_dedup
 from .tokens import op1_token_output
+from .trie import OP11_SQL, op11_prefix_trie
+from .warc import OP13_SQL, op13_warc
 
 QUERIES = {
     "op1_token_output": op1_token_output,
@@ -22,6 +25,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_pii": op9_pii,
     "op10_topk": op10_topk,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_warc": op13_warc,
 }
 
 ORACLES: dict[str, str] = {
@@ -30,4 +36,7 @@ ORACLES: dict[str, str] = {
     "op5_license_scan": OP5_SQL,
     "op6_decontamination": OP6_SQL,
     "op10_topk": OP10_SQL,
+    "op11_prefix_trie": OP11_SQL,
+    "op12_fill_in_middle": OP12_SQL,
+    "op13_warc": OP13_SQL,
 }
