@@ -9,7 +9,7 @@ from shelfwise.functions import text
 from shelfwise.functions.dialect import DUCK
 from shelfwise.functions.similarity import can_reach, sequence_ratio
 from shelfwise.operators import labels as lab
-from shelfwise.operators import models, rules
+from shelfwise.operators import models, rule_table, rules
 from shelfwise.working import keep
 
 from .adapters import duck, sql, table
@@ -193,16 +193,51 @@ def category_details(spark, d):
     return rules.with_category_details(docs, "h", PROFILES, HINTS).select("doc_id", "category", "confidence")
 
 
-RULES = [
-    (("license", "copyright"), "Household", "Paper", 0.99), (("|", "!!"), "Snacks", "Chips", 0.95), (("thereen", "gesch"), "Pantry", "Rice", 0.94), (("queen", "que "), "Dairy & Eggs", "Milk", 0.9), (("and ", "und "), "Bakery", "Bread", 0.99),
-]
-_RULES = " ".join("WHEN {} THEN {}".format(" OR ".join(f"contains(t, '{x}')" for x in terms), i) for i, (terms, *_) in enumerate(RULES))
-
-
-@query("rule_cascade", f"SELECT coalesce(r, -1) AS rule, lang, count(*) AS n FROM (SELECT lang, CASE {_RULES} END AS r FROM (SELECT lang, lower(text) AS t FROM documents)) GROUP BY ALL")
+#: A rule table made of benchmark items: five rules an item, of phrases, whole words, second groups and exclusions; the fourth of each in a block of its own, which is called in place 155.
+_ITEM_RULES = f"""r AS (SELECT item_id, k, w, CASE WHEN k = 3 THEN 'packaged' END AS block, item_id * 10 + k AS ord, concat('C', CAST(item_id % 7 AS STRING)) AS category, concat('S', CAST(k AS STRING)) AS subcategory
+  FROM (SELECT item_id, string_split({DUCK.key('text')}, ' ') AS w FROM benchmark), range(5) AS n(k)),
+t AS (SELECT block, ord, 0 AS grp, false AS whole, w[4 * k + 1] || ' ' || w[4 * k + 2] AS term FROM r UNION ALL SELECT block, ord, 0, true, CASE WHEN length(w[4 * k + 3]) >= 7 THEN w[4 * k + 3] END FROM r
+  UNION ALL SELECT block, ord, 1, true, w[9] FROM r WHERE k = 1 UNION ALL SELECT block, ord, -1, true, w[2] FROM r WHERE k = 2)"""
+_VALID = "NOT (category = 'C3' AND subcategory = 'S1') AND NOT (category = 'C2' AND subcategory = 'S3')"
+
+
+def item_rules(spark, d):
+    """The same table for ``rule_table``."""
+    w = F.split(text.text_key("text"), " ")
+    at = lambda n: F.try_element_at("w", n)
+    items = table(spark, d, "benchmark").select("item_id", w.alias("w"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
+    term = lambda grp, whole, t: F.struct(F.lit(grp).alias("grp"), F.lit("text").alias("field"), F.lit(whole).alias("whole"), t.alias("term"))
+    long_word = F.when(F.length(at(4 * F.col("k") + 3)) >= 7, at(4 * F.col("k") + 3))
+    terms = F.array(
+        term(0, False, F.concat(at(4 * F.col("k") + 1), F.lit(" "), at(4 * F.col("k") + 2))), term(0, True, long_word), F.when(F.col("k") == 1, term(1, True, at(F.lit(9)))), F.when(F.col("k") == 2, term(-1, True, at(F.lit(2)))),
+    )
+    none = F.lit(None)
+    rows = items.select(
+        (F.col("item_id") * 10 + F.col("k")).alias("ord"), F.when(F.col("k") == 3, "packaged").alias("block"), none.cast("string").alias("calls"), F.concat(F.lit("C"), (F.col("item_id") % 7).cast("string")).alias("category"),
+        F.concat(F.lit("S"), F.col("k").cast("string")).alias("subcategory"), F.lit(0.99).alias("confidence"), none.cast("string").alias("reason"), F.array_compact(terms).alias("terms"),
+    )
+    call = rows.limit(1).select(F.lit(155).cast("long").alias("ord"), none.cast("string").alias("block"), F.lit("packaged").alias("calls"), *(F.col(c) for c in ("category", "subcategory", "confidence", "reason")), F.array().cast(rows.schema["terms"].dataType).alias("terms"))
+    pairs = rows.select("category", "subcategory").distinct().filter(_VALID)
+    return rule_table.read_rules(rows.unionByName(call), pairs)
+
+
+@query("rule_cascade", f"""
+WITH {_ITEM_RULES}, d AS (SELECT doc_id, {DUCK.key('text')} AS h FROM documents),
+g AS (SELECT block, ord, count(DISTINCT grp) FILTER (grp >= 0) AS n FROM t GROUP BY ALL),
+hit AS (SELECT DISTINCT doc_id, block, ord, grp FROM d JOIN t ON term <> '' AND CASE WHEN whole THEN contains(concat(' ', h, ' '), concat(' ', term, ' ')) ELSE contains(h, term) END),
+ok AS (SELECT doc_id, hit.block, hit.ord FROM hit JOIN g ON g.ord = hit.ord AND g.block IS NOT DISTINCT FROM hit.block GROUP BY ALL HAVING count(*) FILTER (grp >= 0) = min(n) AND count(*) FILTER (grp < 0) = 0),
+firsts AS (SELECT doc_id, block, min(ord) AS ord FROM ok GROUP BY ALL),
+inner_ AS (SELECT f.*, category, subcategory FROM firsts f JOIN r ON r.ord = f.ord AND r.block = f.block WHERE f.block = 'packaged' AND {_VALID}),
+main AS (SELECT doc_id, ord AS place, CAST(NULL AS VARCHAR) AS block, ord FROM ok WHERE block IS NULL UNION ALL SELECT doc_id, 155, block, ord FROM inner_),
+best AS (SELECT doc_id, arg_min(row(block, ord), place) AS b FROM main GROUP BY doc_id),
+named AS (SELECT doc_id, b[1] AS block, b[2] AS ord FROM best)
+SELECT d.doc_id, n.block, n.ord, n.category, n.subcategory FROM d LEFT JOIN (
+  SELECT n.doc_id, n.block, n.ord, category, subcategory FROM named n JOIN r ON r.ord = n.ord AND r.block IS NOT DISTINCT FROM n.block WHERE {_VALID}) n ON n.doc_id = d.doc_id""")
 def rule_cascade(spark, d):
-    docs = table(spark, d, "documents").select("lang", F.lower("text").alias("t"))
-    return docs.select("lang", rules.first_rule("t", RULES).alias("r")).groupBy(F.coalesce("r.rule", F.lit(-1)).alias("rule"), "lang").agg(F.count("*").alias("n"))
+    """The rule that decides each document, of some hundreds, with a block called midway and outcomes that the taxonomy lacks."""
+    docs = table(spark, d, "documents").select("doc_id", text.text_key("text").alias("h"))
+    found = rule_table.with_rule(docs, item_rules(spark, d), {"text": "h"})
+    return found.select("doc_id", *(F.col(f"rule.{c}").alias(c) for c in ("block", "ord", "category", "subcategory")))
 
 
 SUBS = {"Fruits": ["the", "fresh fruit"], "Vegetables": ["of the", "and"], "Herbs": ["is", "de la"]}
