@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -46,21 +46,55 @@ def prototypes(vectors: DataFrame, label: str, vector: str) -> DataFrame:
     return parts.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("proto"))
 
 
-def label_scores(vectors: DataFrame, id_col: str, vector: str, protos: DataFrame, label: str, temperature: float = 100.0, most: int = 10_000) -> DataFrame:
-    """``id, label, cosine, p, rank``: softmax of cosine times temperature over all labels, shifted by the largest.
+def label_arrays(vectors: DataFrame, id_col: str, vector: str, protos: DataFrame, label: str, temperature: float = 100.0, most: int = 10_000) -> DataFrame:
+    """``id, scores``: for each vector an array of ``struct<label, cosine, p, rank>`` of all labels, best first, ties to the smaller label.
 
-    ``protos`` has one row a label, a taxonomy of some hundreds: every vector meets every label, that is what is asked.
-    Raises above ``most`` labels, which are no taxonomy.
+    ``p`` is the softmax of cosine times temperature, shifted by the largest. ``protos`` has one row a label, a taxonomy of some
+    hundreds; it comes as one row beside the vectors, so nothing is shuffled. Raises above ``most`` labels, which are no taxonomy.
+    A vector that is null, or of which no cosine exists, has an empty array.
     """
     if protos.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} labels")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    v = F.col(vector).cast("array<double>")
-    both = vectors.select(id_col, v.alias("v")).crossJoin(F.broadcast(protos.select(label, "proto")))
-    scored = both.select(id_col, label, (dot(F.col("v"), F.col("proto")) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(F.col("proto"), F.col("proto")))).alias("cosine"))
-    w = Window.partitionBy(id_col)
-    shifted = scored.withColumn("e", F.exp(temperature * (F.col("cosine") - F.max("cosine").over(w))))
-    return shifted.select(id_col, label, "cosine", (F.col("e") / F.sum("e").over(w)).alias("p"), F.row_number().over(w.orderBy(F.desc("cosine"), label)).alias("rank"))
+    proto = F.col("proto").cast("array<double>")
+    held = protos.select(F.struct(F.col(label).alias("label"), proto.alias("proto"), F.sqrt(dot(proto, proto)).alias("norm")).alias("one"))
+    one = held.agg(F.collect_list("one").alias("protos_"))  # of checked size
+    v = F.col("v_")
+    rows = vectors.select(id_col, F.col(vector).cast("array<double>").alias("v_")).crossJoin(F.broadcast(one)).withColumn("norm_", F.sqrt(dot(v, v)))
+    cosines = F.transform("protos_", lambda t: F.struct((-F.try_divide(dot(v, t["proto"]), F.col("norm_") * t["norm"])).alias("less"), t["label"].alias("label")))
+    ordered = rows.select(id_col, F.array_sort(F.filter(cosines, lambda t: t["less"].isNotNull())).alias("c_"))
+    weighed = ordered.select(id_col, F.transform("c_", lambda t: F.struct(t["label"].alias("label"), (-t["less"]).alias("cosine"), F.exp(temperature * (F.get("c_", F.lit(0))["less"] - t["less"])).alias("e"))).alias("w_"))
+    total = F.aggregate("w_", F.lit(0.0), lambda s, t: s + t["e"])
+    return weighed.withColumn("total_", total).select(
+        id_col, F.transform("w_", lambda t, i: F.struct(t["label"].alias("label"), t["cosine"].alias("cosine"), (t["e"] / F.col("total_")).alias("p"), (i + 1).alias("rank"))).alias("scores")
+    )
+
+
+def label_scores(vectors: DataFrame, id_col: str, vector: str, protos: DataFrame, label: str, temperature: float = 100.0, top: int | None = None) -> DataFrame:
+    """``id, label, cosine, p, rank`` of the ``top`` labels of each vector, or all, as ``label_arrays`` has them."""
+    scored = label_arrays(vectors, id_col, vector, protos, label, temperature)
+    best = F.col("scores") if top is None else F.slice("scores", 1, top)
+    return scored.select(id_col, F.explode(best).alias("s")).select(id_col, F.col("s.label").alias(label), "s.cosine", "s.p", "s.rank")
+
+
+def locked_pair(scores: Column | str, category_of) -> Column:
+    """``struct<category, label>``: the category whose labels weigh most together, ties to the larger, and its best label."""
+    scores = F.col(scores) if isinstance(scores, str) else scores
+    of = lambda c: F.filter(scores, lambda s: category_of(s["label"]) == c)
+    weighed = F.transform(
+        F.array_distinct(F.transform(scores, lambda s: category_of(s["label"]))),
+        lambda c: F.struct(F.aggregate(of(c), F.lit(0.0), lambda t, s: t + s["p"]).alias("total"), c.alias("category"), F.get(of(c), F.lit(0))["label"].alias("label")),
+    )
+    best = F.array_max(weighed)
+    return F.struct(best["category"].alias("category"), best["label"].alias("label"))
+
+
+def best_with_probability(scores: DataFrame, doc: str, label: str) -> DataFrame:
+    """``doc, label, p`` of the label with the largest log score, ties to the smaller label; ``p`` is its share, rounded to four places."""
+    own = scores.groupBy(doc).agg(F.collect_list(F.struct((-F.col("score")).alias("less"), F.col(label).alias("label"))).alias("all"))  # one for each label of the model
+    best = F.array_min("all")
+    share = F.lit(1.0) / F.aggregate("all", F.lit(0.0), lambda t, s: t + F.exp(best["less"] - s["less"]))
+    return own.select(doc, best["label"].alias(label), F.round(share, 4).alias("p"))
 
 
 def tfidf_classifier(train: DataFrame, text: str, label: str, weight: str | None = None, least_rows: int = 8):

@@ -9,7 +9,7 @@ from shelfwise.functions import text
 from shelfwise.functions.dialect import DUCK
 from shelfwise.functions.similarity import can_reach, sequence_ratio
 from shelfwise.operators import labels as lab
-from shelfwise.operators import models, rule_table, rules
+from shelfwise.operators import cascade, models, rule_table, rules
 from shelfwise.working import keep
 
 from .adapters import duck, sql, table
@@ -258,24 +258,72 @@ def produce_guard(spark, d):
     return docs.groupBy(rules.guarded(category, "h", ["tea", "licens"], ["the", "und"], F.col("doc_id") % 7 == 0).alias("category")).agg(F.count("*").alias("n"))
 
 
-_CASCADE = """
-SELECT stage, count(*) AS n, round(sum(conf), 4) AS conf FROM (
-  SELECT CASE WHEN toxic = 1 THEN 'gold' WHEN doc_id % 6 = 0 THEN 'cache' WHEN quality = 0 THEN 'silver' WHEN label IS NOT NULL AND clip >= 0.55 THEN 'clip' WHEN contains(lower(text), 'licensed under') THEN 'rules' WHEN n_chars % 10 >= 2 THEN 'model' WHEN clip >= 0.4 THEN 'clip rescue' ELSE 'default' END AS stage,
-    CASE WHEN toxic = 1 THEN 1.0 WHEN doc_id % 6 = 0 THEN 0.5 WHEN quality = 0 THEN greatest(0.55, least(0.92, clip)) WHEN label IS NOT NULL AND clip >= 0.55 THEN greatest(0.78, clip) WHEN contains(lower(text), 'licensed under') THEN 0.99 WHEN n_chars % 10 >= 2 THEN 0.2 WHEN clip >= 0.4 THEN greatest(0.62, clip) ELSE 0.25 END AS conf
-  FROM (SELECT d.*, quality, toxic, e.label, CAST(d.doc_id * 13 % 100 AS DOUBLE) / 100 AS clip FROM documents d LEFT JOIN labels USING (doc_id) LEFT JOIN embeddings e ON e.vec_id = d.doc_id)) GROUP BY stage"""
-
-
-@query("classification_cascade", _CASCADE)
+_NAMED = "SELECT p_partkey, CASE WHEN p_size = 50 THEN '' ELSE lower(p_name) END AS name, p_brand AS brand, p_type AS kind FROM part"
+#: Fingerprints of the row's own values, and of what the cache holds: a third of its rows were made of another brand.
+_PRINT = "sha256(concat_ws(chr(31), name, {brand}, kind))"
+_LETTERS = "SELECT p_partkey, unnest(string_split(name, ' ')) AS token, kind FROM n WHERE name <> ''"
+
+
+@query("classification_cascade", f"""
+WITH n AS ({_NAMED}),
+m AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings), pr AS (SELECT label, i, avg(x) AS x FROM m GROUP BY ALL),
+co AS (SELECT m.vec_id, pr.label, sum(m.x * pr.x) / (sqrt(sum(m.x * m.x)) * sqrt(sum(pr.x * pr.x))) AS c FROM m JOIN pr USING (i) GROUP BY ALL),
+im AS (SELECT vec_id, arg_max(label, c) AS label, max(e) / sum(e) AS p FROM (SELECT *, exp(20 * (c - max(c) OVER (PARTITION BY vec_id))) AS e FROM co) GROUP BY vec_id),
+w AS ({_LETTERS}), t AS (SELECT * FROM w WHERE p_partkey % 2 = 1),
+dl AS (SELECT kind, count(DISTINCT p_partkey) AS nd, count(*) AS nt FROM t GROUP BY kind), wl AS (SELECT kind, token, count(*) AS n FROM t GROUP BY ALL), v AS (SELECT count(DISTINCT token) AS v FROM t),
+s AS (SELECT w.p_partkey, dl.kind, sum(ln((coalesce(wl.n, 0) + 1) * 1.0 / (dl.nt + v.v))) + min(ln(dl.nd * 1.0 / (SELECT sum(nd) FROM dl))) AS score
+  FROM w CROSS JOIN dl CROSS JOIN v LEFT JOIN wl ON wl.kind = dl.kind AND wl.token = w.token GROUP BY w.p_partkey, dl.kind),
+ml AS (SELECT p_partkey, arg_max(kind, score) AS kind, round(max(e) / sum(e), 4) AS p FROM (SELECT *, exp(score - max(score) OVER (PARTITION BY p_partkey)) AS e FROM s) GROUP BY p_partkey),
+r AS (SELECT * FROM (SELECT name, n_nationkey, row_number() OVER (PARTITION BY name ORDER BY n_nationkey) AS k FROM (SELECT DISTINCT name FROM n) JOIN nation ON contains(name, concat(chr(97 + n_nationkey), 'i'))) WHERE k = 1),
+x AS (SELECT n.*, quality, toxic, im.label, im.p AS ip, ml.kind AS guess, ml.p AS mp, r.n_nationkey, c.fingerprint IS NOT NULL AS hit
+  FROM n LEFT JOIN labels ON doc_id = n.p_partkey LEFT JOIN im ON vec_id = n.p_partkey LEFT JOIN ml USING (p_partkey) LEFT JOIN r USING (name)
+  LEFT JOIN (SELECT DISTINCT {_PRINT.format(brand="CASE WHEN p_partkey % 9 = 0 THEN concat(brand, '-old') ELSE brand END")} AS fingerprint FROM n WHERE p_partkey % 3 = 0) c ON c.fingerprint = sha256(concat_ws(chr(31), n.name, n.brand, n.kind))),
+o AS (SELECT *, CASE WHEN toxic = 1 THEN 'gold' WHEN hit THEN 'cache' WHEN quality = 0 THEN 'silver' WHEN ip >= 0.55 THEN 'image' WHEN n_nationkey <> 17 THEN 'rules' WHEN mp >= 0.2 AND guess <> 'PROMO' THEN 'model'
+  WHEN ip >= 0.4 THEN 'image rescue' WHEN mp >= 0 AND guess <> 'PROMO' THEN 'model rescue' ELSE 'default' END AS stage FROM x)
+SELECT p_partkey, stage, CASE stage WHEN 'gold' THEN 'Gold' WHEN 'cache' THEN 'Cached' WHEN 'silver' THEN 'Silver' WHEN 'image' THEN concat('I', CAST(label % 3 AS STRING)) WHEN 'image rescue' THEN concat('I', CAST(label % 3 AS STRING))
+    WHEN 'rules' THEN concat('N', CAST(n_nationkey AS STRING)) WHEN 'default' THEN 'Pantry' ELSE guess END AS category,
+  CASE stage WHEN 'gold' THEN 1.0 WHEN 'cache' THEN 0.5 WHEN 'silver' THEN 0.55 WHEN 'image' THEN 0.78 WHEN 'image rescue' THEN 0.62 WHEN 'rules' THEN 0.99 WHEN 'default' THEN 0.25 ELSE mp END AS confidence FROM o""")
 def classification_cascade(spark, d):
-    """First stage that knows the row: gold, cache, silver, image score, rules, model, weaker image score, default."""
-    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").join(table(spark, d, "embeddings").selectExpr("vec_id AS doc_id", "label"), "doc_id", "left")
-    docs = docs.withColumn("clip", F.expr("CAST(doc_id * 13 % 100 AS DOUBLE) / 100"))
-    clip, lit = F.col("clip"), F.lit
+    """Gold, cache, silver, image score, rules, model, weaker image score, weaker model, default: each asked for what is open.
+
+    The image scores are of vectors against their labels' prototypes, the rules a table of two letters a nation (one outcome
+    of which the taxonomy lacks), the model token votes of names, trained on every other product. A cache of another model
+    version stands before the right one and is dropped.
+    """
+    rows = sql(spark, d, _NAMED, "part")
+    key = ["name", "brand", "kind"]
+    rows = rows.withColumn("fingerprint", lab.fingerprint(key))
+    gave = lambda df, key, category, confidence: df.select(key, F.lit(category).alias("category"), F.lit("-").alias("subcategory"), F.lit(confidence).alias("confidence"))
+    labels = table(spark, d, "labels").withColumnRenamed("doc_id", "p_partkey")
+    old = sql(spark, d, _NAMED, "part").filter("p_partkey % 3 = 0").withColumn("brand", F.expr("CASE WHEN p_partkey % 9 = 0 THEN concat(brand, '-old') ELSE brand END"))
+    before = gave(old.withColumn("fingerprint", lab.fingerprint(key)), "fingerprint", "Cached", 0.5)
+    version = {k: "1" for k in cascade.CACHE_KEYS}
+    stale = gave(rows, "fingerprint", "Stale", 0.5)
+    vectors = table(spark, d, "embeddings")
+    images = models.label_arrays(vectors, "vec_id", "embedding", models.prototypes(vectors, "label", "embedding"), "label", 20.0)
+    best = F.get("scores", F.lit(0))
+    image = F.struct(F.concat(F.lit("I"), (best["label"] % 3).cast("string")).alias("category"), F.lit("-").alias("subcategory"), best["p"].alias("score")).alias("image")
+    rows = rows.join(images.select(F.col("vec_id").alias("p_partkey"), image), "p_partkey", "left")
+    term = F.array(F.struct(F.lit(0).alias("grp"), F.lit("text").alias("field"), F.lit(False).alias("whole"), F.concat(F.chr(97 + F.col("n_nationkey")), F.lit("i")).alias("term")))
+    none = F.lit(None).cast("string")
+    nations = table(spark, d, "nation").select(
+        F.col("n_nationkey").cast("long").alias("ord"), none.alias("block"), none.alias("calls"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("category"), F.lit("-").alias("subcategory"), F.lit(0.99).alias("confidence"), none.alias("reason"), term.alias("terms")
+    )
+    rules_ = rule_table.read_rules(nations, nations.filter("ord <> 17").select("category", "subcategory"))
+    words = lambda df: df.filter("name <> ''").select("p_partkey", F.explode(F.split("name", " ")).alias("token"), "kind")
+    votes = models.token_votes(words(rows.filter("p_partkey % 2 = 1")), "kind", "p_partkey")
+    kinds = sorted(r["kind"] for r in rows.select("kind").distinct().limit(1_000).collect())  # the taxonomy
+    pair = lambda c: (F.when(c != "PROMO", c), F.lit("-"))
     stages = [
-        ("gold", F.col("toxic") == 1, [lit(1.0)]), ("cache", F.col("doc_id") % 6 == 0, [lit(0.5)]), ("silver", F.col("quality") == 0, [F.greatest(lit(0.55), F.least(lit(0.92), clip))]),
-        ("clip", F.col("label").isNotNull() & (clip >= 0.55), [F.greatest(lit(0.78), clip)]), ("rules", text.has_any(F.lower("text"), ["licensed under"]), [lit(0.99)]), ("model", F.col("n_chars") % 10 >= 2, [lit(0.2)]), ("clip rescue", clip >= 0.4, [F.greatest(lit(0.62), clip)]),
-    ]
-    return docs.select(lab.cascade(stages, ("default", [lit(0.25)]), ["conf"]).alias("x")).groupBy("x.stage").agg(F.count("*").alias("n"), F.round(F.sum("x.conf"), 4).alias("conf"))
+        cascade.known("gold", gave(labels.filter("toxic = 1"), "p_partkey", "Gold", 1.0), "p_partkey"),
+        cascade.cached(stale, version | {"model_version": "0"}, version), cascade.cached(before, version, version),
+        cascade.known("silver", gave(labels.filter("quality = 0"), "p_partkey", "Silver", 0.55), "p_partkey"),
+        cascade.by_image("image", *cascade.IMAGE), cascade.by_rules(rules_, {"text": "name"}),
+        cascade.by_votes(votes, "kind", kinds, pair, "p_partkey", lambda df: words(df).select("p_partkey", "token")),
+        cascade.by_image("image rescue", *cascade.IMAGE_RESCUE), cascade.model_rescue("kind", pair),
+    ]
+    found = cascade.classified(rows, stages, cascade.outcome(F.lit("Pantry"), F.lit("-"), F.lit(0.25)))
+    return found.select("p_partkey", "stage", "category", "confidence")
 
 
 @query("fingerprint_cache_incremental", "SELECT doc_id, sha256(concat_ws(chr(31), coalesce(lang, ''), coalesce(source, ''), coalesce(text, ''))) AS fingerprint FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 2 = 0")
@@ -341,17 +389,16 @@ _PROTO = "WITH x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnes
 
 def scored(spark, d):
     vectors = table(spark, d, "embeddings")
-    return models.label_scores(vectors, "vec_id", "embedding", models.prototypes(vectors, "label", "embedding"), "label")
+    return models.label_arrays(vectors, "vec_id", "embedding", models.prototypes(vectors, "label", "embedding"), "label")
 
 
 @query("embedding_softmax_topk", f"{_PROTO} SELECT vec_id, label, round(cosine, 4) AS cosine, round(p, 4) AS p, rank FROM p WHERE rank <= 3")
 def embedding_softmax(spark, d):
-    return scored(spark, d).filter("rank <= 3").select("vec_id", "label", F.round("cosine", 4).alias("cosine"), F.round("p", 4).alias("p"), F.col("rank").cast("long").alias("rank"))
+    top = scored(spark, d).select("vec_id", F.explode(F.slice("scores", 1, 3)).alias("s"))
+    return top.select("vec_id", "s.label", F.round("s.cosine", 4).alias("cosine"), F.round("s.p", 4).alias("p"), F.col("s.rank").cast("long").alias("rank"))
 
 
 @query("embedding_locked_pair", f"{_PROTO}, g AS (SELECT vec_id, label % 3 AS category, arg_max(label, p) AS label, sum(p) AS total FROM p GROUP BY ALL), best AS (SELECT vec_id, arg_max(category, total) AS category FROM g GROUP BY vec_id) SELECT best.vec_id, best.category, g.label FROM best JOIN g ON g.vec_id = best.vec_id AND g.category = best.category")
 def embedding_locked(spark, d):
     """The best label inside the best category."""
-    g = scored(spark, d).groupBy("vec_id", (F.col("label") % 3).alias("category")).agg(F.max_by("label", "p").alias("label"), F.sum("p").alias("total"))
-    best = F.struct("total", "category", "label")
-    return g.groupBy("vec_id").agg(F.max(best).alias("b")).select("vec_id", "b.category", "b.label")
+    return scored(spark, d).select("vec_id", models.locked_pair("scores", lambda x: x % 3).alias("b")).select("vec_id", "b.category", "b.label")

@@ -89,7 +89,7 @@ def test_text_classifier_needs_rows(spark):
 def test_too_many_labels(spark):
     protos = spark.range(5).selectExpr("id AS label", "array(1D) AS proto")
     with pytest.raises(ValueError):
-        models.label_scores(protos.selectExpr("label AS id", "proto AS v"), "id", "v", protos, "label", most=4)
+        models.label_arrays(protos.selectExpr("label AS id", "proto AS v"), "id", "v", protos, "label", most=4)
 
 
 def test_checkpoints(spark, tmp_path):
