@@ -91,9 +91,10 @@ def parsed(data: bytes) -> tuple[dict[str, str], int, bytes | None]:
 
 
 def dictionary(records: list[bytes], size: int) -> bytes | None:
-    """A dictionary of up to ``size`` bytes trained on records. Few or large ones are given in pieces; None if they are too little to train on."""
+    """A dictionary of up to ``size`` bytes, and a 32nd part of the records, trained on these. Few or large ones are given in pieces;
+    None if they are too little to train on."""
     total = sum(map(len, records))
-    size = min(size, total // 8)
+    size = min(size, total // 32)
     pieces = records if len(records) >= 64 else [r[i : i + 512] for r in records for i in range(0, len(r), 512)]
     if size < 256:
         return None
@@ -225,7 +226,7 @@ def write_warc(
 
     The payload is the whole html in UTF-8 (null: empty). Of pages with the same payload of at least ``min_bytes`` bytes, that of
     the largest id is the response; see ``decided``. An archive's dictionary has up to ``dictionary_bytes`` and is trained on
-    the records it begins with, up to ``sample_bytes`` of them; archives of less than about 2 kB have none. A new archive begins
+    the records it begins with, up to ``sample_bytes`` of them; archives of less than about 8 kB have none. A new archive begins
     once one has ``archive_bytes``, so a task holds the larger of that and of its longest record. All records have one
     ``date``, so that reruns agree. White space, control characters and percent signs of a url are written as percent escapes;
     a null url or id has no header. An empty table gives files without records. Other columns are not read.
