@@ -1,11 +1,13 @@
 """Benchmark decontamination by a prefix-filtered set join over item-sized windows.
 
-A window must lie in a document whole, so its necessary prefix is one shingle: its rarest word. Document positions of
-that word are joined with the windows that have it there; the word's place in the window fixes where the window would
-start, which must leave room for all its words in the document (length and position); then every word is compared.
-The benchmark is taken in blocks of bounded size, each of which is broadcast; a larger benchmark means more blocks. However
-many there are, the documents are read twice, once to count words and once to find windows: a worker takes one block after
-another for a piece of the documents, and holds one at a time.
+A window must lie in a document whole, so its necessary prefix is one token: its rarest. That token is met in the documents,
+its place in the window fixes where the window would start, which must leave room for all its words in the document (length
+and position), and then the whole window is compared.
+
+A benchmark of up to ``BLOCK_BYTES`` is broadcast: tokens are words, and every word of a window is compared where a document is
+read. A larger one is joined (``_joined``): tokens are runs of up to ``SHINGLE`` words, ordered by counts of bounded size that both
+sides know, so that both choose the same token for the same window; each becomes a row, and windows are compared by 128 bits.
+Nothing that is broadcast or collected there grows with the benchmark, and the documents are read three times.
 """
 
 from __future__ import annotations
@@ -16,16 +18,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType
 
-from ._store import OWN, keep, opened, packed, packed_with, unpacked
-from ._words import mapped, slices, texts_of, words_of
+from ._store import OWN, broadcast_if, keep, opened, packed, packed_with, unpacked
+from ._words import hashes_of, mapped, rolling, slices, texts_of, words_of
 
 FOUND = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-#: Bytes of benchmark text in a block, about.
+#: Bytes of benchmark that are broadcast, at most; a larger one is joined.
 BLOCK_BYTES = 4 << 20
+#: Of a joined benchmark: words of a token, counters of tokens, bits of the filter, and results that are broadcast at most.
+SHINGLE, SLOTS, BITS, BROADCAST_ROWS = 5, 1 << 18, 1 << 24, 500_000
 #: Lower-cases A-Z; what ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` leaves out becomes a space.
 _TABLE = np.arange(256, dtype=np.uint8)
 _TABLE[0x41:0x5B] += 0x20
@@ -98,73 +103,178 @@ def _known(distinct: pa.Array, words: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.index_in(distinct, value_set=words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.RecordBatch]:
-    """Pieces of about 8 MB of text; of several batches and four times as much where there are several blocks to take for each."""
-    if blocks == 1:
-        for batch in batches:
-            yield from slices(batch, "text", 8 << 20)
-        return
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        for piece in slices(batch, "text", 32 << 20):
-            held.append(piece)
-            if sum(x.nbytes for x in held) >= 32 << 20:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held = []
-    if held:
-        rows = pa.Table.from_batches(held).combine_chunks().to_batches()
-        if rows:
-            yield rows[0]
-
-
-def _taken(blocks: list):
-    """The value of each broadcast in turn; where there are several, a worker forgets one before it reads the next."""
-    for i, b in enumerate(blocks):
-        yield i, b.value
-        if len(blocks) > 1:
-            b.__dict__.pop("_value", None)
-
-
-def _counter(words: list):
+def _counter(words):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, np.ndarray] = {}
-        for piece in _gathered(batches, len(words)):
-            codes, distinct, _ = words_of(mapped(texts_of(piece.column("text")), _TABLE))
-            times = np.bincount(codes, minlength=len(distinct))
-            for i, own in _taken(words):
+        own = words.value
+        seen = np.zeros(len(own), dtype=np.int64)
+        for batch in batches:
+            for piece in slices(batch, "text", 8 << 20):
+                codes, distinct, _ = words_of(mapped(texts_of(piece.column("text")), _TABLE))
+                times = np.bincount(codes, minlength=len(distinct))
                 known = _known(distinct, own)
-                seen.setdefault(i, np.zeros(len(own), dtype=np.int64))
-                np.add.at(seen[i], known[known >= 0], times[known >= 0])
-        for i, n in seen.items():
-            full = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(full), i, np.int32)), pa.array(full, pa.int64()), pa.array(n[full], pa.int64())], names=["block", "code", "n"])
+                np.add.at(seen, known[known >= 0], times[known >= 0])
+        full = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(seen[full], pa.int64())], names=["code", "n"])
 
     return run
 
 
-def _scanner(indexes: list, share: int):
+def _scanner(index, share: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in _gathered(opened(batches), len(indexes)):
-            codes, distinct, counts = words_of(mapped(texts_of(piece.column("text")), _TABLE))
-            ends = np.cumsum(counts)
-            row = np.repeat(np.arange(len(counts)), counts)
-            per_row: list[set[str]] = [set() for _ in range(len(counts))]
-            edge = np.zeros(len(codes) + 1, dtype=np.int64)
-            for _, w in _taken(indexes):
+        w = index.value
+        for batch in opened(batches):
+            for piece in slices(batch, "text", 8 << 20):
+                codes, distinct, counts = words_of(mapped(texts_of(piece.column("text")), _TABLE))
+                ends = np.cumsum(counts)
+                row = np.repeat(np.arange(len(counts)), counts)
+                per_row: list[set[str]] = [set() for _ in range(len(counts))]
+                edge = np.zeros(len(codes) + 1, dtype=np.int64)
                 start, window = w.find(_known(distinct, w.words)[codes] if len(codes) else codes, (ends - counts)[row], ends[row])
                 for r, x in {(r, x) for r, x in zip(row[start].tolist(), window.tolist(), strict=True)}:
                     per_row[r].update(w.ids[i] for i in w.items[x] if w.ids[i] is not None)
                 np.add.at(edge, start, 1)
                 np.add.at(edge, start + w.lengths[window], -1)
-            sums = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
-            n_hit = sums[ends] - sums[ends - counts]
-            digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in per_row]
-            found = [pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in per_row], pa.int64()), pa.array(digest, pa.string()), pa.array((n_hit > 0) & (share * n_hit >= counts))]
-            yield pa.RecordBatch.from_arrays([piece.column(OWN), *found], names=[OWN, *FOUND])
+                sums = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
+                n_hit = sums[ends] - sums[ends - counts]
+                digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in per_row]
+                found = [pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in per_row], pa.int64()), pa.array(digest, pa.string()), pa.array((n_hit > 0) & (share * n_hit >= counts))]
+                yield pa.RecordBatch.from_arrays([piece.column(OWN), *found], names=[OWN, *FOUND])
+
+    return run
+
+
+def _runs(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts, two of each; the words of each text; and the hash of the run of ``k`` words at each."""
+    codes, distinct, counts = words_of(mapped(texts, _TABLE))
+    one = hashes_of(distinct)[codes] if len(codes) else np.zeros(0, np.uint64)
+    two = hashes_of(distinct, 1)[codes] if len(codes) else np.zeros(0, np.uint64)
+    return one, two, counts, rolling(one, k)
+
+
+def _windows(texts: pa.Array, lengths: list[int], seen: np.ndarray, whole: int | None = None) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+    """For each length: the length, the text of each window, and the windows' start, token, place of the token, and two hashes.
+
+    The token is the rarest run of up to ``SHINGLE`` words by the counts ``seen``, of equal ones that of the smaller hash, then the
+    first. ``whole``: the width of windows in items, of which shorter ones are windows whole.
+    """
+    one, two, counts, _ = _runs(texts, 1)
+    ends = np.cumsum(counts)
+    row = np.repeat(np.arange(len(counts)), counts)
+    at = np.arange(len(one))
+    for n in lengths:
+        fits = at + n <= ends[row]
+        if whole is not None and n < whole:
+            fits &= counts[row] == n
+        start = at[fits]
+        if not len(start):
+            continue
+        k = min(SHINGLE, n)
+        run = rolling(one, k)
+        often = seen[(run % np.uint64(SLOTS)).astype(np.int64)]
+        token, least, place = run[start], often[start], np.zeros(len(start), dtype=np.int64)
+        for j in range(1, n - k + 1):
+            t, c = run[start + j], often[start + j]
+            better = (c < least) | ((c == least) & (t < token))
+            token, least, place = np.where(better, t, token), np.where(better, c, least), np.where(better, j, place)
+        first = (ends - counts)[row[start]]
+        yield n, row[start], [start - first, token.view(np.int64), place, rolling(one, n)[start].view(np.int64), rolling(two, n)[start].view(np.int64)]
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often runs of words fall into each of ``SLOTS`` counters."""
+    seen = np.zeros(SLOTS, dtype=np.int64)
+    for batch in batches:
+        for piece in slices(batch, "text", 8 << 20):
+            *_, run = _runs(texts_of(piece.column("text")), SHINGLE)
+            seen += np.bincount((run % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+    full = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(seen[full], pa.int64())], names=["slot", "n"])
+
+
+_WINDOW = "n int, token long, place long, w1 long, w2 long"
+
+
+def _of_items(width: int, seen):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, "text", 4 << 20):
+                ids = piece.column("item_id")
+                for n, row, (_, *found) in _windows(texts_of(piece.column("text")), list(range(1, width + 1)), seen.value, width):
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(np.full(len(row), n, np.int32)), *map(pa.array, found)], names=["item_id", "n", "token", "place", "w1", "w2"])
 
     return run
 
 
+def _text_keys(texts: pa.Array) -> list[np.ndarray]:
+    both = np.array([xxhash.xxh3_128_digest(x.as_buffer()) for x in texts], dtype="S16") if len(texts) else np.zeros(0, "S16")
+    pairs = np.frombuffer(both.tobytes(), dtype="<i8").reshape(-1, 2)
+    return [pairs[:, 0].copy(), pairs[:, 1].copy()]
+
+
+def _of_documents(lengths: list[int], seen, bits):
+    """Windows of documents whose token is among the benchmark's, as far as a filter of bounded size can tell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, "text", 8 << 20):
+                texts = texts_of(piece.column("text"))
+                keys = _text_keys(texts)
+                for n, row, (start, token, *rest) in _windows(texts, lengths, seen.value):
+                    slot = (token.view(np.uint64) % np.uint64(BITS)).astype(np.int64)
+                    some = np.flatnonzero(bits.value[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1))
+                    if len(some):
+                        own = [keys[0][row[some]], keys[1][row[some]], start[some], np.full(len(some), n, np.int32), token[some], *(x[some] for x in rest)]
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in own], names=["k1", "k2", "start", "n", "token", "place", "w1", "w2"])
+
+    return run
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in opened(batches):
+        for piece in slices(batch, "text", 8 << 20):
+            texts = texts_of(piece.column("text"))
+            *_, counts = words_of(mapped(texts, _TABLE))
+            yield pa.RecordBatch.from_arrays([piece.column(OWN), pa.array(counts, pa.int64()), *map(pa.array, _text_keys(texts))], names=[OWN, "n_words", "k1", "k2"])
+
+
+def _joined(docs: DataFrame, items: DataFrame, carried: list[str], width: int, share: int) -> DataFrame:
+    """As ``scan_packed`` for a benchmark of any size: rows of both sides meet by their token, place, length and window.
+
+    Rows are keyed by 128 bits of the text, so copies of a text have one result. Counts are ``SLOTS`` numbers, and the filter that
+    keeps most windows from being rows is ``BITS`` bits, whatever the sizes of corpus and benchmark.
+    """
+    spark = docs.sparkSession
+    seen = np.zeros(SLOTS, dtype=np.int64)
+    counted = docs.select("text").mapInArrow(_sketch, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # of bounded size
+    seen[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
+    counts = spark.sparkContext.broadcast(seen)
+    windows = keep(items.mapInArrow(_of_items(width, counts), f"item_id string, {_WINDOW}"), "bench-windows")
+    lengths = sorted(r["n"] for r in windows.select("n").distinct().collect())  # width numbers at most
+    words = windows.select(F.expr(f"token & {BITS - 1}L").alias("slot")).groupBy(F.expr("slot >> 6").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")).alias("bits")).toArrow()  # of bounded size
+    held = np.zeros(BITS >> 6, dtype=np.uint64)
+    held[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    bits = spark.sparkContext.broadcast(held)
+    places = docs.select("text").mapInArrow(_of_documents(lengths, counts, bits), f"k1 long, k2 long, start long, {_WINDOW}")
+    key, same = ["k1", "k2"], ["token", "n", "place", "w1", "w2"]
+    hits = keep(places.join(windows.select(*same).distinct(), same, "left_semi").select(*key, "start", "n", "w1", "w2"), "bench-hits")
+    before = F.max(F.col("start") + F.col("n")).over(Window.partitionBy(*key).orderBy("start", "n").rowsBetween(Window.unboundedPreceding, -1))
+    spans = hits.select(*key, "start", "n").distinct().withColumn("new", F.greatest(F.lit(0), F.col("start") + F.col("n") - F.greatest("start", F.coalesce(before, F.lit(0)))))
+    n_hit = spans.groupBy(*key).agg(F.sum("new").cast("long").alias("n_hit"))
+    ids = windows.filter("item_id IS NOT NULL").select("item_id", "n", "w1", "w2").distinct()
+    found = hits.select(*key, "n", "w1", "w2").distinct().join(ids, ["n", "w1", "w2"]).select(*key, "item_id").distinct()
+    named = found.groupBy(*key).agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item_id")), ","), 256).alias("items_sha256"))
+    results = keep(n_hit.join(named, key, "left"), "bench-results")
+    rows = packed(docs, carried)
+    sized = rows.mapInArrow(_sizes, packed_with(rows, n_words=LongType(), k1=LongType(), k2=LongType()))
+    all_ = sized.join(broadcast_if(results, BROADCAST_ROWS), key, "left")
+    empty = hashlib.sha256(b"").hexdigest()
+    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
+    return all_.select(
+        OWN, "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", F.lit(empty)).alias("items_sha256"),
+        ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"),
+    )
+
+
 def scan_packed(docs: DataFrame, benchmark: DataFrame, carried: list[str], *, width: int = 13, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``own``, a struct of the columns ``carried`` of every document, with ``n_words, n_hit, n_items, items_sha256, contaminated``.
 
@@ -175,30 +285,19 @@ def scan_packed(docs: DataFrame, benchmark: DataFrame, carried: list[str], *, wi
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text IS NOT NULL").distinct()
-    n_bytes = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    n_blocks = max(1, -(-n_bytes // block_bytes))
-    items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)))
-    items = items if n_blocks == 1 else keep(items, "bench-items")
-
-    def block_of(i: int) -> Windows:
-        some = items.filter(F.col("block") == i).select("item_id", "text").orderBy("item_id", "text").collect()  # of bounded size: items are distinct, and dealt evenly
-        return Windows([r[0] for r in some], [r[1] for r in some], width)
-
-    indexes = [block_of(0)] if n_blocks == 1 else None  # one is held; of several, one at a time is made again
-    words = [spark.sparkContext.broadcast((indexes[0] if indexes else block_of(i)).words) for i in range(n_blocks)]
-    seen = docs.select("text").mapInArrow(_counter(words), "block int, code long, n long").groupBy("block", "code").agg(F.sum("n").alias("n"))
-    seen = seen if n_blocks == 1 else keep(seen, "bench-words")
-    ordered = []
-    for i in range(n_blocks):
-        index = indexes[0] if indexes else block_of(i)
-        frequency = np.zeros(max(1, len(index.words)), dtype=np.int64)
-        for r in seen.filter(F.col("block") == i).select("code", "n").collect():  # one row a word of the block
-            frequency[r["code"]] = r["n"]
-        index.order(frequency)
-        ordered.append(spark.sparkContext.broadcast(index))
+    n_bytes = items.agg(F.sum(F.octet_length("text") + F.coalesce(F.octet_length("item_id"), F.lit(0)) + 1).alias("n")).first()["n"] or 0
+    if n_bytes > block_bytes:
+        return _joined(docs, items, carried, width, share)
+    some = items.orderBy("item_id", "text").collect()  # of checked size
+    index = Windows([r[0] for r in some], [r[1] for r in some], width)
+    words = spark.sparkContext.broadcast(index.words)
+    frequency = np.zeros(max(1, len(index.words)), dtype=np.int64)
+    for r in docs.select("text").mapInArrow(_counter(words), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():  # one row a word of the benchmark
+        frequency[r["code"]] = r["n"]
+    index.order(frequency)
     rows = packed(docs, carried)
     done = packed_with(rows, n_words=LongType(), n_hit=LongType(), n_items=LongType(), items_sha256=StringType(), contaminated=BooleanType())
-    return rows.mapInArrow(_scanner(ordered, share), done)
+    return rows.mapInArrow(_scanner(spark.sparkContext.broadcast(index), share), done)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, carried: list[str] | None = None, **options) -> DataFrame:

@@ -55,3 +55,24 @@ def test_empty(spark):
 
 def test_query(spark):
     assert compare(spark, d.op6_decontamination, d.OP6_SQL, "/root/testdata/sf0.01") == 1000
+
+
+def test_large_benchmark_is_joined(spark):
+    """Items of fifty times what is broadcast; one passage stands in a third of the documents, copies of one text in another third."""
+    import random
+
+    rng = random.Random(3)
+    vocabulary = [f"v{i}" for i in range(60)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([1, 3, 5, 6, 12, 13, 14, 40])))) for i in range(300)]
+    items += [(1000 + i, items[7][1]) for i in range(20)] + [(2000, PASSAGE), (None, "v1 v2 v3 v4 v5 v6")]
+    docs = [(i, " ".join([*(rng.choice(vocabulary) for _ in range(rng.randrange(60))), rng.choice(items)[1], "end"])) for i in range(100)]
+    docs += [(200 + i, f"n{i} {PASSAGE} m{i}") for i in range(80)] + [(400 + i, f"{items[3][1]} {PASSAGE}") for i in range(80)]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    size = sum(len(t) for _, t in items)
+    assert sorted(map(tuple, d.scan(frame, bench, block_bytes=size // 50).collect()), key=repr) == brute(docs, items)
+    assert d.scan(frame.limit(0), bench, block_bytes=10).collect() == []
+
+
+def test_both_ways_agree(spark):
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    assert sorted(map(tuple, d.scan(docs, bench, block_bytes=100).collect())) == sorted(map(tuple, d.scan(docs, bench).collect()))
