@@ -1,6 +1,6 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
-Every source gets a target of words, filled from a count of its documents by exact length: a proportional part of each
+Every source gets a target of words, filled from a count of its documents by exact length: about the same part of each
 length, then a bounded knapsack over what is left, by dynamic programming on a bitset. The copies of a length go to its
 documents evenly, and those left over to the first in the order of a seeded hash: up to a cut, which is one row for each
 source and length, so that every document can tell its copies from its own hash.
@@ -20,8 +20,6 @@ from pyspark.sql.types import LongType
 from ._store import OWN, broadcast_if, column, keep, opened, packed, packed_with, unpacked
 from ._words import raw_bytes, texts_of
 
-#: Words above which a rest is filled greedily first; what is given back later can be more, by the longest documents.
-TABLE_WORDS = 1 << 16
 #: Places of the dynamic programme, at most: with longer budgets a place is several words.
 PLACES = 1 << 24
 #: Rows of a table of sources or cuts that are broadcast, at most; more are joined.
@@ -135,12 +133,26 @@ def _placed(lengths: np.ndarray, words: np.ndarray, free: np.ndarray, most: int,
     return taken
 
 
-def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int, cap: int = 1, table: int = TABLE_WORDS) -> np.ndarray:
+def _in_proportion(lengths: np.ndarray, counts: np.ndarray, budget: int, cap: int, order: list[int]) -> np.ndarray:
+    """About the same part of every length, in a seeded order: each takes what brings the words taken up to the budget's part of
+    the words met so far, so that what one length rounds off the next makes up, and little more than a document is left."""
+    total, met, words = int((lengths * counts).sum()), 0, 0
+    taken = np.zeros(len(lengths), dtype=np.int64)
+    for i in order:
+        n, size = int(counts[i]), int(lengths[i])
+        met += n * size
+        taken[i] = min(n * cap, max(0, (met * budget // total - words) // size))
+        words += int(taken[i]) * size
+    return taken
+
+
+def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int, cap: int = 1) -> np.ndarray:
     """How many copies of documents of each length to take so that their words come near to ``budget``, never above.
 
-    There are ``counts`` documents of each length and ``cap`` copies of each at most. A proportional part of every length
-    is taken first and the rest is fitted; where that misses, some of the first part, about as many words as four of the
-    longest documents have, is given back and fitted with it.
+    There are ``counts`` documents of each length (above 0) and ``cap`` copies of each at most. A proportional part of every
+    length is taken first and the rest is fitted; where that misses, some of the first part, from the shortest documents and
+    from the longest, about as many words as five of the longest have, is given back and fitted with it; what still misses, as
+    budgets of few lengths can, is fitted on top of the part that no length is short of. ``lengths`` ascend.
     """
     lengths, counts = np.asarray(lengths, dtype=np.int64), np.asarray(counts, dtype=np.int64)
     total = int((lengths * counts).sum())
@@ -148,26 +160,24 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int,
         return np.zeros(len(lengths), dtype=np.int64)
     if budget >= total * cap:
         return counts * cap
-    taken = np.array([c * budget // total for c in counts.tolist()], dtype=np.int64)
-    rest = budget - int((taken * lengths).sum())
     order = np.random.default_rng(seed).permutation(len(lengths)).tolist()
-    while rest > table:  # one more of each length in a seeded order
-        before = rest
-        for i in order:
-            if rest > table and taken[i] < counts[i] * cap and lengths[i] <= rest:
-                taken[i] += 1
-                rest -= int(lengths[i])
-        if rest == before:  # what is open is less than the shortest length with copies left
-            break
+    taken = _in_proportion(lengths, counts, budget, cap, order)
+    rest = budget - int((taken * lengths).sum())
     more, missed = _knapsack(lengths, counts * cap - taken, rest, order)
     if missed:
-        fewer, enough = taken.copy(), rest + 4 * int(lengths.max())
-        room = rest
-        for i in reversed(order):
-            back = min(int(fewer[i]), max(0, enough - room) // int(lengths[i]))
-            fewer[i] -= back
-            room += back * int(lengths[i])
+        longest = int(lengths.max())
+        fewer, room = taken.copy(), rest
+        for enough, some in ((rest + 2 * longest, range(len(lengths))), (rest + 5 * longest, reversed(range(len(lengths))))):
+            for i in some:
+                back = min(int(fewer[i]), -(-max(0, enough - room) // int(lengths[i])))
+                fewer[i] -= back
+                room += back * int(lengths[i])
         again, left = _knapsack(lengths, counts * cap - fewer, room, order)
+        if left < missed:
+            taken, more, missed = fewer, again, left
+    if missed:
+        fewer = np.array([c * budget // total for c in counts.tolist()], dtype=np.int64)
+        again, left = _knapsack(lengths, counts * cap - fewer, budget - int((fewer * lengths).sum()), order)
         if left < missed:
             return fewer + again
     return taken + more

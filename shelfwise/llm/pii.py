@@ -155,10 +155,46 @@ def _term_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield out()
 
 
+def _classed(rows: DataFrame, of: str, kept: str) -> DataFrame:
+    """``of, kept, c1, c2``: values of ``of`` that stand in the same rows, and have the same ``kept``, are one class."""
+    both = [F.bit_xor(F.xxhash64("row")).alias("c1"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("c2")]
+    return rows.groupBy(of, kept).agg(*both)
+
+
+def _disclosing(held: DataFrame, free: DataFrame, n: float, alpha: float, support: int) -> DataFrame:
+    """``row, t, only``: terms of ``free`` (``row, t, n_t``) in documents of an entity of ``held`` (``row, e, n_e, most``) that tell enough of it.
+
+    Entities that stand in the same documents count alike, and so do terms, so pairs are of classes: copies of a long list of
+    contacts have one class of each. A pair in ``support`` documents is in one besides the entity's longest, so the longest
+    document of an entity makes no pairs: only those that others made are looked up in it.
+    """
+    e, t = ["e1", "e2"], ["t1", "t2"]
+    of_e = _classed(held, "e", "n_e").withColumnsRenamed({"c1": "e1", "c2": "e2"}).drop("n_e")
+    of_t = _classed(free, "t", "n_t").withColumnsRenamed({"c1": "t1", "c2": "t2"}).drop("n_t")
+    free = keep(free.join(of_t, "t"), "pii-term-classes")
+    terms = keep(free.select("row", *t, "n_t").distinct(), "pii-terms-of-rows")
+    sizes = terms.groupBy("row").agg(F.count("*").alias("terms"))
+    entities = held.join(of_e, "e").select("row", *e, "n_e", "most").distinct().join(sizes, "row")
+    entities = keep(entities, "pii-entities-of-rows")
+    longest = entities.groupBy(*e).agg(F.max(F.struct("terms", "row"))["row"].alias("longest"))
+    made = entities.join(longest, e) if support > 1 else entities.withColumn("longest", F.lit(-1).cast("long"))
+    made = made.filter("row <> longest").join(terms, "row").filter("n_t <= most")
+    pairs = keep(made.groupBy(*e, *t).agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t")).filter(F.col("n_et") >= support - 1), "pii-pairs")
+    if support > 1:
+        also = pairs.select(*e, *t).join(longest, e).join(terms.select(F.col("row").alias("longest"), *t), ["longest", *t], "left_semi").select(*e, *t, F.lit(1).alias("one"))
+        pairs = pairs.join(also, [*e, *t], "left").withColumn("n_et", F.col("n_et") + F.coalesce("one", F.lit(0))).filter(F.col("n_et") >= support)
+    told = pairs.withColumn("ic", F.log2(F.lit(n) / F.col("n_e"))).withColumn("pmi", F.log2(F.lit(n) * F.col("n_et") / F.col("n_e") / F.col("n_t")))
+    told = keep(told.filter((F.col("ic") > 0) & (F.col("pmi") >= F.lit(alpha) * F.col("ic") - F.lit(1e-12))).select(*e, *t, (F.col("n_et") >= F.col("n_t")).alias("only")), "pii-told")
+    marked = entities.select("row", *e).join(told, e).groupBy("row", *t).agg(F.max("only").alias("only"))
+    return free.join(marked, ["row", *t]).select("row", "t", "only")
+
+
 def find(docs: DataFrame, *, alpha: float = 0.8, support: int = 2, with_text: bool = False) -> DataFrame:
     """``row, doc_id``, the counts of base spans, ``base`` and ``terms`` (start, end, whether it occurs with the entity only).
 
-    Null and empty texts have no spans. Rows that repeat an id are documents each. An empty table gives no rows.
+    Null and empty texts have no spans. Rows that repeat an id are documents each. An empty table gives no rows. Very long texts
+    are taken whole, in a piece of their own. Only ``doc_id`` and ``text`` are read, so other columns may have any names. An entity
+    in fewer than ``support`` documents (2 at least) adds no spans: nothing can be said of what occurs with it.
     """
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = keep(chosen.mapInArrow(_finder(with_text), _FOUND + ", text string" * with_text), "pii-found")
@@ -173,11 +209,7 @@ def find(docs: DataFrame, *, alpha: float = 0.8, support: int = 2, with_text: bo
     rows = held.groupBy("row").agg(F.max("most").alias("row_most"))
     free = some.select("row", "free").join(rows, "row").select("row", "row_most", F.explode("free").alias("x")).select("row", "row_most", "x.*")
     free = keep(free.join(terms.filter(F.col("n_t") >= support), "t").filter("n_t <= row_most").select("row", "t", "at", "n_t"), "pii-free")
-    both = held.join(free.select("row", "t", "n_t"), "row").filter("n_t <= most")
-    pairs = both.groupBy("e", "t").agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t")).filter(F.col("n_et") >= support)
-    told = pairs.withColumn("ic", F.log2(F.lit(n) / F.col("n_e"))).withColumn("pmi", F.log2(F.lit(n) * F.col("n_et") / F.col("n_e") / F.col("n_t")))
-    told = keep(told.filter((F.col("ic") > 0) & (F.col("pmi") >= F.lit(float(alpha)) * F.col("ic") - F.lit(1e-12))).select("e", "t", (F.col("n_et") >= F.col("n_t")).alias("only")), "pii-told")
-    marked = held.select("row", "e").join(told, "e").groupBy("row", "t").agg(F.max("only").alias("only"))
+    marked = _disclosing(held, free.select("row", "t", "n_t"), n, float(alpha), support)
     spans = free.join(marked, ["row", "t"]).selectExpr("row", "explode(transform(sequence(0, size(at) - 2, 2), i -> struct(at[i] AS s, at[i + 1] AS f, only))) AS x")
     spans = keep(spans.groupBy("row").agg(F.array_sort(F.collect_list("x")).alias("terms")), "pii-spans")
     return found.drop("free").join(spans, "row", "left").withColumn("terms", F.coalesce("terms", F.expr("CAST(array() AS array<struct<s:int,f:int,only:boolean>>)")))
@@ -199,7 +231,11 @@ def _sanitiser(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:
-    """``doc_id, text`` with every span replaced; of spans that overlap, the first stands for all."""
+    """``doc_id, text`` with every span replaced; of spans that overlap, the first stands for all.
+
+    A null text stays null and an empty one empty; an empty table gives no rows; rows that repeat an id are documents each. Texts of
+    any length are written anew whole. Other columns are not read, whatever their names.
+    """
     return find(docs, with_text=True, **options).select("doc_id", "text", "base", "terms").mapInArrow(_sanitiser, "doc_id long, text string")
 
 
