@@ -63,6 +63,7 @@ def best(ids: np.ndarray, s: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -s[at]))][:k]
 
 
+@np.errstate(over="ignore", invalid="ignore")  # components may be of any size: what has no finite distance is the farthest
 def farthest(points: np.ndarray, most: int) -> np.ndarray:
     """At most ``most`` of the points, each the farthest from those before it."""
     chosen, far = [0], ((points - points[0]) ** 2).sum(axis=1)
@@ -78,6 +79,7 @@ def nearest(m: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return near, np.sqrt(((m - pivots[near]) ** 2).sum(axis=1))
 
 
+@np.errstate(over="ignore")
 def lengths(m: np.ndarray) -> np.ndarray:
     return np.sqrt((m**2).sum(axis=1))
 
@@ -110,6 +112,7 @@ class Groups:
     bound: np.ndarray
     longest: np.ndarray
 
+    @np.errstate(over="ignore", invalid="ignore")
     def need_cells(self, cells: Cells) -> np.ndarray:
         """Whether a query group (row) needs a data group (column). What overflows doubles is needed."""
         p = cells.pivots[cells.index]

@@ -173,7 +173,9 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, *, p
     ``template`` is its number in ``templates``, ``size`` its shingles, ``shared`` the most of them in one window,
     ``first_word`` the first window that has so many (from 0), ``runs`` the runs of windows that match. A text of fewer
     words than a template is one window; one of fewer words than a template's shingle matches nothing. Null and empty
-    texts and templates match nothing. Rows that repeat an id are documents each.
+    texts and templates match nothing. Rows that repeat an id are documents each. An empty table, or no templates, gives no
+    rows. Very long texts are read whole, in a piece of their own. Only ``doc_id`` and ``text`` are read, so other columns may
+    have any names.
     """
     spark = docs.sparkSession
     hashes, counts = _words(texts_of(pa.array([t for _, t in templates], pa.string())))

@@ -103,7 +103,13 @@ def dropped_lines(docs: DataFrame, *, min_chars: int = 12) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
-    """``doc_id, text`` without the lines that go; documents that lose nothing are as they were."""
+    """``doc_id, text`` without the lines that go; documents that lose nothing are as they were.
+
+    A null text stays null and an empty one empty; lines without a character beyond white space stay. Rows that repeat an id are
+    documents each; rows that repeat id and text are one document, and lose the same lines. Lines of any length take part
+    whole. Lines of fewer than ``min_chars`` characters go only where they are equal to an earlier one: one edit makes another
+    word of them. An empty table gives no rows. Only ``doc_id`` and ``text`` are read, so other columns may have any names.
+    """
     gone = keep(dropped_lines(docs, **options).groupBy("doc_id", "version").agg(F.collect_list("pos").alias("gone")), "line-gone")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("version"))
     both = own.alias("d").join(gone.alias("g"), F.expr("d.doc_id <=> g.doc_id AND d.version = g.version"), "left")

@@ -280,10 +280,12 @@ def _writer(path: str | None, end_id: int, chunk_ids: int):
 def write_tokens(docs: DataFrame, path: str, *, tokenizer_path: str | None = None, end_id: int = 2, chunk_ids: int = 1 << 18, shards: int | None = None) -> None:
     """Encodes every whole text (null: empty), appends ``end_id`` to each, and writes shards in ascending ``doc_id`` order.
 
-    Documents without an id come first; rows with one id are ordered by their text. An empty table gives no rows.
+    Documents without an id come first; rows with one id are ordered by their text, and shards are cut between texts of one
+    id too, by the first 64 characters. Copies of one row are records each. Very long texts are encoded whole, in a piece of
+    their own. An empty table gives no rows. Only ``doc_id`` and ``text`` are read, so other columns may have any names.
     """
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = chosen.repartitionByRange(shards or partitions_for(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = chosen.repartitionByRange(shards or partitions_for(docs.sparkSession), "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(_writer(tokenizer_path, end_id, chunk_ids), SCHEMA).write.option("compression", "none").parquet(path)
 
 
