@@ -1,7 +1,7 @@
 """Working tables: lineage is cut by writing Parquet where every executor can read it.
 
-Each run has a folder of its own below ``spark.checkpoint.dir``. Tables written outside ``working`` stay until the session's
-user deletes them, because results that are not computed yet read them; inside ``working`` they go when the block ends.
+Each run has a folder of its own below ``spark.checkpoint.dir``. Tables written outside ``working`` stay until the driver's JVM
+ends, because results that are not computed yet read them; inside ``working`` they go when the block ends.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
 _RUN = uuid.uuid4().hex
+_MADE: set[str] = set()
 _FOLDER: ContextVar[str] = ContextVar("shelfwise_working_folder", default="")
 
 
@@ -28,12 +29,25 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that all of them can read")
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="shelfwise-"))
+        _deleted_at_end(spark, _OWN[0])
     return _OWN[0]
 
 
+def _deleted_at_end(spark: SparkSession, path: str) -> None:
+    """The folder is made, and deleted when the driver's JVM ends in order."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path that nothing else has, in the folder of the current block or else of this process."""
-    return f"{shared_dir(spark)}/shelfwise/{_FOLDER.get() or _RUN}/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/shelfwise/{_FOLDER.get() or _RUN}"
+    if not _FOLDER.get() and folder not in _MADE:
+        _deleted_at_end(spark, folder)
+        _MADE.add(folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
