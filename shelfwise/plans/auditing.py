@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions import text
 from shelfwise.functions.dialect import DUCK
-from shelfwise.operators import audit, merge
+from shelfwise.operators import audit, crawl, digests, merge
 from shelfwise.sources import landed, sinks
 
 from .adapters import OFFERS, duck, offers, sql, table
@@ -138,15 +138,15 @@ def brand_samples(spark, d):
     return counts.join(samples, counts["p_brand"].eqNullSafe(samples["p_brand"]), "left").select(counts["p_brand"], "n", F.coalesce("samples", F.lit("")).alias("samples"))
 
 
-@query("label_digest", """
-WITH s AS (SELECT quality, doc_id // 1024 AS slice, count(*) AS n, sha256(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id)) AS digest FROM labels GROUP BY ALL)
-SELECT quality, CAST(sum(n) AS BIGINT) AS n, substr(sha256(string_agg(digest, ',' ORDER BY slice)), 1, 16) AS digest FROM s GROUP BY quality""")
+_LABEL_TEXT = """concat('{"category": "Q', CAST(quality AS STRING), '", "doc_id": ', CAST(doc_id AS STRING), ', "flagged": ', CASE WHEN toxic = 1 THEN 'true' ELSE 'false' END, '}')"""
+
+
+@query("label_digest", f"""
+SELECT quality, count(*) AS n, substr(sha256(concat('[', string_agg({_LABEL_TEXT}, ', ' ORDER BY doc_id), ']')), 1, 16) AS digest FROM labels GROUP BY quality""")
 def label_digest(spark, d):
-    """Order-sensitive digest of a label set, by slices of 1,024 ids and then over their digests: no task holds a whole set."""
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",")
-    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slice", "digest"))), lambda x: x["digest"]), ",")
-    slices = table(spark, d, "labels").groupBy("quality", F.expr("doc_id DIV 1024").alias("slice")).agg(F.count("*").alias("n"), F.sha2(ids, 256).alias("digest"))
-    return slices.groupBy("quality").agg(F.sum("n").alias("n"), F.substring(F.sha2(parts, 256), 1, 16).alias("digest"))
+    """Order-sensitive digest of a whole label set, as of one JSON array."""
+    found = digests.ordered_digest(table(spark, d, "labels"), ["quality"], ["doc_id"], F.expr(_LABEL_TEXT))
+    return found.select("quality", "n", F.substring("digest", 1, 16).alias("digest"))
 
 
 @query("url_parts", "SELECT scheme, host, count(*) AS n FROM (SELECT nullif(regexp_extract(url, '^([a-z]+)://', 1), '') AS scheme, nullif(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1), '') AS host FROM pages) GROUP BY ALL")
@@ -230,6 +230,33 @@ def batch_stop_cut(spark, d):
     return c.filter("streak >= 2").groupBy("conv_id").agg(F.min("turn").alias("stop"))
 
 
+#: Batches of crawls made of events: short and empty ones, repeats, totals, failures of either status.
+_CRAWL = """(SELECT run, i, i * 30 AS pos, size, CASE WHEN event_id % 43 = 0 THEN 503 WHEN event_id % 47 = 0 THEN 418 ELSE 200 END AS status, CASE WHEN event_id % 53 = 0 THEN 429 WHEN event_id % 61 = 0 THEN 403 ELSE 200 END AS products,
+  CASE WHEN event_id % 43 = 0 OR event_id % 47 = 0 OR event_id % 41 = 0 THEN 0 WHEN event_id % 59 = 0 THEN size - 1 ELSE size END AS n, event_id * 13 % 50 * 10 AS first, CASE WHEN event_id % 37 = 0 THEN i * 30 + 45 WHEN event_id % 37 = 1 THEN 0 END AS total
+  FROM (SELECT event_id, user_id % 150 AS run, row_number() OVER (PARTITION BY user_id % 150 ORDER BY event_id) - 1 AS i, CASE WHEN event_id % 5 = 4 THEN 20 ELSE 30 END AS size FROM events) AS e)"""
+
+
+@query("crawl_stops", f"""
+WITH RECURSIVE b AS (SELECT *, list_transform(range(n), lambda k: concat('B', CAST(first + k AS VARCHAR))) AS ids FROM {_CRAWL} AS x),
+s AS (
+  SELECT DISTINCT run, CAST(-1 AS BIGINT) AS i, CAST(0 AS BIGINT) AS pos, CAST([] AS VARCHAR[]) AS seen, CAST(NULL AS VARCHAR[]) AS prev, CAST(0 AS BIGINT) AS stale, CAST(NULL AS BIGINT) AS total, CAST(0 AS BIGINT) AS requests, CAST(0 AS BIGINT) AS added, CAST(NULL AS VARCHAR) AS reason FROM b
+  UNION ALL
+  SELECT run, i, pos, CASE WHEN took THEN list_concat(seen, fresh) ELSE seen END, ids, CASE WHEN NOT took THEN stale ELSE streak END, said, requests + CASE WHEN took THEN 1 ELSE 0 END, added + CASE WHEN took THEN len(fresh) ELSE 0 END,
+    CASE WHEN early IS NOT NULL THEN early WHEN n < size THEN 'short' WHEN pos + size >= 500 THEN 'window' WHEN pos + n >= said THEN 'total' WHEN streak >= 2 THEN 'stale' END
+  FROM (SELECT *, early IS NULL AS took, CASE WHEN len(fresh) = 0 THEN stale + 1 ELSE 0 END AS streak FROM (
+    SELECT b.run, b.i, b.pos, b.ids, b.n, b.size, s.seen, s.stale, s.requests, s.added, coalesce(nullif(b.total, 0), s.total) AS said, list_filter(b.ids, lambda x: NOT list_contains(s.seen, x)) AS fresh,
+      CASE WHEN b.pos >= 500 THEN 'window' WHEN b.pos >= s.total THEN 'total' WHEN b.status <> 200 AND n = 0 THEN CASE WHEN s.requests > 0 AND b.status = 503 THEN 'status' ELSE 'error' END WHEN n = 0 THEN 'empty' WHEN b.ids = s.prev THEN 'repeat'
+        WHEN b.products <> 200 THEN CASE WHEN s.requests > 0 AND b.products = 429 THEN 'products' ELSE 'products error' END END AS early
+    FROM s JOIN b ON b.run = s.run AND b.i = s.i + 1 WHERE s.reason IS NULL))),
+last AS (SELECT run, max(i) AS i FROM s GROUP BY run)
+SELECT run, pos AS stop_at, coalesce(reason, 'end') AS reason, requests, added FROM s JOIN last USING (run, i)""")
+def crawl_stops(spark, d):
+    """The replay of landed batches: where each run stops, and by which rule."""
+    rows = sql(spark, d, f"SELECT * FROM {_CRAWL} AS x", "events")
+    ids = F.when(F.col("n") > 0, F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.concat(F.lit("B"), (F.col("first") + k).cast("string"))))
+    return crawl.stops(rows.withColumn("ids", ids).withColumnRenamed("pos", "at")).withColumnRenamed("at", "stop_at")
+
+
 @query("round_deltas", "SELECT role, turn, n, n - coalesce(lag(n) OVER (PARTITION BY role ORDER BY turn), 0) AS delta FROM (SELECT role, turn, count(*) AS n FROM conversations GROUP BY ALL)")
 def round_deltas(spark, d):
     c = table(spark, d, "conversations").groupBy("role", "turn").agg(F.count("*").alias("n"))

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions import text
 from shelfwise.functions.dialect import DUCK
-from shelfwise.functions.similarity import can_reach, sequence_ratio
 from shelfwise.operators import labels as lab
-from shelfwise.operators import cascade, models, rule_table, rules
-from shelfwise.working import keep
+from shelfwise.operators import cascade, fuzzy, models, ranks, rule_table, rules
 
 from .adapters import duck, sql, table
 
@@ -117,46 +114,29 @@ _SET = "list_distinct(string_split({}, ' '))"
 @query("fuzzy_best_match_overlap", f"""
 WITH b AS (SELECT item_id, {_SET.format(DUCK.key('text'))} AS t FROM benchmark),
 bt AS (SELECT item_id, unnest(t) AS w, len(t) AS n FROM b), dt AS (SELECT DISTINCT doc_id, unnest(string_split({DUCK.key('text')}, ' ')) AS w FROM documents),
-m AS (SELECT item_id, doc_id, count(*) AS common, min(n) AS n FROM bt JOIN dt USING (w) GROUP BY ALL HAVING count(*) * 1.0 / min(n) >= 0.72),
-x AS (SELECT item_id, arg_min(doc_id, (-common, doc_id)) AS doc_id, round(max(common) * 1.0 / min(n), 3) AS score FROM m GROUP BY item_id)
-SELECT item_id, x.doc_id, x.score, x.doc_id IS NOT NULL AS matched FROM b LEFT JOIN x USING (item_id)""")
+m AS (SELECT item_id, doc_id, count(*) AS common, min(n) AS n FROM bt JOIN dt USING (w) WHERE w <> '' GROUP BY ALL),
+x AS (SELECT item_id, arg_min(doc_id, (-common, doc_id)) AS doc_id, max(common) * 1.0 / min(n) AS score FROM m GROUP BY item_id)
+SELECT item_id, CASE WHEN x.score >= 0.72 THEN x.doc_id END AS doc_id, round(coalesce(x.score, 0), 3) AS score, coalesce(x.score >= 0.72, false) AS matched FROM b LEFT JOIN x USING (item_id)""")
 def fuzzy_best(spark, d):
-    """For each name the candidate that holds most of its words, 0.72 of them at least; ties to the smaller id.
-
-    A candidate with 0.72 of n words has one of the rarest ``n - ceil(0.72 n) + 1``: only these are joined to find candidates,
-    and words of all names are counted for candidates alone.
-    """
-    items = table(spark, d, "benchmark").select("item_id", F.array_distinct(F.split(text.text_key("text"), " ")).alias("t"))
-    asked = items.select("item_id", F.size("t").alias("n"), F.explode("t").alias("w"))
-    wanted = asked.select("w").distinct()
-    held = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.split(text.text_key("text"), " "))).alias("w"))
-    held = keep(held.join(wanted, "w", "left_semi"), "fuzzy-words")
-    often = held.groupBy("w").agg(F.count("*").alias("times"))
-    rarest = Window.partitionBy("item_id").orderBy(F.coalesce("times", F.lit(0)), "w")
-    shown = asked.join(often, "w", "left").withColumn("at", F.row_number().over(rarest)).filter("at <= n - ceil(0.72 * n) + 1")
-    some = keep(shown.select("item_id", "w").join(held, "w").select("item_id", "doc_id").distinct(), "fuzzy-candidates")
-    common = some.join(asked, "item_id").join(held, ["doc_id", "w"]).groupBy("item_id", "doc_id").agg(F.count("*").alias("common"), F.min("n").alias("n"))
-    good = common.filter(F.col("common") / F.col("n") >= 0.72)
-    best = good.groupBy("item_id").agg(F.min_by("doc_id", F.struct(-F.col("common"), "doc_id")).alias("doc_id"), F.max("common").alias("c"), F.min("n").alias("n"))
-    out = items.select("item_id").join(best, "item_id", "left")
-    return out.select("item_id", "doc_id", F.round(F.col("c") / F.col("n"), 3).alias("score"), F.col("doc_id").isNotNull().alias("matched"))
+    """For each name the candidate that holds most of its words, ties to the smaller id; below 0.72 the score alone."""
+    words = lambda name, own, as_: table(spark, d, name).select(F.col(own).alias(as_), F.explode(F.array_distinct(F.split(text.text_key("text"), " "))).alias("word")).filter("word <> ''")
+    best = fuzzy.best_by_words(words("benchmark", "item_id", "id"), words("documents", "doc_id", "ord"))
+    score = F.coalesce(F.col("common") / F.col("n"), F.lit(0.0))
+    out = table(spark, d, "benchmark").select(F.col("item_id")).join(best, F.col("item_id") == F.col("id"), "left")
+    return out.select("item_id", F.when(score >= fuzzy.LEAST, F.col("ord")).alias("doc_id"), F.round(score, 3).alias("score"), (score >= fuzzy.LEAST).alias("matched"))
 
 
 @query("fuzzy_best_match_ratio", None)
-def fuzzy_ratio(spark, d, least: float = 0.8):
-    """The best match of each brand of one first word by the longest-matching-blocks ratio, ``least`` at least.
-
-    SQL has no such ratio. Matching blocks can hold no more than the characters that two texts share, so lengths and then
-    counts of characters bound it from above in SQL, and Python sees only pairs that can reach ``least``.
-    """
+def fuzzy_ratio(spark, d):
+    """The best part name of each brand's name, of all part names, by ratio and words together. SQL has no such ratio: a test
+    holds all pairs by hand."""
     from .entities import brand_rows
 
-    rows = brand_rows(spark, d).select("brand", "k", F.element_at("toks", 1).alias("block"), F.length("k").alias("n"))
-    within = f"2 * least(x.n, y.n) >= {least} * (x.n + y.n)"
-    both = rows.alias("x").join(rows.alias("y"), F.expr(f"x.block = y.block AND x.brand < y.brand AND {within}")).selectExpr("x.brand", "y.brand AS other", "x.k AS a", "y.k AS b")
-    some = both.filter(can_reach("a", "b", least)).withColumn("ratio", sequence_ratio("a", "b")).filter(F.col("ratio") >= least)
-    sides = some.select("brand", "other", "ratio").unionByName(some.select(F.col("other").alias("brand"), F.col("brand").alias("other"), "ratio"))
-    return sides.groupBy("brand").agg(F.min_by("other", F.struct(-F.col("ratio"), "other")).alias("other"), F.max("ratio").alias("ratio"))
+    names = brand_rows(spark, d).select("brand", "k")
+    asked = ranks.numbered(names, ["brand"], name="id").select("id", "brand", F.col("k").alias("text"))
+    known = table(spark, d, "part").select(F.col("p_partkey").alias("ord"), F.concat_ws(" ", "p_brand", "p_type", "p_name").alias("text"))
+    best = fuzzy.best_matches(asked, known, text.text_key("text"))
+    return asked.select("id", "brand").join(best, "id").select("brand", F.col("ord").alias("p_partkey"), "score", "matched")
 
 
 PROFILES = {

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from shelfwise.functions import fields
 from shelfwise.functions.dialect import DUCK
 from shelfwise.functions.text import blank_to_null, text_key
-from shelfwise.operators import lookups
+from shelfwise.operators import lookups, ranks
 
 from .adapters import OFFERS, duck, offers, sql, table
 
@@ -224,13 +224,24 @@ def _top(name: str, sql_order: str, order, columns: str, source: str = "part", m
     return f
 
 
+def _whole(name: str, sql_order: str, order, columns: str, source: str = "part"):
+    """Every row with its place in the order."""
+    names = [c.strip() for c in columns.split(",")]
+
+    @query(name, f"SELECT {columns}, row_number() OVER (ORDER BY {sql_order}) AS place FROM {source}")
+    def f(spark, d):
+        return ranks.numbered(table(spark, d, source), order()).select(*names, "place")
+
+    return f
+
+
 _KEY = DUCK.key("p_name")
-_top("catalog_sort", f"-(p_size % 5), {_KEY}, p_partkey", lambda: (F.desc(F.col("p_size") % 5), text_key("p_name").asc(), F.asc("p_partkey")), "p_partkey")
-_top("rank_sort", "coalesce(CASE WHEN p_size % 3 > 0 THEN p_partkey END, 9999), p_partkey", lambda: (F.coalesce(F.when(F.col("p_size") % 3 > 0, F.col("p_partkey")), F.lit(9999)).asc(), F.asc("p_partkey")), "p_partkey", most=150)
+_whole("catalog_sort", f"-(p_size % 5), {_KEY}, p_partkey", lambda: (F.desc(F.col("p_size") % 5), text_key("p_name").asc(), F.asc("p_partkey")), "p_partkey")
+_whole("rank_sort", "coalesce(CASE WHEN p_size % 3 > 0 THEN p_partkey END, 9999), p_partkey", lambda: (F.coalesce(F.when(F.col("p_size") % 3 > 0, F.col("p_partkey")), F.lit(9999)).asc(), F.asc("p_partkey")), "p_partkey")
 _top("queue_sort", "p_size % 4, -round(p_retailprice, 0), p_name, p_partkey", lambda: (F.asc(F.col("p_size") % 4), F.desc(F.round("p_retailprice", 0)), F.asc("p_name"), F.asc("p_partkey")), "p_partkey, p_name")
-_top("label_sort", "coalesce(nullif(p_type, 'PROMO'), ''), p_name, p_partkey", lambda: (F.coalesce(F.nullif(F.col("p_type"), F.lit("PROMO")), F.lit("")).asc(), F.asc("p_name"), F.asc("p_partkey")), "p_partkey, p_type")
+_whole("label_sort", "coalesce(nullif(p_type, 'PROMO'), ''), p_name, p_partkey", lambda: (F.coalesce(F.nullif(F.col("p_type"), F.lit("PROMO")), F.lit("")).asc(), F.asc("p_name"), F.asc("p_partkey")), "p_partkey, p_type")
 _top("head_sample", "p_partkey", lambda: (F.asc("p_partkey"),), "p_partkey, p_name", most=25)
-_top("key_sorted_output", "lpad(CAST(p_partkey % 1000 AS VARCHAR), 6, '0'), p_partkey", lambda: (F.lpad((F.col("p_partkey") % 1000).cast("string"), 6, "0").asc(), F.asc("p_partkey")), "p_partkey", most=60)
+_whole("key_sorted_output", "lpad(CAST(p_partkey % 1000 AS VARCHAR), 6, '0'), p_partkey", lambda: (F.lpad((F.col("p_partkey") % 1000).cast("string"), 6, "0").asc(), F.asc("p_partkey")), "p_partkey")
 
 
 @query("sorted_counts", "SELECT p_brand AS value, count(*) AS n FROM part WHERE p_brand <> 'Brand#5' GROUP BY 1")

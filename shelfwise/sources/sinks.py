@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.operators.merge import upsert
+from shelfwise.operators.ranks import numbered
 from shelfwise.working import delete
 
 
@@ -50,9 +51,8 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def chunked(df: DataFrame, group: str, order: Sequence[str], size: int) -> DataFrame:
-    """Adds ``chunk`` (from 0) and ``local_id`` (from 1) within each group."""
-    n = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return df.withColumn("n_", n).withColumn("chunk", F.floor((F.col("n_") - 1) / size)).withColumn("local_id", ((F.col("n_") - 1) % size + 1).cast("int")).drop("n_")
+    """Adds ``chunk`` (from 0) and ``local_id`` (from 1) within each group, however large; see ``ranks.numbered``."""
+    return numbered(df, order, [group], "n_").withColumn("chunk", F.floor((F.col("n_") - 1) / size)).withColumn("local_id", ((F.col("n_") - 1) % size + 1).cast("int")).drop("n_")
 
 
 def checkpoint(df: DataFrame, path: str, run: int) -> None:
