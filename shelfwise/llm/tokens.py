@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._store import new_path, partitions_for
-from ._words import raw_bytes, slices, texts_of, words_of
+from ._words import raw_bytes, release, slices, texts_of, words_of
 
 BLOCK = 1024
 #: Fixed values of Simple-8b: ids in a word and bits of an id by selector (0 and 1 are not used).
@@ -146,7 +146,7 @@ class Encoder:
 
     MARK = "<|startoftext|>"
     #: Parts remembered from batch to batch, about.
-    REMEMBERED = 600_000
+    REMEMBERED = 200_000
 
     def __init__(self, path: str | None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -256,7 +256,7 @@ def _writer(path: str | None, end_id: int, chunk_ids: int):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
         for batch in batches:
-            for piece in slices(batch, "text", 8 << 20):
+            for piece in slices(batch, "text", 4 << 20):
                 new, n = encoder.encode(texts_of(piece.column("text")), end_id)
                 # documents stay whole: a chunk ends with the first document that brings it to chunk_ids
                 taken = end = 0
@@ -273,6 +273,8 @@ def _writer(path: str | None, end_id: int, chunk_ids: int):
                     ids.append(new[taken:end])
         if docs:
             yield closed()
+        ids, docs, sizes = [], [], []
+        release()
 
     return run
 
@@ -295,8 +297,11 @@ def _ids_of(words: bytes, blocks: bytes, n: int, at: list, value: list) -> np.nd
 
 def _reader(with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _ENCODERS.clear()  # what this worker has from writing; files are read without
+        release()
         for batch in batches:
-            for r in batch.to_pylist():
+            for at in range(batch.num_rows):
+                r = batch.slice(at, 1).to_pylist()[0]
                 ids = _ids_of(r["words"], r["blocks"], r["n_ids"], r["escape_at"], r["escape_value"]).astype("<u4")
                 n = np.array(r["n_tokens"], dtype=np.int64)
                 ends = np.cumsum(n)
