@@ -73,29 +73,3 @@ def in_order(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """The distinct values of a key in the order in which they came first, as an array: few values a key, whatever its rows."""
     first = df.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.min(order).alias("o_"))
     return first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("o_", value))), lambda x: x[value]).alias("v_"))
-
-
-def folded(rows: DataFrame, key: str, order: str, scalars: Sequence[str], cleared: str = "fresh produce") -> DataFrame:
-    """One record a key from rows that come one after another (``order`` is unique within a key).
-
-    Columns: ``brand``, ``brand_source``, ``category``, ``source``, ``store`` and ``scalars``. A scalar is the first value
-    that is not empty (0 is a value). A brand that a source names beats any other, and a longer one that goes on from it
-    beats it; repeats change nothing, so the fold is over the distinct brands of a key. Other brands: the first one after
-    the last row, the first of all apart, whose category is ``cleared``, because such a row clears the brand. Nothing
-    gathers a key's rows: minima, and arrays of distinct values.
-    """
-    base = first_non_empty(rows, [key], order, scalars)
-    spans = rows.groupBy(key).agg(F.min(order).alias("from_"))
-    is_cleared = text_key("category") == cleared
-    fresh = rows.filter(is_cleared).join(spans, key).filter(F.col(order) > F.col("from_")).groupBy(key).agg(F.max(order).alias("last_"))
-    branded = rows.filter(filled(rows, "brand"))
-    other = branded.join(fresh, key, "left").filter(F.col("last_").isNull() | (F.col(order) > F.col("last_"))).groupBy(key).agg(F.min_by("brand", order).alias("other_"))
-    named = in_order(branded.filter("brand_source = 'source'"), key, "brand", order)
-    goes_on = lambda held, new: F.startswith(text_key(new), F.concat(text_key(held), F.lit(" ")))
-    sourced = named.select(key, F.aggregate(F.slice("v_", 2, F.size("v_")), F.get("v_", F.lit(0)), lambda held, new: F.when(goes_on(held, new), new).otherwise(held)).alias("sourced_"))
-    out = base.join(sourced, key, "left").join(other, key, "left").withColumn("brand", F.coalesce("sourced_", "other_")).drop("sourced_", "other_")
-    categories = rows.filter("category IS NOT NULL").groupBy(key).agg(F.array_sort(F.collect_set("category")).alias("categories"))
-    out = out.join(categories, key, "left")
-    for column, name in (("source", "sources"), ("store", "stores")):
-        out = out.join(in_order(rows, key, column, order).withColumnRenamed("v_", name), key, "left")
-    return out

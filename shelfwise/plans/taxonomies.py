@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.dialect import DUCK
 from shelfwise.functions.text import text_key
-from shelfwise.operators import merge, state, taxonomy
+from shelfwise.operators import record, state, taxonomy
 from shelfwise.sources import items
 
 from .adapters import duck, sql, table
@@ -219,22 +219,28 @@ _EVENTS = """(SELECT o_custkey AS product, o_orderkey AS ord, CASE o_orderkey %
 
 
 @query("entity_fold", f"""
-WITH e AS (SELECT * FROM {_EVENTS} AS x), f AS (SELECT product, min(ord) AS first_ord FROM e GROUP BY 1),
-fresh AS (SELECT e.product, max(ord) AS last_fresh FROM e JOIN f ON e.product = f.product WHERE category = 'Fresh Produce' AND ord > first_ord GROUP BY 1),
-derived AS (SELECT e.product, arg_min(brand, ord) AS brand FROM e LEFT JOIN fresh r ON r.product = e.product WHERE coalesce(brand, '') <> '' AND (last_fresh IS NULL OR ord > last_fresh) GROUP BY 1),
-sourced AS (SELECT product, list_reduce(list(brand ORDER BY ord), lambda a, b: CASE WHEN starts_with(lower(b), concat(lower(a), ' ')) THEN b ELSE a END) AS brand FROM e WHERE brand_source = 'source' AND coalesce(brand, '') <> '' GROUP BY 1),
-scalars AS (SELECT product, arg_min(name, ord) FILTER (name <> '') AS name, arg_min(discount_percent, ord) FILTER (discount_percent IS NOT NULL) AS discount_percent,
-  array_to_string(list_sort(list(DISTINCT category) FILTER (category IS NOT NULL)), ',') AS all_categories FROM e GROUP BY 1),
-src AS (SELECT product, string_agg(source, ',' ORDER BY o) AS sources, count(*) AS source_count FROM (SELECT product, source, min(ord) AS o FROM e GROUP BY ALL) GROUP BY 1),
-sto AS (SELECT product, string_agg(store, ',' ORDER BY o) AS stores FROM (SELECT product, store, min(ord) AS o FROM e GROUP BY ALL) GROUP BY 1)
-SELECT product, name, discount_percent, coalesce(sourced.brand, derived.brand) AS brand, all_categories AS categories, sources, source_count, stores
-FROM scalars JOIN src USING (product) JOIN sto USING (product) LEFT JOIN sourced USING (product) LEFT JOIN derived USING (product)""")
+WITH RECURSIVE e AS (SELECT product, row_number() OVER (PARTITION BY product ORDER BY ord) AS i, nullif(brand, '') AS brand, CASE WHEN brand <> '' THEN brand_source END AS bs, nullif(name, '') AS name, category, source, store FROM {_EVENTS} AS x),
+f AS (
+  SELECT product, i, brand, bs, name, CASE WHEN category IS NULL THEN [] ELSE [category] END AS cats, [source] AS sources, [store] AS stores FROM e WHERE i = 1
+  UNION ALL
+  SELECT product, i, CASE WHEN cleared THEN NULL WHEN take THEN brand ELSE fb END, CASE WHEN cleared THEN NULL WHEN take THEN 'source' ELSE fs END, CASE WHEN take AND name IS NOT NULL THEN concat(upper(name[1]), name[2:]) ELSE coalesce(held, name) END,
+    CASE WHEN fresh THEN list_sort(list_distinct(list_append(cats, category))) WHEN len(cats) = 0 AND category IS NOT NULL THEN [category] ELSE cats END,
+    CASE WHEN list_contains(sources, source) THEN sources ELSE list_append(sources, source) END, CASE WHEN list_contains(stores, store) THEN stores ELSE list_append(stores, store) END
+  FROM (SELECT *, fresh AND NOT (take OR coalesce(fs = 'source', false)) AS cleared FROM (
+    SELECT *, bs IS NOT NULL AND bs = 'source' AND (coalesce(fs <> 'source', true) OR starts_with(lower(brand), concat(lower(fb), ' '))) AS take FROM (
+      SELECT e.product, e.i, e.brand, e.bs, e.name, e.category, e.source, e.store, f.name AS held, f.cats, f.sources, f.stores, coalesce(f.brand, e.brand) AS fb, CASE WHEN f.brand IS NULL THEN e.bs ELSE f.bs END AS fs, coalesce(e.category = 'Fresh Produce', false) AS fresh
+      FROM f JOIN e ON e.product = f.product AND e.i = f.i + 1)))),
+last AS (SELECT product, max(i) AS i FROM f GROUP BY product)
+SELECT product, name, brand, bs AS brand_source, array_to_string(cats, ',') AS categories, array_to_string(sources, ',') AS sources, len(sources) AS source_count, array_to_string(stores, ',') AS stores FROM f JOIN last USING (product, i)""")
 def entity_fold(spark, d):
-    """The fold of a merged record: first values, brands that sources name, cleared brands, sources and stores in order."""
+    """The merged record of an entity: brands that sources name and that fresh rows clear, names shown again, lists in order."""
     rows = sql(spark, d, f"SELECT * FROM {_EVENTS} AS x", "orders")
-    out = merge.folded(rows, "product", "ord", ["name", "discount_percent"])
-    lists = lambda c: F.array_join(c, ",").alias(c)
-    return out.select("product", "name", "discount_percent", "brand", lists("categories"), lists("sources"), F.size("sources").cast("long").alias("source_count"), lists("stores"))
+    none = F.lit(None).cast("string")
+    missing = {c: none for c in ("raw_name", "source_brand", "retailer", *record.OFFERED) if c != "discount_percent"}
+    rows = rows.withColumns(missing | {"source_categories": F.array_compact(F.array("category")), "store_id": F.col("store")})
+    out = record.merged_records(rows, "product", "ord")
+    lists = lambda c, name: F.array_join(c, ",").alias(name)
+    return out.select("product", "name", "brand", "brand_source", lists("source_categories", "categories"), lists("sources", "sources"), "source_count", lists("available_store_ids", "stores"))
 
 
 @query("flyer_fallback", "SELECT p_partkey, 'landed' AS origin FROM part WHERE p_size = 3 UNION ALL SELECT p_partkey, 'fallback' FROM part WHERE p_size = 4 AND NOT EXISTS (SELECT 1 FROM part WHERE p_size = 3)")
