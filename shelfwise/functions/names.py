@@ -80,13 +80,18 @@ def display_name(x: Column) -> Column:
     return title_case(F.regexp_replace(c, "^[ ,;–—-]+|[ ,;–—-]+$", ""))
 
 
+#: Spellings of a vocabulary that are broadcast, at most; more are joined.
+BROADCAST_SPELLINGS = 200_000
+
+
 def key_of(text: str | None) -> str:
     return re.sub("[^a-z0-9]+", " ", (text or "").lower()).strip()
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Words that a catalog's brands are judged by. ``families``: a brand's name and its other spellings, some dozens."""
+    """Words that a catalog's brands are judged by. ``families``: a brand's name and its other spellings; of two families with one
+    spelling the first counts."""
 
     generic: frozenset[str] = frozenset()
     descriptors: frozenset[str] = frozenset()
@@ -101,10 +106,34 @@ class Vocabulary:
         rows = sorted(own, key=lambda x: (-len(x[0]), x[0]))
         return F.array(*(F.struct(F.lit(k).alias("key"), F.lit(n).alias("name"), F.array(*(F.lit(s) for s in every)).alias("all")) for k, n, every in rows))
 
-    def family(self, text: Column) -> Column:
-        """The family (a spelling's struct) that a text is, or starts with, by the longest spelling."""
+    def family(self, text: Column, spelt: Column | None = None) -> Column:
+        """The family (a spelling's struct) that a text is, or starts with, by the longest spelling. ``spelt``: the spellings that
+        can be meant, the longest first; without it all of them are in the expression."""
         key = F.concat(text_key(text), F.lit(" "))
-        return F.get(F.filter(self.spellings(), lambda s: F.startswith(key, F.concat(s["key"], F.lit(" ")))), F.lit(0))
+        return F.get(F.filter(self.spellings() if spelt is None else spelt, lambda s: F.startswith(key, F.concat(s["key"], F.lit(" ")))), F.lit(0))
+
+    def with_spellings(self, df, name: str, to: str):
+        """``df`` with the spellings that a name starts with, the longest first, as an array ``to``.
+
+        Starts of a name's key are made of its words and meet spellings by equality, once for each distinct key: the plan is the
+        same for ten families and for ten thousand, which come as a table.
+        """
+        own: dict[str, tuple] = {}
+        for family, every in self.families.items():
+            for s in (family, *every):
+                if key_of(s):
+                    own.setdefault(key_of(s), (family, sorted({family, *every}, key=len, reverse=True)))
+        kind = "array<struct<less: int, key: string, name: string, all: array<string>>>"
+        if not own:
+            return df.withColumn(to, F.expr(f"CAST(array() AS {kind})"))
+        table = df.sparkSession.createDataFrame([(k, *v) for k, v in own.items()], "key string, name string, all array<string>")
+        words = F.split("k_", " ")
+        most = max(len(k.split()) for k in own)
+        starts = F.transform(F.sequence(F.lit(1), F.least(F.size(words), F.lit(most))), lambda i: F.array_join(F.slice(words, F.lit(1), i), " "))
+        keys = df.select(text_key(name).alias("k_")).distinct().select("k_", F.explode(starts).alias("key"))
+        met = keys.join(F.broadcast(table) if len(own) <= BROADCAST_SPELLINGS else table, "key")
+        found = met.groupBy("k_").agg(F.array_sort(F.collect_list(F.struct((-F.length("key")).alias("less"), "key", "name", "all"))).alias(to))  # one for each start of a key
+        return df.withColumn("k_", text_key(name)).join(found, "k_", "left").drop("k_").withColumn(to, F.coalesce(to, F.expr(f"CAST(array() AS {kind})")))
 
 
 def _among(x: Column, values: frozenset[str] | tuple[str, ...]) -> Column:
@@ -128,20 +157,21 @@ def is_generic(text: Column, vocabulary: Vocabulary) -> Column:
     return (other == 0) | ((F.size(words) >= 3) & (other <= 1))
 
 
-def trimmed(words: Column, vocabulary: Vocabulary) -> Column:
+def trimmed(words: Column, vocabulary: Vocabulary, spelt: Column | None = None) -> Column:
     """Words up to the first, but the very first, that describes or holds a digit; the family's name if they are of one."""
     ends = F.transform(words, lambda w, i: (i > 0) & (_among(text_key(w), vocabulary.descriptors) | w.rlike("[0-9]")))
     cut = F.array_position(ends, F.lit(True))
     text = F.array_join(F.when(cut > 0, F.slice(words, F.lit(1), (cut - 1).cast("int"))).otherwise(words), " ")
-    return F.coalesce(vocabulary.family(text)["name"], text)
+    return F.coalesce(vocabulary.family(text, spelt)["name"], text)
 
 
-def strip_brand(name: Column, brand: Column, vocabulary: Vocabulary) -> Column:
+def strip_brand(name: Column, brand: Column, vocabulary: Vocabulary, spelt: Column | None = None) -> Column:
     """A name without the brand before it, in any of its spellings and however often, and without words that join them.
 
     The whole name stays where what is left is a size, an empty word, or too little to say anything.
     """
-    every = F.coalesce(vocabulary.family(brand)["all"], F.array().cast("array<string>"))
+    own = F.lit(None) if spelt is None else F.get(F.filter(spelt, lambda s: s["name"] == brand), F.lit(0))["all"]
+    every = F.coalesce(own, vocabulary.family(brand, spelt)["all"], F.array().cast("array<string>"))
     spelt = F.array_join(F.transform(F.array_sort(F.array_union(F.array(brand), every), lambda a, b: F.length(b) - F.length(a)), lambda s: F.concat(F.lit("\\Q"), s, F.lit("\\E"))), "|")
     joining = "|".join(re.escape(c) for c in sorted(CONNECTORS, key=len, reverse=True))
     joined = rf"(?:(?:{joining}){_MARKS}*(?=\s|$){_BETWEEN})*"
@@ -160,16 +190,17 @@ def with_brand(df, name: str, vocabulary: Vocabulary, brand: str = "brand", rest
     capitalised words that leaves a name of two words or twelve characters, if that is not generic.
     """
     words = F.filter(F.transform(F.split(F.trim(F.coalesce(F.col(name), F.lit(""))), r"\s+"), lambda w: F.regexp_replace(w, f"^{_MARKS}+|{_MARKS}+$", "")), lambda w: w != "")
-    out = df.withColumn("w_", words)
+    out = vocabulary.with_spellings(df, name, "s_").withColumn("w_", words)
+    spelt = F.col("s_")
     capitals = _leading(F.col("w_"), lambda w: (w.rlike("[A-Z]") & ~w.rlike("[a-z]")) | _joins(w), MOST_CAPITALS)
     named = _leading(F.col("w_"), lambda w: (~_among(F.lower(w), vocabulary.stops) & ~w.rlike("[0-9]") & w.rlike("[A-Z]")) | _joins(w), MOST_CAPITALISED)
-    out = out.withColumns({"c_": trimmed(F.slice("w_", F.lit(1), capitals), vocabulary), "n_": named, "f_": vocabulary.family(F.col(name))["name"]})
+    out = out.withColumns({"c_": trimmed(F.slice("w_", F.lit(1), capitals), vocabulary, spelt), "n_": named, "f_": vocabulary.family(F.col(name), spelt)["name"]})
     # runs from the longest to one word, with what each of them leaves
-    runs = F.when(F.col("n_") > 0, F.transform(F.sequence(F.col("n_"), F.lit(1)), lambda n: trimmed(F.slice("w_", F.lit(1), n), vocabulary)))
-    out = out.withColumn("r_", F.transform(runs, lambda b: F.struct(b.alias("brand"), strip_brand(F.col(name), b, vocabulary).alias("rest"))))
+    runs = F.when(F.col("n_") > 0, F.transform(F.sequence(F.col("n_"), F.lit(1)), lambda n: trimmed(F.slice("w_", F.lit(1), n), vocabulary, spelt)))
+    out = out.withColumn("r_", F.transform(runs, lambda b: F.struct(b.alias("brand"), strip_brand(F.col(name), b, vocabulary, spelt).alias("rest"))))
     says = lambda r: (r["rest"] != F.col(name)) & ((F.size(F.split(text_key(r["rest"]), " ")) >= LEAST_WORDS) | (F.length(text_key(r["rest"])) > LEAST_KEY))
     out = out.withColumn("r_", F.get(F.filter("r_", says), F.lit(0))["brand"])
     good = ~_among(text_key("r_"), vocabulary.stops) & ~is_generic(F.col("r_"), vocabulary) & (F.length("r_") >= LEAST_BRAND)
     found = F.when((F.col("c_") != "") & ~is_generic(F.col("c_"), vocabulary), F.col("c_")).when(F.col("f_").isNotNull(), F.col("f_")).when(good, F.col("r_"))
     out = out.withColumn(brand, found)
-    return out.withColumn(rest, F.when(F.col(brand).isNull(), F.col(name)).otherwise(strip_brand(F.col(name), F.col(brand), vocabulary))).drop("w_", "c_", "n_", "f_", "r_")
+    return out.withColumn(rest, F.when(F.col(brand).isNull(), F.col(name)).otherwise(strip_brand(F.col(name), F.col(brand), vocabulary, spelt))).drop("w_", "c_", "n_", "f_", "r_", "s_")

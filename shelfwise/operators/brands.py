@@ -137,3 +137,69 @@ def to_fixpoint(rows: DataFrame, column: str, step, most: int = 4) -> tuple[Data
             break
         before = now
     return rows, rounds
+
+
+def prefix_map(sources: DataFrame, derived: DataFrame, vocabulary: BrandVocabulary) -> DataFrame:
+    """``brand, root`` of the derived brands (column ``brand`` of each table, distinct) that go on from another with a word that describes.
+
+    A brand goes back to the shortest source's brand that it goes on from; without one to the longest derived brand, which itself
+    goes back to no source's. Shorter is fewer words, then fewer characters of the key, then the smaller brand. Starts of a key are
+    made of its words, so they meet by equality.
+    """
+    known = _in({*vocabulary.descriptors, *vocabulary.generic})
+    words = F.split("k", " ")
+    rank = F.struct(F.size(words), F.length("k"), "brand")
+    of = lambda df: df.select("brand").distinct().withColumn("k", text.text_key("brand")).filter("k <> ''").select("brand", "k", rank.alias("rank"))
+    own, roots = of(derived), of(sources)
+    starts = own.filter(F.size(words) > 1).select("brand", F.explode(F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.struct(F.array_join(F.slice(words, F.lit(1), i), " ").alias("start"), F.get(words, i).alias("next")))).alias("s"))
+    starts = keep(starts.filter(known(F.col("s.next"))).select("brand", F.col("s.start").alias("k")), "brand-starts")
+    by_source = keep(starts.join(roots.select("k", F.col("brand").alias("root"), "rank"), "k").groupBy("brand").agg(F.min_by("root", "rank").alias("root")), "brand-sources")
+    free = own.join(by_source.select("brand"), "brand", "left_anti").select("k", F.col("brand").alias("root"), "rank")
+    among = starts.join(by_source.select("brand"), "brand", "left_anti").join(free, "k").groupBy("brand").agg(F.max_by("root", "rank").alias("root"))
+    return by_source.unionByName(among)
+
+
+def family_map(derived: DataFrame, vocabulary: BrandVocabulary) -> DataFrame:
+    """``brand, root`` of every member of a family but the one that names it. ``derived``: ``brand, n, ord``."""
+    found = families(derived, vocabulary).select("canonical", F.explode("members").alias("brand"))
+    return found.filter("brand <> canonical").select("brand", F.col("canonical").alias("root"))
+
+
+def normalised(rows: DataFrame, vocabulary: BrandVocabulary, order: str, most: int = 4) -> tuple[DataFrame, int]:
+    """``rows`` with their brands brought together, and the rounds it took: at most ``most``, or until the set of brands stays.
+
+    ``rows`` have ``brand, source_brand, brand_source`` and ``order``, by which brands are seen first. Brands that a source names are
+    its own name for them; of the others each round maps those that go on from another (``prefix_map``), and families by all
+    rules (``family_map``) over that. A brand of generic words alone becomes null, as an empty one does.
+    """
+    generic, joins = _in(vocabulary.generic), _in(vocabulary.connectors)
+    by_source = F.coalesce(F.col("brand_source") == "source", F.lit(False))
+    named = F.coalesce(F.nullif("source_brand", F.lit("")), F.nullif("brand", F.lit("")))
+    rows = rows.withColumn("brand", F.when(by_source, named).otherwise(F.nullif("brand", F.lit(""))))
+
+    def step(rows: DataFrame) -> DataFrame:
+        derived = rows.filter(~by_source & F.col("brand").isNotNull()).groupBy("brand").agg(F.count("*").alias("n"), F.min(order).alias("ord"))
+        derived = keep(derived, "brand-derived")
+        by_prefix_ = prefix_map(rows.filter(by_source & F.col("brand").isNotNull()).select("brand"), derived, vocabulary)
+        over = family_map(derived, vocabulary)
+        both = keep(over.unionByName(by_prefix_.join(over.select("brand"), "brand", "left_anti")), "brand-map")
+        joined = rows.join(both, "brand", "left")
+        brand = F.when(by_source, F.col("brand")).otherwise(F.coalesce("root", "brand"))
+        words = F.filter(F.split(text.text_key(brand), " "), lambda w: ~joins(w))
+        return joined.withColumn("brand", F.when(by_source | ~F.forall(words, generic), brand)).drop("root")
+
+    return to_fixpoint(rows, "brand", step, most)
+
+
+def observations(rows: DataFrame, brand: str, sample: str, vocabulary: BrandVocabulary, samples: int = 3) -> DataFrame:
+    """What is known of each brand that is seen: ``brand, seed, key, tokens, first_token, token_count, n, samples``.
+
+    Samples are the first distinct ones by value, and found by a rank over distinct pairs, so a brand's rows are not gathered.
+    """
+    seen = rows.filter(F.col(brand).isNotNull() & (F.col(brand) != ""))
+    counts = seen.groupBy(F.col(brand).alias("brand")).agg(F.count("*").alias("n")).withColumn("ord", F.lit(0))
+    first = seen.filter(F.col(sample).isNotNull()).select(F.col(brand).alias("brand"), F.col(sample).alias("sample")).distinct()
+    first = first.withColumn("rn_", F.row_number().over(Window.partitionBy("brand").orderBy("sample"))).filter(F.col("rn_") <= samples)
+    held = first.groupBy("brand").agg(F.array_sort(F.collect_list("sample")).alias("samples"))
+    out = observed(counts, vocabulary).join(held, "brand", "left")
+    return out.select("brand", "seed", F.col("k").alias("key"), F.col("toks").alias("tokens"), F.col("first").alias("first_token"), F.size("toks").alias("token_count"), "n", F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))

@@ -61,3 +61,10 @@ def cascade(stages: Sequence[tuple[str, Column, Sequence[Column]]], default: tup
 def fingerprint(columns: Sequence[str]) -> Column:
     """A stable digest of some columns: nulls count as empty, and the separator cannot be part of a value's end."""
     return F.sha2(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), 256)
+
+
+def typed_index(labels: DataFrame, fields: Sequence[str], order: str, values: Sequence[str], whole: Column | None = None) -> DataFrame:
+    """``key, values`` of the last label by ``order`` of every ``field:value`` key. ``whole``: which labels say enough to be looked up."""
+    rows = labels if whole is None else labels.filter(F.coalesce(whole, F.lit(False)))
+    own = keyed(rows, fields).groupBy("key").agg(F.max_by(F.struct(order, *(v for v in values if v != order)), order).alias("x"))
+    return own.select("key", *(F.col(f"x.{v}").alias(v) for v in values))

@@ -75,3 +75,11 @@ def ordered(rows: DataFrame, order: Sequence[Column], most: int) -> DataFrame:
 
     first = rows.orderBy(*order).limit(most)
     return first.withColumn("place", F.row_number().over(Window.orderBy(*order)))  # of ``most`` rows
+
+
+def facet(rows: DataFrame, column: str, order: Sequence[str], head: str = "All") -> DataFrame:
+    """``place, value``: ``head``, then the values of a fixed order that are there. Counts of distinct values come first, so rows are read once."""
+    places = [(0, head), *((i, v) for i, v in enumerate(order, 1))]
+    known = rows.sparkSession.createDataFrame(places, "place int, value string")
+    there = rows.select(F.col(column).cast("string").alias("value")).distinct()
+    return known.filter("place = 0").unionByName(known.filter("place > 0").join(there, "value", "left_semi").select("place", "value"))

@@ -5,11 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.working import keep
+
+
+def _times(tokens: DataFrame) -> Column:
+    return F.col("times") if "times" in tokens.columns else F.lit(1).cast("long")
+
+
+def counted_tokens(tokens: DataFrame, doc: str) -> DataFrame:
+    """``doc, token, times``, written once: training and prediction read these, and tokens are shuffled once."""
+    return keep(tokens.groupBy(doc, "token").agg(F.count("*").alias("times")), "token-counts")
+
 
 def token_votes(tokens: DataFrame, label: str, doc: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """From one row a token of a labelled document: documents and tokens a label, tokens a label and word, size of the vocabulary."""
-    docs = tokens.groupBy(label).agg(F.count_distinct(doc).alias("n_docs"), F.count("*").alias("n_tokens"))
-    words = tokens.groupBy(label, "token").agg(F.count("*").alias("n"))
+    """From one row a token of a labelled document, or a row a distinct one with how many ``times`` it is there: documents and tokens a
+    label, tokens a label and word, size of the vocabulary."""
+    times = _times(tokens)
+    docs = tokens.groupBy(label).agg(F.count_distinct(doc).alias("n_docs"), F.sum(times).alias("n_tokens"))
+    words = tokens.groupBy(label, "token").agg(F.sum(times).alias("n"))
     vocabulary = tokens.agg(F.count_distinct("token").alias("vocabulary"))
     return docs, words, vocabulary
 
@@ -22,7 +35,8 @@ def predict_votes(rows: DataFrame, doc: str, votes: tuple[DataFrame, DataFrame,
     """
     docs, words, vocabulary = votes
     wide = words.groupBy("token").agg(*(F.sum(F.when(F.col(label) == v, F.col("n")).otherwise(0)).alias(f"n_{i}") for i, v in enumerate(labels)))
-    counted = rows.groupBy(doc, "token").agg(F.count("*").alias("times")).join(wide, "token", "left")
+    counted = rows if "times" in rows.columns else rows.groupBy(doc, "token").agg(F.count("*").alias("times"))
+    counted = counted.join(wide, "token", "left")
     totals = docs.crossJoin(vocabulary).agg(F.sum("n_docs").alias("all_docs"), F.first("vocabulary").alias("vocabulary"), *(F.max(F.when(F.col(label) == v, F.col("n_docs"))).alias(f"d_{i}") for i, v in enumerate(labels)), *(F.max(F.when(F.col(label) == v, F.col("n_tokens"))).alias(f"t_{i}") for i, v in enumerate(labels)))
     one = counted.crossJoin(F.broadcast(totals))  # one row
     scores = [(F.sum(F.col("times") * F.log((F.coalesce(f"n_{i}", F.lit(0)) + 1) / (F.coalesce(f"t_{i}", F.lit(0)) + F.greatest("vocabulary", F.lit(1))))) + F.first(F.log(F.greatest(F.coalesce(f"d_{i}", F.lit(1)), F.lit(1)) / F.col("all_docs")))).alias(f"s_{i}") for i in range(len(labels))]

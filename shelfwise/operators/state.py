@@ -15,11 +15,24 @@ DEFAULTS = {
 }
 
 
+#: Filters that let everything through.
+EMPTY_FILTERS = {"category": "", "subcategory": "", "min_discount": "0"}
+
+
 def default_payload(spark: SparkSession, name: str) -> DataFrame:
     """The shape of an empty state, without rows."""
     return spark.createDataFrame([], DEFAULTS[name])
 
 
+def normal_profile(body: Column) -> Column:
+    """A stored profile made valid: ``struct`` of ``DEFAULTS['profile']``. What is missing, or not of its kind, is as in an empty profile;
+    several chosen stores are none."""
+    p = F.from_json(body, DEFAULTS["profile"])
+    none = F.array().cast("array<string>")
+    filters = F.struct(*(F.coalesce(p["filters"][k], F.lit(v)).alias(k) for k, v in EMPTY_FILTERS.items()))
+    return F.struct(selected_stores(p["selected_store_ids"]).alias("selected_store_ids"), *(F.coalesce(p[k], none).alias(k) for k in ("liked", "disliked", "saved")), filters.alias("filters"))
+
+
 def selected_stores(ids: Column) -> Column:
     """One store that is chosen; none, or several, are no choice."""
     own = F.filter(F.transform(F.coalesce(ids, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: F.coalesce(x != "", F.lit(False)))

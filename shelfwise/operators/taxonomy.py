@@ -131,3 +131,17 @@ def batch_answers(chunks: DataFrame, chunk: str, body: str, expected: str, choic
 
 def unanswered(chunks: DataFrame, answers: DataFrame, chunk: str) -> DataFrame:
     return chunks.join(answers.select(chunk).distinct(), chunk, "left_anti")
+
+
+def suggested(model: Column, current: Column) -> Column:
+    """``array<struct<origin, category, subcategory>>``: the model's pair where its subcategory is of its category, then the present one.
+
+    ``model``: struct of ``category, subcategory, subcategory_category``; ``current``: of ``category, subcategory``. What lacks either of
+    a pair, or is null, is none.
+    """
+    filled = lambda *c: [x.isNotNull() & (x != "") for x in c]
+    made = lambda origin, x: F.struct(F.lit(origin).alias("origin"), x["category"].alias("category"), x["subcategory"].alias("subcategory"))
+    both = filled(model["category"], model["subcategory"])
+    first = F.when(both[0] & both[1] & (model["subcategory_category"] == model["category"]), made("model", model))
+    have = filled(current["category"], current["subcategory"])
+    return F.array_compact(F.array(first, F.when(have[0] & have[1], made("current", current))))

@@ -287,6 +287,41 @@ def html_tiles(spark, d):
     return landed.read_tiles(table(spark, d, "pages"))
 
 
+#: A search page and a page of offers for each part.
+_TILE_PAGE = """concat('<div class="grid"><div><a data-csa-c-type="productTile" data-csa-c-content-id="B', lpad(CAST(p_partkey AS STRING), 9, '0'), '" href="/grocery/product/x?n=', CAST(p_partkey AS STRING), '"><div class="flex flex-col gap-2"><img src="i.png">',
+  CASE WHEN p_size % 4 > 0 THEN concat('<span class="bds--body-2">', p_brand, '</span>') ELSE '' END, CASE WHEN p_size % 7 > 0 THEN concat('<span class="bds--heading-5"> ', p_name, ' <br>', '&amp; more</span>') ELSE '' END, '</div><span class="x bds--body-6">', p_type, '</span>',
+  CASE WHEN p_size % 3 = 0 THEN '<span>Prime <b>off</b></span><span>10% off</span>' ELSE '' END, CASE WHEN p_size % 5 = 0 THEN concat('<p>Join Prime to buy this item at $', CAST(p_size AS STRING), '.50/lb now</p>') ELSE '' END,
+  '<div class="flex flex-wrap gap-2"><span class="bds--heading-5">$0</span></div><div class="flex flex-wrap gap-2"><span class="bds--heading-5">$', CAST(p_size AS STRING), CASE WHEN p_size % 2 = 0 THEN '/lb' ELSE '' END, '</span><s><span class="line-through">$99</span></s></div></a></div>')"""
+_OFFER_PAGE = """concat('<a data-test="multistory-2" href="/c/', CAST(p_partkey AS STRING), '">* zz ', p_type, ' | 20% <b>off</b> </a><div data-test="offer-card-9"><button aria-label="Show items for ', p_name, '"></button><div class="h OfferCardValue-x">',
+  CASE p_size % 3 WHEN 0 THEN concat('$', CAST(p_size AS STRING), '.99') WHEN 1 THEN 'Buy 1  get 1' ELSE 'free' END, '</div><p>exp. 1/2</p><a href="http://www.target.com/p/', CAST(p_size AS STRING), '">x</a></div>')"""
+
+
+def _lateral(spark, d, page: str, function: str):
+    from shelfwise.sources import cards
+
+    cards.register(spark)
+    return spark.sql(f"SELECT p.p_partkey, t.* FROM {{pages}} p, LATERAL {function}(p.html) t", pages=sql(spark, d, f"SELECT p_partkey, {page} AS html FROM part", "part"))
+
+
+@query("search_tiles", """
+SELECT p_partkey, 0 AS pos, concat('B', lpad(CAST(p_partkey AS STRING), 9, '0')) AS asin, concat(p_name, ' & more') AS name, CASE WHEN p_size % 4 > 0 THEN p_brand END AS brand, p_type AS variation, 'i.png' AS image, concat('https://www.wholefoodsmarket.com/grocery/product/x?n=', CAST(p_partkey AS STRING)) AS url,
+  concat('$', CAST(p_size AS STRING), CASE WHEN p_size % 2 = 0 THEN '/lb' ELSE '' END) AS current_price, '$99' AS basis_price, CASE WHEN p_size % 5 = 0 THEN concat('$', CAST(p_size AS STRING), '.50/lb') END AS prime_price,
+  CASE WHEN p_size % 3 = 0 THEN '10% off' END AS discount, CASE WHEN p_size % 2 = 0 THEN concat('$', CAST(p_size AS STRING), '/lb') END AS unit_price FROM part WHERE p_size % 7 > 0""")
+def search_tiles(spark, d):
+    """Fields of search tiles: the last row of prices, the sentence of the prime price, the unit price."""
+    return _lateral(spark, d, _TILE_PAGE, "search_tiles")
+
+
+@query("offer_cards", """
+WITH c AS (SELECT p_partkey, p_size, p_name AS name, CASE p_size % 3 WHEN 0 THEN concat('$', CAST(p_size AS STRING), '.99') WHEN 1 THEN 'Buy 1 get 1' END AS v FROM part WHERE p_size % 3 < 2)
+SELECT p_partkey, 0 AS pos, concat('target:', substr(sha1(concat(name, '|', v, '|exp. 1/2')), 1, 16)) AS id, name, CAST(NULL AS VARCHAR) AS image, concat('https://www.target.com/p/', CAST(p_size AS STRING)) AS url, CASE WHEN p_size % 3 = 0 THEN v END AS current_price,
+  CASE WHEN p_size % 3 = 1 THEN v END AS discount, 'exp. 1/2' AS expires, v AS value_text FROM c
+UNION ALL SELECT p_partkey, CASE WHEN p_size % 3 < 2 THEN 1 ELSE 0 END, concat('target:', substr(sha1(concat('zz ', p_type, '|20% off|')), 1, 16)), concat('zz ', p_type), NULL, concat('https://www.target.com/c/', CAST(p_partkey AS STRING)), NULL, '20% off', NULL, '20% off' FROM part""")
+def offer_cards(spark, d):
+    """Offers of cards and of deal links, whose words are told into a value and a name."""
+    return _lateral(spark, d, _OFFER_PAGE, "offer_cards")
+
+
 @query("page_listing_dedupe", "SELECT url, min(page_id) AS page_id FROM pages GROUP BY url")
 def page_listing(spark, d):
     return merge.first_rows(table(spark, d, "pages"), ["url"], ["page_id"]).select("url", "page_id")

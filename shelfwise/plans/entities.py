@@ -170,6 +170,14 @@ def brand_families(spark, d):
     return brands.families(seen.groupBy("brand").agg(F.count("*").alias("n"), F.min("p_partkey").alias("ord")), BRANDS)
 
 
+@query("brand_rounds", None)
+def brand_rounds(spark, d):
+    """Brands brought together over rounds, by starts of keys and by families; a plain loop holds the operator in tests."""
+    seen = "concat(p_brand, CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN ' Foods' WHEN 2 THEN concat(' ', p_type) ELSE concat(' ', lower(p_type), ' mix') END)"
+    rows = table(spark, d, "part").selectExpr("p_partkey", f"{seen} AS brand", "CASE WHEN p_size % 8 = 1 THEN p_brand END AS source_brand", "CASE WHEN p_size % 8 = 1 THEN 'source' ELSE 'derived' END AS brand_source")
+    return brands.normalised(rows, BRANDS, "p_partkey")[0].select("p_partkey", "brand")
+
+
 @query("prefix_theta_join", f"SELECT a.brand AS root, count(*) AS n, min(b.brand) AS first FROM ({_KEYED}) a JOIN ({_KEYED}) b ON starts_with(b.k, concat(a.k, ' ')) GROUP BY a.brand")
 def prefix_join(spark, d):
     """Brands that another one starts with: words of each prefix are made on one side, so the join is on equality."""

@@ -331,7 +331,7 @@ def token_vote_counts(spark, d):
   FROM w CROSS JOIN dl CROSS JOIN v LEFT JOIN wl ON wl.quality = dl.quality AND wl.token = w.token GROUP BY w.doc_id, dl.quality)
 SELECT doc_id, arg_max(quality, score) AS quality, round(max(score), 3) AS score FROM p GROUP BY doc_id""")
 def naive_bayes(spark, d):
-    rows = tokens(spark, d)
+    rows = models.counted_tokens(tokens(spark, d), "doc_id")
     votes = models.token_votes(rows.join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id"), "quality", "doc_id")
     p = models.predict_votes(rows, "doc_id", votes, "quality", [0, 1])
     return p.groupBy("doc_id").agg(F.max_by("quality", "score").alias("quality"), F.round(F.max("score"), 3).alias("score"))
@@ -342,7 +342,7 @@ def naive_bayes(spark, d):
 SELECT doc_id, arg_max(quality, score) AS quality, round(max(score), 3) AS score FROM p JOIN documents USING (doc_id) WHERE lang = 'en' OR (lang <> 'de' AND quality = 1) GROUP BY doc_id""")
 def naive_bayes_allowed(spark, d):
     """The best label of those that a language allows; one of them allows none."""
-    rows = tokens(spark, d)
+    rows = models.counted_tokens(tokens(spark, d), "doc_id")
     votes = models.token_votes(rows.join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id"), "quality", "doc_id")
     scores = models.predict_votes(rows, "doc_id", votes, "quality", [0, 1])
     docs = table(spark, d, "documents").select("doc_id", "lang")

@@ -121,12 +121,14 @@ def chosen_options(spark, d):
 
 
 @query("suggested_pairs", """
-SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_size % 2 = 0 THEN 'clip' END, CASE WHEN p_size % 3 > 0 THEN 'current' END], lambda x: x IS NOT NULL), ',') AS suggestions FROM part""")
+SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_size % 5 > 0 AND p_size % 2 = 0 THEN concat('model:', p_type, '/', p_name) END, CASE WHEN p_size % 3 > 0 THEN concat('current:', p_brand, '/', p_name) END], lambda x: x IS NOT NULL), ',') AS suggestions FROM part""")
 def suggested_pairs(spark, d):
     """Where a suggestion comes from: the model's pair if it agrees with itself, then the present one."""
-    clip = F.when(F.col("p_size") % 2 == 0, "clip")
-    current = F.when(F.col("p_size") % 3 > 0, "current")
-    return table(spark, d, "part").select("p_partkey", F.array_join(F.array_compact(F.array(clip, current)), ",").alias("suggestions"))
+    c = F.col
+    model = F.struct(c("p_type").alias("category"), F.when(c("p_size") % 5 > 0, c("p_name")).otherwise("").alias("subcategory"), F.when(c("p_size") % 2 == 0, c("p_type")).otherwise("?").alias("subcategory_category"))
+    current = F.struct(F.when(c("p_size") % 3 == 1, c("p_brand")).when(c("p_size") % 3 == 2, c("p_brand")).alias("category"), c("p_name").alias("subcategory"))
+    found = table(spark, d, "part").select("p_partkey", taxonomy.suggested(model, current).alias("s"))
+    return found.select("p_partkey", F.array_join(F.transform("s", lambda x: F.concat(x["origin"], F.lit(":"), x["category"], F.lit("/"), x["subcategory"])), ",").alias("suggestions"))
 
 
 @query("prompt_texts", f"SELECT category, concat('a photo of ', lower(category), ' (', CAST(count(*) AS VARCHAR), ' kinds): ', string_agg(subcategory, '; ' ORDER BY subcategory)) AS prompt FROM {_PAIRS} AS x GROUP BY category")
@@ -139,17 +141,26 @@ def prompt_texts(spark, d):
 @query("typed_index_last", "SELECT concat(f, ':', v) AS k, max(doc_id) AS doc_id, arg_max(quality, doc_id) AS quality FROM (SELECT unnest(['doc', 'mod']) AS f, unnest([CAST(doc_id AS VARCHAR), CAST(doc_id % 37 AS VARCHAR)]) AS v, doc_id, quality FROM labels WHERE toxic IS NOT NULL) GROUP BY 1")
 def typed_index_last(spark, d):
     """Labels by ``field:value`` keys, the last one of each."""
-    keys = F.array(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")), F.concat(F.lit("mod:"), (F.col("doc_id") % 37).cast("string")))
-    return table(spark, d, "labels").filter("toxic IS NOT NULL").withColumn("k", F.explode(keys)).groupBy("k").agg(F.max("doc_id").alias("doc_id"), F.max_by("quality", "doc_id").alias("quality"))
+    from shelfwise.operators import labels as lab
+
+    rows = table(spark, d, "labels").select("doc_id", "quality", "toxic", F.col("doc_id").alias("doc"), (F.col("doc_id") % 37).alias("mod"))
+    return lab.typed_index(rows, ["doc", "mod"], "doc_id", ["doc_id", "quality"], F.col("toxic").isNotNull()).withColumnRenamed("key", "k")
 
 
 @query("audit_retained", """
-SELECT vec_id, 'retained' AS status FROM embeddings WHERE vec_id % 3 = 0 AND vec_id % 10 > 0 UNION ALL SELECT vec_id, 'new' FROM embeddings WHERE NOT (vec_id % 3 = 0 AND vec_id % 10 > 0)""")
+SELECT vec_id AS row_id, 'retained' AS origin, 0.5 AS score, CASE WHEN vec_id % 10 = 0 THEN 'failed' END AS error FROM embeddings WHERE vec_id % 3 = 0
+UNION ALL SELECT vec_id + 1000000, 'new', round(embedding[1]::DOUBLE, 4), NULL FROM embeddings WHERE NOT (vec_id % 3 = 0 AND vec_id % 10 > 0)""")
 def audit_retained(spark, d):
-    """Old results of products that are still there stay; products without a result, failed ones too, are new."""
-    now = table(spark, d, "embeddings").select("vec_id")
-    old = now.filter("vec_id % 3 = 0").select("vec_id", F.when(F.col("vec_id") % 10 == 0, "failed").otherwise("done").alias("result")).filter("result = 'done'").select("vec_id")
-    return old.join(now, "vec_id", "left_semi").withColumn("status", F.lit("retained")).unionByName(now.join(old, "vec_id", "left_anti").withColumn("status", F.lit("new")))
+    """An audit that goes on from the one before: results of products that are still there stay as they are, products that are gone
+    lose theirs, and products without a result, failed ones too, are audited."""
+    from shelfwise.operators import incremental
+
+    rows = table(spark, d, "embeddings").select(F.col("vec_id"), F.get(F.col("embedding").cast("array<double>"), F.lit(0)).alias("x"))
+    named = lambda df, shift: df.select((F.col("vec_id") + shift).alias("row_id"), F.concat(F.lit("A"), F.col("vec_id").cast("string")).alias("asin"), F.lit("").alias("name"), "x")
+    old = named(rows.filter("vec_id % 3 = 0"), 0).unionByName(named(rows.filter("vec_id % 3 = 1"), 0).withColumn("asin", F.concat(F.lit("gone"), "asin")))
+    old = old.select("row_id", "asin", "name", F.lit(0.5).alias("score"), F.when(F.col("row_id") % 10 == 0, "failed").alias("error"))
+    audit = lambda df: df.select("row_id", "asin", "name", F.round("x", 4).alias("score"), F.lit(None).cast("string").alias("error"))
+    return incremental.carried_on(named(rows, 1_000_000), old, audit, ["asin", "name"]).select("row_id", "origin", "score", "error")
 
 
 @query("api_items", """
@@ -208,9 +219,9 @@ def local_patches(spark, d):
 @query("retailer_facet", "SELECT 0 AS place, 'All' AS retailer UNION ALL SELECT CASE c_mktsegment WHEN 'MACHINERY' THEN 1 WHEN 'BUILDING' THEN 2 ELSE 3 END, c_mktsegment FROM customer WHERE c_mktsegment IN ('MACHINERY', 'BUILDING', 'FURNITURE') GROUP BY ALL")
 def retailer_facet(spark, d):
     """Retailers that are there, in a fixed order, after 'All'."""
-    order = spark.createDataFrame([(0, "All"), (1, "MACHINERY"), (2, "BUILDING"), (3, "FURNITURE"), (4, "NOWHERE")], "place int, retailer string")
-    there = table(spark, d, "customer").select(F.col("c_mktsegment").alias("retailer")).distinct()
-    return order.join(there.withColumn("t", F.lit(True)), "retailer", "left").filter("t OR place = 0").select("place", "retailer")
+    from shelfwise.operators import lookups
+
+    return lookups.facet(table(spark, d, "customer"), "c_mktsegment", ["MACHINERY", "BUILDING", "FURNITURE", "NOWHERE"]).withColumnRenamed("value", "retailer")
 
 
 _EVENTS = """(SELECT o_custkey AS product, o_orderkey AS ord, CASE o_orderkey % 8 WHEN 0 THEN 'Acme' WHEN 1 THEN 'Acme Organic' WHEN 2 THEN '' WHEN 3 THEN 'Bolt' WHEN 4 THEN 'Acme Organic Dairy' WHEN 5 THEN 'acme' END AS brand,
@@ -251,10 +262,14 @@ def flyer_fallback(spark, d):
     return items.or_else(landed, parts.filter("p_size = 4").select("p_partkey", F.lit("fallback").alias("origin")))
 
 
-@query("store_config", "SELECT * FROM (VALUES ('10259', 'one'), ('10260', 'two')) AS t(store_id, name)")
+@query("store_config", """
+SELECT s_suppkey, CAST(s_suppkey + k AS VARCHAR) AS store_id, concat(s_name, '-', CAST(k AS VARCHAR)) AS name FROM supplier, range(2) AS r(k) WHERE s_suppkey % 4 = 0
+UNION ALL SELECT s_suppkey, v.store_id, v.name FROM supplier CROSS JOIN (VALUES ('10259', 'one'), ('10260', 'two')) AS v(store_id, name) WHERE s_suppkey % 4 > 0""")
 def store_config(spark, d):
-    """Stores of a configuration text; of the built-in ones where it is no list."""
-    return items.configured(spark, '[{"store_id": "10259", "name": "one"}, {"store_id": "10260", "name": "two"}]', "store_id string, name string", [("1", "built-in")])
+    """Stores of each supplier's configuration, or the built-in ones where that is empty, broken or missing."""
+    entry = lambda k: F.concat(F.lit('{"store_id": "'), (F.col("s_suppkey") + k).cast("string"), F.lit('", "name": "'), "s_name", F.lit(f'-{k}"}}'))
+    body = F.when(F.col("s_suppkey") % 4 == 0, F.concat(F.lit("["), entry(0), F.lit(", "), entry(1), F.lit("]"))).when(F.col("s_suppkey") % 4 == 1, "[]").when(F.col("s_suppkey") % 4 == 2, '{"store_id": "x"')
+    return items.configured_rows(table(spark, d, "supplier").withColumn("body", body), "s_suppkey", "body", "store_id string, name string", [("10259", "one"), ("10260", "two")])
 
 
 @query("keyed_state", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'remote' WHEN c_custkey % 3 = 1 THEN 'local' ELSE 'default' END AS payload FROM customer")
@@ -265,25 +280,29 @@ def keyed_state(spark, d):
     return items.first_stored(keys, [of("c_custkey % 3 = 0", "remote"), of("c_custkey % 3 < 2", "local")], "c_custkey", "payload", "default")
 
 
-@query("seen_samples", f"SELECT {DUCK.key('p_type')} AS k, count(*) AS n, (SELECT count(DISTINCT p_type) FROM part) AS kinds FROM part GROUP BY 1")
+@query("seen_samples", f"""
+WITH s AS (SELECT p_type, p_name FROM part), k AS (SELECT p_type, {DUCK.key('p_type')} AS k, count(*) AS n, array_to_string(list_sort(list(DISTINCT p_name))[1:3], '|') AS samples FROM s GROUP BY 1)
+SELECT p_type AS brand, k AS key, CASE WHEN k IN ('small', 'mini') THEN 'Small' END AS seed, k AS first_token, CASE WHEN k = 'promo' THEN 0 ELSE 1 END AS token_count, n, samples FROM k WHERE k <> 'promo'
+UNION ALL SELECT p_type, k, NULL, '', 0, n, samples FROM k WHERE k = 'promo'""")
 def seen_samples(spark, d):
     """Observations of a name with what it is told apart by."""
-    parts = table(spark, d, "part").groupBy("p_type").agg(F.count("*").alias("n"))
-    kinds = parts.agg(F.count("*").alias("kinds"))
-    return parts.crossJoin(F.broadcast(kinds)).select(text_key("p_type").alias("k"), "n", "kinds")  # one row
-
+    from shelfwise.operators import brands
 
-@query("default_payloads", "SELECT 'fixes' AS name, 4 AS fields, 0 AS n UNION ALL SELECT 'gold_labels', 3, 0 UNION ALL SELECT 'profile', 5, 0")
-def default_payloads(spark, d):
-    """The shapes of empty states."""
-    out = None
-    for name in sorted(state.DEFAULTS):
-        empty = state.default_payload(spark, name)
-        one = empty.agg(F.lit(name).alias("name"), F.lit(len(empty.columns)).alias("fields"), F.count("*").cast("int").alias("n"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    words = brands.BrandVocabulary(aliases={"Small": ("mini",)}, connectors=frozenset(["promo"]))
+    seen = brands.observations(table(spark, d, "part"), "p_type", "p_name", words)
+    return seen.select("brand", "key", "seed", "first_token", "token_count", "n", F.array_join("samples", "|").alias("samples"))
 
 
+@query("default_payloads", """
+SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN '7' ELSE '' END AS stores, CASE WHEN c_custkey % 5 < 2 THEN 2 ELSE 0 END AS liked, CASE WHEN c_custkey % 5 = 1 THEN 1 ELSE 0 END AS saved, CASE WHEN c_custkey % 5 = 0 THEN 'Dairy' ELSE '' END AS category,
+  CASE WHEN c_custkey % 5 = 1 THEN '15' ELSE '0' END AS least FROM customer""")
+def default_payloads(spark, d):
+    """Stored profiles made valid; what is missing, broken or of another kind is as in an empty one."""
+    k = F.col("c_custkey") % 5
+    body = F.when(k == 0, '{"selected_store_ids": [" 7 ", ""], "liked": ["a", "b"], "saved": "no list", "filters": {"category": "Dairy"}}').when(
+        k == 1, '{"selected_store_ids": ["1", "2"], "liked": ["a", "b"], "saved": ["c"], "filters": {"min_discount": "15"}}').when(k == 2, "broken").when(k == 3, "{}")
+    p = table(spark, d, "customer").select("c_custkey", state.normal_profile(body).alias("p"))
+    return p.select("c_custkey", F.array_join("p.selected_store_ids", ",").alias("stores"), F.size("p.liked").alias("liked"), F.size("p.saved").alias("saved"), "p.filters.category", F.col("p.filters.min_discount").alias("least"))
 
 
 _BATCHES = """(SELECT c_custkey AS chunk, 3 AS expected, CASE c_custkey % 6

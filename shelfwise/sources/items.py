@@ -75,6 +75,15 @@ def configured(spark: SparkSession, text: str, schema: str, built_in: Sequence[t
     return spark.createDataFrame([(json.dumps(x),) for x in found], "x string").select(F.from_json("x", schema).alias("x")).select("x.*")
 
 
+def configured_rows(rows: DataFrame, key: str, body: str, schema: str, built_in: Sequence[tuple]) -> DataFrame:
+    """``key`` and the entries of each row's configuration text, or the built-in ones where that is null, no JSON, or no list of any length."""
+    found = F.from_json(F.col(body), f"array<struct<{schema}>>")
+    names = [x.split()[0] for x in schema.split(", ")]
+    given = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, t, strict=True))) for t in built_in)).cast(f"array<struct<{schema}>>")
+    own = F.when(F.startswith(F.ltrim(body), F.lit("[")) & (F.size(found) > 0), found).otherwise(given)
+    return rows.select(key, F.explode(own).alias("x")).select(key, "x.*")
+
+
 def first_stored(keys: DataFrame, stores: Sequence[DataFrame], key: str, value: str, default: str) -> DataFrame:
     """The value of each key in the first store that has one, or the default. A store has one row a key."""
     out, names = keys, []

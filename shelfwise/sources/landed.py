@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .arrays import read_array
+
 OFFER = T.StructType([T.StructField(n, T.IntegerType() if n == "discount_percent" else T.ArrayType(T.StringType()) if n == "sources" else T.StringType()) for n in ("store_id", "current_price", "basis_price", "prime_price", "discount", "discount_percent", "unit_price", "url", "sources")])
 _TEXTS = "asin name raw_name brand source_brand brand_source variation category subcategory image url retail_source_url unit_price current_price basis_price prime_price sale_price discount emoji expires retailer source_store_id source_store_name".split()
 _LISTS = "asins sources source_labels source_categories tags available_store_ids category_signals".split()
@@ -22,16 +24,16 @@ def read_feed(spark: SparkSession, path: str, source: str, retailer: str = "Whol
     """A JSON array of product records with one schema; a missing file gives no rows, '' becomes null.
 
     ``categories``, where a feed has them, are its source categories. ``ord`` is the order of the rows: by file, and
-    within a file as they stand in it (a file is read by one task).
+    within a file as they stand in it. A file is read by as many tasks as it has splits (``arrays.array_records``).
     """
     landed = T.StructType([*PRODUCT.fields, T.StructField("categories", T.ArrayType(T.StringType()))])
     try:
-        rows = spark.read.schema(landed).json(path, multiLine=True).withColumn("file_", F.col("_metadata.file_name"))
+        rows = read_array(spark, path, landed)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        rows = spark.createDataFrame([], landed).withColumn("file_", F.lit(""))
-    rows = rows.withColumn("ord", F.concat_ws("|", "file_", F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0")))
+        rows = spark.createDataFrame([], landed).withColumns({"file_": F.lit(""), "number_": F.lit(0)})
+    rows = rows.withColumn("ord", F.concat_ws("|", "file_", F.lpad(F.col("number_").cast("string"), 20, "0")))
     rows = rows.withColumn("source_categories", F.coalesce("source_categories", "categories"))
     texts = [F.nullif(F.col(n), F.lit("")).alias(n) for n in _TEXTS if n != "retailer"]
     out = rows.select(*texts, F.coalesce(F.nullif(F.col("retailer"), F.lit("")), F.lit(retailer)).alias("retailer"), *_LISTS[1:2], *(c for c in _LISTS if c != "sources"), "discount_percent", "source_count", "category_confidence", "rank", "store_offers", "ord")

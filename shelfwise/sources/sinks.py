@@ -35,10 +35,16 @@ def upsert_table(df: DataFrame, path: str, keys: Sequence[str], held: int = 2) -
     broken version is written over by the next call. The ``held`` last versions stay, so a reader of the one before is
     not cut off. One writer at a time.
     """
+    there = versions(df.sparkSession, path)
+    old = df.sparkSession.read.parquet(f"{path}/v{there[-1]}") if there else df.limit(0)
+    replace_table(upsert(old, df, keys), path, held)
+
+
+def replace_table(df: DataFrame, path: str, held: int = 2) -> None:
+    """``df`` as the next version of the table under ``path``; see ``upsert_table``. ``df`` may read the version before."""
     spark, there = df.sparkSession, versions(df.sparkSession, path)
-    old = spark.read.parquet(f"{path}/v{there[-1]}") if there else df.limit(0)
     number = there[-1] + 1 if there else 0
-    upsert(old, df, keys).write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{path}/v{number}")
+    df.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{path}/v{number}")
     for before in there[: max(0, len(there) + 1 - held)]:
         delete(spark, f"{path}/v{before}")
 

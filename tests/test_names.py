@@ -36,3 +36,18 @@ def test_longest_spelling(spark):
     df = spark.createDataFrame([("Field Day pasta sauce jar",), ("field greens in a bag",), ("FIELDDAY Field Day olive oil spray",)], "n string")
     got = [(r.brand, r.name_without_brand) for r in names.with_brand(df, "n", v).collect()]
     assert got == [("Field Day", "pasta sauce jar"), ("Field", "greens in a bag"), ("Field Day", "olive oil spray")]
+
+
+def test_ten_thousand_families(spark):
+    """The plan is that of a few, and so are the rows."""
+    few = {"Field": ("field",), "Field Day": ("field day", "fieldday"), "Annie's": ("annie's homegrown", "annies")}
+    many = few | {f"Brand {i} Farms": (f"brand{i}", f"the brand {i} of farms") for i in range(10_000)}
+    named = ["Field Day pasta sauce jar", "field greens in a bag", "annies shells and cheddar", "ACME FOODS Classic Corn Chips", "organic whole milk", None, "", "Field Day pasta sauce jar"]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(named)], "i int, n string")
+    of = lambda families: names.with_brand(df, "n", names.Vocabulary(families=families))
+    rows = lambda x: sorted((r.i, r.n, r.brand, r.name_without_brand) for r in x.collect())
+    assert rows(of(many)) == rows(of(few))
+    size = lambda x: len(x._jdf.queryExecution().optimizedPlan().toString())
+    assert size(of(many)) < 1.2 * size(of(few))
+    more = spark.createDataFrame([(1, "the brand 77 of farms oat drink barista"), (2, "Brand77 oat drink barista")], "i int, n string")
+    assert [(r.brand, r.name_without_brand) for r in names.with_brand(more, "n", names.Vocabulary(families=many)).orderBy("i").collect()] == [("Brand 77 Farms", "oat drink barista")] * 2

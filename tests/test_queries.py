@@ -17,7 +17,7 @@ def test_runs(spark, name):
     df = QUERIES[name](spark, "/root/testdata/sf0.001")
     rows = df.collect()
     assert rows and all(len(r) == len(df.columns) for r in rows)
-    keys = {"brand_families": "canonical", "brand_from_name": "p_partkey", "fuzzy_best_match_ratio": "brand", "tfidf_logistic": "doc_id"}
+    keys = {"brand_families": "canonical", "brand_from_name": "p_partkey", "brand_rounds": "p_partkey", "fuzzy_best_match_ratio": "brand", "tfidf_logistic": "doc_id"}
     assert len({r[keys[name]] for r in rows}) == len(rows)
     if name == "brand_from_name":
         assert all(r.brand is None or not r.name.startswith(r.name_without_brand) or r.name == r.name_without_brand for r in rows)
