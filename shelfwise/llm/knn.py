@@ -13,17 +13,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._store import keep
 
 #: Vectors in a piece and queries in a group, about: a task holds no more of either.
 PIECE, QUERIES = 8192, 2048
+#: Query groups that vectors are dealt to in one pass over them; the driver holds no more at once.
+GROUPS = 4096
 OUT = "own long, query_id long, vec_id long, score long"
 
 
@@ -158,8 +161,8 @@ def _bounder(pivots: np.ndarray, cells: Cells, points: np.ndarray, dim: int, k:
     return run
 
 
-def _router(groups: Groups, cells: Cells, dim: int):
-    """A copy of each vector for each query group that needs it."""
+def _router(groups: Groups, cells: Cells, dim: int, first: int):
+    """A copy of each vector for each query group that needs it; groups are numbered from ``first``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = np.zeros((len(groups.pivots), len(cells.pivots)), dtype=bool)
@@ -171,7 +174,7 @@ def _router(groups: Groups, cells: Cells, dim: int):
             needed = pairs[:, cell].T & groups.need(m)
             for g in np.flatnonzero(needed.any(axis=0)).tolist():
                 at = pa.array(np.flatnonzero(needed[:, g]))
-                yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in ("own", "id", "v")), pa.array(np.full(len(at), g, np.int32))], names=["own", "id", "v", "grp"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in ("own", "id", "v")), pa.array(np.full(len(at), first + g, np.int32))], names=["own", "id", "v", "grp"])
 
     return run
 
@@ -197,12 +200,12 @@ def _solver(dim: int, k: int):
 
 @dataclass
 class Routed:
-    """Copies of data and queries by query group and piece, and what they were dealt by."""
+    """Copies of data and queries by query group and piece, and what they were dealt by: query groups in blocks of ``GROUPS``."""
 
     data: DataFrame
     asked: DataFrame
     cells: Cells
-    groups: Groups
+    groups: list[Groups]
     dim: int
 
 
@@ -234,16 +237,21 @@ def routed(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "emb
     told = keep(told, "knn-asked")
     parts = told.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
     told = told.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("own", F.lit(1)), F.col("parts")).cast("int"))  # one row a pivot
-    summary = told.groupBy("cell", "part").agg(F.max("far").alias("far"), F.min("sure").alias("sure"), F.max("norm").alias("norm"))
-    some = sorted(tuple(r) for r in summary.collect())  # one row a query group
-    groups = Groups(heads[[c for c, *_ in some]], *(np.array([x[i] for x in some]) for i in (2, 3, 4)))
-    sizes = groups.need_cells(cells) @ cells.size
-    known = vectors.sparkSession.createDataFrame([(c, p, g, max(1, -(-int(sizes[g]) // PIECE))) for g, (c, p, *_) in enumerate(some)], "cell int, part int, grp int, pieces int")
+    by_group = F.row_number().over(Window.orderBy("cell", "part")) - 1  # one row a query group
+    summary = told.groupBy("cell", "part").agg(F.max("far").alias("far"), F.min("sure").alias("sure"), F.max("norm").alias("norm")).withColumn("grp", by_group)
+    summary = keep(summary, "knn-groups")
     pad = f"CASE WHEN size(v) = {dim} THEN v ELSE concat(v, array_repeat(0D, {dim} - size(v))) END AS v"
-    asked = told.join(F.broadcast(known), ["cell", "part"]).selectExpr("own", "id", pad, "grp", "explode(sequence(0, pieces - 1)) AS piece")
-    sent = grouped.mapInArrow(_router(groups, cells, dim), "own long, id long, v array<double>, grp int")
-    data = sent.join(F.broadcast(known.select("grp", "pieces")), "grp").selectExpr("own", "id", pad, "grp", "CAST(pmod(xxhash64(own), pieces) AS int) AS piece")
-    return Routed(data, asked, cells, groups, dim)
+    data, asked, blocks = [], [], []
+    for lo in range(0, summary.count(), GROUPS):
+        some = sorted(tuple(r) for r in summary.filter(F.col("grp").between(lo, lo + GROUPS - 1)).collect())  # GROUPS rows at most
+        groups = Groups(heads[[c for c, *_ in some]], *(np.array([x[i] for x in some]) for i in (2, 3, 4)))
+        sizes = groups.need_cells(cells) @ cells.size
+        known = vectors.sparkSession.createDataFrame([(c, p, lo + g, max(1, -(-int(sizes[g]) // PIECE))) for g, (c, p, *_) in enumerate(some)], "cell int, part int, grp int, pieces int")
+        asked.append(told.join(F.broadcast(known), ["cell", "part"]).selectExpr("own", "id", pad, "grp", "explode(sequence(0, pieces - 1)) AS piece"))
+        sent = grouped.mapInArrow(_router(groups, cells, dim, lo), "own long, id long, v array<double>, grp int")
+        data.append(sent.join(F.broadcast(known.select("grp", "pieces")), "grp").selectExpr("own", "id", pad, "grp", "CAST(pmod(xxhash64(own), pieces) AS int) AS piece"))
+        blocks.append(groups)
+    return Routed(reduce(DataFrame.unionByName, data), reduce(DataFrame.unionByName, asked), cells, blocks, dim)
 
 
 def top_k(vectors: DataFrame, *, k: int = 10, **options) -> DataFrame:
@@ -254,6 +262,9 @@ def top_k(vectors: DataFrame, *, k: int = 10, **options) -> DataFrame:
     smaller id. Rows have keys of their own: those that repeat an id are queries and candidates each, and a query leaves
     out its own row only. Scores are exact; one that no long can hold becomes the nearest that it can, and such ones tie.
 
+    Query groups are taken ``GROUPS`` at a time, each block in a pass over the vectors, so nothing in the driver or in a
+    broadcast grows with the queries.
+
     Pivots are farthest-first choices from a sample of at most ``sample`` vectors, a quarter of the root of all rows in
     number unless given; every vector is in a group. A query group has about ``QUERIES`` queries, and what it is sent is
     cut into pieces of about ``PIECE`` vectors by a hash of the row, so no task holds a large group.
