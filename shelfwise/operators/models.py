@@ -111,28 +111,38 @@ def best_with_probability(scores: DataFrame, doc: str, label: str) -> DataFrame:
     return own.select(doc, best["label"].alias(label), F.round(share, 4).alias("p"))
 
 
+def counted_texts(rows: DataFrame, text: str, name: str = "tf_") -> DataFrame:
+    """``rows`` with what ``tfidf_classifier`` counts of a text as ``name``, written once: fits and predictions read that table.
+
+    Counting is much work for little data, so rows are dealt out anew, however few splits the input has.
+    """
+    from .grams import WordGrams
+
+    parts = max(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // 2_000))
+    return keep(WordGrams(inputCol=text, outputCol=name).transform(rows.repartition(parts)), "tfidf-counts")
+
+
 def tfidf_classifier(train: DataFrame, text: str, label: str, weight: str | None = None, least_rows: int = 8):
     """Words, pairs of words, and runs of three to five characters within words (with a blank at either end), TF-IDF, logistic
     regression: a fitted ``pyspark.ml`` pipeline. None where there are fewer than two labels or ``least_rows`` rows.
 
-    Without ``weight`` labels count alike: each row weighs ``rows / (labels * rows of its label)``.
+    Without ``weight`` labels count alike: each row weighs ``rows / (labels * rows of its label)``. Texts are counted once for
+    all fits; rows of ``counted_texts`` are not counted again, here and when the model is applied.
     """
-    from pyspark.ml import Pipeline
+    from pyspark.ml import Pipeline, PipelineModel
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, HashingTF, NGram, RegexTokenizer, SQLTransformer
+    from pyspark.ml.feature import IDF
+
+    from .grams import WordGrams
 
     counts = train.groupBy(label).agg(F.count("*").alias("of_label_"))
     labels, rows = counts.agg(F.count("*"), F.coalesce(F.sum("of_label_"), F.lit(0))).first()
     if labels < 2 or rows < least_rows:
         return None
+    if "tf_" not in train.columns:
+        train = counted_texts(train.select(text, label, *([weight] if weight else [])), text)
     if weight is None:
         weight = "weight_"
-        train = train.join(counts, label).withColumn(weight, F.lit(float(rows)) / (F.lit(float(labels)) * F.col("of_label_")))
-    runs = "transform(sequence(1, greatest(length(w) + 3 - n, 1)), i -> substr(concat(' ', w, ' '), i, n))"
-    grams = f"flatten(transform(w1_, w -> flatten(transform(sequence(3, 5), n -> {runs}))))"
-    stages = [
-        RegexTokenizer(inputCol=text, outputCol="w1_", pattern="[^a-z0-9]+"), NGram(n=2, inputCol="w1_", outputCol="w2_"),
-        SQLTransformer(statement=f"SELECT *, concat(w1_, w2_, {grams}) AS w_ FROM __THIS__"), HashingTF(inputCol="w_", outputCol="tf_", numFeatures=1 << 16), IDF(inputCol="tf_", outputCol="x_"),
-        LogisticRegression(featuresCol="x_", labelCol=label, weightCol=weight, maxIter=20),
-    ]
-    return Pipeline(stages=stages).fit(train)
+        train = train.join(F.broadcast(counts), label).withColumn(weight, F.lit(float(rows)) / (F.lit(float(labels)) * F.col("of_label_")))  # a row a label
+    fitted = Pipeline(stages=[IDF(inputCol="tf_", outputCol="x_"), LogisticRegression(featuresCol="x_", labelCol=label, weightCol=weight, maxIter=20)]).fit(train)
+    return PipelineModel([WordGrams(inputCol=text, outputCol="tf_"), *fitted.stages])

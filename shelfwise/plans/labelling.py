@@ -361,6 +361,7 @@ def training_weights(spark, d):
 def tfidf(spark, d):
     """Not bit-equal between engines: tests hold label validity and accuracy."""
     rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("quality").cast("double").alias("quality"))
+    rows = models.counted_texts(rows, "text")
     return models.tfidf_classifier(rows, "text", "quality").transform(rows).select("doc_id", "quality", "prediction")
 
 
