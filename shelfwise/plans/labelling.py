@@ -119,7 +119,7 @@ x AS (SELECT item_id, arg_min(doc_id, (-common, doc_id)) AS doc_id, max(common)
 SELECT item_id, CASE WHEN x.score >= 0.72 THEN x.doc_id END AS doc_id, round(coalesce(x.score, 0), 3) AS score, coalesce(x.score >= 0.72, false) AS matched FROM b LEFT JOIN x USING (item_id)""")
 def fuzzy_best(spark, d):
     """For each name the candidate that holds most of its words, ties to the smaller id; below 0.72 the score alone."""
-    words = lambda name, own, as_: table(spark, d, name).select(F.col(own).alias(as_), F.explode(F.array_distinct(F.split(text.text_key("text"), " "))).alias("word")).filter("word <> ''")
+    words = lambda name, own, as_: table(spark, d, name).select(F.col(own).alias(as_), fuzzy.words_of(text.text_key("text")).alias("words"))
     best = fuzzy.best_by_words(words("benchmark", "item_id", "id"), words("documents", "doc_id", "ord"))
     score = F.coalesce(F.col("common") / F.col("n"), F.lit(0.0))
     out = table(spark, d, "benchmark").select(F.col("item_id")).join(best, F.col("item_id") == F.col("id"), "left")
