@@ -19,6 +19,14 @@ def attempts_that_count(attempts: DataFrame, page: int = PAGE) -> DataFrame:
     return tried.groupBy("run", "at").agg(F.min_by(F.struct(*columns), best).alias("x")).select("run", "at", *(F.col(f"x.{c}").alias(c) for c in columns))
 
 
+def reached(batches: DataFrame, results: int = RESULTS) -> DataFrame:
+    """Of ``batches`` (``run, at``, more) those that a run can come to: all before ``results``, and the first there or behind, where every
+    run ends. Partial minima, so a run is gathered nowhere, however long it goes on."""
+    behind = F.coalesce(F.col("at") >= results, F.lit(False))
+    first = batches.filter(behind).groupBy("run").agg(F.min_by(F.struct(*batches.columns), "at").alias("first_")).select("first_.*")
+    return batches.filter(~behind).unionByName(first)
+
+
 def stops(batches: DataFrame, results: int = RESULTS, most: int = 400, stale: int = STALE) -> DataFrame:
     """``run, at, reason, requests, added``: the offset at which each run stops, why, how many batches it took, and new ids.
 
@@ -31,8 +39,9 @@ def stops(batches: DataFrame, results: int = RESULTS, most: int = 400, stale: in
     behind it), ``total`` (reached), ``stale`` (``stale`` batches in a row without a new id). ``end``: the batches end.
 
     What a rule needs of earlier batches is a running total or the batch before, as all of these were taken: windows over one
-    row a batch, and ids only to find each one's first batch.
+    row a batch, and ids only to find each one's first batch. Of each run a window holds the batches that it can come to.
     """
+    batches = reached(batches, results)
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     rows = batches.select("run", "at", "size", "status", "products", ids.alias("ids"), F.nullif(F.col("total"), F.lit(0)).alias("total"))
     first = rows.select("run", "at", F.explode("ids").alias("id")).groupBy("run", "id").agg(F.min("at").alias("at"))

@@ -9,6 +9,7 @@ from shelfwise.functions import text
 from shelfwise.functions.dialect import DUCK
 from shelfwise.operators import audit, crawl, digests, merge
 from shelfwise.sources import landed, sinks
+from shelfwise.working import keep
 
 from .adapters import OFFERS, duck, offers, sql, table
 
@@ -252,9 +253,9 @@ last AS (SELECT run, max(i) AS i FROM s GROUP BY run)
 SELECT run, pos AS stop_at, coalesce(reason, 'end') AS reason, requests, added FROM s JOIN last USING (run, i)""")
 def crawl_stops(spark, d):
     """The replay of landed batches: where each run stops, and by which rule."""
-    rows = sql(spark, d, f"SELECT * FROM {_CRAWL} AS x", "events")
+    rows = keep(crawl.reached(sql(spark, d, f"SELECT * FROM {_CRAWL} AS x", "events").withColumnRenamed("pos", "at")), "crawl-reached")
     ids = F.when(F.col("n") > 0, F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.concat(F.lit("B"), (F.col("first") + k).cast("string"))))
-    return crawl.stops(rows.withColumn("ids", ids).withColumnRenamed("pos", "at")).withColumnRenamed("at", "stop_at")
+    return crawl.stops(rows.withColumn("ids", ids)).withColumnRenamed("at", "stop_at")
 
 
 @query("round_deltas", "SELECT role, turn, n, n - coalesce(lag(n) OVER (PARTITION BY role ORDER BY turn), 0) AS delta FROM (SELECT role, turn, count(*) AS n FROM conversations GROUP BY ALL)")
@@ -299,8 +300,9 @@ _OFFER_PAGE = """concat('<a data-test="multistory-2" href="/c/', CAST(p_partkey
 def _lateral(spark, d, page: str, function: str):
     from shelfwise.sources import cards
 
+    pages = cards.dealt_out(table(spark, d, "part"))
     cards.register(spark)
-    return spark.sql(f"SELECT p.p_partkey, t.* FROM {{pages}} p, LATERAL {function}(p.html) t", pages=sql(spark, d, f"SELECT p_partkey, {page} AS html FROM part", "part"))
+    return spark.sql(f"SELECT p.p_partkey, t.* FROM {{pages}} p, LATERAL {function}(p.html) t", pages=pages.selectExpr("p_partkey", f"{page} AS html"))
 
 
 @query("search_tiles", """

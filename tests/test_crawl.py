@@ -94,3 +94,12 @@ def test_attempts(spark):
     ]
     got = crawl.attempts_that_count(spark.createDataFrame(rows, "run long, at long, size long, status int, ids array<string>")).collect()
     assert sorted((r.at, r["size"], r.status, tuple(r.ids)) for r in got) == [(0, 30, 200, ()), (30, 15, 200, ("b",)), (60, 30, 200, ()), (90, 10, 429, ())]
+
+
+def test_long_runs_are_cut_before_windows(spark):
+    """Batches behind the window are no rows of a window, and change nothing."""
+    runs = {1: [full(30 * i, 10 * i) for i in range(400)], 2: [full(0, 0), full(900, 50), full(930, 0), full(960, 50)], 3: [full(0, 0), full(30, 0), full(700, 0)]}
+    df = crawl.stops(frame(spark, runs))
+    assert {r.run: tuple(r)[1:] for r in df.collect()} == {k: replay(b) for k, b in runs.items()}
+    assert sorted((r.run, r.at) for r in crawl.reached(frame(spark, runs)).select("run", "at").collect()) == [*((1, 30 * i) for i in range(18)), (2, 0), (2, 900), (3, 0), (3, 30), (3, 700)]
+    assert crawl.reached(frame(spark, {4: [full(None, 0), full(0, 0)]})).count() == 2
