@@ -1,5 +1,8 @@
 """Pages by hand for each site, called from SQL."""
 
+from pyspark.sql import functions as F
+
+from shelfwise.catalogue import QUERIES
 from shelfwise.sources import cards
 
 TILES = """<html><body><div id="grid">
@@ -51,3 +54,10 @@ def test_deep_pages(spark):
     """A page of a hundred thousand nested elements is no recursion."""
     deep = "<div>" * 100_000 + "<a data-csa-c-type='productTile' data-csa-c-content-id='B1' href='/grocery/product/1'><div class='flex flex-col gap-2'><span class='bds--heading-5'>deep</span></div></a>"
     assert [r["name"] for r in called(spark, "search_tiles", deep)] == ["deep"]
+
+
+def test_pages_are_read_by_many_tasks(spark):
+    """Parts are one small file, so a single task read all pages."""
+    for name in ("search_tiles", "offer_cards"):
+        assert QUERIES[name](spark, "/root/testdata/sf0.01").select(F.spark_partition_id()).distinct().count() == 4
+    assert cards.dealt_out(spark.range(100), 10).rdd.getNumPartitions() == 10
