@@ -12,35 +12,56 @@ def _times(tokens: DataFrame) -> Column:
     return F.col("times") if "times" in tokens.columns else F.lit(1).cast("long")
 
 
-def counted_tokens(tokens: DataFrame, doc: str) -> DataFrame:
-    """``doc, token, times``, written once: training and prediction read these, and tokens are shuffled once."""
-    return keep(tokens.groupBy(doc, "token").agg(F.count("*").alias("times")), "token-counts")
+#: Rows of a lookup that are broadcast, and numbers of a model; more are joined.
+MOST_ROWS, MOST_NUMBERS = 2_000_000, 4_000_000
+
+
+def labelled_words(documents: DataFrame, labels: DataFrame, doc: str, label: str) -> DataFrame:
+    """``doc, label, token``: a row a word of ``documents`` (``doc, words``) that have a label. Documents meet labels before their words
+    are rows, and are not shuffled where labels are at most ``MOST_ROWS``."""
+    labels = labels.select(doc, label)
+    labels = F.broadcast(labels) if labels.limit(MOST_ROWS + 1).count() <= MOST_ROWS else labels
+    return documents.join(labels, doc).select(doc, label, F.explode("words").alias("token"))
 
 
 def token_votes(tokens: DataFrame, label: str, doc: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """From one row a token of a labelled document, or a row a distinct one with how many ``times`` it is there: documents and tokens a
-    label, tokens a label and word, size of the vocabulary."""
-    times = _times(tokens)
-    docs = tokens.groupBy(label).agg(F.count_distinct(doc).alias("n_docs"), F.sum(times).alias("n_tokens"))
-    words = tokens.groupBy(label, "token").agg(F.sum(times).alias("n"))
-    vocabulary = tokens.agg(F.count_distinct("token").alias("vocabulary"))
-    return docs, words, vocabulary
+    label, tokens a label and word, size of the vocabulary. Counts of words are written once."""
+    words = keep(tokens.groupBy(label, "token").agg(F.sum(_times(tokens)).alias("n")), "vote-words")
+    n_docs = tokens.groupBy(label).agg(F.count_distinct(doc).alias("n_docs"))
+    totals = words.groupBy(F.col(label).alias("label_")).agg(F.sum("n").alias("n_tokens"))
+    docs = n_docs.join(totals, F.col(label).eqNullSafe(F.col("label_"))).drop("label_")
+    return docs, words, words.agg(F.count_distinct("token").alias("vocabulary"))
 
 
 def predict_votes(rows: DataFrame, doc: str, votes: tuple[DataFrame, DataFrame, DataFrame], label: str, labels: list) -> DataFrame:
     """``doc, label, score``: log prior and the add-one log likelihood of each token, for every label.
 
-    A label without a document in training scores as one. Counts a (document, word) come first, and words come with the
-    counts of all labels as columns, so a token meets the model once.
+    A label without a document in training scores as one. Words come with the logarithms of all labels as columns, so a token meets
+    the model once, and where it stands: the most frequent words are broadcast, as many as ``MOST_NUMBERS`` allows, so
+    what is shuffled is a row a document and task, and words of a larger vocabulary are shuffled by themselves.
     """
     docs, words, vocabulary = votes
-    wide = words.groupBy("token").agg(*(F.sum(F.when(F.col(label) == v, F.col("n")).otherwise(0)).alias(f"n_{i}") for i, v in enumerate(labels)))
-    counted = rows if "times" in rows.columns else rows.groupBy(doc, "token").agg(F.count("*").alias("times"))
-    counted = counted.join(wide, "token", "left")
     totals = docs.crossJoin(vocabulary).agg(F.sum("n_docs").alias("all_docs"), F.first("vocabulary").alias("vocabulary"), *(F.max(F.when(F.col(label) == v, F.col("n_docs"))).alias(f"d_{i}") for i, v in enumerate(labels)), *(F.max(F.when(F.col(label) == v, F.col("n_tokens"))).alias(f"t_{i}") for i, v in enumerate(labels)))
-    one = counted.crossJoin(F.broadcast(totals))  # one row
-    scores = [(F.sum(F.col("times") * F.log((F.coalesce(f"n_{i}", F.lit(0)) + 1) / (F.coalesce(f"t_{i}", F.lit(0)) + F.greatest("vocabulary", F.lit(1))))) + F.first(F.log(F.greatest(F.coalesce(f"d_{i}", F.lit(1)), F.lit(1)) / F.col("all_docs")))).alias(f"s_{i}") for i in range(len(labels))]
-    out = one.groupBy(doc).agg(*scores)
+    totals = keep(totals, "vote-totals")  # one row
+    log = lambda i, n: F.log((n + 1) / (F.coalesce(f"t_{i}", F.lit(0)) + F.greatest("vocabulary", F.lit(1))))
+    wide = words.groupBy("token").agg(F.sum("n").alias("all_"), *(F.sum(F.when(F.col(label) == v, F.col("n")).otherwise(0)).alias(f"n_{i}") for i, v in enumerate(labels)))
+    wide = keep(wide.crossJoin(F.broadcast(totals)).select("token", "all_", *(log(i, F.col(f"n_{i}")).alias(f"l_{i}") for i in range(len(labels)))), "vote-model")
+    most = max(1, MOST_NUMBERS // (len(labels) + 6))
+    times = _times(rows).alias("times")
+    logs = [f"l_{i}" for i in range(len(labels))]
+    if wide.limit(most + 1).count() <= most:
+        known = rows.select(doc, "token", times).join(F.broadcast(wide.drop("all_")), "token", "left")
+    else:
+        often = keep(wide.orderBy(F.col("all_").desc(), "token").limit(most).drop("all_"), "vote-often")
+        near = rows.select(doc, "token", times).join(F.broadcast(often), "token")
+        rest = wide.drop("all_").join(F.broadcast(often.select("token")), "token", "left_anti")
+        far = rows.select(doc, "token", times).join(F.broadcast(often.select("token")), "token", "left_anti")
+        far = keep(far.groupBy(doc, "token").agg(F.sum("times").alias("times")), "vote-rare")
+        known = near.select(doc, "token", "times", *logs).unionByName(far.join(rest, "token", "left").select(doc, "token", "times", *logs))
+    one = known.crossJoin(F.broadcast(totals))
+    prior = lambda i: F.log(F.greatest(F.coalesce(f"d_{i}", F.lit(1)), F.lit(1)) / F.col("all_docs"))
+    out = one.groupBy(doc).agg(*((F.sum(F.col("times") * F.coalesce(f"l_{i}", log(i, F.lit(0)))) + F.first(prior(i))).alias(f"s_{i}") for i in range(len(labels))))
     return out.select(doc, F.explode(F.array(*(F.struct(F.lit(v).alias(label), F.col(f"s_{i}").alias("score")) for i, v in enumerate(labels)))).alias("x")).select(doc, "x.*")
 
 

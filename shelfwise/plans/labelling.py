@@ -322,18 +322,22 @@ def tokens(spark, d):
     return table(spark, d, "documents").select("doc_id", F.explode(F.split(text.text_key("text"), " ")).alias("token"))
 
 
+def votes(spark, d):
+    """The model of tokens, from the documents that have a quality."""
+    words = table(spark, d, "documents").select("doc_id", F.split(text.text_key("text"), " ").alias("words"))
+    return models.token_votes(models.labelled_words(words, table(spark, d, "labels"), "doc_id", "quality"), "quality", "doc_id")
+
+
 @query("token_vote_counts", f"{_TRAIN} SELECT quality, token, n FROM wl")
 def token_vote_counts(spark, d):
-    return models.token_votes(tokens(spark, d).join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id"), "quality", "doc_id")[1]
+    return votes(spark, d)[1]
 
 
 @query("naive_bayes_predict", f"""{_TRAIN}, p AS (SELECT w.doc_id, dl.quality, sum(ln((coalesce(wl.n, 0) + 1) * 1.0 / (dl.nt + v.v))) + min(ln(dl.nd * 1.0 / (SELECT sum(nd) FROM dl))) AS score
   FROM w CROSS JOIN dl CROSS JOIN v LEFT JOIN wl ON wl.quality = dl.quality AND wl.token = w.token GROUP BY w.doc_id, dl.quality)
 SELECT doc_id, arg_max(quality, score) AS quality, round(max(score), 3) AS score FROM p GROUP BY doc_id""")
 def naive_bayes(spark, d):
-    rows = models.counted_tokens(tokens(spark, d), "doc_id")
-    votes = models.token_votes(rows.join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id"), "quality", "doc_id")
-    p = models.predict_votes(rows, "doc_id", votes, "quality", [0, 1])
+    p = models.predict_votes(tokens(spark, d), "doc_id", votes(spark, d), "quality", [0, 1])
     return p.groupBy("doc_id").agg(F.max_by("quality", "score").alias("quality"), F.round(F.max("score"), 3).alias("score"))
 
 
@@ -342,9 +346,7 @@ def naive_bayes(spark, d):
 SELECT doc_id, arg_max(quality, score) AS quality, round(max(score), 3) AS score FROM p JOIN documents USING (doc_id) WHERE lang = 'en' OR (lang <> 'de' AND quality = 1) GROUP BY doc_id""")
 def naive_bayes_allowed(spark, d):
     """The best label of those that a language allows; one of them allows none."""
-    rows = models.counted_tokens(tokens(spark, d), "doc_id")
-    votes = models.token_votes(rows.join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id"), "quality", "doc_id")
-    scores = models.predict_votes(rows, "doc_id", votes, "quality", [0, 1])
+    scores = models.predict_votes(tokens(spark, d), "doc_id", votes(spark, d), "quality", [0, 1])
     docs = table(spark, d, "documents").select("doc_id", "lang")
     allowed = docs.select("lang").distinct().filter("lang <> 'de'").select("lang", F.explode(F.when(F.col("lang") == "en", F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))).alias("quality"))
     return models.best_allowed(scores, "doc_id", "quality", docs, "lang", allowed).select("doc_id", "quality", F.round("score", 3).alias("score"))
