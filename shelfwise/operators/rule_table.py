@@ -15,10 +15,11 @@ the block, or get none if that was the main cascade. A called block needs the gr
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,10 +94,11 @@ def ordered_rules(rows: Sequence[Mapping], valid: set | None = None) -> RuleSet:
 
 
 def _finder(terms: Mapping[tuple[bool, str], int]):
-    """Numbers of the terms in each text of a series: one pass over the text, whatever the number of terms."""
+    """Numbers of the terms in each text of a batch: one pass over the text, whatever the number of terms. Texts are taken out of the
+    batch one by one, and numbers put into arrays, so a worker holds no more than the batch, one text and the numbers."""
     made: list = []
 
-    def numbers(texts: pd.Series) -> pd.Series:
+    def numbers(texts: pa.Array) -> pa.Array:
         import ahocorasick
 
         if not made:
@@ -119,7 +121,11 @@ def _finder(terms: Mapping[tuple[bool, str], int]):
                         out.add(i)
             return sorted(out)
 
-        return texts.map(of)
+        found_, ends = array("i"), array("i", [0])
+        for text in texts:
+            found_.extend(of(text.as_py()))
+            ends.append(len(found_))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found_, pa.int32()))
 
     return numbers
 
@@ -133,7 +139,7 @@ def _terms_in(rules: RuleSet, fields: Mapping[str, Column | str]) -> Column:
     for name, value in fields.items():
         own = {(whole, term): i for (f, whole, term), i in rules.terms.items() if f == name}
         if own:
-            parts.append(F.pandas_udf(_finder(own), "array<int>")(value))
+            parts.append(F.arrow_udf(_finder(own), "array<int>")(value))
     return F.concat(*parts) if parts else F.array().cast("array<int>")
 
 

@@ -112,3 +112,11 @@ def test_read_rules(spark):
     empty = rt.read_rules(spark.createDataFrame([], rt.SCHEMA))
     df = spark.createDataFrame([("a",), (None,)], "text string")
     assert [r.rule for r in rt.with_rule(df, empty, {"text": "text"}).collect()] == [None, None]
+
+
+def test_a_batch_is_not_held_twice():
+    """Numbers of terms come from an Arrow batch as an Arrow array: no series of texts or of lists is made."""
+    import pyarrow as pa
+
+    got = rt._finder({(False, "ab"): 0, (True, "cd"): 1})(pa.array(["ab cd", None, "", "cde", "ab"]))
+    assert got.type == pa.list_(pa.int32()) and got.to_pylist() == [[0, 1], [], [], [], [0]]
